@@ -54,14 +54,63 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(batch: pa.RecordBatch, text: str, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch holding about `size` bytes of text each, so that memory doesn't follow the batch."""
+def chunks(batch: pa.RecordBatch, text: str, size: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch holding about `size` bytes of text and at most `rows` rows each, so that memory doesn't follow the batch."""
     if batch.num_rows == 0:
         return
     _, offsets = utf8(batch.column(batch.schema.get_field_index(text)))
     start = 0
     while start < batch.num_rows:
         stop = int(np.searchsorted(offsets, offsets[start] + size, "right")) - 1
-        stop = min(max(stop, start + 1), batch.num_rows)
+        stop = min(max(stop, start + 1), batch.num_rows, start + rows)
         yield batch.slice(start, stop - start)
         start = stop
+
+
+#: White space of the word rule, and A-Z lowered.
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambler of 64-bit numbers (the splitmix finaliser)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, letters_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in a row, A-Z lowered, and each text's first place among them.
+
+    Words are what white space separates; with letters_only, what anything but letters, digits and bytes over 127 separates.
+    """
+    data = _LOWER[data]
+    cut = _SPACE[data]
+    if letters_only:
+        cut = ~(((data >= 97) & (data <= 122)) | ((data >= 48) & (data <= 57)) | (data >= 128))
+    word = ~cut
+    begin = word.copy()
+    begin[1:] &= cut[:-1]
+    starts_doc = offsets[:-1][offsets[:-1] < offsets[1:]]
+    begin[starts_doc] = word[starts_doc]
+    starts = np.flatnonzero(begin)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    # a polynomial of each word's scrambled bytes: letters that aren't in words add nothing
+    place = np.arange(len(data), dtype=np.int64)
+    run = np.zeros(len(data), np.int64)
+    run[starts] = np.diff(starts, prepend=0)
+    inside = place - np.cumsum(run)
+    longest = int(inside[word].max()) + 1
+    powers = np.cumprod(np.full(longest, _BASE | np.uint64(1), np.uint64))
+    terms = _SCRAMBLED[data]
+    terms[cut] = 0
+    terms *= powers[np.minimum(inside, longest - 1)]
+    hashes = mix(np.add.reduceat(terms, starts))
+    return hashes, np.searchsorted(starts, offsets)
+
+
+_SCRAMBLED = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
