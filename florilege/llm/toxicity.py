@@ -24,9 +24,9 @@ BITS = 20
 SLOTS = 1 << BITS
 #: Bound of the training sample: about so many labelled texts, dealt by a hash of the id.
 TRAIN_ROWS = 6000
-EPOCHS = 3
+EPOCHS = 5
 #: Per-coordinate rate alpha / (beta + root of summed squared gradients), and the regularisers.
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 1.5, 1.0
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 12.0, 1.0
 THRESHOLD = 0.3
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
