@@ -23,8 +23,9 @@ from florilege.llm.common import materialised
 from florilege.llm.components import components
 
 THRESHOLD = 0.9
-#: Vectors of a block (on average, beyond which leaves are salted), of a tile, and of the sample that places the tree's cuts.
-BLOCK, TILE, SAMPLE = 8192, 512, 20_000
+#: Vectors of a block at most (on average; small tables make at least BLOCKS blocks of LEAST_BLOCK or more), of a tile, and of
+#: the sample that places the tree's cuts.
+BLOCK, LEAST_BLOCK, BLOCKS, TILE, SAMPLE = 8192, 1024, 12, 512, 20_000
 #: Dimensions after which tiles are judged again.
 STEPS = (8, 16, 32, 64, 128, 256, 512)
 _EPS = 1e-9
@@ -186,6 +187,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     d = sizes[0]["d"]
     classes = classes.where(F.size("embedding") == d)
     total = classes.count()
+    block = min(block, max(LEAST_BLOCK, -(-total // BLOCKS)))
     basis = np.linalg.eigh(_moments(classes, d))[1][:, ::-1].copy()
     sample = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < F.lit(min(1.0, SAMPLE / total) * (1 << 20))).select("embedding").toPandas()["embedding"]
     lead = min(d, 16)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from florilege.llm import embeddings, html_text, language, packing, pii, secrets, toxicity, warc
+from florilege.llm import decontamination, embeddings, html_text, jaccard, language, packing, pii, secrets, toxicity, warc
 from florilege.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
@@ -24,6 +28,10 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.group(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -44,15 +52,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_secrets": op2_secrets,
+    "op3_decontamination": op3_decontamination,
     "op4_warc": op4_warc,
     "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_toxicity": op7_toxicity,
     "op8_pii": op8_pii,
     "op9_language": op9_language,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": decontamination.ORACLE_SQL,
     "op4_warc": warc.ORACLE_SQL,
     "op5_embedding_dedup": embeddings.ORACLE_SQL,
+    "op6_jaccard_join": jaccard.ORACLE_SQL,
     "op8_pii": pii.ORACLE_SQL,
 }
