@@ -20,12 +20,13 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """
     oriented = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     state = materialised(oriented, "edges")
+    if state.isEmpty():
+        return state.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
     before = None
     for _ in range(rounds):
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = _hooked(both.where("v > u"), least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialised(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _hooked(large, least).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         state = materialised(small, "small")

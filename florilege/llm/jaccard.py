@@ -4,8 +4,10 @@ Documents with equal shingle sets are one class. Rounds of min-hash buckets comp
 and attach it where they link, so similar documents form groups that are connected already. What may link groups is found
 by tokens: of a set of n shingles in one global order, a link needs a common one among the first n - ceil(0.75 n) + 1 (its
 prefix). The order puts shingles that are frequent in the corpus last. For each group the union of its members' prefixes is
-kept; a query class counts its own prefix tokens in that union, and a group is opened only where the count allows a link
-with some member's size. Opened members are compared by their whole sets. Links are exact; no candidate is dropped.
+kept; a query class counts its own prefix tokens in that union, and only groups whose count allows a link with some
+member's size qualify. A query is held against a qualifying group's leader; if that doesn't link them, the group is opened
+for those members whose distance from the leader lets them be near enough (Jaccard distance is a metric). Opened members
+are compared by their whole sets. Links are exact; no candidate is dropped.
 
 Defined results: null and empty texts have no shingles and link with nothing; rows with a null doc_id link with nothing and
 get a null component_id; repeated rows are equal sets; an empty table gives an empty result; only doc_id and text are read.
@@ -16,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +35,8 @@ ROUNDS = 3
 COUNTED, FREQUENT, FREQUENT_MOST = 4, 32, 1 << 18
 #: Id lists up to this size go to every task; longer ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Members and queries of an opened group that meet in one task (on average).
+BLOCK = 128
 
 _DOC = "doc_id long, n long, sig long, keys array<long>, token long, times long"
 
@@ -75,23 +80,67 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return materialised(found.mapInArrow(same, "rep long, text string"), "texts")
 
 
-def links(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of pairs (x, y) of class ids that link, by their whole sets."""
+def judged(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """pairs (x, y) of class ids with their Jaccard distance and whether they link, by their whole sets."""
+    schema = "x long, y long, distance double, linked boolean"
+    if pairs.isEmpty():
+        return pairs.sparkSession.createDataFrame([], schema)
     ids = pairs.select(F.col("x").alias("rep")).unionByName(pairs.select(F.col("y").alias("rep"))).distinct()
     texts = _texts(docs, materialised(classes.join(ids, "rep").select("rep", "sig"), "wanted"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b for whole in batches for a in chunks(whole, "a") for b in chunks(a, "b")):
             na, nb, both = overlaps(batch.column(2), batch.column(3))
-            yield batch.select([0, 1]).filter(pa.array(100 * both >= PERCENT * (na + nb - both)))
+            union = na + nb - both
+            columns = [batch.column(0), batch.column(1), pa.array(1 - both / np.maximum(union, 1)), pa.array(100 * both >= PERCENT * union)]
+            yield pa.RecordBatch.from_arrays(columns, names=["x", "y", "distance", "linked"])
 
     x, y = texts.select(F.col("rep").alias("x"), F.col("text").alias("a")), texts.select(F.col("rep").alias("y"), F.col("text").alias("b"))
     both = pairs.join(x, "x").join(y, "y").select("x", "y", "a", "b")
-    return materialised(both.mapInArrow(judge, "x long, y long"), "links")
+    return materialised(both.mapInArrow(judge, schema), "judged")
+
+
+def matrix_links(frame: pd.DataFrame) -> pd.DataFrame:
+    """Queries (side 1) against the token matrix of a block of members (side 0): a linked member for each query that has one."""
+    held, asked = frame[frame["side"] == 0], frame[frame["side"] == 1]
+    if held.empty or asked.empty:
+        return pd.DataFrame({"x": [], "y": []}, dtype="int64")
+    row, code = sets(pa.array(held["text"], pa.large_string()))
+    tokens, column = np.unique(code, return_inverse=True)
+    sizes = np.bincount(row, minlength=len(held))
+    starts = np.cumsum(sizes) - sizes
+    names, found = held["rep"].to_numpy(), []
+    for rep, text in zip(asked["rep"], asked["text"], strict=True):
+        own = sets(pa.array([text], pa.large_string()))[1]
+        at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
+        flags = np.zeros(len(tokens), np.int64)
+        flags[at[tokens[at] == own]] = 1
+        both = np.add.reduceat(flags[column], starts)
+        linked = np.flatnonzero(100 * both >= PERCENT * (sizes + len(own) - both))
+        if len(linked):  # the group is connected, so one link joins the query to all of it
+            found.append((rep, names[linked[0]]))
+    return pd.DataFrame(found, columns=["x", "y"]).astype("int64")
+
+
+def opened_links(queries: DataFrame, members: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (x, y) of queries (x, group) with members (group, y), a block of either side to a task."""
+    if queries.isEmpty():
+        return queries.select("x", F.col("x").alias("y"))
+    sizes = queries.groupBy("group").agg(F.count("*").alias("q")).join(members.groupBy("group").agg(F.count("*").alias("m")), "group")
+    parts = materialised(sizes.select("group", F.ceil(F.col("q") / BLOCK).cast("int").alias("qs"), F.ceil(F.col("m") / BLOCK).cast("int").alias("ms")), "blocks")
+    members = members.join(parts.select("group"), "group", "left_semi")
+    ids = queries.select(F.col("x").alias("rep")).unionByName(members.select(F.col("y").alias("rep"))).distinct()
+    texts = _texts(docs, materialised(classes.join(ids, "rep").select("rep", "sig"), "wanted"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    asked = queries.select(F.col("x").alias("rep"), "group").join(parts, "group").select("group", part("qs").alias("qb"), upto("ms").alias("mb"), F.lit(1).alias("side"), "rep")
+    held = members.select(F.col("y").alias("rep"), "group").join(parts, "group").select("group", upto("qs").alias("qb"), part("ms").alias("mb"), F.lit(0).alias("side"), "rep")
+    rows = asked.unionByName(held).join(texts, "rep").select("group", "qb", "mb", "side", "rep", "text")
+    return materialised(rows.groupBy("group", "qb", "mb").applyInPandas(matrix_links, "x long, y long"), "opened-links")
 
 
 def _postings(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(token, rep, comp, n) of prefixes, for tokens that classes of at least two components have."""
+    """(token, rep, group, comp, n) of prefixes, for tokens that classes of at least two components have."""
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(frequent)
 
@@ -99,8 +148,8 @@ def _postings(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         last = known.value
         for batch in (part for whole in batches for part in chunks(whole, "text")):
             size = batch.num_rows
-            row, code = sets(batch.column(3))
-            fits = signatures(row, code, size) == batch.column(2).to_numpy()
+            row, code = sets(batch.column(4))
+            fits = signatures(row, code, size) == batch.column(3).to_numpy()
             if len(last):
                 at = np.minimum(np.searchsorted(last, code), len(last) - 1)
                 order = np.lexsort((code, last[at] == code, row))
@@ -109,7 +158,8 @@ def _postings(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
             take = (place < (n - -(-PERCENT * n // 100) + 1)[row]) & fits[row]
             row, code = row[take], code[take]
-            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(n[row])], names=["token", "rep", "comp", "n"])
+            own = [batch.column(k).take(pa.array(row)) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), *own, pa.array(n[row])], names=["token", "rep", "group", "comp", "n"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
@@ -125,7 +175,7 @@ def _postings(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         mixed = np.repeat(comp[starts] != comp[ends], ends - starts + 1)
         yield from table.take(pa.array(order[mixed])).combine_chunks().to_batches()
 
-    schema = "token long, rep long, comp long, n long"
+    schema = "token long, rep long, group long, comp long, n long"
     # every row of a token lies in one partition, which the second function looks through
     return docs.mapInArrow(prefixes, schema).repartition("token").mapInArrow(shared, schema)
 
@@ -138,37 +188,49 @@ def group(docs: DataFrame) -> DataFrame:
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
     classes = materialised(classes, "classes")
 
-    # similar documents into groups
+    # similar documents into groups: each class has one leader at most, and its distance from it
+    near = f"100 * least(n, m) >= {PERCENT} * greatest(n, m)"
     stars, active = None, classes
     for r in range(ROUNDS):
         keyed = active.select("rep", "n", F.element_at("keys", r + 1).alias("key"))
-        leaders = keyed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("leader"), F.count("*").alias("size")).where("size > 1").select("key", "leader")
-        pairs = keyed.join(leaders, "key").where("rep <> leader.rep").where(f"100 * least(n, leader.n) >= {PERCENT} * greatest(n, leader.n)").select(F.col("rep").alias("x"), F.col("leader.rep").alias("y"))
-        found = links(materialised(pairs, "pairs"), docs, classes)
+        leaders = keyed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("leader"), F.count("*").alias("size")).where("size > 1").select("key", F.col("leader.rep").alias("y"), F.col("leader.n").alias("m"))
+        pairs = keyed.join(leaders, "key").where("rep <> y").where(near).select(F.col("rep").alias("x"), "y")
+        found = judged(materialised(pairs, "pairs"), docs, classes).where("linked")
         stars = found if stars is None else stars.unionByName(found)
         active = materialised(active.join(found.select(F.col("x").alias("rep")).distinct(), "rep", "left_anti"), "active")
-    groups = materialised(components(stars.select(F.col("x").alias("a"), F.col("y").alias("b"))), "groups")
-    grouped = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "n", "sig", F.coalesce("component_id", "rep").alias("comp"))
+    as_edges = lambda df: df.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    connected = materialised(components(as_edges(stars)), "connected")
+    grouped = classes.join(stars.select(F.col("x").alias("rep"), F.col("y").alias("leader"), "distance"), "rep", "left").join(connected.withColumnRenamed("id", "rep"), "rep", "left")
+    grouped = grouped.select("rep", "n", "sig", F.coalesce("leader", "rep").alias("group"), F.coalesce("distance", F.lit(0.0)).alias("distance"), F.coalesce("component_id", "rep").alias("comp"))
     grouped = materialised(grouped, "grouped")
 
     # tokens by groups
     counted = profile.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= FREQUENT)
     frequent = counted.orderBy(F.desc("times"), "token").limit(FREQUENT_MOST).select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64)
-    wanted = grouped.select("rep", "comp", "sig")
-    named = docs.join(small(wanted), docs["doc_id"] == wanted["rep"]).select("rep", "comp", "sig", "text")
+    wanted = grouped.select("rep", "group", "comp", "sig")
+    named = docs.join(small(wanted), docs["doc_id"] == wanted["rep"]).select("rep", "group", "comp", "sig", "text")
     postings = materialised(_postings(named, np.sort(frequent)).distinct(), "postings")
-    sizes = grouped.groupBy("comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    unions = postings.groupBy("token", "comp").agg(F.count("*").alias("members")).join(sizes, "comp").select("token", F.col("comp").alias("other"), "least", "most")
+    sizes = grouped.groupBy("group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    unions = postings.groupBy("token", "group", "comp").agg(F.count("*").alias("members")).join(sizes, "group").select("token", F.col("group").alias("other"), F.col("comp").alias("other_comp"), "least", "most")
     low, high = F.greatest(F.col("least"), F.ceil(F.col("n") * PERCENT / 100)), F.least(F.col("most"), F.floor(F.col("n") * 100 / PERCENT))
     need = lambda m: F.ceil(PERCENT * (F.col("n") + m) / (100 + PERCENT) - F.greatest(F.col("n"), m) * PERCENT / 100 - 1e-6)
-    counts = postings.join(unions, "token").where("comp > other").groupBy("rep", "n", "other", "least", "most").agg(F.count("*").alias("common"))
-    opened = counts.where(low <= high).where(F.col("common") >= F.greatest(F.lit(1), F.least(need(low), need(high)))).select(F.col("rep").alias("x"), "n", "other")
-    members = grouped.select(F.col("comp").alias("other"), F.col("rep").alias("y"), F.col("n").alias("m"))
-    pairs = opened.join(members, "other").where(f"100 * least(n, m) >= {PERCENT} * greatest(n, m)").select("x", "y").distinct()
-    rest = links(materialised(pairs, "pairs"), docs, classes)
-
-    edges = stars.unionByName(rest).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    final = components(edges).withColumnRenamed("id", "rep")
+    counts = postings.join(unions, "token").where("comp > other_comp").groupBy("rep", "n", "other", "least", "most").agg(F.count("*").alias("common"))
+    qualified = counts.where(low <= high).where(F.col("common") >= F.greatest(F.lit(1), F.least(need(low), need(high)))).select(F.col("rep").alias("x"), "n", F.col("other").alias("y"))
+    qualified = materialised(qualified, "qualified")
+
+    # a query against the group's leader, then against those members that may be near enough
+    led = judged(qualified.select("x", "y"), docs, classes)
+    edges = as_edges(stars).unionByName(as_edges(led.where("linked")))
+    now = materialised(components(edges), "connected")
+    side = lambda name: now.select(F.col("id").alias(name), F.col("component_id").alias(f"{name}_comp"))
+    farthest = grouped.where("rep <> group").groupBy(F.col("group").alias("y")).agg(F.max("distance").alias("farthest"))
+    open_ = led.where("NOT linked").join(farthest, "y").where(F.col("farthest") >= F.col("distance") - (100 - PERCENT) / 100 - 1e-9)
+    open_ = open_.join(side("x"), "x", "left").join(side("y"), "y", "left").where(F.coalesce("x_comp", "x") != F.coalesce("y_comp", "y"))
+    open_ = materialised(open_.join(qualified, ["x", "y"]).select("x", "n", "distance", F.col("y").alias("group")), "opened")
+    nearest = open_.groupBy("group").agg(F.min("distance").alias("nearest"))
+    members = grouped.where("rep <> group").join(nearest, "group").where(F.col("distance") >= F.col("nearest") - (100 - PERCENT) / 100 - 1e-9).select("group", F.col("rep").alias("y"))
+    whole = opened_links(open_.select("x", "group"), materialised(members, "members"), docs, classes)
+    final = components(edges.unionByName(as_edges(whole))).withColumnRenamed("id", "rep")
     known = classes.join(final, "rep", "left").select(F.col("sig").alias("s"), F.col("n").alias("size"), F.coalesce("component_id", "rep").alias("component"))
     out = rows.join(known, (rows["sig"] == known["s"]) & (rows["n"] == known["size"]) & rows["doc_id"].isNotNull(), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
