@@ -1,5 +1,6 @@
 """The engine's registered queries and their SQL."""
 
-FLAGSHIP = "issues"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from florilege.plans import catalog, content, entries, matching, profiles, quality, words  # noqa: F401  they register themselves
+from florilege.registry import COVERS, ORACLE_SQL, QUERIES  # noqa: F401
+
+FLAGSHIP = "issue_report"
