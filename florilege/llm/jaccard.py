@@ -199,10 +199,14 @@ def group(docs: DataFrame) -> DataFrame:
         stars = found if stars is None else stars.unionByName(found)
         active = materialised(active.join(found.select(F.col("x").alias("rep")).distinct(), "rep", "left_anti"), "active")
     as_edges = lambda df: df.select(F.col("x").alias("a"), F.col("y").alias("b"))
-    connected = materialised(components(as_edges(stars)), "connected")
-    grouped = classes.join(stars.select(F.col("x").alias("rep"), F.col("y").alias("leader"), "distance"), "rep", "left").join(connected.withColumnRenamed("id", "rep"), "rep", "left")
-    grouped = grouped.select("rep", "n", "sig", F.coalesce("leader", "rep").alias("group"), F.coalesce("distance", F.lit(0.0)).alias("distance"), F.coalesce("component_id", "rep").alias("comp"))
-    grouped = materialised(grouped, "grouped")
+    # leaders are smaller than what they lead and are led in later rounds only, so ROUNDS steps reach the root, the least of all
+    leads = materialised(stars.select(F.col("x").alias("rep"), F.col("y").alias("leader"), "distance"), "leads")
+    grouped = classes.join(leads, "rep", "left").select("rep", "n", "sig", F.coalesce("leader", "rep").alias("group"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
+    grouped = grouped.withColumn("comp", F.col("group"))
+    for _ in range(ROUNDS - 1):
+        up = leads.select(F.col("rep").alias("comp"), F.col("leader").alias("_up"))
+        grouped = grouped.join(up, "comp", "left").withColumn("comp", F.coalesce("_up", "comp")).drop("_up")
+    grouped = materialised(grouped.select("rep", "n", "sig", "group", "distance", "comp"), "grouped")
 
     # tokens by groups
     counted = profile.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= FREQUENT)
@@ -220,18 +224,17 @@ def group(docs: DataFrame) -> DataFrame:
 
     # a query against the group's leader, then against those members that may be near enough
     led = judged(qualified.select("x", "y"), docs, classes)
-    edges = as_edges(stars).unionByName(as_edges(led.where("linked")))
-    now = materialised(components(edges), "connected")
-    side = lambda name: now.select(F.col("id").alias(name), F.col("component_id").alias(f"{name}_comp"))
     farthest = grouped.where("rep <> group").groupBy(F.col("group").alias("y")).agg(F.max("distance").alias("farthest"))
     open_ = led.where("NOT linked").join(farthest, "y").where(F.col("farthest") >= F.col("distance") - (100 - PERCENT) / 100 - 1e-9)
-    open_ = open_.join(side("x"), "x", "left").join(side("y"), "y", "left").where(F.coalesce("x_comp", "x") != F.coalesce("y_comp", "y"))
-    open_ = materialised(open_.join(qualified, ["x", "y"]).select("x", "n", "distance", F.col("y").alias("group")), "opened")
+    open_ = materialised(open_.select("x", F.col("y").alias("group"), "distance"), "opened")
     nearest = open_.groupBy("group").agg(F.min("distance").alias("nearest"))
     members = grouped.where("rep <> group").join(nearest, "group").where(F.col("distance") >= F.col("nearest") - (100 - PERCENT) / 100 - 1e-9).select("group", F.col("rep").alias("y"))
     whole = opened_links(open_.select("x", "group"), materialised(members, "members"), docs, classes)
-    final = components(edges.unionByName(as_edges(whole))).withColumnRenamed("id", "rep")
-    known = classes.join(final, "rep", "left").select(F.col("sig").alias("s"), F.col("n").alias("size"), F.coalesce("component_id", "rep").alias("component"))
+    comp = lambda name: grouped.select(F.col("rep").alias(name), F.col("comp").alias(f"{name}_comp"))
+    found = as_edges(led.where("linked")).unionByName(as_edges(whole))
+    between = found.join(comp("a"), "a").join(comp("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
+    final = components(between).withColumnRenamed("id", "comp")
+    known = grouped.join(final, "comp", "left").select(F.col("sig").alias("s"), F.col("n").alias("size"), F.coalesce("component_id", "comp").alias("component"))
     out = rows.join(known, (rows["sig"] == known["s"]) & (rows["n"] == known["size"]) & rows["doc_id"].isNotNull(), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
