@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words that carry no subject.
 STOPWORDS = ("a", "as", "o", "os", "e", "de", "da", "das", "do", "dos", "em", "no", "na", "nos", "nas", "um", "uma", "uns", "umas", "para", "por", "com", "sem", "ao", "aos", "à", "às", "que", "se", "the", "of", "and", "in")
@@ -22,19 +23,19 @@ FOLDED = "aaaaaaceeeeiiiinooooouuuuyy"
 _SPACE = r"(?U)\s+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_unescape(text: pd.Series) -> pd.Series:
     """Every named and numeric character reference decoded."""
     return text.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkd_fold(text: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks."""
     return text.map(lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold(text: pd.Series) -> pd.Series:
     return text.map(str.casefold, na_action="ignore")
 

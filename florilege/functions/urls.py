@@ -7,6 +7,7 @@ from urllib.parse import quote, unquote, urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _part(url: Column, part: str) -> Column:
@@ -77,13 +78,13 @@ def resolved(base: Column, reference: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def joined(base: pd.Series, reference: pd.Series) -> pd.Series:
     """Any reference against its page, dot segments included."""
     return pd.Series([None if b is None or r is None else urljoin(b, r) for b, r in zip(base, reference, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def safe(url: pd.Series) -> pd.Series:
     """Path and query decoded and encoded again."""
 

@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BREAKS = frozenset("br p div li tr h1 h2 h3 h4 h5 h6".split())
@@ -183,7 +184,7 @@ def filled_rows(rows: DataFrame) -> DataFrame:
 def after_marker(marker: str):
     """A function of text: the JSON value that begins after a marker, as JSON text; null if there is none. Script is never run."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def found(pages: pd.Series) -> pd.Series:
         def one(page: str) -> str | None:
             at = page.find(marker)
@@ -198,7 +199,7 @@ def after_marker(marker: str):
 
 
 def flattened(trees: DataFrame, key: str, tree: str) -> DataFrame:
-    """(key, place, id, parent, depth, metadata) of JSON trees {id, metadata, children}, depth first."""
+    """(key, place, node, parent, depth, metadata) of JSON trees {id, metadata, children}, depth first."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -210,9 +211,9 @@ def flattened(trees: DataFrame, key: str, tree: str) -> DataFrame:
                     place += 1
                     rows.append((k, place, str(node.get("id")), parent, depth, {str(a): str(b) for a, b in (node.get("metadata") or {}).items()}))
                     todo += [(c, str(node.get("id")), depth + 1) for c in reversed(node.get("children") or [])]
-            yield pd.DataFrame(rows, columns=["k", "place", "id", "parent", "depth", "metadata"])
+            yield pd.DataFrame(rows, columns=["k", "place", "node", "parent", "depth", "metadata"])
 
-    return trees.select(F.col(key).cast("long").alias("k"), F.col(tree).alias("t")).mapInPandas(read, "k long, place long, id string, parent string, depth long, metadata map<string,string>").withColumnRenamed("k", key)
+    return trees.select(F.col(key).cast("long").alias("k"), F.col(tree).alias("t")).mapInPandas(read, "k long, place long, node string, parent string, depth long, metadata map<string,string>").withColumnRenamed("k", key)
 
 
 def image_rows(contents_: DataFrame, key: str) -> DataFrame:

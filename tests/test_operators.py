@@ -1,0 +1,109 @@
+from pyspark.sql import functions as F
+
+from florilege.operators import catalog, dedup, profile, reconcile, similarity
+from florilege.rules import entries, site
+from florilege.rules.issues import combined, ranked
+
+
+def rows(df, *order):
+    return [tuple(r) for r in df.orderBy(*(order or df.columns)).collect()]
+
+
+def test_profiles(spark):
+    df = spark.createDataFrame([("a", 3), ("a", 1), ("b", 2), (None, 9)], "k string, v long")
+    assert rows(profile.frequencies(df, profile.bucket("k", "(none)").alias("k")), "k") == [("(none)", 1), ("a", 2), ("b", 1)]
+    assert rows(profile.first_n(df, ["k"], ["v"], 1)) == [(None, 9, 1), ("a", 1, 1), ("b", 2, 1)]
+    assert rows(profile.with_examples(df.where("k IS NOT NULL"), ["k"], ["v"], 1)) == [("a", 2, "1"), ("b", 1, "2")]
+    sets = profile.by_sets(df, "k", "v")
+    assert sets.where("level = 3").first()["n"] == 4 and sets.where("level = 1 AND k IS NULL").first()["n"] == 1
+    assert rows(profile.out_of_sequence(spark.createDataFrame([("x", 1, 1), ("x", 2, 3), ("x", 3, 2), ("y", 1, 1)], "k string, o long, n long"), "k", "o", "n")) == [("x", 1)]
+    assert rows(profile.summary(df, all=F.count("*"), large=F.count_if(F.col("v") > 2)), "indicator") == [("all", 4), ("large", 2)]
+
+
+def test_identities(spark):
+    df = spark.createDataFrame([(1, "t", "u"), (2, "t", "u"), (3, "t", "w")], "id long, body string, own string")
+    keys = [r["key"] for r in dedup.identities(df, F.sha2(F.col("body").cast("binary"), 256), F.col("id"), F.col("own")).orderBy("id").collect()]
+    assert keys[1] == keys[0] + ":duplicate:2" and keys[2] == "own:w"
+    assert rows(dedup.first_seen(df, ["own"], ["id"]).select("id")) == [(1,), (3,)]
+    assert rows(dedup.repeated(df, "own")) == [("u", 2, 1)]
+
+
+def test_similar_terms_against_brute_force(spark):
+    terms = {"colecao": 5, "colecoes": 1, "colecaoo": 1, "museu": 3, "museus": 1, "muralhas": 2, "muralha": 1, "livro": 1, "livre": 1, "arquivos": 20, "arquivo": 2, "abcdefgh": 2, "abcdefij": 1}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    expected = {}
+    for a, n in terms.items():
+        best = [(distance(a, b), abs(n - m), b, m) for b, m in terms.items() if a != b and a[:2] == b[:2] and abs(len(a) - len(b)) <= 2 and max(n, m) >= 2 and 1 <= distance(a, b) <= (2 if len(a) >= 8 else 1)]
+        if best and 5 <= len(a) <= 24:
+            d, _, b, m = min(best)
+            expected[a] = (b, m, d)
+    df = similarity.similar_terms(spark.createDataFrame(list(terms.items()), "term string, n long"))
+    assert {r["term"]: (r["other"], r["other_n"], r["distance"]) for r in df.collect()} == expected
+
+
+def test_upserts_are_additive_and_idempotent(spark):
+    plan = spark.createDataFrame([(1, "a", "x"), (2, "b", None), (3, "c", "z"), (4, "d", "q")], "k long, name string, note string")
+    live = spark.createDataFrame([(1, "manual", None), (2, "b", "kept"), (4, "d", "q"), (4, "d", "q")], "k long, name string, note string")
+    columns = ["name", "note"]
+    assert rows(reconcile.upsert_plan(plan, live, "k", columns)) == [(1, "augmented"), (2, "unchanged"), (3, "created"), (4, "ambiguous")]
+    after = reconcile.apply_plan(plan, live.distinct(), "k", columns)
+    assert rows(after) == [(1, "manual", "x"), (2, "b", "kept"), (3, "c", "z"), (4, "d", "q")]
+    assert {r["action"] for r in reconcile.upsert_plan(plan, after, "k", columns).collect()} == {"unchanged"}
+
+
+def test_reconciliation(spark):
+    plan = spark.createDataFrame([("a", "P1", "1"), ("a", "P1", "1"), ("b", "P2", "2")], "k string, p string, v string")
+    live = spark.createDataFrame([("a", "P1", "1"), ("c", "P9", "manual")], "k string, p string, v string")
+    assert rows(reconcile.missing_claims(plan, live, ["k", "p", "v"])) == [("a", "P1", "1"), ("b", "P2", "2")]
+    claims = spark.createDataFrame([(1, "@x"), (2, "@y"), (3, "plain")], "subject long, value string")
+    ids = spark.createDataFrame([("x", "Q7")], "key string, id string")
+    assert rows(reconcile.resolved_references(claims, ids).select("subject", "target")) == [(1, "Q7"), (2, None), (3, None)]
+    assert rows(reconcile.count_differences(spark.createDataFrame([("a", 2)], "k string, n long"), spark.createDataFrame([("b", 1)], "k string, n long"), "k")) == [("a", 2, 0), ("b", 0, 1)]
+
+
+def test_catalogue(spark):
+    items = spark.createDataFrame([(i, f"Title {i:03d}", "red" if i % 2 else "blue") for i in range(1, 131)], "id long, title string, colour string")
+    page = catalog.page(items, ["title"], 3, 48)
+    assert [r["id"] for r in page.collect()] == list(range(97, 131))
+    assert catalog.page(items, ["title"], 1, 7).count() == 12
+    placed = catalog.paginated(items, ["title"], 50)
+    assert {(r["id"], r["place"], r["page"]) for r in placed.collect()} == {(i, i, (i - 1) // 50 + 1) for i in range(1, 131)}
+    assert rows(catalog.page_ranges(items))[-1] == (3, 101, 130, "101–130 of 130")
+    terms = spark.createDataFrame([(5, "river"), (6, "river"), (6, "river")], "id long, name string")
+    assert rows(catalog.matching(items, "id", "title river RED", ["title", "colour"], [(terms, "name")]).select("id")) == [(5,)]
+    assert rows(catalog.facets(terms, "id", "name")) == [("river", 2)]
+
+
+def test_entry_rules(spark):
+    clean = ("DLP-a_1-0a", "yes", ["casa"], [("DLP-a_1-0a-1", "1", ["home"]), ("DLP-a_1-0a-2", "2", ["house"])], ["Casa"], ["2017-04-03"], ["s.f."])
+    bad = ("", "only", [""], [("", "b", []), ("x", "2", ["..."]), ("y", "2", ["[ ... ]", "??"])], [" casa"], ["90/02/2016"], ["???"])
+    other = ("DLP-a_1-0a", None, ["Casa"], [], ["perdido"], [], [])
+    odd = ("bad id", "yes", ["rua"], [("z", "2", []), ("bad id-1", "1", [])], [], [], [])
+    df = spark.createDataFrame([clean, bad, other, odd], entries.SCHEMA)
+    found = {}
+    for r in entries.issues(df).collect():
+        found.setdefault(r["rule"], []).append(r["entry_id"])
+    assert {k: len(v) for k, v in found.items()} == {
+        "entrada_sem_xml_id": 1, "xml_id_fora_do_padrao_proposto": 1, "entrada_sem_lema": 1, "volp_only_com_sentidos": 1, "dlp_sem_sentidos": 1, "entrada_com_sentidos_sem_definicao": 1,
+        "numeracao_de_sentidos_suspeita": 2, "numero_de_sentido_nao_inteiro": 1, "sentido_sem_xml_id": 1, "id_de_sentido_nao_derivado_da_entrada": 1, "sentido_sem_definicao": 3,
+        "sentido_com_definicao_placeholder": 2, "data_nao_reconhecida": 1, "referencia_com_espacos": 1, "classe_gramatical_desconhecida": 1, "xml_id_duplicado": 1, "referencia_sem_lema_exato": 1,
+    }
+    assert rows(entries.lemma_groups(df)) == [("casa", 2, "DLP-a_1-0a")]
+    assert [r["valid"] for r in entries.validated(df).collect()] == [True, False, True, False]
+
+
+def test_issue_order_and_site_rules(spark):
+    pages = spark.createDataFrame([(1, "https://s.org/a", "<title>A title</title>" + "x" * 50), (2, "https://s.org/b", "<title>a Title</title>few"), (3, "https://s.org/c", "<img src=x>")], "page_id long, url string, html string")
+    pages = pages.withColumn("title", F.regexp_extract("html", "<title>(.*?)</title>", 1)).withColumn("slug", F.lit("s"))
+    found = ranked(combined(site.duplicate_titles(pages), site.near_empty(pages), site.heavy_pages(pages, 60)))
+    assert [(r["severity"], r["url"]) for r in found.collect()] == [("Alta", "https://s.org/a"), ("Média", "https://s.org/a"), ("Baixa", "https://s.org/a"), ("Baixa", "https://s.org/b")]
+    assert site.outside_sitemap(pages, pages.select("url").limit(0)).count() == 0
+    assert rows(site.outside_sitemap(pages, pages.where("page_id < 3").select("url")).select("url")) == [("https://s.org/c",)]
