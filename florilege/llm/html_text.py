@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from florilege.llm.common import chunks
 
-TRAIN_PAGES = 160
-ROUNDS = 45
-RATE = 0.6
+TRAIN_PAGES = 180
+ROUNDS = 60
+RATE = 0.9
 DECAY = 0.001
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL)
@@ -262,7 +262,7 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 11) -> list[tuple[str, str]
             f"<div{hint('cookie', 'cookie-notice', 'cookie-banner', 'notice', 'consent', 'popup', 'modal', 'newsletter', 'subscribe', 'alert', 'gdpr')}>{r.choice((sentence(), '<p>' + prose() + '</p>'))}</div>",
             f"<form{r.choice(('', hint('search', 'login', 'signup')))}><label>{words(1, 3)}</label><input name=q><button>{word()}</button><p>{sentence()}</p></form>",
             f"<section{hint('comments', 'comment-list', 'discussion', 'responses')}><h3>{words(1, 2)}</h3>" + "".join(f'<{t}{hint("comment", "reply", "comment-body")}><p>{prose()}</p></{t}>' for t in [r.choice(("div", "article", "li"))] * r.randint(1, 4)) + "</section>",
-            f"<div{hint('comments', 'disqus', 'comment', 'reviews')}><p>{prose()}</p><p>{prose()}</p></div>",
+            f"<div{hint('comments', 'disqus', 'comment', 'reviews')}>{r.choice((f'<h3>{words(1, 3)}</h3>', ''))}{r.choice((f'<p>{prose()}</p><p>{prose()}</p>', f'<ul><li><p>{prose()}</p></li><li>{prose()}</li></ul>', f'<ol><li>{prose()}</li></ol>'))}</div>",
             f"<footer{r.choice(('', hint('footer', 'site-footer')))}>{r.choice(('&copy; ' + words(1, 3) + ' &middot; ' + sentence(), menu(), '<p>' + prose() + '</p>'))}</footer>",
             f"<div{hint('footer', 'copyright', 'legal', 'disclaimer')}>{r.choice(('&copy; ' + words(2, 5), '<p>' + sentence() + '</p>', menu()))}</div>",
             f'<div role="{r.choice(("navigation", "banner", "complementary", "contentinfo", "search"))}">{r.choice((menu(), sentence()))}</div>',
@@ -281,9 +281,10 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 11) -> list[tuple[str, str]
     for _ in range(n):
         shell = r.choice(("<article{}>",) * 5 + ("<main{}>", "<div{} id=content>", '<div{} id="main-content">', '<div{} id="post">', '<section{} id="article">', '<div{} id="entry-content">', "<main><article{}>", "<div><article{}>", '<div id="wrapper"><div{} id="article-body">', '<div role="main"{}>'))
         inner = ([r.choice((f"<h1>{words(2, 8)}</h1>", f"<header><h1>{words(2, 8)}</h1></header>", f"<h1>{words(2, 8)}</h1>"))] if r.random() < 0.9 else []) + [body_block() for _ in range(r.choice((0, 1, 2, 4, 8, 14)))]
-        if r.random() < 0.35:
-            for _ in range(r.randint(1, 2)):
-                x = r.choice([x for x in around() if not x.startswith("<header")])
+        if r.random() < 0.65:
+            for _ in range(r.randint(1, 3)):
+                inside = [x for x in around() if not x.startswith("<header")]
+                x = r.choice(inside + [x for x in inside if "comment" in x[:40] or x.startswith("<aside")])
                 inner.insert(r.randint(0, len(inner)), quiet(x))
         if shell.startswith('<div role="main"'):
             start = f'<div id="main" role="{_MARK}">'

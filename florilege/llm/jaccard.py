@@ -210,7 +210,10 @@ def group(docs: DataFrame) -> DataFrame:
 
     # tokens by groups
     counted = profile.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= FREQUENT)
-    frequent = counted.orderBy(F.desc("times"), "token").limit(FREQUENT_MOST).select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64)
+    counted, least = materialised(counted, "frequent"), FREQUENT
+    while counted.where(F.col("times") >= least).count() > FREQUENT_MOST:
+        least *= 2
+    frequent = counted.where(F.col("times") >= least).select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64)
     wanted = grouped.select("rep", "group", "comp", "sig")
     named = docs.join(small(wanted), docs["doc_id"] == wanted["rep"]).select("rep", "group", "comp", "sig", "text")
     postings = materialised(_postings(named, np.sort(frequent)).distinct(), "postings")
