@@ -5,16 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder (spark.checkpoint.dir, or one of our own where that is unset) and read again."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = f"file://{tempfile.mkdtemp(prefix='florilege-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/florilege/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: cuts the lineage and outlives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/florilege/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
