@@ -193,7 +193,8 @@ def group(docs: DataFrame) -> DataFrame:
     stars, active = None, classes
     for r in range(ROUNDS):
         keyed = active.select("rep", "n", F.element_at("keys", r + 1).alias("key"))
-        leaders = keyed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("leader"), F.count("*").alias("size")).where("size > 1").select("key", F.col("leader.rep").alias("y"), F.col("leader.n").alias("m"))
+        leaders = keyed.groupBy("key").agg(F.min("rep").alias("y"), F.min_by("n", "rep").alias("m"), F.count("*").alias("size")).where("size > 1").drop("size")
+        leaders = materialised(leaders, "leaders")  # so that a full bucket's rows can be split in the join
         pairs = keyed.join(leaders, "key").where("rep <> y").where(near).select(F.col("rep").alias("x"), "y")
         found = judged(materialised(pairs, "pairs"), docs, classes).where("linked")
         stars = found if stars is None else stars.unionByName(found)
