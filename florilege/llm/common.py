@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,14 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers stay for later stages and would hold it."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    if libc and hasattr(lib := ctypes.CDLL(libc), "malloc_trim"):
+        lib.malloc_trim(0)
+
+
 def chunks(batch: pa.RecordBatch, text: str, size: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
     """Slices of a batch holding about `size` bytes of text and at most `rows` rows each, so that memory doesn't follow the batch."""
     if batch.num_rows == 0:
@@ -48,6 +58,7 @@ def chunks(batch: pa.RecordBatch, text: str, size: int = CHUNK_BYTES, rows: int
         stop = min(max(stop, start + 1), batch.num_rows, start + rows)
         yield batch.slice(start, stop - start)
         start = stop
+    release()
 
 
 #: White space of the word rule, and A-Z lowered.
