@@ -2,8 +2,9 @@
 
 Texts become words (runs of letters and digits, lower-cased). A mask looks at some places of a window and ignores the
 others; the hashes of what it sees join documents with benchmark items, so a hit survives substitutions at ignored places.
-Around each hit, document and item are laid side by side and words that agree are counted in a window of up to WINDOW
-words: from SHARE of them on, the document is reported.
+Document and item are laid side by side as a hit says, and words that agree are counted in each window of up to WINDOW words:
+from SHARE of them on, the document is reported. Wherever so many words agree, a mask of SEED_MASKS sees only words that agree, so no
+such window of a long item is missed; a test goes through all patterns.
 
 Defined results: null or empty texts match nothing; items of fewer than LEAST_WORDS words are ignored; items with equal words
 count as the one with the smallest item_id; rows that share a doc_id are one document; rows with a null doc_id or item_id are
@@ -17,7 +18,11 @@ from pyspark.sql import functions as F
 
 from florilege.llm.common import materialised
 
-#: Fixed masks: the places looked at. The last serves items shorter than the others' windows.
+#: The places looked at, in items of LONG words or more and in shorter ones.
+SEED_MASKS = ((0, 1, 2, 4, 5), (0, 1, 6, 8, 9), (0, 5, 9, 10, 11), (0, 1, 3, 7, 11), (0, 1, 2, 4, 7), (0, 1, 3, 4, 6))
+SHORT_MASKS = ((0, 1, 2, 3),)
+LONG = 13
+#: The masks of the SQL, which find part of this.
 MASKS = ((0, 1, 3, 4, 7, 8), (0, 2, 3, 5, 6, 9))
 SHORT_MASK = (0, 1, 2, 3)
 LEAST_WORDS = 4
@@ -39,11 +44,11 @@ def _seen(h: Column, at: Column, mask: tuple[int, ...], number: int) -> Column:
     return F.when(at + mask[-1] < F.size(h), F.xxhash64(F.lit(number), *[F.get(h, at + k) for k in mask]))
 
 
-def _seeds(rows: DataFrame, masks: list[tuple[int, ...]], keep: list[str]) -> DataFrame:
+def _seeds(rows: DataFrame, masks: tuple[tuple[int, ...], ...], keep: list[str]) -> DataFrame:
     """A row per place and mask of each array h: keep, place, seed."""
     least = min(m[-1] for m in masks)
     places = rows.where(F.size("h") > least).select(*keep, F.explode(F.sequence(F.lit(0), F.size("h") - 1 - least)).alias("place"))
-    every = F.array(*[_seen(F.col("h"), F.col("place"), m, m[1] * 100 + m[-1]) for m in masks])
+    every = F.array(*[_seen(F.col("h"), F.col("place"), m, sum(1 << k for k in m)) for m in masks])
     return places.select(*keep, "place", F.explode(every).alias("seed")).where("seed IS NOT NULL")
 
 
@@ -51,12 +56,12 @@ def find(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST
     """(doc_id, item_id, matched, window): documents that hold an item, with the best window's agreeing words and size."""
     items = benchmark.select(F.col("item_id").cast("long"), words(F.col("text")).alias("h")).where(F.col("item_id").isNotNull() & (F.size("h") >= LEAST_WORDS))
     items = materialised(items.groupBy("h").agg(F.min("item_id").alias("item_id")).select("item_id", "h"), "items")
-    short = items.where(F.size("h") < _SPAN)
-    masks = list(MASKS)
-    seeds = _seeds(items.where(F.size("h") >= _SPAN), masks, ["item_id", "h"])
+    short = items.where(F.size("h") < LONG)
+    masks = SEED_MASKS
+    seeds = _seeds(items.where(F.size("h") >= LONG), masks, ["item_id", "h"])
     if not short.isEmpty():
-        masks.append(SHORT_MASK)
-        seeds = seeds.unionByName(_seeds(short, [SHORT_MASK], ["item_id", "h"]))
+        masks += SHORT_MASKS
+        seeds = seeds.unionByName(_seeds(short, SHORT_MASKS, ["item_id", "h"]))
     seeds = materialised(seeds.select("seed", "item_id", F.col("place").alias("item_place")), "seeds")
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), words(F.col("text")).alias("h"))
     sides = items.select("item_id", F.col("h").alias("item_h"))
@@ -67,11 +72,15 @@ def find(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST
         places = _seeds(rows, masks, ["doc_id", "h"]).select("doc_id", "place", "seed").join(seeds, "seed").select("doc_id", "item_id", "place", "item_place").distinct()
         hits = places.join(rows, "doc_id").join(sides, "item_id")
     size = F.least(F.lit(WINDOW), F.size("item_h"))
-    begin = F.greatest(F.lit(0), F.least(F.col("item_place") - (WINDOW - _SPAN) // 2, F.size("item_h") - size))
+    least = F.ceil(size * SHARE - 1e-9)
     shift = F.col("place") - F.col("item_place")
-    agree = F.filter(F.sequence(F.col("begin"), F.col("begin") + F.col("size") - 1), lambda k: (k + F.col("shift") >= 0) & (F.get(F.col("h"), k + F.col("shift")) == F.get(F.col("item_h"), k)))
-    judged = hits.select("doc_id", "item_id", "h", "item_h", size.alias("size"), begin.alias("begin"), shift.alias("shift")).select("doc_id", "item_id", "size", F.size(agree).alias("matched"))
-    sure = judged.where(F.col("matched") >= F.ceil(F.col("size") * SHARE - 1e-9))
+    agrees = lambda k: (k + shift >= 0) & (F.get(F.col("h"), k + shift) == F.get(F.col("item_h"), k))
+    # most hits are chance: few words agree in all windows that hold the hit's place
+    first, last = F.greatest(F.lit(0), F.col("item_place") - (WINDOW - 1)), F.least(F.size("item_h") - 1, F.col("item_place") + (WINDOW - 1))
+    near = hits.where(F.size(F.filter(F.sequence(first, last), agrees)) >= least)
+    same = near.select("doc_id", "item_id", size.alias("size"), least.alias("least"), F.transform(F.sequence(F.lit(0), F.size("item_h") - 1), lambda k: F.coalesce(agrees(k), F.lit(False))).alias("same"))
+    windows = F.transform(F.sequence(F.lit(0), F.size("same") - F.col("size")), lambda k: F.size(F.filter(F.slice("same", k + 1, F.col("size")), lambda x: x)))
+    sure = same.select("doc_id", "item_id", "size", "least", F.array_max(windows).alias("matched")).where("matched >= least")
     return sure.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.max("size").cast("long").alias("window"))
 
 
