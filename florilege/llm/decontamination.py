@@ -3,8 +3,8 @@
 Texts become words (runs of letters and digits, lower-cased). A mask looks at some places of a window and ignores the
 others; the hashes of what it sees join documents with benchmark items, so a hit survives substitutions at ignored places.
 Document and item are laid side by side as a hit says, and words that agree are counted in each window of up to WINDOW words:
-from SHARE of them on, the document is reported. Wherever so many words agree, a mask of SEED_MASKS sees only words that agree, so no
-such window of a long item is missed; a test goes through all patterns.
+from SHARE of them on, the document is reported. Wherever so many words agree, a mask of SEED_MASKS (SHORT_MASKS for short
+items) sees only words that agree, so no such window is missed; a test goes through all patterns.
 
 Defined results: null or empty texts match nothing; items of fewer than LEAST_WORDS words are ignored; items with equal words
 count as the one with the smallest item_id; rows that share a doc_id are one document; rows with a null doc_id or item_id are
@@ -20,7 +20,7 @@ from florilege.llm.common import materialised
 
 #: The places looked at, in items of LONG words or more and in shorter ones.
 SEED_MASKS = ((0, 1, 2, 4, 5), (0, 1, 6, 8, 9), (0, 5, 9, 10, 11), (0, 1, 3, 7, 11), (0, 1, 2, 4, 7), (0, 1, 3, 4, 6))
-SHORT_MASKS = ((0, 1, 2, 3),)
+SHORT_MASKS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 LONG = 13
 #: The masks of the SQL, which find part of this.
 MASKS = ((0, 1, 3, 4, 7, 8), (0, 2, 3, 5, 6, 9))

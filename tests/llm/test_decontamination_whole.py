@@ -54,3 +54,13 @@ def test_substitutions_of_long_items(spark):
     cases += [(n, set(rng.sample(range(n), gone))) for n in (13, 16, 20) for gone in range(3, 7) for _ in range(12)]
     expected = _check(spark, cases)
     assert all((k, k) in expected for k, (n, gone) in enumerate(cases) if gone == {i for i in range(n) if i % 5 == 4})
+
+
+@pytest.mark.parametrize("size", range(decontamination.LEAST_WORDS, decontamination.LONG))
+def test_short_masks_see_every_accepted_pattern(size):
+    assert _missed(decontamination.SHORT_MASKS, size) == 0
+
+
+def test_substitutions_of_short_items(spark):
+    cases = [(n, set(gone)) for n in range(decontamination.LEAST_WORDS, 10) for k in range(3) for gone in itertools.combinations(range(n), k)]
+    assert len(_check(spark, cases)) == sum(n - len(gone) >= _least(n) for n, gone in cases)
