@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and dictionary-primed zstandard novelty for what they miss.
 
-A candidate is a long mixed string in a sensitive context (a key word shortly before it, or a known prefix). Its marginal
-size is what it adds to the compressed surrounding text, where the compressor is primed with a dictionary of identifiers;
+A candidate is a long string in a sensitive context (a key word shortly before it, or a known prefix); NAME=value is a name
+and a value. Its marginal size is what it adds to the compressed surrounding text, where the compressor is primed with a dictionary of identifiers;
 strings that hardly compress are reported, strings that repeat what stands around them or in the dictionary are not.
 
 Defined results: a null text is empty and has no spans; a null doc_id and repeated rows are carried; an empty table gives
@@ -30,6 +30,9 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 
 #: Proposals of the novelty scan, the words that make a context sensitive, and prefixes that are sensitive themselves.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST_CHARS = 16
+#: Parts of a candidate between inner '='; those at its end are padding.
+PART = re.compile(r"[^=]+(?:=+\Z)?")
 SENSITIVE = re.compile(r"pass|pwd|secret|token|key|auth|bearer|credential|private|signature|login|session", re.IGNORECASE)
 PREFIXES = ("ghp_", "gho_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "rk_live_", "sk-", "AIza", "eyJ", "ya29", "npm_", "SG")
 CONTEXT_CHARS = 48
@@ -89,13 +92,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _parts(m: re.Match) -> Iterator[tuple[int, int]]:
+    """(start, end) of the long enough parts of a candidate; a name before '=' is one only with a digit."""
+    for p in PART.finditer(m.group()):
+        last = p.end() == m.end() - m.start()
+        if p.end() - p.start() >= LEAST_CHARS and (last or any(c.isdigit() for c in p.group())):
+            yield m.start() + p.start(), m.start() + p.end()
+
+
 def novel_spans(text: str, known: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
     """Candidates in a sensitive context that overlap no base span and hardly compress."""
     found = []
-    for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        value = m.group()
-        if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
+    for start, end in (s for m in CANDIDATE.finditer(text) for s in _parts(m)):
+        value = text[start:end]
+        if not any(c.isalpha() for c in value):
             continue
         if not value.startswith(PREFIXES) and not SENSITIVE.search(text, max(0, start - CONTEXT_CHARS), start):
             continue
