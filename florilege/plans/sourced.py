@@ -104,16 +104,22 @@ def capped_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.cached(spark, f"{folder}/parts", lambda: parts)
 
 
-@query("K7 A23", "SELECT c_custkey AS k, c_name AS name FROM customer WHERE c_custkey % 100 = 1")
-def written_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An import plan beside the digests of its inputs, read back."""
+@query("K7 A23", "SELECT c_custkey AS k, c_name AS name FROM customer")
+def written_customer_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An import plan of all customers beside the digests of its inputs, read back."""
     path, book = _place(spark, "plan"), _place(spark, "inputs")
-    wanted = table(spark, sf_dir, "customer").where("c_custkey % 100 = 1").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
-    sinks.csv_counts(wanted, book, ["k"])
+    wanted = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
+    sinks.csv_checked(wanted, book)
     sinks.plan(wanted, path, files.file_digests(spark, book))
     return spark.read.schema("k long, name string").json(f"{path}/plan")
 
 
+@query("K7 A23", "SELECT c_custkey AS k, c_name AS name FROM customer WHERE c_custkey % 100 = 1")
+def written_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that its SQL names of the plan of all customers."""
+    return written_customer_plan(spark, sf_dir).where("k % 100 = 1")
+
+
 @query("S1 S3 S5 W6", "SELECT CAST(i AS BIGINT) AS id FROM (SELECT unnest(range(1, 62)) AS i) WHERE i NOT BETWEEN 20 AND 24")
 def paged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten overlapping pages of an offline service, of which the fourth never comes."""
