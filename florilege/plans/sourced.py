@@ -53,10 +53,19 @@ def safe_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TRIPLES = "|".join(c * 3 for c in "abcdefghijklmnopqrstuvwxyz")
 
 
+def _spelling_candidates(texts: DataFrame) -> DataFrame:
+    words = texts.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
+    return words.where((F.length("word") >= 8) | F.col("word").rlike(r"([a-z])\1\1")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("F12 X4", f"SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM documents) WHERE len(word) >= 8 OR regexp_matches(word, '{_TRIPLES}') GROUP BY word")
+def document_spelling_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spelling_candidates(table(spark, sf_dir, "documents"))
+
+
 @query("F12 X4", f"SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM benchmark) WHERE len(word) >= 8 OR regexp_matches(word, '{_TRIPLES}') GROUP BY word")
 def slug_spelling_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
-    return words.where((F.length("word") >= 8) | F.col("word").rlike(r"([a-z])\1\1")).groupBy("word").agg(F.count("*").alias("n"))
+    return _spelling_candidates(table(spark, sf_dir, "benchmark"))
 
 
 @query("Q17 X12 J1", f"""SELECT w.doc_id, w.word, t.meant, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex({q.fold("coalesce(text, '')")}, '[^a-z]+')) AS word FROM documents) w JOIN (VALUES {', '.join(f"('{a}', '{b}')" for a, b in CORPUS_TYPOS)}) AS t(word, meant) USING (word) GROUP BY 1, 2, 3""")

@@ -68,6 +68,11 @@ def similar_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_terms(profile.frequencies(tokens(items).withColumnRenamed("word", "term"), "term"))
 
 
+@query("J5 W7 X5 F11 Q9")
+def document_similar_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.similar_terms(profile.frequencies(tokens(table(spark, sf_dir, "documents")).withColumnRenamed("word", "term"), "term"))
+
+
 @query("X10 Q15 F14", r"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}]+'), lambda x: x <> '') AS w FROM documents)
 SELECT doc_id, CAST(len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1] AND len(w[i]) >= 3 AND w[i] NOT IN ('que', 'the', 'and', 'para'))) AS BIGINT) AS n FROM t""")
 def repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,6 +137,6 @@ def spelling_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("X3 X19 X2")
 def folded_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Item words with what exact folding makes of them."""
-    words = table(spark, sf_dir, "benchmark").select(F.explode(text.raw_words(F.col("text"))).alias("word")).distinct()
+    """Words of documents with what exact folding makes of them."""
+    words = table(spark, sf_dir, "documents").select(F.explode(text.raw_words(F.col("text"))).alias("word")).distinct()
     return words.select("word", text.norm_word(F.col("word"), exact=True).alias("folded"), text.casefold(F.col("word")).alias("casefolded"))
