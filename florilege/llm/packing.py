@@ -12,13 +12,13 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,22 +31,27 @@ END_ID = 1
 SHARD_PIECES = 8192
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 3
-POPULATION = 3
+GENERATIONS = 12
+POPULATION = 4
 #: Bins filled less than this are opened for the round across shards.
 REOPEN_BELOW = 0.985
-#: Entries of a worker's cache of encoded chunks.
+#: Entries of a worker's cache of encoded words; half of them, the most used, outlive a full cache.
 CACHE_ENTRIES = 200_000
 
-#: Texts of these characters only are unchanged by NFC and lower-case letter by letter, so chunks between white space encode on their own.
-_PLAIN = re.compile("[\t\n\r -~À-įı-ɏ]*")
+#: Texts of these characters only are unchanged by NFC and lower-case letter by letter, so their words encode on their own.
+_PLAIN = re.compile("[\t\n\r -~À-įı-ȹȻ-ȽȿɀɁ-ɏ]*")
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row_id long"
 
-
-#: Words, contractions, digits and runs of signs of a lower-case plain chunk, as the vocabulary's splitter makes them.
-_LETTERS = "a-zß-öø-ɏÀ-ÖØ-Þ"
-_SPLIT = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+")
+#: Kinds of bytes of a lower-case plain text, as the vocabulary's splitter sees them: runs of letters are words, so are runs of
+#: signs, and each digit is one. Bytes that continue a character are of its kind.
+_SPACE, _LETTER, _DIGIT, _SIGN = range(4)
+_KINDS = np.full(256, _SIGN, np.uint8)
+_KINDS[[0x09, 0x0A, 0x0D, 0x20]] = _SPACE
+_KINDS[0x30:0x3A] = _DIGIT
+_KINDS[[*range(0x61, 0x7B), *range(0xC3, 0xCB)]] = _LETTER
+#: What an apostrophe at a word's begin takes with it.
+CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -56,67 +61,100 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def split_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin in the bytes of lower-case plain texts, each ended by a line end, and which bytes are in words."""
+    kind = _KINDS[data]
+    inner = np.flatnonzero((data & 0xC0) == 0x80)
+    odd = inner[(data[inner - 1] == 0xC3) & ((data[inner] == 0x97) | (data[inner] == 0xB7))]  # the signs of multiplication and division
+    kind[odd - 1] = _SIGN
+    kind[inner] = kind[inner - 1]
+    begin = np.ones(len(data), bool)
+    begin[1:] = kind[1:] != kind[:-1]
+    begin &= kind != _SPACE
+    begin |= kind == _DIGIT
+    quote = np.flatnonzero(begin & (data == 0x27))
+    for tail in CONTRACTIONS:
+        at = quote[quote + len(tail) < len(data) - 1]
+        for k, c in enumerate(tail.encode()):
+            at = at[data[at + 1 + k] == c]
+        begin[at + 1] = False
+        after = at + 1 + len(tail)
+        begin[after[kind[after] == _LETTER]] = True
+    return np.flatnonzero(begin), kind != _SPACE
+
+
 class Encoder:
     """Exact ids of the tokenizer file.
 
-    Texts that normalisation leaves alone are split at white space and each distinct chunk is encoded once; all others go
+    Texts that normalisation leaves alone are split into words at once, and each distinct word is encoded once; all others go
     through the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.words: dict[str, list[int]] = {}
-        self._forget()
+        self.entries = entries
+        #: Words by number; place and number of each one's ids in flat, and in how many steps it was seen.
+        self.known: dict[str, int] = {}
+        self.starts, self.lengths, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, "<u4")
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.lengths, self.starts, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, "<u4")
-
-    def _word(self, word: str) -> list[int]:
-        ids = self.words.get(word)
-        if ids is None:
-            seen = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-            ids = [t.id for t in self.model.tokenize(seen)]
-            if len(word) <= 40:
-                if len(self.words) >= CACHE_ENTRIES:
-                    self.words.clear()
-                self.words[word] = ids
-        return ids
+        """Keep the most used half of a full cache."""
+        least = max(2, int(np.partition(self.uses, -(self.entries // 2))[-(self.entries // 2)]) + 1)
+        kept = np.flatnonzero(self.uses >= least)
+        names = np.array(list(self.known), object)[kept].tolist()
+        self.known = dict(zip(names, range(len(names)), strict=True))
+        lengths = self.lengths[kept]
+        starts = np.cumsum(lengths) - lengths
+        self.flat = self.flat[np.repeat(self.starts[kept] - starts, lengths) + np.arange(int(lengths.sum()))]
+        self.starts, self.lengths, self.uses = starts, lengths, self.uses[kept] // 2
 
     def _learn(self, new: list[str]) -> None:
-        ids = [[i for w in _SPLIT.findall(x) for i in self._word(w)] for x in new]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        letters, tokenize = self.letters, self.model.tokenize
+        ids, lengths = array("I"), []
+        for word in new:
+            own = [t.id for t in tokenize(word if word.isascii() else "".join([letters[b] for b in word.encode()]))]
+            ids.extend(own)
+            lengths.append(len(own))
+        lengths = np.array(lengths, np.int64)
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), "<u4", int(lengths.sum()))])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+        self.flat = np.concatenate([self.flat, np.frombuffer(ids, np.uint32).astype("<u4")])
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of plain texts, the end id after each."""
         if not texts:
             return []
-        parts = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
-        coded = parts.flatten().dictionary_encode()
+        lower = [x.lower().encode() for x in texts]
+        data = np.frombuffer(b"\n".join([*lower, b""]), np.uint8)
+        ends = np.cumsum([len(x) + 1 for x in lower]) - 1
+        begin, used = split_words(data)
+        offsets = np.append(np.cumsum(used)[begin] - 1, used.sum()).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.string(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data[used])]).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.known) > CACHE_ENTRIES:
+        if len(self.known) > self.entries:
             self._forget()
         if new := [x for x in distinct if x not in self.known]:
             self._learn(new)
         rows = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
-        ends = np.asarray(parts.offsets)[1:] - np.asarray(parts.offsets)[0]
+        self.uses[rows] += 1
         codes = rows[np.asarray(coded.indices)]
-        counts, first = np.insert(self.lengths[codes], ends, 1), np.insert(self.starts[codes], ends, -1)
+        last = np.searchsorted(begin, ends)  # so many words come before each text's end
+        counts, first = np.insert(self.lengths[codes], last, 1), np.insert(self.starts[codes], last, 0)
         at = np.cumsum(counts) - counts
         where = np.repeat(first - at, counts)
         where += np.arange(len(where))
-        last = ends + np.arange(len(texts))  # where each text's end id stands among the codes
-        ids = self.flat[where]
-        ids[at[last]] = END_ID
-        return np.split(ids, at[last][:-1] + 1)
+        ends = at[last + np.arange(len(texts))]  # where each text's end id stands
+        where[ends] = 0
+        ids = self.flat[where] if len(self.flat) else np.zeros(len(where), "<u4")
+        ids[ends] = END_ID
+        return np.split(ids, ends[:-1] + 1)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text with the end id, as little-endian unsigned 32-bit numbers."""
@@ -273,8 +311,9 @@ def evolve_islands(items: DataFrame, level: int, capacity: int, islands: int, ep
 def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Pack documents (doc_id, text; other columns are ignored) into sequences.
 
-    Null text counts as empty (one end id); a null doc_id is carried; repeated rows are packed each; an empty table gives
-    no rows. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    Null text counts as empty (one end id); a null doc_id is carried; repeated rows are packed each; a long text is cut into
+    pieces of `capacity` ids; pieces of one size are told apart by their row's number, so any of them may stand in a sequence;
+    an empty table gives no rows; columns named as the result's don't matter. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
     items = materialised(pieces(docs, tokenizer_path, capacity), "pieces")
     first = materialised(evolve_islands(items, 0, capacity, islands, epochs, generations, shard_pieces), "packed")

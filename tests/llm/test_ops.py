@@ -396,6 +396,41 @@ def test_packing(spark):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
+def test_encoder_forgets_and_stays_exact():
+    t = tokenizer()
+    rng = random.Random(12)
+    texts = [f"x{c}y {c}Z 1{c}2 {c}'s {c}" for c in map(chr, range(1, 0x260))] + ["''s's 's't'rex've'lly 'd'D'M don't -'s .'re", "'"]
+    texts += ["".join(rng.choice("aeéß'’12 -_.\n ñÇ×÷stremvld'") for _ in range(rng.randrange(80))) for _ in range(500)]
+    encode = packing.Encoder(pytest.importorskip("public_tokenizers").path("word_bpe_49k.json"), entries=100)
+    for k in range(0, len(texts), 100):
+        for text, ids in zip(texts[k : k + 100], encode(texts[k : k + 100]), strict=True):
+            assert ids.tolist() == [*t.encode(text, add_special_tokens=False).ids, 1], text
+    assert len(encode.known) < 1200
+
+
+def test_islands_beat_best_fit(spark):
+    """Sizes that best-fit decreasing packs into one sequence more than needed."""
+    rng = random.Random(4)
+    sizes = [rng.randint(20, 100) for _ in range(120)]
+    fit = packing.seeded(sizes, 150, random.Random(0), 0.0)
+    items = spark.createDataFrame([(k, 0, 0, n, 0, k) for k, n in enumerate(sizes)], packing.PIECES)
+    placed = packing.evolve_islands(items, 0, 150, 2, 3, 60, 10_000).collect()
+    fills = {}
+    for r in placed:
+        fills[r["bin"]] = fills.get(r["bin"], 0) + r["length"]
+    assert sorted(r["row_id"] for r in placed) == list(range(120)) and max(fills.values()) <= 150
+    assert len(fills) == -(-sum(sizes) // 150) == len(fit[0]) - 1
+
+
+def test_packing_edges(spark):
+    docs = spark.createDataFrame([(None, "one two"), (1, None), (1, "word " * 30_000), (1, "word " * 30_000)], "doc_id long, text string")
+    for name in ("piece", "start", "length", "ids_crc32", "sequence_id", "offset", "row_id", "shard", "bin"):
+        docs = docs.withColumn(name, F.lit("x"))
+    rows = packing.pack(docs).collect()
+    assert sorted(r["length"] for r in rows) == sorted([3, 1, *[4096, 4096, 4096, 4096, 4096, 4096, 4096, 1329] * 2])
+    assert len({r["sequence_id"] for r in rows}) == 15 and sum(r["doc_id"] is None for r in rows) == 1
+
+
 def test_crossover_keeps_every_item():
     rng = random.Random(11)
     sizes = [rng.randrange(1, 100) for _ in range(200)]
