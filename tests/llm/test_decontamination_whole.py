@@ -5,6 +5,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from florilege.llm import decontamination
 
@@ -56,11 +57,24 @@ def test_substitutions_of_long_items(spark):
     assert all((k, k) in expected for k, (n, gone) in enumerate(cases) if gone == {i for i in range(n) if i % 5 == 4})
 
 
-@pytest.mark.parametrize("size", range(decontamination.LEAST_WORDS, decontamination.LONG))
+@pytest.mark.parametrize("size", range(1, decontamination.LONG))
 def test_short_masks_see_every_accepted_pattern(size):
-    assert _missed(decontamination.SHORT_MASKS, size) == 0
+    assert _missed(decontamination.masks_of(size), size) == 0
 
 
 def test_substitutions_of_short_items(spark):
-    cases = [(n, set(gone)) for n in range(decontamination.LEAST_WORDS, 10) for k in range(3) for gone in itertools.combinations(range(n), k)]
+    cases = [(n, set(gone)) for n in range(1, 10) for k in range(3) for gone in itertools.combinations(range(n), k)]
     assert len(_check(spark, cases)) == sum(n - len(gone) >= _least(n) for n, gone in cases)
+
+
+def test_columns_named_as_the_results(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, "a b c d e f"), (6, "..."), (7, "G")], "item_id long, text string")
+    for name in ("item_id", "h", "place", "pair", "seed", "matched", "window", "item_h", "_found"):
+        docs = docs.withColumn(name, F.lit("x"))
+    for name in ("doc_id", "h", "place", "pair", "seed", "matched"):
+        bench = bench.withColumn(name, F.lit("x"))
+    for most in (decontamination.BROADCAST_SEEDS, 0):
+        assert sorted(map(tuple, decontamination.find(docs, bench, most).collect())) == [(1, 5, 6, 6), (1, 7, 1, 1)]
+    assert decontamination.clean(docs, bench).collect() == [] and decontamination.clean(docs, bench.limit(0)).collect() == docs.collect()
+    assert decontamination.find(docs, bench.where("item_id = 6")).columns == ["doc_id", "item_id", "matched", "window"]
