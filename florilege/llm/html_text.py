@@ -1,15 +1,17 @@
 """Main text of HTML pages by a tree-structured graphical model.
 
-Each element is a binary variable, content or not. Its features (tag, class and id words, text and link amounts) give
-potentials of its own; parent and child are tied by potentials that depend on the child's tag and hint words. Sum-product
-messages go up from the leaves and down from the root; their products are the exact marginals. Weights are fitted by
-gradient ascent on the likelihood of labelled pages, which a small generator of page layouts makes.
+Each element is a binary variable, content or not. Its features (tag, class and id words, amounts of text, links and signs, its
+share of the page's unlinked text) give potentials of its own; parent and child are tied by potentials that depend on the
+child's tag and hint words. Sum-product messages go up from the leaves and down from the root; their products are the exact
+marginals. Weights are fitted by gradient ascent on the likelihood of labelled pages, which a small generator of page layouts
+makes. Messages of all pages of a step are passed together, level by level.
 
 Text below an element of content marginal >= 0.5 is kept. Character references are decoded, white space inside a block
 becomes one space, blocks are joined by a line end; <br> counts as white space.
 
-Defined results: null or empty html gives an empty text; a null page_id or url and repeated rows are carried; an empty table
-gives an empty result.
+Defined results: null or empty html gives an empty text; a null page_id or url and repeated rows are carried; long, deep and
+broken pages are read whole, in time linear in their length; a marginal of exactly one half is content; an empty table gives
+an empty result; only page_id, url and html are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -22,124 +24,40 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from florilege.llm.common import chunks
+from florilege.llm.html_tree import RAW, Tree, parse
 
-TRAIN_PAGES = 180
-ROUNDS = 60
-RATE = 0.9
-DECAY = 0.001
-
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL)
-_HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_WORD = re.compile(r"[a-z]+")
-
-#: Fixed values of HTML: elements without content, with raw text, that break lines, and what a start tag closes.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math select button option xmp noembed noframes object audio video canvas".split())
-VERBATIM = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-BLOCK = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
-)
-CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "tbody": ("tr td th thead tbody", "table"), "tfoot": ("tr td th thead tbody", "table")}
-_CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
-_SCOPE = frozenset("td th table article section div main body html aside nav footer header li blockquote".split())
-
-
-class Tree:
-    """Elements in page order (a parent comes before its children) and pieces of text with their element."""
-
-    __slots__ = ("hints", "links", "parents", "pieces", "tags")
-
-    def __init__(self) -> None:
-        self.tags: list[str] = ["#root"]
-        self.parents: list[int] = [-1]
-        self.hints: list[frozenset[str]] = [frozenset()]
-        self.pieces: list[tuple[int, str | None]] = []  # None: a block begins or ends
-
-
-def parse(page: str) -> Tree:
-    """A forgiving parser: unclosed and stray tags are mended as browsers roughly do."""
-    tree = Tree()
-    open_, at, end = [0], 0, len(page)
-    tags, parents, hints, pieces = tree.tags, tree.parents, tree.hints, tree.pieces
-    while at < end:
-        m = _TOKEN.search(page, at)
-        stop = m.start() if m else end
-        if stop > at:
-            pieces.append((open_[-1], page[at:stop]))
-        if not m:
-            break
-        at = m.end()
-        closing, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not name:
-            continue
-        tag = name.lower()
-        if closing:
-            for k in range(len(open_) - 1, 0, -1):
-                if tags[open_[k]] == tag:
-                    if tag in BLOCK:
-                        pieces.append((open_[-1], None))
-                    del open_[k:]
-                    break
-                if tag not in BLOCK and tags[open_[k]] in BLOCK:
-                    break
-            continue
-        if tag in ("html", "body") and any(tags[i] == tag for i in open_):
-            continue
-        if tag in BLOCK:
-            pieces.append((open_[-1], None))
-            for k in range(len(open_) - 1, 0, -1):  # a block ends an open paragraph
-                if tags[open_[k]] == "p":
-                    del open_[k:]
-                    break
-                if tags[open_[k]] in _SCOPE:
-                    break
-        if tag == "body":
-            del open_[2 if len(open_) > 1 and tags[open_[1]] == "html" else 1 :]
-        if tag in _CLOSES:
-            ends, scope = _CLOSES[tag]
-            for k in range(len(open_) - 1, 0, -1):
-                if tags[open_[k]] in scope:
-                    break
-                if tags[open_[k]] in ends:
-                    del open_[k:]
-        if tag == "br":
-            pieces.append((open_[-1], " "))
-        if tag in VOID:
-            continue
-        tags.append(tag)
-        parents.append(open_[-1])
-        hints.append(frozenset(_WORD.findall(" ".join(a or b or c for a, b, c in _HINT.findall(attributes)).lower())) if "=" in attributes else frozenset())
-        if attributes.endswith("/") and tag in ("svg", "path", "use"):
-            continue
-        open_.append(len(tags) - 1)
-        if tag in VERBATIM:
-            close = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-            pieces.append((open_[-1], page[at : close.start() if close else end]))
-            at = close.end() if close else end
-            open_.pop()
-    return tree
+TRAIN_PAGES = 700
+ROUNDS = 120
+RATE = 0.5
+DECAY = 0.002
+#: Forests of more levels than this, and few elements in each, go element by element.
+NARROW = 500
 
 
 def _bucket(n: int) -> int:
     return min(8, n.bit_length())
 
 
-def features(tree: Tree) -> tuple[list[list[str]], list[list[str]]]:
-    """For each element: its own features, and those of its tie to its parent."""
+def described(tree: Tree) -> tuple[list[tuple], list[tuple]]:
+    """For each element: what its own features follow from, and what those of its tie to its parent do."""
     n = len(tree.tags)
-    chars, linked, commas = [0] * n, [0] * n, [0] * n
-    in_link = [False] * n
+    chars, linked, commas, long, direct = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
+    in_link, in_raw = [False] * n, [False] * n
     for i in range(1, n):
-        in_link[i] = tree.tags[i] == "a" or in_link[tree.parents[i]]
+        tag, parent = tree.tags[i], tree.parents[i]
+        in_link[i] = tag == "a" or in_link[parent]
+        in_raw[i] = tag in RAW or tag == "head" or in_raw[parent]
     for i, text in tree.pieces:
-        if text and tree.tags[i] not in RAW:
+        if text and not in_raw[i]:
             size = len(text.strip())
             chars[i] += size
+            direct[i] += size
             linked[i] += size * in_link[i]
             commas[i] += text.count(",") + text.count(".")
     for i in range(n - 1, 0, -1):
@@ -147,16 +65,112 @@ def features(tree: Tree) -> tuple[list[list[str]], list[list[str]]]:
         chars[p] += chars[i]
         linked[p] += linked[i]
         commas[p] += commas[i]
+        if tree.tags[i] == "p":
+            long[i] += chars[i] - linked[i] >= 80
+        long[p] += long[i]
+    page = max(1, chars[0] - linked[0])
     own, tie = [], []
-    for i in range(n):
-        tag = tree.tags[i]
+    kinds = ["h" if len(tag) == 2 and tag[0] == "h" and tag[1].isdigit() else tag for tag in tree.tags]
+    for i, tag in enumerate(kinds):
         density = 4 * linked[i] // chars[i] if chars[i] else 5
-        tag_class = "h" if re.fullmatch("h[1-6]", tag) else tag
-        own.append(["bias", f"t:{tag_class}", f"n:{_bucket(chars[i] // 8)}", f"d:{density}", f"c:{_bucket(commas[i])}", *[f"w:{w}" for w in tree.hints[i]]])
-        tie.append(["bias", f"t:{tag_class}", *[f"w:{w}" for w in tree.hints[i]]])
+        share = 4 * (chars[i] - linked[i]) // page
+        own.append((tag, _bucket(chars[i] // 8), density, _bucket(commas[i]), share, _bucket(long[i]), _bucket(direct[i] // 40), tree.hints[i]))
+        tie.append((tag, kinds[tree.parents[i]], tree.hints[i]))
     return own, tie
 
 
+def own_features(x: tuple) -> list[str]:
+    tag, size, density, commas, share, long, direct, hints = x
+    words = [f"w:{w}" for w in sorted(hints)]
+    return ["bias", f"t:{tag}", f"n:{size}", f"d:{density}", f"td:{tag}{density // 3}", f"c:{commas}", f"s:{share}", f"l:{long}", f"x:{tag}{direct}", *(["named"] if words else []), *words]
+
+
+def tie_features(x: tuple) -> list[str]:
+    tag, parent, hints = x
+    return ["bias", f"t:{tag}", f"e:{parent}>{tag}", *[f"w:{w}" for w in sorted(hints)]]
+
+
+def features(tree: Tree) -> tuple[list[list[str]], list[list[str]]]:
+    """For each element: its own features, and those of its tie to its parent."""
+    own, tie = described(tree)
+    return [own_features(x) for x in own], [tie_features(x) for x in tie]
+
+
+class Layers:
+    """Elements of several trees as one forest, by their distance from the root."""
+
+    def __init__(self, trees: list[Tree]):
+        sizes = [len(t.tags) for t in trees]
+        self.first = np.cumsum([0, *sizes])
+        self.parents = np.concatenate([np.array(t.parents) + at for t, at in zip(trees, self.first, strict=False)])
+        self.roots = self.first[:-1]
+        self.parents[self.roots] = self.roots
+        depth = np.zeros(len(self.parents), np.int64)
+        for tree, at in zip(trees, self.first, strict=False):
+            own = [0] * len(tree.tags)
+            for i in range(1, len(own)):
+                own[i] = own[tree.parents[i]] + 1
+            depth[at : at + len(own)] = own
+        order = np.argsort(depth, kind="stable")
+        cuts = np.searchsorted(depth[order], np.arange(1, int(depth.max(initial=0)) + 2))
+        self.levels = [order[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]  # without the roots
+
+    def marginals(self, own: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """P(content) of each element, and P(labels of parent and child) of each tie, by sum-product in log odds.
+
+        own: log potential of content; tie: those of (stay out, enter, leave, stay in). Roots aren't content.
+        """
+        n = len(self.parents)
+        if len(self.levels) > NARROW and len(self.levels) * 8 > n:
+            return self._one_by_one(own.tolist(), tie.tolist())
+        up = own.copy()
+        up[self.roots] = -np.inf
+        message = np.zeros(n)
+        for at in reversed(self.levels):
+            out, enter, leave, stay = tie[at].T
+            message[at] = np.logaddexp(leave, stay + up[at]) - np.logaddexp(out, enter + up[at])
+            np.add.at(up, self.parents[at], message[at])
+        down, ties = np.zeros(n), np.zeros((n, 4))
+        ties[:, 0] = 1
+        for at in self.levels:
+            p = self.parents[at]
+            rest = up[p] + down[p] - message[at]
+            out, enter, leave, stay = tie[at].T
+            down[at] = np.logaddexp(enter, rest + stay) - np.logaddexp(out, rest + leave)
+            j = np.stack([out, enter + up[at], rest + leave, rest + stay + up[at]], 1)
+            j = np.exp(j - j.max(1, keepdims=True))
+            ties[at] = j / j.sum(1, keepdims=True)
+        return ties[:, 1] + ties[:, 3], ties
+
+
+    def _one_by_one(self, own: list[float], tie: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for deep and narrow trees, element by element: a parent comes before its children."""
+        n, parents = len(own), self.parents.tolist()
+        exp, log1p = math.exp, math.log1p
+        add = lambda a, b: a + log1p(exp(b - a)) if a > b else b + log1p(exp(a - b)) if b > -math.inf else b
+        up, message, down = own, [0.0] * n, [0.0] * n
+        for i in self.roots.tolist():
+            up[i] = -math.inf
+        for i in range(n - 1, -1, -1):
+            if (p := parents[i]) != i:
+                out, enter, leave, stay = tie[i]
+                message[i] = add(leave, stay + up[i]) - add(out, enter + up[i])
+                up[p] += message[i]
+        ties = [(1.0, 0.0, 0.0, 0.0)] * n
+        for i, p in enumerate(parents):
+            if p != i:
+                rest = up[p] + down[p] - message[i]
+                out, enter, leave, stay = tie[i]
+                down[i] = add(enter, rest + stay) - add(out, rest + leave)
+                j = out, enter + up[i], rest + leave, rest + stay + up[i]
+                most = max(j)
+                j = [exp(x - most) for x in j]
+                s = sum(j)
+                ties[i] = (j[0] / s, j[1] / s, j[2] / s, j[3] / s)
+        ties = np.array(ties)
+        return ties[:, 1] + ties[:, 3], ties
+
+
 class Model:
     """Weights: own[f] for content, tie[f] = (stay out, enter, leave, stay in) by the labels of parent and child."""
 
@@ -164,74 +178,78 @@ class Model:
         self.own: dict[str, float] = defaultdict(float)
         self.tie: dict[str, list[float]] = defaultdict(lambda: [0.0] * 4)
 
-    def marginals(self, tree: Tree, own: list[list[str]], tie: list[list[str]]) -> tuple[list[float], list[tuple[float, ...]]]:
-        """P(content) of each element, and P(labels of parent and child) of each tie, by sum-product."""
-        n = len(tree.tags)
-        a = [math.exp(max(-30.0, min(30.0, sum([self.own.get(f, 0.0) for f in x])))) for x in own]
-        a[0] = 0.0  # the root isn't content
-        none = (0.0,) * 4
-        t = []
-        for x in tie:
-            w = [self.tie.get(f, none) for f in x]
-            t.append(tuple(math.exp(max(-30.0, min(30.0, sum([v[k] for v in w])))) for k in range(4)))
-        up0, up1 = [1.0] * n, a[:]  # products of own potential and children's messages
-        m0, m1 = [1.0] * n, [1.0] * n
-        for i in range(n - 1, 0, -1):
-            e = t[i]
-            x0, x1 = e[0] * up0[i] + e[1] * up1[i], e[2] * up0[i] + e[3] * up1[i]
-            s = x0 + x1
-            m0[i], m1[i] = x0 / s, x1 / s
-            p = tree.parents[i]
-            u0, u1 = up0[p] * m0[i], up1[p] * m1[i]
-            s = u0 + u1
-            up0[p], up1[p] = u0 / s, u1 / s
-        down0, down1 = [1.0] * n, [1.0] * n
-        content, ties = [0.0] * n, [(1.0, 0.0, 0.0, 0.0)] * n
-        for i in range(1, n):
-            p, e = tree.parents[i], t[i]
-            c0, c1 = up0[p] * down0[p] / m0[i], up1[p] * down1[p] / m1[i]
-            j = (c0 * e[0] * up0[i], c0 * e[1] * up1[i], c1 * e[2] * up0[i], c1 * e[3] * up1[i])
-            s = sum(j)
-            ties[i] = (j[0] / s, j[1] / s, j[2] / s, j[3] / s)
-            content[i] = ties[i][1] + ties[i][3]
-            d0, d1 = c0 * e[0] + c1 * e[2], c0 * e[1] + c1 * e[3]
-            s = d0 + d1
-            down0[i], down1[i] = d0 / s, d1 / s
-        return content, ties
+    def potentials(self, own: list[list[str]], tie: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([self._own(x) for x in own]), np.array([self._tie(x) for x in tie])
+
+    def _own(self, names: list[str]) -> float:
+        return sum([self.own.get(f, 0.0) for f in names])
+
+    def _tie(self, names: list[str]) -> tuple[float, ...]:
+        weights = [self.tie[f] for f in names if f in self.tie]
+        return tuple(sum([w[k] for w in weights]) for k in range(4))
+
+    def looked_up(self, own: list[tuple], tie: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        """Potentials of described elements; few descriptions differ in a step, so each is summed once."""
+        owns = {x: self._own(own_features(x)) for x in set(own)}
+        ties = {x: self._tie(tie_features(x)) for x in set(tie)}
+        return np.array([owns[x] for x in own]), np.array([ties[x] for x in tie])
+
+    def marginals(self, tree: Tree, own: list[list[str]], tie: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """P(content) of each element, and P(labels of parent and child) of each tie."""
+        return Layers([tree]).marginals(*self.potentials(own, tie))
+
+
+class _Table:
+    """Features of all elements as numbers: sums of weights by element, and of gradients by feature."""
+
+    def __init__(self, rows: list[list[str]]):
+        self.names = sorted({f for x in rows for f in x})
+        number = {f: k for k, f in enumerate(self.names)}
+        self.row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+        self.feature = np.array([number[f] for x in rows for f in x])
+        self.n = len(rows)
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights[self.feature], self.n)
+
+    def gradient(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.feature, values[self.row], len(self.names))
+
+
+def labelled(page: str, marker: str) -> tuple[Tree, list[int]]:
+    """The tree of a page without its marker words, and its elements' labels."""
+    tree = parse(page)
+    truth = [0] * len(tree.tags)
+    for i in range(1, len(truth)):
+        said = tree.hints[i] & {marker, f"{marker}out"}
+        truth[i] = int(marker in said) if said else truth[tree.parents[i]]
+    tree.hints = [h - {marker, f"{marker}out"} for h in tree.hints]
+    return tree, truth
 
 
 def train(pages: list[tuple[str, str]], rounds: int = ROUNDS) -> Model:
     """Fit weights to (html, marker) pages whose content elements carry the marker word as a class, which is then removed."""
-    model, seen = Model(), []
-    for page, marker in pages:
-        tree = parse(page)
-        truth = [0] * len(tree.tags)
-        for i in range(1, len(truth)):
-            said = tree.hints[i] & {marker, f"{marker}out"}
-            truth[i] = int(marker in said) if said else truth[tree.parents[i]]
-        tree.hints = [h - {marker, f"{marker}out"} for h in tree.hints]
-        seen.append((tree, truth, *features(tree)))
-    model.tie["bias"] = [2.0, 0.0, 0.0, 2.0]  # neighbours agree, to begin with
-    size_own, size_tie = defaultdict(float), defaultdict(float)
+    trees, truths = zip(*(labelled(page, marker) for page, marker in pages), strict=True)
+    layers, truth = Layers(list(trees)), np.concatenate([np.array(t) for t in truths])
+    both = [features(tree) for tree in trees]
+    own, tie = _Table([x for a, _ in both for x in a]), _Table([x for _, b in both for x in b])
+    inner = np.ones(len(truth), bool)
+    inner[layers.roots] = False
+    state = np.eye(4)[2 * truth[layers.parents] + truth]
+    w_own, w_tie = np.zeros(len(own.names)), np.zeros((len(tie.names), 4))
+    w_tie[tie.names.index("bias")] = 2.0, 0.0, 0.0, 2.0  # neighbours agree, to begin with
+    size_own, size_tie = np.zeros_like(w_own), np.zeros_like(w_tie)
     for _ in range(rounds):
-        g_own: dict[str, float] = defaultdict(float)
-        g_tie: dict[str, list[float]] = defaultdict(lambda: [0.0] * 4)
-        for tree, truth, own, tie in seen:
-            content, ties = model.marginals(tree, own, tie)
-            for i in range(1, len(truth)):
-                for f in own[i]:
-                    g_own[f] += truth[i] - content[i]
-                state = 2 * truth[tree.parents[i]] + truth[i]
-                for f in tie[i]:
-                    g = g_tie[f]
-                    for k in range(4):
-                        g[k] += (k == state) - ties[i][k]
-        for f, g in g_own.items():  # adaptive steps, as counts of features differ by orders
-            size_own[f] += g * g
-            model.own[f] += RATE * g / (1e-6 + math.sqrt(size_own[f])) - DECAY * model.own[f]
-        for f, gs in g_tie.items():
-            size_tie[f] += sum(g * g for g in gs)
-            model.tie[f] = [w + RATE * g / (1e-6 + math.sqrt(size_tie[f])) - DECAY * w for w, g in zip(model.tie[f], gs, strict=True)]
+        content, ties = layers.marginals(own.sums(w_own), np.stack([tie.sums(w_tie[:, k]) for k in range(4)], 1))
+        g_own = own.gradient(np.where(inner, truth - content, 0.0))
+        g_tie = np.stack([tie.gradient(np.where(inner, state[:, k] - ties[:, k], 0.0)) for k in range(4)], 1)
+        size_own += g_own * g_own  # adaptive steps, as counts of features differ by orders
+        size_tie += (g_tie * g_tie).sum(1, keepdims=True)
+        w_own += RATE * g_own / (1e-6 + np.sqrt(size_own)) - DECAY * w_own
+        w_tie += RATE * g_tie / (1e-6 + np.sqrt(size_tie)) - DECAY * w_tie
+    model = Model()
+    model.own.update(zip(own.names, w_own.tolist(), strict=True))
+    model.tie.update(zip(tie.names, w_tie.tolist(), strict=True))
     return model
 
 
@@ -272,14 +290,14 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 11) -> list[tuple[str, str]
         return r.choice(
             [f"<p>{prose()}</p>"] * 9
             + [f"<p><b>{sentence()}<br><p>{prose()}</p>", f"<h{r.randint(2, 4)}>{words(1, 6)}</h{r.randint(2, 4)}>", f"<p>{sentence()} {link()} <em>{words(1, 3)}</em> {sentence()}</p>", f"<p>{word()}.</p>", f"<p>{link()}</p>"]
-            + ["<ul>" + "".join(f"<li>{r.choice((words(1, 6), sentence(), link()))}</li>" for _ in range(r.randint(2, 5))) + "</ul>", "<ol>" + "".join(f"<li>{sentence()}" for _ in range(3)) + "</ol>"]
+            + ["<ul>" + "".join(f"<li>{r.choice((words(1, 6), sentence(), link()))}</li>" for _ in range(r.randint(2, 5))) + "</ul>", "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(r.randint(1, 3))) + "</ul>", "<ol>" + "".join(f"<li>{sentence()}" for _ in range(3)) + "</ol>"]
             + [f"<blockquote>{r.choice((prose(), '<p>' + prose() + '</p>'))}</blockquote>", f"<pre><code>{words(3, 12)}</code></pre>", f"<figure><img src=x><figcaption>{sentence()}</figcaption></figure>", f"<div>{prose()}</div>", f"<section><h2>{words(1, 4)}</h2><p>{prose()}</p></section>"]
             + ["<table>" + "".join(f"<tr><td>{words(1, 3)}</td><td>{r.randint(1, 999)}</td></tr>" for _ in range(3)) + "</table>", f"<dl><dt>{word()}<dd>{sentence()}</dl>", f"<div><p>{prose()}</p><p>{prose()}</p></div>"]
         )
 
     pages = []
     for _ in range(n):
-        shell = r.choice(("<article{}>",) * 5 + ("<main{}>", "<div{} id=content>", '<div{} id="main-content">', '<div{} id="post">', '<section{} id="article">', '<div{} id="entry-content">', "<main><article{}>", "<div><article{}>", '<div id="wrapper"><div{} id="article-body">', '<div role="main"{}>'))
+        shell = r.choice(("<article{}>",) * 4 + ("<div{}>",) * 3 + ("<section{}>", "<main{}>", "<table><tr><td{}>", "<table><tr><td{}>", "<center{}>", '<div{} id="' + word() + '">') + ("<main{}>", "<div{} id=content>", '<div{} id="main-content">', '<div{} id="post">', '<section{} id="article">', '<div{} id="entry-content">', "<main><article{}>", "<div><article{}>", '<div id="wrapper"><div{} id="article-body">', '<div role="main"{}>'))
         inner = ([r.choice((f"<h1>{words(2, 8)}</h1>", f"<header><h1>{words(2, 8)}</h1></header>", f"<h1>{words(2, 8)}</h1>"))] if r.random() < 0.9 else []) + [body_block() for _ in range(r.choice((0, 1, 2, 4, 8, 14)))]
         if r.random() < 0.65:
             for _ in range(r.randint(1, 3)):
@@ -292,16 +310,32 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 11) -> list[tuple[str, str]
         else:
             start = shell.format(f' class="{_MARK}"')
             ends = "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", shell)))
+            if shell.startswith("<table") and r.random() < 0.7:  # a cell of links beside it
+                start = start.replace("<tr>", f"<tr><td>{r.choice((menu(), '<br>'.join(link() for _ in range(r.randint(2, 6)))))}</td>")
         before, after = r.sample(around(), r.randint(0, 4)), r.sample(around(), r.randint(0, 4))
-        head = f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title><style>p{{margin:0}}</style><script>var a='</p>';</script></head><body>"
+        head, tail = f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title><style>p{{margin:0}}</style><script>var a='</p>';</script></head><body>", "</body></html>"
         middle = start + "".join(inner) + ends
-        if r.random() < 0.06:  # a page without an article
+        kind = r.random()
+        if kind < 0.04:  # a page without an article
             middle = ""
-        elif r.random() < 0.06:  # paragraphs right in the body
-            middle = "".join(f'<p role="{_MARK}">{prose()}</p>' for _ in range(4))
-        elif r.random() < 0.3:
-            middle = f"<div{r.choice(('', hint('page', 'wrapper', 'container', 'row', 'layout')))}>{middle}{''.join(r.sample(around(), r.randint(0, 2)))}</div>"
-        pages.append((head + "".join(before) + middle + "".join(after) + "</body></html>", _MARK))
+        elif kind < 0.2:  # blocks right in the body
+            said = lambda x: re.sub(r"^<(\w+)([^>]*)>", rf'<\1\2 role="{_MARK}">', x, count=1)
+            middle = "".join(said(body_block()) for _ in range(r.randint(1, 6)))
+            if r.random() < 0.6:
+                middle = f'<h1 role="{_MARK}">{words(2, 8)}</h1>' + middle
+        elif kind < 0.29:  # text right in the body
+            head = head[: -len("<body>")] + f'<body role="{_MARK}">'
+            before, after = [quiet(x) for x in before], [quiet(x) for x in after]
+            if r.random() < 0.6:
+                head, before, after, tail = f'<body role="{_MARK}">', [], [], ""
+            middle = "<br><br>".join(prose() for _ in range(r.randint(1, 5)))
+        elif kind < 0.5:
+            middle = f"<div{r.choice(('', '', hint('page', 'wrapper', 'container', 'row', 'layout', 'inner', 'outer', word(), word())))}>{middle}{''.join(r.sample(around(), r.randint(0, 2)))}</div>"
+        if r.random() < 0.08:  # a fragment
+            head = head[head.index("<body") :].replace("<body>", "") if "role" not in head else head
+            tail = ""
+            before, after = before[:1], after[:1]
+        pages.append((head + "".join(before) + middle + "".join(after) + tail, _MARK))
     return pages
 
 
@@ -310,13 +344,19 @@ def default_model() -> Model:
     return train(labelled_pages())
 
 
-def extract(page: str, own_weights: dict, tie_weights: dict) -> str:
-    """The main text of a page."""
-    model = Model()
-    model.own, model.tie = own_weights, tie_weights
-    tree = parse(page)
-    content, _ = model.marginals(tree, *features(tree))
-    hidden = [tag in RAW or tag in ("head",) for tag in tree.tags]
+def extract_all(pages: list[str], model: Model) -> list[str]:
+    """The main texts of pages."""
+    if not pages:
+        return []
+    trees = [parse(page) for page in pages]
+    layers = Layers(trees)
+    both = [described(tree) for tree in trees]
+    content, _ = layers.marginals(*model.looked_up([x for a, _ in both for x in a], [x for _, b in both for x in b]))
+    return [_text(tree, (content[at : at + len(tree.tags)] >= 0.5).tolist()) for tree, at in zip(trees, layers.roots.tolist(), strict=True)]
+
+
+def _text(tree: Tree, content: list[bool]) -> str:
+    hidden = [tag in RAW or tag == "head" for tag in tree.tags]
     for i in range(1, len(hidden)):
         hidden[i] |= hidden[tree.parents[i]]
     blocks, current = [], []
@@ -325,11 +365,22 @@ def extract(page: str, own_weights: dict, tie_weights: dict) -> str:
             if block := " ".join(html.unescape("".join(current)).split()):
                 blocks.append(block)
             current = []
-        elif not hidden[i] and content[i] >= 0.5:
+        elif not hidden[i] and content[i]:
             current.append(text)
     return "\n".join(blocks)
 
 
+def extract(page: str, own_weights: dict, tie_weights: dict) -> str:
+    """The main text of a page."""
+    return extract_all([page], _model(own_weights, tie_weights))[0]
+
+
+def _model(own_weights: dict, tie_weights: dict) -> Model:
+    model = Model()
+    model.own, model.tie = own_weights, tie_weights
+    return model
+
+
 def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, text, n_chars."""
     model = model or default_model()
@@ -337,7 +388,7 @@ def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in chunks(whole, "html")):
-            texts = [extract(x.as_py() or "", own, tie) for x in batch.column(2)]
+            texts = extract_all([x or "" for x in batch.column(2).to_pylist()], _model(own, tie))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(read, "page_id long, url string, text string, n_chars long")
