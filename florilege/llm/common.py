@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from florilege.operators.stored import shared_dir, stored as materialised  # noqa: F401
 
 #: Bytes of text that one vectorised step looks at; longer single texts form a step of their own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,14 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """name, or with underscores added to it, so that no column has it (names differ by more than case)."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def release() -> None:
     """Give freed memory back to the system: Python workers stay for later stages and would hold it."""
     pa.default_memory_pool().release_unused()

@@ -21,31 +21,29 @@ def sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     words, first = word_hashes(data, offsets)
     counts = np.diff(first)
     row = np.repeat(np.arange(len(texts)), counts)
+    sizes = np.where((counts > 0) & (counts < width), 1, np.maximum(counts - width + 1, 0))
+    starts = np.cumsum(sizes) - sizes
+    out_row, out = np.repeat(np.arange(len(texts)), sizes), np.zeros(int(sizes.sum()), np.uint64)
+    short = np.flatnonzero((counts > 0) & (counts < width))
     n = len(words) - width + 1
-    rows, codes = [], []
     if n > 0:
         code = np.zeros(n, np.uint64)
         for k in range(width):
             code = mix(code + words[k : k + n] + np.uint64(k + 1))
-        whole = row[:n] == row[width - 1 :]
-        rows.append(row[:n][whole])
-        codes.append(code[whole])
-    short = np.flatnonzero((counts > 0) & (counts < width))
+        long = np.ones(len(out), bool)
+        long[starts[short]] = False
+        out[long] = code[row[:n] == row[width - 1 :]]
     if len(short):
         code = np.zeros(len(short), np.uint64)
         for k in range(width - 1):
             has = counts[short] > k
             code[has] = mix(code[has] + words[first[short[has]] + k] + np.uint64(k + 101))
-        rows.append(short)
-        codes.append(code)
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    row, code = np.concatenate(rows), np.concatenate(codes)
-    order = np.lexsort((code, row))
-    row, code = row[order], code[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (code[1:] != code[:-1])
-    return row[new], code[new]
+        out[starts[short]] = code
+    for a, b in zip(starts[sizes > 1].tolist(), (starts + sizes)[sizes > 1].tolist(), strict=True):
+        out[a:b].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = (out_row[1:] != out_row[:-1]) | (out[1:] != out[:-1])
+    return out_row[new], out[new]
 
 
 def signatures(row: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
@@ -75,6 +73,10 @@ def overlaps(a: pa.Array, b: pa.Array, width: int = WIDTH) -> tuple[np.ndarray,
     """Per row: sizes of both texts' sets and of what they share."""
     n = len(a)
     (ra, ca), (rb, cb) = sets(a, width), sets(b, width)
-    salt = mix(np.arange(1, n + 1, dtype=np.uint64))
-    _, at, _ = np.intersect1d(ca + salt[ra], cb + salt[rb], assume_unique=True, return_indices=True)
-    return np.bincount(ra, minlength=n), np.bincount(rb, minlength=n), np.bincount(ra[at], minlength=n)
+    na, nb, both = np.bincount(ra, minlength=n), np.bincount(rb, minlength=n), np.zeros(n, np.int64)
+    ends = zip(np.cumsum(na).tolist(), na.tolist(), np.cumsum(nb).tolist(), nb.tolist(), strict=True)
+    for k, (ea, sa, eb, sb) in enumerate(ends):
+        merged = np.concatenate([ca[ea - sa : ea], cb[eb - sb : eb]])
+        merged.sort()
+        both[k] = np.count_nonzero(merged[1:] == merged[:-1])
+    return na, nb, both
