@@ -16,6 +16,13 @@ STOPWORDS = ("a", "as", "o", "os", "e", "de", "da", "das", "do", "dos", "em", "n
 #: Named character references that are decoded without Python.
 REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&raquo;", "»"), ("&laquo;", "«"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&amp;", "&"))
 
+#: What a text with broken encoding, repeated signs, markup and so on looks like.
+BROKEN = "�|Ã[\\x{80}-\\x{bf}]"
+REPEATED_SIGN = r"([!?.,;:])\1"
+ODD_UNDERSCORE = r"(?U)\w_[\s/)]|_$|_{2,}"
+REPEATED_LONG_WORD = r"(?iU)\b([\wÀ-ÿ]{4,})\s+\1\b"
+REPEATED_WORD = r"(?iU)\b([A-Za-zÀ-ÖØ-öø-ÿ]{3,})\s+\1\b"
+
 #: Accented letters of Latin-1 and what folding makes of them.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 FOLDED = "aaaaaaceeeeiiiinooooouuuuyy"
@@ -35,6 +42,12 @@ def nfkd_fold(text: pd.Series) -> pd.Series:
     return text.map(lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)), na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def decoded(content: pd.Series) -> pd.Series:
+    """Bytes as UTF-8 text, what is none replaced by U+FFFD."""
+    return content.map(lambda x: bytes(x).decode("utf-8", "replace"), na_action="ignore")
+
+
 @F.pandas_udf(StringType())
 def casefold(text: pd.Series) -> pd.Series:
     return text.map(str.casefold, na_action="ignore")
@@ -132,6 +145,7 @@ def slugify(text: Column) -> Column:
 
 def masked_error(message: Column) -> Column:
     """A message with long quotes and identifiers masked, so that equal causes read alike."""
+    # fixed values: what is masked
     return F.regexp_replace(F.regexp_replace(message, "'[^']{60,}'", "'…'"), r"\bDLP-[^\s,;]+", "DLP-…")
 
 
@@ -161,9 +175,15 @@ def trimmed_words(text: Column, n: int) -> Column:
     return F.concat(F.array_join(F.slice(words, 1, n), " "), F.when(F.size(words) > n, F.lit("…")).otherwise(F.lit("")))
 
 
+_RUN = r"([a-zà-ÿ])\1+"
+
+
 def collapsed(word: Column) -> Column:
-    """The word with every repeated run as one letter, and as two."""
-    return F.array_distinct(F.array(F.regexp_replace(word, r"(.)\1+", "$1"), F.regexp_replace(word, r"(.)\1{2,}", "$1$1")))
+    """The forms of a lower-case word with one of its repeated runs as one letter, or as two; the others stay."""
+    runs, rest = F.regexp_extract_all(word, F.lit(_RUN), F.lit(0)), F.split(word, _RUN, -1)
+    join = lambda i, n: F.array_join(F.transform(rest, lambda part, j: F.concat(part, F.when(j == i, F.repeat(F.left(F.get(runs, j), F.lit(1)), F.lit(n))).otherwise(F.coalesce(F.get(runs, j), F.lit(""))))), "")
+    forms = F.flatten(F.transform(runs, lambda _, i: F.array(join(i, 1), join(i, 2))))
+    return F.array_distinct(F.coalesce(forms, F.array().cast("array<string>")))
 
 
 def is_spelling_candidate(word: Column, known: tuple[str, ...] = ()) -> Column:
@@ -171,24 +191,40 @@ def is_spelling_candidate(word: Column, known: tuple[str, ...] = ()) -> Column:
     return (F.length(word) >= 5) & ~lower.isin(*STOPWORDS, *known) & ~word.rlike("[0-9]") & ~is_capitalised(word)
 
 
+def is_slug_candidate(word: Column) -> Column:
+    """A word of a slug is looked up only if it is long or has a tripled letter: slugs hold many names."""
+    return (F.length(word) >= 8) | word.rlike(r"([a-z])\1\1")
+
+
 def quality_warnings(text: Column, slug: Column | None = None) -> Column:
     """Names of what looks wrong in a text: eight checks."""
     raw = F.coalesce(text, F.lit(""))
     both = F.trim(F.concat_ws(" ", raw, slug if slug is not None else F.lit("")))
     count = lambda sign: F.length(raw) - F.length(F.replace(raw, F.lit(sign), F.lit("")))
     checks = (
-        ("encoding", both.rlike("�|Ã[\\x{80}-\\x{bf}]")),
+        ("encoding", (F.contains(both, F.lit("�")) | F.contains(both, F.lit("Ã"))) & both.rlike(BROKEN)),
         ("double space", raw.rlike(r"(?U)\s{2,}")),
-        ("repeated word", raw.rlike(r"(?iU)\b([\wÀ-ÿ]{4,})\s+\1\b")),
-        ("repeated punctuation", raw.rlike(r"([!?.,;:])\1")),
+        ("repeated word", raw.rlike(REPEATED_LONG_WORD)),
+        ("repeated punctuation", raw.rlike(REPEATED_SIGN)),
         ("unbalanced brackets", (count("(") != count(")")) | (count("[") != count("]"))),
-        ("odd underscore", both.rlike(r"(?U)\w_[\s/)]|_$|_{2,}")),
+        ("odd underscore", F.contains(both, F.lit("_")) & both.rlike(ODD_UNDERSCORE)),
         ("visible markup", raw.rlike("<[^>]+>|&lt;|&gt;")),
-        ("tripled letter", norm_text(raw).rlike(r"([a-z])\1\1")),
+        # letters that are neighbours once normalised were so before, which is cheaper to see
+        ("tripled letter", fold_latin(raw).rlike(r"([a-z])\1\1") & norm_text(raw).rlike(r"([a-z])\1\1")),
     )
     return F.when(both == "", F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*[F.when(holds, F.lit(name)) for name, holds in checks])))
 
 
+def repeated_in(text: Column) -> Column:
+    """Words of three letters or more that stand twice in a row with white space between, as they stand first."""
+    return F.regexp_extract_all(text, F.lit(REPEATED_WORD), F.lit(1))
+
+
+def percent(share: Column) -> Column:
+    """A share as whole per cent, halves to the even number."""
+    return F.concat(F.bround(share * 100, 0).cast("long").cast("string"), F.lit("%"))
+
+
 def repeated_words(text: Column, allowed: tuple[str, ...] = ("que", "the", "and", "para")) -> Column:
     """Words of three letters or more that stand twice in a row, lower-cased."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")

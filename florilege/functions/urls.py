@@ -14,8 +14,19 @@ def _part(url: Column, part: str) -> Column:
     return F.try_parse_url(url, F.lit(part))
 
 
+def _recoded(part: Column) -> Column:
+    """A form value decoded and encoded again; one that can't be decoded is encoded as it stands."""
+    return F.replace(F.replace(F.url_encode(F.coalesce(F.try_url_decode(part), part)), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def _pair(p: Column) -> Column:
+    name, value = F.regexp_extract(p, "^([^=]*)", 1), F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)
+    return F.concat(_recoded(name), F.lit("="), _recoded(value))
+
+
 def canonical(url: Column) -> Column:
-    """Scheme and authority lower-cased, repeated slashes collapsed, utm_ parameters and fragment dropped.
+    """Scheme and authority lower-cased, repeated slashes collapsed, the query encoded anew; the last path segment's parameters,
+    utm_ values and the fragment are dropped.
 
     //host gets https; a URL without a scheme is returned as it is.
     """
@@ -24,16 +35,21 @@ def canonical(url: Column) -> Column:
     bare = F.regexp_replace(full, "#.*$", "")
     scheme = F.lower(F.regexp_extract(bare, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
     authority = F.lower(F.regexp_extract(bare, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)", 1))
-    path = F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)", 1)
+    path = F.regexp_replace(F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)", 1), ";[^/]*$", "")
     path = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, "/{2,}", "/"))
-    query = F.array_join(F.filter(F.split(F.regexp_extract(bare, r"\?(.*)$", 1), "&"), lambda p: (p != "") & ~F.lower(p).startswith("utm_")), "&")
-    whole = F.concat(scheme, F.lit("://"), authority, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
+    pairs = F.filter(F.split(F.regexp_extract(bare, r"\?(.*)$", 1), "&"), lambda p: p != "")
+    kept = F.filter(F.transform(pairs, _pair), lambda p: ~F.lower(p).startswith("utm_"))
+    whole = F.concat(scheme, F.lit("://"), authority, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")))
     return F.when(scheme == "", url).otherwise(whole)
 
 
 def host(url: Column) -> Column:
-    """Lower-case host without a leading www. or a trailing dot; null where there is none."""
-    return F.regexp_replace(F.regexp_replace(F.lower(_part(url, "HOST")), r"\.$", ""), r"^www\.", "")
+    """Lower-case host in ASCII, without user, port, trailing dot and a leading www.; null where there is none."""
+    whole = F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(whole), "^.*@", ""), r":\d*$", ""), r"\.$", "")
+    name = F.regexp_replace(bare, r"^www\.", "")
+    ascii_name = F.when(name.rlike(r"[^\x00-\x7f]"), F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), name)).otherwise(name)
+    return F.nullif(F.lower(ascii_name), F.lit(""))
 
 
 def authority(url: Column) -> Column:
@@ -43,7 +59,7 @@ def authority(url: Column) -> Column:
 def is_internal(url: Column, site: Column) -> Column:
     """http or https, and the host of url is that of site or lies below it."""
     own, other = host(site), host(url)
-    return F.coalesce(F.lower(_part(url, "PROTOCOL")).isin("http", "https") & ((other == own) | other.endswith(F.concat(F.lit("."), own))), F.lit(False))
+    return F.coalesce(url.rlike("(?i)^https?:") & ((other == own) | other.endswith(F.concat(F.lit("."), own))), F.lit(False))
 
 
 def is_navigation(url: Column) -> Column:

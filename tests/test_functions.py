@@ -39,6 +39,8 @@ def test_quality_warnings(spark, cell, expected):
 def test_words(spark):
     assert values(spark, ["the the casa casa an an x x"], text.repeated_words) == [["casa"]]
     assert values(spark, ["cooool"], text.collapsed) == [["col", "cool"]]
+    assert values(spark, ["occurr", "abc"], text.collapsed) == [["ocurr", "occurr", "occur"], []]
+    assert values(spark, ["Casa casa. fim Fim, o fim", "x x"], text.repeated_in) == [["Casa", "fim"], []]
     assert values(spark, ["a b c d", "a b"], lambda c: text.trimmed_words(c, 3)) == ["a b c…", "a b"]
     assert values(spark, ["XIV", "abc", ""], text.is_roman) == [True, False, False]
     assert values(spark, ["Um. Dois! \n\n Três"], text.paragraphs) == [["Um.", "Dois!", "Três"]]
@@ -54,13 +56,23 @@ SITE = "https://www.site.org"
     ("target", "expected"),
     [
         ("https://site.org/a", True), ("https://www.site.org/a", True), ("https://sub.site.org/", True), ("https://other.net/", False), ("HTTPS://SITE.ORG:443/x", True), ("https://site.org.evil.net/", False),
-        ("https://mysite.org/", False), ("https://site.org@evil.net/", False), ("mailto:a@site.org", False), ("/relative", False), ("https://site.org./", True),
+        ("https://mysite.org/", False), ("https://site.org@evil.net/", False), ("mailto:a@site.org", False), ("/relative", False), ("https://site.org./", True), ("https://sité.org/", False),
     ],
 )
 def test_internal(spark, target, expected):
     assert values(spark, [target], lambda c: urls.is_internal(c, F.lit(SITE))) == [expected]
 
 
+def test_international_hosts(spark):
+    site = F.lit("https://xn--mnchen-3ya.de")
+    assert values(spark, ["https://münchen.de/a", "HTTPS://www.MÜNCHEN.de:8080", "https://münchen.de.org"], lambda c: urls.is_internal(c, site)) == [True, True, False]
+
+
+def test_canonical_queries(spark):
+    cells = ["http://h.org/a;p=1?b=x y&a=%7E", "http://h.org/a;x/b;y?flag&UTM_q=1&k=%zz&s=*"]
+    assert values(spark, cells, urls.canonical) == ["http://h.org/a?b=x+y&a=~", "http://h.org/a;x/b?flag=&k=%25zz&s=%2A"]
+
+
 def test_urls(spark):
     cells = ["HTTPS://Site.org//a//b?utm_source=x&q=1#top", "//site.org/x", "relative/x", "https://site.org"]
     assert values(spark, cells, urls.canonical) == ["https://site.org/a/b?q=1", "https://site.org/x", "relative/x", "https://site.org/"]
