@@ -56,18 +56,6 @@ def largest_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.groupBy("n_name").agg(F.sum("k").alias("n")).orderBy(F.desc("n"), "n_name").limit(6)
 
 
-@query("F7 Q12", "SELECT p_partkey FROM part WHERE p_name LIKE '%widget%' OR coalesce(p_size, 0) = 0 OR coalesce(p_brand, '') = ''")
-def rows_to_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    doubtful = F.contains("p_name", F.lit("widget")) | (F.coalesce("p_size", F.lit(0)) == 0) | (F.coalesce("p_brand", F.lit("")) == "")
-    return table(spark, sf_dir, "part").where(doubtful).select("p_partkey")
-
-
-@query("F18 Q13", "SELECT event_id, CAST(400 + floor(value) % 5 AS INT) AS status FROM events WHERE event_type = 'error' OR value > 95")
-def problem_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").withColumn("status", (400 + F.floor("value") % 5).cast("int"))
-    return events.where("event_type = 'error' OR value > 95").select("event_id", "status")
-
-
 @query("W5 A21", "SELECT conv_id, turn, CAST(turn + 1 AS BIGINT) AS ordinal, CASE WHEN turn = 0 THEN 'primary' WHEN turn = 1 THEN 'verso' ELSE 'detail' END AS place_role FROM conversations")
 def ordinals_and_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = profile.numbered(table(spark, sf_dir, "conversations").select("conv_id", "turn"), ["conv_id"], ["turn"])

@@ -118,7 +118,7 @@ def section_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).cast("long").alias("chars"), F.count_distinct("role").alias("roles"))
 
 
-@query("P6 P4", "SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS asked, arg_min(text, turn) FILTER (role = 'assistant') AS answered FROM conversations GROUP BY conv_id")
+@query("P6", "SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS asked, arg_min(text, turn) FILTER (role = 'assistant') AS answered FROM conversations GROUP BY conv_id")
 def first_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = lambda role: F.min_by("text", F.when(F.col("role") == role, F.col("turn")))
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(first("user").alias("asked"), first("assistant").alias("answered"))

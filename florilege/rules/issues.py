@@ -17,6 +17,11 @@ def issue(df: DataFrame, area: str, severity: str | Column, kind: str, url: Colu
     return df.select(F.lit(area).alias("area"), severity.alias("severity"), F.lit(kind).alias("issue_type"), url.alias("url"), F.left(evidence.cast("string"), F.lit(EVIDENCE_CHARS)).alias("evidence"), F.lit(recommendation).alias("recommendation"))
 
 
+def row(area: str, severity: str, kind: str, url: Column, evidence: Column, recommendation: str) -> Column:
+    """An issue as a struct, for rules that are read off a row together."""
+    return F.struct(F.lit(area).alias("area"), F.lit(severity).alias("severity"), F.lit(kind).alias("issue_type"), url.alias("url"), F.left(evidence.cast("string"), F.lit(EVIDENCE_CHARS)).alias("evidence"), F.lit(recommendation).alias("recommendation"))
+
+
 def combined(*rules: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, rules)
 

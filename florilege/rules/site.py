@@ -1,31 +1,67 @@
-"""Rules over pages with title, slug and parsed sizes; each gives issue rows."""
+"""Rules over pages with type, title, slug and parsed sizes; each gives issue rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from florilege.functions import text
-from florilege.rules.issues import issue
+from florilege.rules.issues import issue, row
 
 HEAVY_CHARS, FEW_WORDS, LONG_SLUG, LEAST_OVERLAP, LEAST_TITLE_TOKENS = 300_000, 5, 130, 0.35, 4
 
+#: Substrings that are typos, with what was meant.
+TYPOS = (("liberdadade", "liberdade"), ("portigues", "portugues/portugueses"), ("despois", "depois"), ("docuemtno", "documento"), ("competa", "completa"), ("contéudos", "conteúdos"), ("conteudos", "conteúdos"), ("orgão", "órgão"))
+
+
+def overlap(title: Column, slug: Column) -> Column:
+    """The share of a title's words that the slug has."""
+    own = text.slug_tokens(title)
+    return F.size(F.array_intersect(own, text.slug_tokens(slug))) / F.greatest(F.lit(1), F.size(own))
+
+
+def typos_in(*fields: Column, typos: tuple = TYPOS) -> Column:
+    """A reason for each typo that the fields hold."""
+    blob = F.lower(F.concat_ws(" ", *fields))
+    return F.array_compact(F.array(*[F.when(F.contains(blob, F.lit(bad)), F.lit(f"erro provável: {bad} -> {good}")) for bad, good in typos]))
+
+
+def slug_reasons(longest: int = LONG_SLUG, typos: tuple = TYPOS) -> Column:
+    """What is odd about a page's title and slug."""
+    share = overlap(F.col("title"), F.col("slug"))
+    low = (share < LEAST_OVERLAP) & (F.size(text.slug_tokens(F.col("title"))) >= LEAST_TITLE_TOKENS)
+    first = F.array_compact(F.array(F.when(F.length("slug") > longest, F.lit("slug muito longo")), F.when(low, F.concat(F.lit("baixo alinhamento título/slug ("), text.percent(share), F.lit(")")))))
+    return F.concat(first, typos_in(text.strip_html(F.col("title")), F.col("slug"), typos=typos))
+
+
+def page_rules(pages: DataFrame, most: int = HEAVY_CHARS, fewest: int = FEW_WORDS, longest: int = LONG_SLUG, typos: tuple = TYPOS) -> DataFrame:
+    """Issues of single pages (url, html, type, title, slug), all from one pass over them."""
+    size = F.length("html")
+    words = text.word_count(text.strip_html(F.col("html")))
+    # each page's text is stripped once, and only where the cheaper conditions hold
+    empty = (F.col("type") == "post") & (size > 0) & ~F.col("html").rlike(r"(?i)<img\b")
+    pages = pages.select("url", "type", size.alias("size"), F.when(empty, words).alias("words"), slug_reasons(longest, typos).alias("reasons"))
+    found = F.array(
+        F.when((F.col("type") == "page") & (F.col("size") > most), row("Técnico", "Alta", "Página muito pesada", F.col("url"), F.concat(F.col("size").cast("string"), F.lit(" caracteres de HTML")), "Dividir ou paginar o conteúdo")),
+        F.when(F.col("words") < fewest, row("Conteúdo", "Baixa", "Post quase vazio", F.col("url"), F.concat(F.col("words").cast("string"), F.lit(" palavras")), "Completar ou despublicar")),
+        F.when(F.size("reasons") > 0, row("Normalização", "Média", "Título/slug suspeito", F.col("url"), F.array_join("reasons", "; "), "Rever título e slug")),
+    )
+    return pages.select(F.explode(F.array_compact(found)).alias("i")).select("i.*")
+
 
 def heavy_pages(pages: DataFrame, most: int = HEAVY_CHARS) -> DataFrame:
+    """Of pages (url, html, type), those of type page whose HTML is long."""
     size = F.length("html")
-    return issue(pages.where(size > most), "Técnico", "Alta", "Página muito pesada", F.col("url"), F.concat(size.cast("string"), F.lit(" caracteres de HTML")), "Dividir ou paginar o conteúdo")
+    return issue(pages.where((F.col("type") == "page") & (size > most)), "Técnico", "Alta", "Página muito pesada", F.col("url"), F.concat(size.cast("string"), F.lit(" caracteres de HTML")), "Dividir ou paginar o conteúdo")
 
 
 def near_empty(pages: DataFrame, fewest: int = FEW_WORDS) -> DataFrame:
+    """Of pages (url, html, type), those of type post with few words and no image."""
     words = text.word_count(text.strip_html(F.col("html")))
-    empty = (F.length("html") > 0) & (words < fewest) & ~F.col("html").rlike(r"(?i)<img\b")
+    empty = (F.col("type") == "post") & (F.length("html") > 0) & ~F.col("html").rlike(r"(?i)<img\b") & (words < fewest)
     return issue(pages.where(empty), "Conteúdo", "Baixa", "Post quase vazio", F.col("url"), F.concat(words.cast("string"), F.lit(" palavras")), "Completar ou despublicar")
 
 
-def suspicious_slugs(pages: DataFrame, longest: int = LONG_SLUG) -> DataFrame:
-    return issue(pages.where(F.length("slug") > longest), "Normalização", "Média", "Título/slug suspeito", F.col("url"), F.col("slug"), "Rever título e slug")
-
-
 def duplicate_titles(pages: DataFrame) -> DataFrame:
     keyed = pages.select("url", "title", text.norm_text(F.col("title")).alias("key")).where("key <> ''")
     groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("url").alias("url"), F.min("title").alias("title")).where("n > 1")
@@ -38,10 +74,27 @@ def equivalent_categories(terms: DataFrame) -> DataFrame:
     return issue(groups, "Taxonomia", "Alta", "Categorias equivalentes", F.col("url"), F.concat_ws(": ", "key", F.col("n").cast("string")), "Fundir categorias")
 
 
-def unused_categories(terms: DataFrame) -> DataFrame:
-    """terms (name, url, count, parent, known parent): empty ones, and ones whose parent is unknown."""
-    bad = terms.where("count = 0 OR (parent <> 0 AND parent_known IS NULL)")
-    return issue(bad, "Taxonomia", F.when(F.col("count") == 0, "Baixa").otherwise("Média"), "Categoria a rever", F.col("url"), F.col("name"), "Rever categoria")
+def unused_categories(terms: DataFrame, typos: tuple = TYPOS) -> DataFrame:
+    """terms (name, url, slug, count, parent, parent_known): empty ones, ones whose parent is unknown, and misspelt ones."""
+    wrong = typos_in(F.col("name"), F.col("slug"), typos=typos)
+    first = F.array_compact(F.array(F.when(F.col("count") == 0, F.lit("categoria sem posts")), F.when((F.col("parent") != 0) & F.col("parent_known").isNull(), F.lit("parent inexistente na API"))))
+    bad = terms.select("*", F.concat(first, wrong).alias("problems"), (F.size(wrong) > 0).alias("misspelt")).where(F.size("problems") > 0)
+    severity = F.when((F.col("count") == 0) | F.col("misspelt"), "Média").otherwise("Baixa")
+    return issue(bad, "Taxonomia", severity, "Categoria a rever", F.col("url"), F.concat_ws(": ", "name", F.array_join("problems", "; ")), "Rever categoria")
+
+
+def tables_to_review(tables: DataFrame) -> DataFrame:
+    """tables (name, notes, records, reference): noted for review, empty, or without a reference."""
+    notes = F.coalesce(F.col("notes"), F.lit(""))
+    problems = F.array_compact(
+        F.array(
+            F.when(F.contains(notes, F.lit("Analisar")), F.lit("marcada para analisar")),
+            F.when(F.contains(notes, F.lit("Vazia")) | (F.coalesce(F.col("records"), F.lit(0)) == 0), F.lit("sem registos/vazia")),
+            F.when(F.coalesce(F.col("reference"), F.lit("")) == "", F.lit("sem referência")),
+        )
+    )
+    bad = tables.withColumn("problems", problems).where(F.size("problems") > 0)
+    return issue(bad, "TablePress", "Média", "Tabela a rever", F.lit(""), F.concat_ws(": ", "name", F.array_join("problems", "; ")), "Rever a tabela")
 
 
 def residual_tags(totals: DataFrame) -> DataFrame:
