@@ -11,20 +11,33 @@ def repeated(df: DataFrame, *keys: str | Column) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").withColumn("extra", F.col("n") - 1)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """name, or with underscores added to it, so that no column has it."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def first_seen(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in the order given."""
-    return df.withColumn("_seen", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_seen = 1").drop("_seen")
+    seen = fresh("seen", df.columns)
+    return df.withColumn(seen, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(seen) == 1).drop(seen)
 
 
 def identities(df: DataFrame, digest: Column, order: Column, preferred: Column | None = None, length: int = 24) -> DataFrame:
-    """A stable key per row: the preferred one where it is unique, else the row's digest, with :duplicate:n from the second on."""
-    out = df.withColumn("_digest", F.left(digest, F.lit(length)))
+    """df with a stable key per row: the preferred one where it is unique, else the row's digest, with :duplicate:n from the
+    second on."""
+    names = [fresh(n, df.columns) for n in ("digest", "own", "uses", "nth")]
+    base, own, uses, nth = names
+    out = df.withColumn(base, F.left(digest, F.lit(length)))
     if preferred is not None:
-        out = out.withColumn("_own", preferred)
-        uses = out.where("_own IS NOT NULL").groupBy("_own").agg(F.count("*").alias("_uses"))
-        out = out.join(uses, "_own", "left").withColumn("_digest", F.when(F.col("_uses") == 1, F.concat(F.lit("own:"), F.col("_own").cast("string"))).otherwise(F.col("_digest"))).drop("_own", "_uses")
-    nth = F.row_number().over(Window.partitionBy("_digest").orderBy(order))
-    return out.withColumn("_nth", nth).withColumn("key", F.when(F.col("_nth") == 1, F.col("_digest")).otherwise(F.concat("_digest", F.lit(":duplicate:"), F.col("_nth").cast("string")))).drop("_digest", "_nth")
+        out = out.withColumn(own, preferred)
+        counts = out.where(F.col(own).isNotNull()).groupBy(own).agg(F.count("*").alias(uses))
+        out = out.join(counts, own, "left").withColumn(base, F.when(F.col(uses) == 1, F.concat(F.lit("own:"), F.col(own).cast("string"))).otherwise(F.col(base)))
+    out = out.withColumn(nth, F.row_number().over(Window.partitionBy(base).orderBy(order)))
+    key = F.when(F.col(nth) == 1, F.col(base)).otherwise(F.concat(base, F.lit(":duplicate:"), F.col(nth).cast("string")))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != "key"], key.alias("key"))
 
 
 def complete_both_ways(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -2,26 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def similar_terms(counts: DataFrame, most: int = 20, distance: int = 2) -> DataFrame:
+def _shorter(words: Column, first: int) -> Column:
+    """Each word without one letter from place `first` on."""
+    drop = lambda w: F.transform(F.sequence(F.lit(first), F.greatest(F.length(w), F.lit(first))), lambda i: F.concat(F.left(w, i - 1), F.substring(w, i + 1, F.length(w))))
+    return F.array_distinct(F.flatten(F.transform(words, drop)))
+
+
+def similar_terms(counts: DataFrame, most: int = 20) -> DataFrame:
     """From (term, n): each rare term with its closest partner.
 
     Candidates have 5 to 24 letters, no digit and at most `most` uses. Partners share the first two letters, differ by 1 or 2
     (1 for terms under 8 letters) and one of both is used twice or more. The closest wins, then the one nearest in use, then
-    the first by name. Every pair meets under (first two letters, length, length gap), so blocks stay small and are
-    hashed by length as well as by prefix.
+    the first by name. Terms that differ by two letters share a form with two letters or fewer left out, so terms meet under
+    their forms only: a term of ten letters has 37, however many terms there are.
+    """
+    terms = counts.where(F.length("term").between(5, 24) & (F.col("n") <= most) & ~F.col("term").rlike("[0-9]"))
+    one = _shorter(F.array("term"), 3)
+    # two letters may go only where one of both has eight letters or more, so the other has six or more
+    forms = F.concat(F.array("term"), one, F.when(F.length("term") >= 6, _shorter(one, 3)).otherwise(F.array().cast("array<string>")))
+    keyed = terms.select("term", "n", F.explode(F.array_distinct(forms)).alias("form"))
+    other = keyed.select(F.col("term").alias("other"), F.col("n").alias("other_n"), "form")
+    pairs = keyed.join(other, "form").where((F.col("term") != F.col("other")) & (F.greatest("n", "other_n") >= 2)).select("term", "n", "other", "other_n").distinct()
+    pairs = pairs.withColumn("distance", F.levenshtein("term", "other", 2).cast("long"))
+    pairs = pairs.where(F.col("distance").between(1, 2) & ((F.length("term") >= 8) | (F.col("distance") == 1)))
+    best = pairs.groupBy("term").agg(F.first("n").alias("n"), F.min(F.struct("distance", F.abs(F.col("n") - F.col("other_n")).alias("gap"), "other", "other_n")).alias("b"))
+    return best.select("term", "n", "b.other", "b.other_n", "b.distance")
+
+
+def corrections(words: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """words (word) with the dictionary's (word, n) closest one at a distance of 1 or 2: (word, correction, distance).
+
+    Of words at one distance the most used wins, then the first by name. Words meet under what is left of them without one
+    letter or two, so neither list is compared with all of the other.
     """
-    terms = counts.where(F.length("term").between(5, 24) & (F.col("n") <= most) & ~F.col("term").rlike("[0-9]")).select("term", "n", F.left("term", F.lit(2)).alias("prefix"), F.length("term").alias("size"))
-    gaps = F.explode(F.array(*[F.lit(g) for g in range(-distance, distance + 1)]))
-    left = terms.withColumn("gap", gaps).withColumn("at", F.col("size") + F.col("gap")).drop("gap")
-    right = terms.select(F.col("term").alias("other"), F.col("n").alias("other_n"), "prefix", F.col("size").alias("at"))
-    pairs = left.join(right, ["prefix", "at"]).where("term <> other").withColumn("distance", F.levenshtein("term", "other", distance).cast("long"))
-    pairs = pairs.where(F.col("distance").between(1, distance) & (F.greatest("n", "other_n") >= 2) & ((F.col("size") >= 8) | (F.col("distance") == 1)))
-    best = F.row_number().over(Window.partitionBy("term").orderBy("distance", F.abs(F.col("n") - F.col("other_n")), "other"))
-    return pairs.withColumn("_rank", best).where("_rank = 1").select("term", "n", "other", "other_n", "distance")
+    forms = lambda w: F.array_distinct(F.concat(F.array(w), _shorter(F.array(w), 1), _shorter(_shorter(F.array(w), 1), 1)))
+    asked = words.select("word", F.explode(forms(F.col("word"))).alias("form"))
+    known = dictionary.select(F.col("word").alias("correction"), "n", F.explode(forms(F.col("word"))).alias("form"))
+    pairs = asked.join(known, "form").select("word", "correction", "n").distinct().withColumn("distance", F.levenshtein("word", "correction", 2).cast("long"))
+    best = pairs.where(F.col("distance").between(1, 2)).groupBy("word").agg(F.min(F.struct("distance", (-F.col("n")).alias("rare"), "correction")).alias("b"))
+    return best.select("word", "b.correction", "b.distance")
 
 
 def missing_words(words: DataFrame, dictionaries: list[DataFrame], key: str = "word") -> DataFrame:

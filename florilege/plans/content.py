@@ -76,10 +76,16 @@ def title_slug_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("page_id", F.size("a").cast("long").alias("title_tokens"), common.alias("common"), ((F.size("a") >= 4) & (common < 0.35 * F.size("a"))).alias("suspicious"))
 
 
-@query("X30", """SELECT page_id, regexp_extract(lower(url), '^[a-z]+://[^/?#]*') || regexp_replace(coalesce(nullif(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z]+://[^/]*(/.*)$', 1), ''), '/'), '/{2,}', '/', 'g')
-|| coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(p), 'utm_')), '&'), ''), '') AS address FROM pages""")
+_BARE = "regexp_extract(lower(url), '^[a-z]+://[^/?#]*') || regexp_replace(regexp_replace(coalesce(nullif(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z]+://[^/]*(/.*)$', 1), ''), '/'), '/{2,}', '/', 'g'), ';[^/]*$', '')"
+
+
+@query("X30", f"""SELECT page_id, 'given' AS form, {_BARE} || coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(p), 'utm_')), '&'), ''), '') AS address FROM pages
+UNION ALL SELECT page_id, 'odd', {_BARE} || '?b=x+y&c=~&d=&e=%2A' FROM pages""")
 def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", urls.canonical(F.col("url")).alias("address"))
+    """Addresses as they are, and with parameters, a query and a fragment that change."""
+    odd = F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit(";s=1?b=x y&UTM_a=1&c=%7E&&d&e=*#f"))
+    both = table(spark, sf_dir, "pages").select("page_id", F.explode(F.create_map(F.lit("given"), "url", F.lit("odd"), odd)).alias("form", "url"))
+    return both.select("page_id", "form", urls.canonical(F.col("url")).alias("address"))
 
 
 @query("F2 X33 A11 O2", "SELECT CASE WHEN regexp_matches(url, '^https?://([^/?#]*\\.)?example\\.com([/?#:]|$)') THEN 'internal' ELSE regexp_extract(url, '^https?://[^/?#]*\\.(example\\.[a-z]+)', 1) END AS area, count(*) AS n FROM pages GROUP BY 1")

@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 from florilege.functions import hashing, text
 from florilege.operators import dedup, profile, similarity
+from florilege.operators.stored import stored
 from florilege.plans import sqltext as q
 from florilege.registry import query, table
-
-#: Substrings that are typos, with what was meant; pairs of an older and a newer spelling.
-TYPOS = (("liberdadade", "liberdade"), ("portigues", "portugues/portugueses"), ("despois", "depois"), ("docuemtno", "documento"), ("competa", "completa"), ("contéudos", "conteúdos"), ("conteudos", "conteúdos"), ("orgão", "órgão"))
-SPELLINGS = (("colecção", "coleção"), ("colectivo", "coletivo"), ("acção", "ação"), ("secção", "seção"), ("direcção", "direção"), ("actualizado", "atualizado"), ("actualização", "atualização"))
+from florilege.rules import writing
 
 #: Typos and spelling pairs of the stand-in corpus, as a person would supply them.
 CORPUS_TYPOS = (("ereand", "and"), ("thth", "the"), ("ouou", "ou"), ("pathetic", "poor"), ("enen", "en"))
@@ -51,29 +49,23 @@ def dictionary_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.missing_words(words("benchmark").distinct(), [words("documents")])
 
 
-@query("J3 Q8", f"""WITH {_TOKENS_SQL}, d AS (SELECT DISTINCT word FROM w) SELECT older, newer FROM {_values(CORPUS_SPELLINGS)} AS p(older, newer) WHERE older IN (SELECT word FROM d) AND newer IN (SELECT word FROM d)""")
+_HAS = " OR ".join(f"word = '{w}'" for pair in CORPUS_SPELLINGS for w in pair)
+
+
+@query("J3 Q8", f"""WITH d AS MATERIALIZED (SELECT DISTINCT word FROM (SELECT unnest(string_split_regex({q.fold("coalesce(text, '')")}, '[^a-z]+')) AS word FROM documents) WHERE {_HAS}) SELECT older, newer FROM {_values(CORPUS_SPELLINGS)} AS p(older, newer) JOIN d AS a ON a.word = older JOIN d AS b ON b.word = newer""")
 def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = spark.createDataFrame(CORPUS_SPELLINGS, "older string, newer string")
     known = tokens(table(spark, sf_dir, "documents")).join(F.broadcast(pairs.select(F.explode(F.array("older", "newer")).alias("word"))), "word", "left_semi").select("word").distinct()
     return pairs.join(known.withColumnRenamed("word", "older"), "older", "left_semi").join(known.withColumnRenamed("word", "newer"), "newer", "left_semi").select("older", "newer")
 
 
-@query("J5 W7 X5 F11 Q9", f"""WITH w AS (SELECT unnest(list_filter(string_split_regex({q.fold("coalesce(text, '')")}, '[^a-z]+'), lambda x: len(x) >= 3)) AS term FROM benchmark),
-c AS (SELECT term, count(*) AS n FROM w GROUP BY term HAVING len(term) BETWEEN 5 AND 24 AND count(*) <= 20),
-p AS (SELECT a.term, a.n, b.term AS other, b.n AS other_n, levenshtein(a.term, b.term) AS distance FROM c a JOIN c b ON left(a.term, 2) = left(b.term, 2) AND abs(len(a.term) - len(b.term)) <= 2 AND a.term <> b.term),
-k AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY distance, abs(n - other_n), other) AS r FROM p WHERE distance BETWEEN 1 AND 2 AND greatest(n, other_n) >= 2 AND (len(term) >= 8 OR distance = 1))
-SELECT term, n, other, other_n, CAST(distance AS BIGINT) AS distance FROM k WHERE r = 1""")
-def similar_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id")
-    return similarity.similar_terms(profile.frequencies(tokens(items).withColumnRenamed("word", "term"), "term"))
-
-
 @query("J5 W7 X5 F11 Q9")
-def document_similar_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+def similar_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all documents; too slow in SQL, tests hold it against brute force."""
     return similarity.similar_terms(profile.frequencies(tokens(table(spark, sf_dir, "documents")).withColumnRenamed("word", "term"), "term"))
 
 
-@query("X10 Q15 F14", r"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}]+'), lambda x: x <> '') AS w FROM documents)
+@query("X10", r"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}]+'), lambda x: x <> '') AS w FROM documents)
 SELECT doc_id, CAST(len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1] AND len(w[i]) >= 3 AND w[i] NOT IN ('que', 'the', 'and', 'para'))) AS BIGINT) AS n FROM t""")
 def repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(text.repeated_words(F.coalesce("text", F.lit("")))).cast("long").alias("n"))
@@ -108,34 +100,100 @@ def document_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.size(lines).cast("long").alias("lines"), text.word_count(F.col("text")).alias("words"), text.excerpt(F.col("text"), F.lit(100)).alias("around"))
 
 
-@query("X9")
+_PARAGRAPHS = r"list_filter(list_transform(string_split_regex(regexp_replace({}, '([.!?])[\s\x{{a0}}]+', '\1' || chr(1), 'g'), '[\x01\n]+'), lambda p: trim(regexp_replace(p, '[\s\x{{a0}}]+', ' ', 'g'))), lambda p: p <> '')"
+
+
+@query("X9", f"SELECT doc_id, CAST(len({_PARAGRAPHS.format("coalesce(text, '')")}) AS BIGINT) AS paragraphs FROM documents")
 def paragraph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(text.paragraphs(F.coalesce("text", F.lit("")))).cast("long").alias("paragraphs"))
 
 
-@query("X7 X13 Q18 J1")
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_DOUBLES = "|".join(f"{c}{c}+" for c in _LETTERS)
+_KNOWN_SQL = """k AS MATERIALIZED (SELECT word FROM (SELECT DISTINCT doc_id, lower(word) AS word FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]{4,}')) AS word FROM documents)) GROUP BY word HAVING count(*) >= 10)"""
+
+
+def known_words(docs: DataFrame) -> DataFrame:
+    """A stand-in for dictionaries: lower-cased words that ten documents or more use."""
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.transform(text.raw_words(F.col("text")), lambda w: F.lower(w)))).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n")).where("n >= 10").select("word")
+
+
+@query("X7 X13 J1", f"""WITH {_KNOWN_SQL}, w AS (SELECT raw AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]{{4,}}')) AS raw FROM documents) WHERE regexp_matches(raw, '{_DOUBLES}') AND lower(left(raw, 1)) = left(raw, 1) AND NOT regexp_matches(raw, '^[ivxlcdmIVXLCDM]+$') AND lower(raw) NOT IN (SELECT word FROM k) GROUP BY raw),
+r AS (SELECT word, n, unnest(range(1, len(regexp_extract_all(word, '{_DOUBLES}')) + 1)) AS i, regexp_extract_all(word, '{_DOUBLES}') AS runs, string_split_regex(word, '{_DOUBLES}') AS rest FROM w WHERE word = lower(word)),
+f AS (SELECT DISTINCT word, n, array_to_string(list_transform(range(1, len(rest) + 1), lambda j: rest[j] || CASE WHEN j = i THEN repeat(left(runs[j], 1), m) WHEN j <= len(runs) THEN runs[j] ELSE '' END), '') AS meant FROM r, (VALUES (1), (2)) AS t(m))
+SELECT f.word, meant, n FROM f JOIN k ON k.word = meant""")
 def doubled_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words with a doubled letter that aren't known, where a collapsed form is: (word, meant, n). Known: used by ten documents or more."""
-    words = tokens(table(spark, sf_dir, "documents"), 4)
-    known = words.distinct().groupBy("word").agg(F.count("*").alias("n")).where("n >= 10").select("word")
-    doubled = words.where(F.col("word").rlike(r"(.)\1")).groupBy("word").agg(F.count("*").alias("n")).join(known, "word", "left_anti")
-    forms = doubled.select("word", "n", F.explode(text.collapsed(F.col("word"))).alias("meant")).where("meant <> word")
+    """Lower-case words with a doubled letter that aren't known, where a form with one run shortened is: (word, meant, n)."""
+    docs = table(spark, sf_dir, "documents")
+    known = stored(known_words(docs), "known")
+    words = docs.select(F.explode(text.raw_words(F.col("text"))).alias("word")).where(F.col("word").rlike(r"([a-z])\1") & ~text.is_capitalised(F.col("word")) & (F.lower("word") == F.col("word")) & ~F.col("word").rlike("^[ivxlcdm]+$"))
+    odd = words.groupBy("word").agg(F.count("*").alias("n")).join(known, "word", "left_anti")
+    forms = odd.select("word", "n", F.explode(text.collapsed(F.col("word"))).alias("meant"))
     return forms.join(known.withColumnRenamed("word", "meant"), "meant", "left_semi").select("word", "meant", "n")
 
 
+#: What people keep for the stand-in corpus.
+CORPUS_CURATED = writing.Curated(repeated=("de", "of", "la", "der", "que", "los", "was"), right=("ciónn",), better=(("theea", "thea"),), typos=CORPUS_TYPOS)
+
+_AUDIT_SQL = rf"""WITH p AS (SELECT DISTINCT doc_id, unnest({_PARAGRAPHS.format("text")}) AS p FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, p, string_split(p, ' ') AS c FROM p),
+t AS (SELECT doc_id, unnest(list_transform(range(1, len(c)), lambda i: [regexp_extract(c[i], '(?:^|[^\p{{L}}\p{{N}}_])([A-Za-zÀ-ÖØ-öø-ÿ]{{3,}})$', 1), regexp_extract(c[i + 1], '^[\p{{L}}\p{{N}}_]+')])) AS w FROM c),
+r AS (SELECT doc_id, 'Palavra repetida consecutivamente' AS kind, lower(w[1]) AS term FROM t WHERE w[1] <> '' AND w[1] = w[2] AND w[1] IN ({', '.join(f"'{x}'" for x in CORPUS_CURATED.repeated)}) AND w[1] NOT IN ('que', 'the', 'and', 'para')),
+e AS (SELECT doc_id, 'Possível problema de codificação' AS kind, '' AS term FROM p WHERE regexp_matches(p, '�|Ã[\x{{80}}-\x{{bf}}]')),
+y AS (SELECT doc_id, 'Erro conhecido recuperado' AS kind, lower(w) AS term FROM (SELECT doc_id, unnest(regexp_extract_all(p, '[\p{{L}}\p{{N}}_]+')) AS w FROM p) WHERE lower(w) IN ({', '.join(f"'{a}'" for a, _ in CORPUS_TYPOS)})),
+{_KNOWN_SQL},
+w AS MATERIALIZED (SELECT DISTINCT doc_id, lower(raw) AS term FROM (SELECT doc_id, unnest(regexp_extract_all(p, '[A-Za-zÀ-ÖØ-öø-ÿ]{{4,}}')) AS raw FROM p) WHERE regexp_matches(lower(raw), '{_DOUBLES}') AND lower(left(raw, 1)) = left(raw, 1) AND NOT regexp_matches(raw, '^[ivxlcdmIVXLCDM]+$') AND lower(raw) NOT IN (SELECT word FROM k)),
+g AS (SELECT DISTINCT term, unnest(range(1, len(regexp_extract_all(term, '{_DOUBLES}')) + 1)) AS i, regexp_extract_all(term, '{_DOUBLES}') AS runs, string_split_regex(term, '{_DOUBLES}') AS rest FROM w),
+f AS (SELECT DISTINCT term FROM (SELECT term, array_to_string(list_transform(range(1, len(rest) + 1), lambda j: rest[j] || CASE WHEN j = i THEN repeat(left(runs[j], 1), m) WHEN j <= len(runs) THEN runs[j] ELSE '' END), '') AS meant FROM g, (VALUES (1), (2)) AS t(m)) JOIN k ON k.word = meant),
+d AS (SELECT doc_id, 'Letra repetida indevidamente' AS kind, term FROM w JOIN f USING (term) WHERE term NOT IN ({', '.join(f"'{x}'" for x in CORPUS_CURATED.right)}))
+SELECT DISTINCT doc_id, kind, term FROM (FROM r UNION ALL FROM e UNION ALL FROM y UNION ALL FROM d)"""
+
+
+@query("F14 Q15 Q16 Q17 Q18 X10 X11 X12 X13", _AUDIT_SQL)
+def text_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned suspicions in the texts of documents: (doc_id, kind, term), terms lower-cased."""
+    docs = table(spark, sf_dir, "documents")
+    texts = docs.select(F.col("doc_id").cast("string").alias("url"), F.lit("Corpo").alias("field"), "text")
+    found = writing.audit(texts, stored(known_words(docs), "known"), CORPUS_CURATED)
+    return found.select(F.col("url").cast("long").alias("doc_id"), "kind", F.lower("term").alias("term")).distinct()
+
+
 @query("X21", "SELECT p_partkey, regexp_matches(p_brand, '[0-9]') AS digit, upper(p_type) = p_type AS capitals, regexp_matches(p_name, '^[A-Z]') AS capitalised FROM part")
 def word_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").rlike("[0-9]").alias("digit"), (F.upper("p_type") == F.col("p_type")).alias("capitals"), text.is_capitalised(F.col("p_name")).alias("capitalised"))
 
 
-@query("O4 O5 F11 Q6", f"""WITH c AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]{{4,}}')) AS word FROM documents) GROUP BY word)
+@query("Q6 X5")
+def spelling_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of three documents or more that no dictionary has, with their closest known word; tests hold it against brute force."""
+    docs = table(spark, sf_dir, "documents")
+    words = docs.select("doc_id", F.explode(F.array_distinct(text.raw_words(F.col("text")))).alias("word")).where(text.is_spelling_candidate(F.col("word")) & (F.lower("word") == F.col("word")))
+    counted = stored(words.groupBy("word").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")), "words")
+    unknown = counted.where("n BETWEEN 3 AND 9")
+    return similarity.corrections(unknown, counted.where("n >= 10")).join(unknown.select("word", "doc_id"), "word").select("word", "correction", "distance", "doc_id")
+
+
+@query("X21 X13", "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]{4,}')) AS word FROM documents) WHERE regexp_matches(word, '(?i)^m{0,4}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$') GROUP BY word")
+def roman_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select(F.explode(text.raw_words(F.col("text"))).alias("word"))
+    return profile.frequencies(words.where(text.is_roman(F.col("word"))), "word")
+
+
+@query("X4 F13 A8", f"SELECT token, count(*) AS n FROM (SELECT unnest(list_filter(string_split({q.norm_text(q.title())}, ' '), lambda t: len(t) >= 4 AND t NOT IN {q.STOP} AND NOT regexp_matches(t, '^[0-9]+$'))) AS token FROM pages) GROUP BY token")
+def title_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titles = table(spark, sf_dir, "pages").select(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("title"))
+    return profile.frequencies(titles.select(F.explode(text.token_list(F.col("title"))).alias("token")), "token")
+
+
+@query("O4 O5 F11", f"""WITH c AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]{{4,}}')) AS word FROM documents) GROUP BY word)
 SELECT word, n FROM c WHERE len(word) >= 5 AND lower(word) NOT IN {q.STOP} AND NOT regexp_matches(word, '[0-9]') AND NOT (upper(left(word, 1)) = left(word, 1) AND lower(left(word, 1)) <> left(word, 1)) ORDER BY n, word LIMIT 1500""")
 def spelling_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select(F.explode(text.raw_words(F.col("text"))).alias("word")).where(text.is_spelling_candidate(F.col("word")))
     return profile.frequencies(words, "word").orderBy("n", "word").limit(1500)
 
 
-@query("X3 X19 X2")
+@query("X3 X19", f"""SELECT DISTINCT word, {q.fold("word")} AS folded, replace(lower(word), 'ß', 'ss') AS casefolded FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]{{4,}}')) AS word FROM documents)""")
 def folded_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents with what exact folding makes of them."""
     words = table(spark, sf_dir, "documents").select(F.explode(text.raw_words(F.col("text"))).alias("word")).distinct()
