@@ -1,12 +1,12 @@
 """Checks of dictionary entries; each rule gives (entry_id, rule, evidence) rows.
 
-An entry is (entry_id, volp, orths, senses, refs, dates, grams): senses are structs (id, n, defs) of the direct senses.
+An entry is (entry_id, volp, orths, senses, refs, dates, grams), and may have ids (every xml:id in it, its own included) and
+all_defs (how many definitions it has at any depth): senses are structs (id, n, defs) of the direct senses. Without ids only the
+entry's own is checked, without all_defs only direct definitions count.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,54 +17,69 @@ PLACEHOLDER = r"^\s*(?:\[\s*\.\.\.\s*\]|\.\.\.|\?{2,})\s*$"
 PROPER_ID = r"^DLP-\S+_\d+-[a-z0-9]+(?:-\d+)*$"
 
 SCHEMA = "entry_id string, volp string, orths array<string>, senses array<struct<id:string,n:string,defs:array<string>>>, refs array<string>, dates array<string>, grams array<string>"
+WHOLE = f"{SCHEMA}, ids array<string>, all_defs int"
 
 
 def is_placeholder(x: Column) -> Column:
     return x.rlike(PLACEHOLDER)
 
 
-def _of_entry(entries: DataFrame, rule: str, holds: Column, evidence: Column) -> DataFrame:
-    return entries.where(holds).select("entry_id", F.lit(rule).alias("rule"), evidence.cast("string").alias("evidence"))
+_FOUND = "array<struct<rule:string,evidence:string>>"
+
+
+def _found(rule: str, evidence: Column) -> Column:
+    return F.struct(F.lit(rule).alias("rule"), evidence.cast("string").alias("evidence"))
+
+
+def _once(rule: str, holds: Column, evidence: Column) -> Column:
+    return F.when(holds, F.array(_found(rule, evidence))).otherwise(F.array().cast(_FOUND))
+
+
+def _each(rule: str, array: Column | str, holds, evidence=lambda x: x) -> Column:
+    return F.transform(F.filter(array, holds), lambda x: _found(rule, evidence(x)))
 
 
-def _of_each(entries: DataFrame, rule: str, array: str, holds, evidence=None) -> DataFrame:
-    rows = entries.select("entry_id", F.explode(array).alias("x"))
-    return _of_entry(rows, rule, holds(F.col("x")), (evidence or (lambda x: x))(F.col("x")))
+def whole(entries: DataFrame) -> DataFrame:
+    """entries with ids and all_defs."""
+    if "ids" not in entries.columns:
+        entries = entries.withColumn("ids", F.filter(F.array("entry_id"), lambda i: F.coalesce(i, F.lit("")) != ""))
+    if "all_defs" not in entries.columns:
+        entries = entries.withColumn("all_defs", F.aggregate("senses", F.lit(0), lambda n, s: n + F.size(s["defs"])))
+    return entries
 
 
 def issues(entries: DataFrame) -> DataFrame:
-    """Every rule of one entry, and the two that look across entries (repeated ids, references without a lemma)."""
+    """Every rule of one entry, in one pass, and the two that look across entries (repeated ids, references without a lemma)."""
+    entries = whole(entries)
     has_id = F.coalesce("entry_id", F.lit("")) != ""
     n_senses = F.size("senses")
     numbers = F.filter(F.transform("senses", lambda s: s["n"].try_cast("int")), lambda n: n.isNotNull())
-    entries = entries.withColumn("numbers", numbers)
-    any_def = F.exists("senses", lambda s: F.size(s["defs"]) > 0)
-    found = [
-        _of_entry(entries, "entrada_sem_xml_id", ~has_id, F.element_at("orths", 1)),
-        _of_entry(entries, "xml_id_fora_do_padrao_proposto", has_id & ~F.col("entry_id").rlike(PROPER_ID), F.col("entry_id")),
-        _of_entry(entries, "entrada_sem_lema", ~F.exists("orths", lambda x: x != ""), F.lit("")),
-        _of_entry(entries, "volp_only_com_sentidos", (F.col("volp") == "only") & (n_senses > 0), n_senses),
-        _of_entry(entries, "dlp_sem_sentidos", (F.coalesce("volp", F.lit("")) != "only") & (n_senses == 0), F.lit("")),
-        _of_entry(entries, "entrada_com_sentidos_sem_definicao", (n_senses > 0) & ~any_def, n_senses),
-        _of_entry(entries, "numeracao_de_sentidos_suspeita", (F.size("numbers") != F.size(F.array_distinct("numbers"))) | (F.array_sort("numbers") != F.col("numbers")), F.array_join(F.col("numbers").cast("array<string>"), ",")),
-        _of_each(entries, "numero_de_sentido_nao_inteiro", "senses", lambda s: (F.coalesce(s["n"], F.lit("")) != "") & s["n"].try_cast("int").isNull(), lambda s: s["n"]),
-        _of_each(entries, "sentido_sem_xml_id", "senses", lambda s: F.coalesce(s["id"], F.lit("")) == "", lambda s: s["n"]),
-        _of_each(entries.where(has_id), "id_de_sentido_nao_derivado_da_entrada", "senses", lambda s: (F.coalesce(s["id"], F.lit("")) != "") & ~s["id"].startswith(F.concat(F.col("entry_id"), F.lit("-"))), lambda s: s["id"]),
-        _of_each(entries, "sentido_sem_definicao", "senses", lambda s: F.size(s["defs"]) == 0, lambda s: s["id"]),
-        _of_each(entries, "sentido_com_definicao_placeholder", "senses", lambda s: (F.size(s["defs"]) > 0) & F.forall(s["defs"], is_placeholder), lambda s: s["id"]),
-        _of_each(entries, "data_nao_reconhecida", "dates", lambda d: parsed_date(F.trim(d)).isNull()),
-        _of_each(entries, "referencia_com_espacos", "refs", lambda r: r.rlike(r"(?U)^\s|\s$")),
-        _of_each(entries, "classe_gramatical_desconhecida", "grams", lambda g: g == "???"),
-        repeated_ids(entries),
-        dangling_references(entries),
-    ]
-    return reduce(DataFrame.unionByName, found)
+    given = lambda x: F.coalesce(x, F.lit("")) != ""
+    rules = F.concat(
+        _once("entrada_sem_xml_id", ~has_id, F.get("orths", 0)),
+        _each("xml_id_fora_do_padrao_proposto", "ids", lambda i: ~i.rlike(PROPER_ID)),
+        _once("entrada_sem_lema", ~F.exists("orths", lambda x: x != ""), F.lit("")),
+        _once("volp_only_com_sentidos", (F.col("volp") == "only") & (n_senses > 0), n_senses),
+        _once("dlp_sem_sentidos", (F.coalesce("volp", F.lit("")) != "only") & (n_senses == 0), F.lit("")),
+        _once("entrada_com_sentidos_sem_definicao", (n_senses > 0) & (F.col("all_defs") == 0), n_senses),
+        _once("numeracao_de_sentidos_suspeita", (F.size("numbers") != F.size(F.array_distinct("numbers"))) | (F.array_sort("numbers") != F.col("numbers")), F.array_join(F.col("numbers").cast("array<string>"), ",")),
+        _each("numero_de_sentido_nao_inteiro", "senses", lambda s: given(s["n"]) & s["n"].try_cast("int").isNull(), lambda s: s["n"]),
+        _each("sentido_sem_xml_id", "senses", lambda s: ~given(s["id"]), lambda s: s["n"]),
+        _each("id_de_sentido_nao_derivado_da_entrada", "senses", lambda s: has_id & given(s["id"]) & ~s["id"].startswith(F.concat(F.col("entry_id"), F.lit("-"))), lambda s: s["id"]),
+        _each("sentido_sem_definicao", "senses", lambda s: F.size(s["defs"]) == 0, lambda s: s["id"]),
+        _each("sentido_com_definicao_placeholder", "senses", lambda s: (F.size(s["defs"]) > 0) & F.forall(s["defs"], is_placeholder), lambda s: s["id"]),
+        _each("data_nao_reconhecida", "dates", lambda d: parsed_date(F.trim(d)).isNull()),
+        _each("referencia_com_espacos", "refs", lambda r: r.rlike(r"(?U)^\s|\s$")),
+        _each("classe_gramatical_desconhecida", "grams", lambda g: g == "???"),
+    )
+    single = entries.withColumn("numbers", numbers).select("entry_id", F.explode(rules).alias("x")).select("entry_id", "x.rule", "x.evidence")
+    return single.unionByName(repeated_ids(entries)).unionByName(dangling_references(entries))
 
 
 def repeated_ids(entries: DataFrame) -> DataFrame:
-    """A row for each occurrence of an id after the first."""
-    extra = entries.where("entry_id <> ''").groupBy("entry_id").agg(F.count("*").alias("n")).where("n > 1")
-    return extra.select("entry_id", F.lit("xml_id_duplicado").alias("rule"), F.explode(F.sequence(F.lit(2), F.col("n"))).alias("evidence")).withColumn("evidence", F.col("evidence").cast("string"))
+    """A row for each occurrence of an id, of whatever element, after the first."""
+    extra = whole(entries).select(F.explode("ids").alias("entry_id")).groupBy("entry_id").agg(F.count("*").alias("n")).where("n > 1")
+    return extra.select("entry_id", F.lit("xml_id_duplicado").alias("rule"), F.explode(F.transform(F.sequence(F.lit(2).cast("long"), F.col("n")), lambda k: k.cast("string"))).alias("evidence"))
 
 
 def dangling_references(entries: DataFrame) -> DataFrame:
@@ -87,6 +102,10 @@ GRAMMAR = (
     ("entry without @id", lambda: F.coalesce("entry_id", F.lit("")) == ""),
     ("entry without form/orth", lambda: F.size("orths") == 0),
     ("attribute volp has an unknown value", lambda: ~F.coalesce("volp", F.lit("")).isin("", "only", "yes", "no")),
+    ("form/orth is empty", lambda: F.exists("orths", lambda x: x == "")),
+    ("sense has an @n that is no number", lambda: F.exists("senses", lambda s: (F.coalesce(s["n"], F.lit("")) != "") & s["n"].try_cast("int").isNull())),
+    ("attribute holds no date", lambda: F.exists("dates", lambda d: parsed_date(F.trim(d)).isNull())),
+    ("gramGrp has an unknown value", lambda: F.exists("grams", lambda g: g == "???")),
     ("sense without def", lambda: F.exists("senses", lambda s: F.size(s["defs"]) == 0)),
 )
 

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from florilege.rules.entries import SCHEMA as ENTRY
+from florilege.rules.entries import WHOLE as ENTRY
 
 
 def json_snapshot(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -72,11 +72,24 @@ def entry_of(node) -> dict:
         "refs": ["".join(r.itertext()) for r in below("ref") if r.get("type") == "entry"],
         "dates": [v for c in node.iter() if isinstance(c.tag, str) for k, v in c.attrib.items() if _local(k) in dated],
         "grams": [_text(g) for g in below("gramGrp")],
+        "ids": [v for c in node.iter() if isinstance(c.tag, str) for k, v in c.attrib.items() if _local(k) == "id"],
+        "all_defs": len(below("def")),
     }
 
 
 def xml_entries(spark: SparkSession, path: str, tag: str = "entry") -> DataFrame:
-    """Entries of XML files, plain, .gz or .xz, a file per task; a file that breaks off gives what came before."""
+    """Entries of XML files, plain, .gz or .xz, a file per task; a file that breaks off gives what came before, and xml_errors
+    tells that it does."""
+    return _xml(spark, path, tag).where("error IS NULL").drop("path", "error")
+
+
+def xml_errors(spark: SparkSession, path: str, tag: str = "entry") -> DataFrame:
+    """(path, error): files that can't be read to their end."""
+    return _xml(spark, path, tag).where("error IS NOT NULL").select("path", "error")
+
+
+def _xml(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    names = [f.split()[0] for f in ENTRY.split(", ")]
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
@@ -87,17 +100,17 @@ def xml_entries(spark: SparkSession, path: str, tag: str = "entry") -> DataFrame
                 try:
                     for _, node in ElementTree.iterparse(io.BytesIO(_plain(name, content)), events=("end",)):
                         if _local(node.tag) == tag:
-                            rows.append(entry_of(node))
+                            rows.append(entry_of(node) | {"path": name, "error": None})
                             node.clear()
                             if len(rows) >= 2000:
                                 yield pd.DataFrame(rows)
                                 rows = []
-                except (ElementTree.ParseError, lzma.LZMAError):
-                    pass
+                except (ElementTree.ParseError, lzma.LZMAError, zlib.error) as e:
+                    rows.append(dict.fromkeys(names) | {"path": name, "error": f"{type(e).__name__}: {e}"})
                 if rows:
                     yield pd.DataFrame(rows)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, ENTRY)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, f"{ENTRY}, path string, error string")
 
 
 def xml_rows(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:

@@ -27,6 +27,24 @@ def test_xml_entries(spark, tmp_path, name):
 def test_broken_xml_gives_what_came_before(spark, tmp_path):
     (tmp_path / "d.xml").write_text(XML[: XML.index("<entry xml:id=\"DLP-b") + 20])
     assert [r["entry_id"] for r in files.xml_entries(spark, str(tmp_path / "d.xml")).collect()] == ["DLP-a_1-0a"]
+    errors = files.xml_errors(spark, str(tmp_path / "d.xml")).collect()
+    assert len(errors) == 1 and errors[0]["path"].endswith("d.xml") and "ParseError" in errors[0]["error"]
+    (tmp_path / "good.xml").write_text(XML)
+    assert files.xml_errors(spark, str(tmp_path / "good.xml")).count() == 0
+    (tmp_path / "cut.xml.xz").write_bytes(lzma.compress(XML.encode())[:-40])
+    assert files.xml_errors(spark, str(tmp_path / "cut.xml.xz")).count() == 1
+
+
+def test_definitions_and_ids_at_any_depth(spark, tmp_path):
+    from florilege.rules import entries
+
+    nested = '<dic><entry xml:id="DLP-a_1-0a"><form><orth>a</orth></form><sense xml:id="DLP-a_1-0a-1"><sense xml:id="odd id"><def>d</def></sense></sense></entry><entry xml:id="odd id"><form><orth>b</orth></form><sense xml:id="odd id-1"/></entry></dic>'
+    (tmp_path / "n.xml").write_text(nested)
+    found = entries.issues(files.xml_entries(spark, str(tmp_path / "n.xml"))).collect()
+    by = lambda rule: sorted((r["entry_id"], r["evidence"]) for r in found if r["rule"] == rule)
+    assert by("entrada_com_sentidos_sem_definicao") == [("odd id", "1")]
+    assert by("xml_id_duplicado") == [("odd id", "2")]
+    assert by("xml_id_fora_do_padrao_proposto") == [("DLP-a_1-0a", "odd id"), ("odd id", "odd id"), ("odd id", "odd id-1")]
 
 
 def test_html(spark):
