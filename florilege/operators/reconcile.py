@@ -44,6 +44,36 @@ def resolved_references(claims: DataFrame, ids: DataFrame) -> DataFrame:
     return named.join(ids.withColumnRenamed("id", "target"), "key", "left")
 
 
+def property_ids(plan: DataFrame, live: DataFrame) -> DataFrame:
+    """plan (key, label, datatype) against live properties (id, label, datatype): key, id, and missing or datatype as problem.
+
+    Of live properties with one label the first by id counts.
+    """
+    known = live.groupBy("label").agg(F.min(F.struct("id", F.col("datatype").alias("live_datatype"))).alias("p")).select("label", "p.id", "p.live_datatype")
+    problem = F.when(F.col("id").isNull(), "missing").when(~F.col("datatype").eqNullSafe(F.col("live_datatype")), "datatype")
+    return plan.join(known, "label", "left").select("key", "id", problem.alias("problem"))
+
+
+def missing_sources(plan: DataFrame, live: DataFrame) -> DataFrame:
+    """Claims (subject, signature) of plan with a source that are live, none of whose live references (sources) names it."""
+    named = live.groupBy("subject", "signature").agg(F.flatten(F.collect_list("sources")).alias("named"))  # a claim has few references
+    return plan.where("source IS NOT NULL").join(named, ["subject", "signature"]).where(~F.array_contains("named", F.col("source"))).select("subject", "signature", "source")
+
+
+def image_differences(manifest: DataFrame, kept: DataFrame) -> DataFrame:
+    """(parent, position, problem) of images (parent, position, hash) that are missing, not in the manifest, or other ones."""
+    both = manifest.withColumn("wanted", F.lit(True)).join(kept.select("parent", "position", F.col("hash").alias("kept_hash"), F.lit(True).alias("there")), ["parent", "position"], "full")
+    problem = F.when(F.col("there").isNull(), "missing").when(F.col("wanted").isNull(), "unknown").when(~F.col("hash").eqNullSafe(F.col("kept_hash")), "hash")
+    return both.select("parent", "position", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def by_position(rows: DataFrame, key: str, cells: str, properties: tuple[str | None, ...]) -> DataFrame:
+    """(key, property, value) of the filled cells of rows whose columns stand for properties; None skips a column."""
+    pairs = [F.struct(F.lit(p).alias("property"), F.get(cells, k).alias("value")) for k, p in enumerate(properties) if p]
+    found = rows.select(key, F.explode(F.array(*pairs)).alias("x")).select(key, "x.property", F.trim("x.value").alias("value"))
+    return found.where(F.coalesce("value", F.lit("")) != "")
+
+
 def field_differences(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, field) for each column in which matched rows differ, nulls equal."""
     other = right.select(key, *[F.col(c).alias(f"_{c}") for c in columns])

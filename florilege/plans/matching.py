@@ -62,7 +62,7 @@ def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.classified(plan, _live(plan), "c_custkey")
 
 
-@query("J16 J17", f"""WITH {_LIVE_SQL} SELECT c.c_custkey, 'c_acctbal' AS field FROM customer c JOIN live l USING (c_custkey) WHERE c.c_acctbal IS DISTINCT FROM l.c_acctbal""")
+@query("J16", f"""WITH {_LIVE_SQL} SELECT c.c_custkey, 'c_acctbal' AS field FROM customer c JOIN live l USING (c_custkey) WHERE c.c_acctbal IS DISTINCT FROM l.c_acctbal""")
 def field_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = table(spark, sf_dir, "customer")
     return reconcile.field_differences(plan, _live(plan), "c_custkey", ["c_name", "c_acctbal", "c_mktsegment"])
@@ -80,7 +80,7 @@ def count_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.count_differences(profile.frequencies(plan, "c_mktsegment"), profile.frequencies(_live(plan), "c_mktsegment"), "c_mktsegment")
 
 
-@query("J12 J11", "SELECT n_nationkey AS subject, '@' || (n_regionkey * 2) AS value, r.r_name AS target FROM nation LEFT JOIN region r ON r.r_regionkey = n_regionkey * 2")
+@query("J12", "SELECT n_nationkey AS subject, '@' || (n_regionkey * 2) AS value, r.r_name AS target FROM nation LEFT JOIN region r ON r.r_regionkey = n_regionkey * 2")
 def forward_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("subject"), F.concat(F.lit("@"), (F.col("n_regionkey") * 2).cast("string")).alias("value"))
     ids = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("key"), F.col("r_name").alias("id"))
@@ -109,3 +109,41 @@ def claim_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     value = F.concat(F.col("c_custkey").cast("string"), F.lit(" [0, 1]"))
     return table(spark, sf_dir, "customer").select("c_custkey", claim_signature(F.lit("P1"), F.lit("quantity"), value, F.array(F.lit("x"), F.col("c_mktsegment"))).alias("signature"))
+
+
+_DATATYPE = "CASE n_nationkey % 3 WHEN 0 THEN 'string' WHEN 1 THEN 'time' ELSE 'quantity' END"
+
+
+@query("J11", f"SELECT n_nationkey AS key, CASE WHEN n_nationkey % 7 <> 0 THEN 'P' || n_nationkey END AS id, CASE WHEN n_nationkey % 7 = 0 THEN 'missing' WHEN n_nationkey % 5 = 0 AND {_DATATYPE} <> 'string' THEN 'datatype' END AS problem FROM nation")
+def property_datatypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planned properties, one per nation, against live ones, of which some are missing and some have another datatype."""
+    nation = table(spark, sf_dir, "nation")
+    datatype = F.expr(_DATATYPE)
+    plan = nation.select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("label"), datatype.alias("datatype"))
+    live = nation.where("n_nationkey % 7 <> 0").select(F.concat(F.lit("P"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("label"), F.when(F.col("n_nationkey") % 5 == 0, "string").otherwise(datatype).alias("datatype"))
+    return reconcile.property_ids(plan, live)
+
+
+@query("Q39 J10", "SELECT o_custkey AS subject, o_orderkey AS signature, o_clerk AS source FROM (SELECT o_custkey, o_orderkey, o_orderpriority AS o_clerk FROM orders WHERE o_orderkey % 4 <> 0) WHERE o_orderkey % 3 = 0 AND o_clerk <> '1-URGENT'")
+def missing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as claims of customers, their priority as source; each third live one names another source."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject"), F.col("o_orderkey").alias("signature"), F.col("o_orderpriority").alias("source"))
+    live = orders.where("signature % 4 <> 0").select("subject", "signature", F.when(F.col("signature") % 3 == 0, F.array(F.lit("1-URGENT"))).otherwise(F.array(F.lit("x"), "source")).alias("sources"))
+    return reconcile.missing_sources(orders, live)
+
+
+@query("J17", "SELECT conv_id AS parent, turn AS position, CASE WHEN turn % 7 = 6 THEN 'missing' WHEN turn % 5 = 4 THEN 'hash' END AS problem FROM conversations WHERE turn % 7 = 6 OR turn % 5 = 4 UNION ALL SELECT conv_id, 1000, 'unknown' FROM conversations WHERE turn = 0")
+def image_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as images of a conversation; the stored side lacks some, has others instead of some, and one too many."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("parent"), F.col("turn").alias("position"), F.sha2(F.concat_ws("|", "conv_id", "turn", "text"), 256).alias("hash"))
+    kept = turns.where("position % 7 <> 6").withColumn("hash", F.when(F.col("position") % 5 == 4, F.lit("other")).otherwise(F.col("hash")))
+    extra = turns.where("position = 0").withColumn("position", F.lit(1000).cast(turns.schema["position"].dataType))
+    return reconcile.image_differences(turns, kept.unionByName(extra))
+
+
+@query("P4", "SELECT p_partkey, 'P1' AS property, p_name AS value FROM part WHERE trim(p_name) <> '' UNION ALL SELECT p_partkey, 'P7', p_type FROM part WHERE trim(p_type) <> '' UNION ALL SELECT p_partkey, 'P9', CAST(p_size AS VARCHAR) FROM part WHERE p_size > 25")
+def properties_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of cells whose place says which property they hold; the second column has none, small sizes are blank."""
+    size = F.when(F.col("p_size") > 25, F.col("p_size").cast("string")).otherwise(F.lit(" "))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.array("p_name", "p_brand", "p_type", size).alias("cells"))
+    return reconcile.by_position(rows, "p_partkey", "cells", ("P1", None, "P7", "P9"))

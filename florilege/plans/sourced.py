@@ -21,7 +21,7 @@ def _place(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/florilege/{name}-{uuid.uuid4().hex}"
 
 
-@query("X1 S2", f"SELECT page_id, sha256({q.strip_html('html')}) AS visible FROM pages")
+@query("X1", f"SELECT page_id, sha256({q.strip_html('html')}) AS visible FROM pages")
 def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(text.strip_html(F.col("html")).cast("binary"), 256).alias("visible"))
 
@@ -45,9 +45,11 @@ def allowed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(urls.is_image(F.col("url"), ("img.example.org",))).select("event_id", urls.image_address(F.col("url")).alias("address"))
 
 
-@query("X31", "SELECT page_id, url AS address FROM pages")
+@query("X31", "SELECT page_id, regexp_replace(url, '[?#].*$', '') || '/%C3%A1%20b%2Fc?q=%C3%BC%20x&c=~' AS address FROM pages")
 def safe_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", urls.safe(F.col("url")).alias("address"))
+    """Addresses of pages with a path and a query that need encoding."""
+    odd = F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit("/á b%252Fc?q=%C3%BC x&c=%7E"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.safe(odd).alias("address"))
 
 
 _TRIPLES = "|".join(c * 3 for c in "abcdefghijklmnopqrstuvwxyz")
@@ -55,20 +57,15 @@ _TRIPLES = "|".join(c * 3 for c in "abcdefghijklmnopqrstuvwxyz")
 
 def _spelling_candidates(texts: DataFrame) -> DataFrame:
     words = texts.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
-    return words.where((F.length("word") >= 8) | F.col("word").rlike(r"([a-z])\1\1")).groupBy("word").agg(F.count("*").alias("n"))
+    return words.where(text.is_slug_candidate(F.col("word"))).groupBy("word").agg(F.count("*").alias("n"))
 
 
 @query("F12 X4", f"SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM documents) WHERE len(word) >= 8 OR regexp_matches(word, '{_TRIPLES}') GROUP BY word")
-def document_spelling_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spelling_candidates(table(spark, sf_dir, "documents"))
-
-
-@query("F12 X4", f"SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM benchmark) WHERE len(word) >= 8 OR regexp_matches(word, '{_TRIPLES}') GROUP BY word")
 def slug_spelling_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spelling_candidates(table(spark, sf_dir, "benchmark"))
+    return _spelling_candidates(table(spark, sf_dir, "documents"))
 
 
-@query("Q17 X12 J1", f"""SELECT w.doc_id, w.word, t.meant, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex({q.fold("coalesce(text, '')")}, '[^a-z]+')) AS word FROM documents) w JOIN (VALUES {', '.join(f"('{a}', '{b}')" for a, b in CORPUS_TYPOS)}) AS t(word, meant) USING (word) GROUP BY 1, 2, 3""")
+@query("X12 J1", f"""SELECT w.doc_id, w.word, t.meant, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex({q.fold("coalesce(text, '')")}, '[^a-z]+')) AS word FROM documents) w JOIN (VALUES {', '.join(f"('{a}', '{b}')" for a, b in CORPUS_TYPOS)}) AS t(word, meant) USING (word) GROUP BY 1, 2, 3""")
 def known_typos(spark: SparkSession, sf_dir: str) -> DataFrame:
     meant = spark.createDataFrame(CORPUS_TYPOS, "word string, meant string")
     return tokens(table(spark, sf_dir, "documents")).join(F.broadcast(meant), "word").groupBy("doc_id", "word", "meant").agg(F.count("*").alias("n"))
@@ -114,7 +111,7 @@ def capped_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("K7 A23", "SELECT c_custkey AS k, c_name AS name FROM customer")
-def written_customer_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def written_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An import plan of all customers beside the digests of its inputs, read back."""
     path, book = _place(spark, "plan"), _place(spark, "inputs")
     wanted = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
@@ -123,13 +120,7 @@ def written_customer_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("k long, name string").json(f"{path}/plan")
 
 
-@query("K7 A23", "SELECT c_custkey AS k, c_name AS name FROM customer WHERE c_custkey % 100 = 1")
-def written_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that its SQL names of the plan of all customers."""
-    return written_customer_plan(spark, sf_dir).where("k % 100 = 1")
-
-
-@query("S1 S3 S5 W6", "SELECT CAST(i AS BIGINT) AS id FROM (SELECT unnest(range(1, 62)) AS i) WHERE i NOT BETWEEN 20 AND 24")
+@query("S1 S3 W6", "SELECT CAST(i AS BIGINT) AS id FROM (SELECT unnest(range(1, 62)) AS i) WHERE i NOT BETWEEN 20 AND 24")
 def paged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten overlapping pages of an offline service, of which the fourth never comes."""
 
@@ -142,15 +133,54 @@ def paged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paged.without_repeats(records).select("id")
 
 
+@query("S5", "SELECT CAST(i AS BIGINT) AS id FROM (SELECT unnest(range(1, 62)) AS i)")
+def resumed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same service; a cache has the first 37 records, so pages are read from the seventh on."""
+
+    def fetch(endpoint: str, page: int) -> tuple[list[dict], int]:
+        if page in (2, 3, 4, 5, 6):
+            raise AssertionError("this page is cached")
+        return [{"id": k} for k in range(6 * page - 5, 6 * page + 2)], 10
+
+    return paged.resumed(spark, "records", fetch, "id long", spark.range(1, 38), 61, 6, near=3, wait_s=0)[0]
+
+
+@query("S16 W4", "SELECT CAST(b AS BIGINT) AS batch, string_agg('Q' || n_nationkey, '|' ORDER BY n_nationkey) AS ids FROM (SELECT n_nationkey, n_nationkey // 7 AS b FROM nation) GROUP BY b")
+def entity_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of nations, listed four at a time by a token, in batches of seven."""
+    nations = sorted(r[0] for r in table(spark, sf_dir, "nation").select("n_nationkey").collect())
+
+    def fetch(token: str | None) -> tuple[list[str], str | None]:
+        at = int(token or 0)
+        return [f"Q{k}" for k in nations[at : at + 4]], str(at + 4) if at + 4 < len(nations) else None
+
+    return paged.batches(paged.continued(spark, fetch), 7)
+
+
+@query("S2", "SELECT c_custkey, c_name || '�é' AS name FROM customer")
+def decoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names as bytes with one that is no UTF-8."""
+    content = F.concat(F.col("c_name").cast("binary"), F.unhex(F.lit("FF")), F.lit("é").cast("binary"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.decoded(content).alias("name"))
+
+
+@query("S14 X44", "SELECT page_id, '{\"id\": ' || page_id || ', \"t\": [1, \"}\"]}' AS value FROM pages WHERE page_id % 3 <> 0")
+def embedded_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON after a marker in a script, with what would end it inside a string; some pages have none that can be read."""
+    value = F.concat(F.lit('<script>var json =  {"id":'), F.col("page_id").cast("string"), F.when(F.col("page_id") % 3 == 0, F.lit(",,")).otherwise(F.lit(', "t": [1,"}"]}; var app = 1;</script>')))
+    found = table(spark, sf_dir, "pages").select("page_id", markup.after_marker("var json =")(F.concat("html", value)).alias("value"))
+    return found.where("value IS NOT NULL")
+
+
 @query("S6 U4 U5", "SELECT n_name AS url FROM nation WHERE n_regionkey > 0")
 def crawled_site_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A root index of region indexes of nations; the first region can't be reached."""
+    """A root index, which robots.txt names, of region indexes of nations; the first region can't be reached."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     name = lambda c: F.concat(F.lit("region-"), F.col(c).cast("string"))
     root = region.select(F.lit("root").alias("url"), name("r_regionkey").alias("loc"), F.lit(True).alias("is_index"))
     below = nation.where("n_regionkey > 0").select(name("n_regionkey").alias("url"), F.col("n_name").alias("loc"), F.lit(False).alias("is_index"))
     back = region.select(name("r_regionkey").alias("url"), F.lit("root").alias("loc"), F.lit(True).alias("is_index")).where("url <> 'region-0'")
-    return paged.crawl(spark, ["root"], root.unionByName(below).unionByName(back))
+    return paged.crawl(spark, paged.roots("https://site.org", "User-agent: *\nSitemap: root\n"), root.unionByName(below).unionByName(back))
 
 
 @query("S9 S8", "SELECT DISTINCT 'DLP-e_1-' || conv_id AS entry_id, 'Lema ' || conv_id AS lemma FROM conversations")

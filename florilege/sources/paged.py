@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 Fetch = Callable[[str, int], tuple[list[dict], int]]
 
 
-def scan(spark: SparkSession, endpoint: str, fetch: Fetch, schema: str, attempts: int = 3, wait_s: float = 2.0, most_pages: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(records, skipped pages). The first page must come; a later one that fails every attempt is listed as skipped."""
-    records, total = fetch(endpoint, 1)
-    del records
-    pages = spark.range(1, min(total, most_pages or total) + 1).select(F.col("id").alias("page")).repartition(max(1, min(total, 200)), "page")
+def scan(spark: SparkSession, endpoint: str, fetch: Fetch, schema: str, attempts: int = 3, wait_s: float = 2.0, most_pages: int | None = None, start: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(records, skipped pages). The first page must come; a later one that fails every attempt is listed as skipped.
+
+    start: of the pages after the first, those from here on are read.
+    """
+    _, total = fetch(endpoint, 1)
+    pages = spark.range(1, min(total, most_pages or total) + 1).select(F.col("id").alias("page")).where((F.col("page") == 1) | (F.col("page") >= start)).repartition(max(1, min(total, 200)), "page")
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -44,6 +46,44 @@ def scan(spark: SparkSession, endpoint: str, fetch: Fetch, schema: str, attempts
     return parsed, raw.where("error IS NOT NULL").select("page", "error")
 
 
+def resumed(spark: SparkSession, endpoint: str, fetch: Fetch, schema: str, cached: DataFrame, total: int, per_page: int, near: int = 25, key: str = "id", **options) -> tuple[DataFrame, DataFrame | None]:
+    """(records, skipped pages) of a scan that goes on where a cache (the records' columns) ended.
+
+    A cache that lacks `near` of `total` records at most is taken as it is. Else the first page is read again, then pages from
+    the cache's end on, and new records are added to those that are there.
+    """
+    held = cached.count()
+    if held >= total - near:
+        return cached, None
+    found, skipped = scan(spark, endpoint, fetch, schema, start=max(2, held // per_page + 1), **options)
+    new = without_repeats(found, key).join(cached.select(key), key, "left_anti").select(*cached.columns)
+    return cached.unionByName(new), skipped
+
+
+def continued(spark: SparkSession, fetch: Callable[[str | None], tuple[list[str], str | None]], most: int = 1_000_000) -> DataFrame:
+    """(place, id) of a listing whose pages name the next one by a token: each needs the one before, so they are read in turn."""
+    ids: list[str] = []
+    token: str | None = None
+    for _ in range(most):
+        found, token = fetch(token)
+        ids += found
+        if token is None:
+            return spark.createDataFrame(list(enumerate(ids)), "place long, id string")
+    raise ValueError("the listing doesn't end")
+
+
+def batches(listed: DataFrame, size: int = 50) -> DataFrame:
+    """(batch, ids) of (place, id), `size` ids each, joined for a request."""
+    numbered = listed.select(F.floor(F.col("place") / size).alias("batch"), F.struct("place", "id").alias("x"))
+    return numbered.groupBy("batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["id"]), "|").alias("ids"))
+
+
+def roots(base: str, robots: str | None) -> list[str]:
+    """Where site maps may begin: two usual places, and what robots.txt names."""
+    named = [line.split(":", 1)[1].strip() for line in (robots or "").splitlines() if line.lower().startswith("sitemap:")]
+    return list(dict.fromkeys([f"{base}/wp-sitemap.xml", f"{base}/sitemap.xml", *named]))
+
+
 def without_repeats(records: DataFrame, key: str = "id") -> DataFrame:
     """The first record of each id by page: pages shift while they are read."""
     from florilege.operators.dedup import first_seen

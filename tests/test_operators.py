@@ -102,8 +102,52 @@ def test_entry_rules(spark):
 
 def test_issue_order_and_site_rules(spark):
     pages = spark.createDataFrame([(1, "https://s.org/a", "<title>A title</title>" + "x" * 50), (2, "https://s.org/b", "<title>a Title</title>few"), (3, "https://s.org/c", "<img src=x>")], "page_id long, url string, html string")
-    pages = pages.withColumn("title", F.regexp_extract("html", "<title>(.*?)</title>", 1)).withColumn("slug", F.lit("s"))
+    pages = pages.withColumn("type", F.when(F.length("html") > 60, "page").otherwise("post")).withColumn("title", F.regexp_extract("html", "<title>(.*?)</title>", 1)).withColumn("slug", F.lit("s"))
     found = ranked(combined(site.duplicate_titles(pages), site.near_empty(pages), site.heavy_pages(pages, 60)))
-    assert [(r["severity"], r["url"]) for r in found.collect()] == [("Alta", "https://s.org/a"), ("Média", "https://s.org/a"), ("Baixa", "https://s.org/a"), ("Baixa", "https://s.org/b")]
+    assert [(r["severity"], r["url"]) for r in found.collect()] == [("Alta", "https://s.org/a"), ("Média", "https://s.org/a"), ("Baixa", "https://s.org/b")]
     assert site.outside_sitemap(pages, pages.select("url").limit(0)).count() == 0
     assert rows(site.outside_sitemap(pages, pages.where("page_id < 3").select("url")).select("url")) == [("https://s.org/c",)]
+
+
+def test_corrections_against_brute_force(spark):
+    import random
+
+    from florilege.operators import similarity
+
+    rng = random.Random(4)
+    known = {"".join(rng.choice("abc") for _ in range(rng.randrange(4, 8))): rng.randrange(1, 9) for _ in range(60)}
+    asked = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(4, 8))) for _ in range(60)} - set(known))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    expected = set()
+    for w in asked:
+        if found := [(d, -n, k) for k, n in known.items() if 1 <= (d := distance(w, k)) <= 2]:
+            d, _, k = min(found)
+            expected.add((w, k, d))
+    got = similarity.corrections(spark.createDataFrame([(w,) for w in asked], "word string"), spark.createDataFrame(list(known.items()), "word string, n int"))
+    assert {tuple(r) for r in got.collect()} == expected and len(expected) > 20
+
+
+def test_identities_keep_the_callers_columns(spark):
+    from florilege.operators import dedup
+
+    df = spark.createDataFrame([(1, "a", 7, 8, 9), (2, "a", 7, 8, 9)], "id long, text string, digest int, nth int, seen int")
+    got = dedup.identities(df, F.sha2("text", 256), F.col("id"))
+    assert got.columns == [*df.columns, "key"] and got.where("digest = 7 AND nth = 8").count() == 2
+    assert dedup.first_seen(df, ["text"], ["id"]).collect() == [(1, "a", 7, 8, 9)]
+
+
+def test_text_audit_is_cleaned(spark):
+    from florilege.rules import writing
+
+    texts = spark.createDataFrame([("u", "Corpo", "Vi meia meia rua. Uma Meia meia. A casa casa.\nO corrrer e janella boleetim Boleetim. Ã\x89t"), ("u", "Corpo", "meia meia"), ("v", "Corpo", None)], "url string, field string, text string")
+    known = spark.createDataFrame([("boletim",), ("correr",), ("janela",)], "word string")
+    got = {(r["url"], r["kind"], r["term"], r["suggestion"]) for r in writing.audit(texts, known).collect()}
+    assert got == {("u", writing.REPEATED, "meia", "remover repetição de 'meia'"), ("u", writing.DOUBLED, "boleetim", "boletim"), ("u", writing.ENCODING, "", "rever caracteres acentuados/encoding")} | {("u", writing.DOUBLED, "corrrer", "correr")}

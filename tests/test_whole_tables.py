@@ -45,7 +45,7 @@ def test_similar_terms_of_documents_against_brute_force(spark, tmp_path):
         if found:
             d, _, b, m = min(found)
             expected.add((a, n, b, m, d))
-    got = catalogue.QUERIES["document_similar_terms"](spark, str(tmp_path)).collect()
+    got = catalogue.QUERIES["similar_terms"](spark, str(tmp_path)).collect()
     assert len(expected) >= 6 and {(r["term"], r["n"], r["other"], r["other_n"], r["distance"]) for r in got} == expected
 
 
