@@ -1,10 +1,12 @@
 """Personal data by patterns, checksums and context, in DataFrame functions only.
 
 A pattern proposes spans; validators (Luhn for cards, mod 97 for IBANs, ranges and digit counts for the rest) confirm
-them; words before a span raise its score. Every confirmed span counts, whatever its score.
+them; words before or after a span raise its score. Every confirmed span counts, whatever its score.
 
-Defined results: a null text is empty and has no spans; a null doc_id and repeated rows are carried as they are; an empty
-table gives an empty result; other columns never matter (only doc_id and text are read).
+Defined results: a null text is empty and has no spans; a null doc_id and repeated rows are carried as they are; long texts are
+read whole, and spans are found and cut by bytes, so that time follows a text's length; spans of several kinds that begin at the
+same place are listed by kind; an empty table gives an empty result; only doc_id and text are read, so other columns may have
+any name.
 """
 
 from __future__ import annotations
@@ -15,9 +17,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters before a span in which context words count.
+from florilege.llm.common import fresh
+
+#: Characters before and after a span in which context words count.
 CONTEXT_CHARS = 48
 CONTEXT_GAIN = 0.2
+#: Matches that are placed in one go; blocks keep the placing of a text with very many from growing with their square.
+BLOCK = 64
 
 
 @dataclass(frozen=True)
@@ -90,74 +96,116 @@ def _confirmed(kind: str, text: Column, s: Column) -> Column:
     return F.lit(True)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _running(xs: Column, part: Callable[[Column], Column], join: Callable[[Column, Column], Column], use: Callable[[Column, Column], Column]) -> Column:
+    """use(x, all that comes before) for each x of an array: part(y) of what stands before x, joined, beginning with 0.
+
+    An accumulator that holds an array would be copied at each step, so blocks of the array are joined first, then what stands
+    before each block, then what stands before x in its block.
+    """
+    zero = F.lit(0).cast("long")
+    add = lambda acc, y: join(acc, part(y))
+
+    def each(block: Column, before: Column) -> Column:
+        return F.transform(block, lambda x, i: _bound(F.aggregate(F.slice(block, F.lit(1), i), before, add), lambda sofar: use(x, sofar)))
+
+    def over(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda block: F.aggregate(block, zero, add))
+        placed = lambda ts: F.transform(blocks, lambda block, k: _bound(F.aggregate(F.slice(ts, F.lit(1), k), zero, join), lambda before: each(block, before)))
+        return F.flatten(_bound(totals, placed))
+
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda k: F.slice(x, k * BLOCK + 1, F.lit(BLOCK)))
+    return _bound(_bound(xs, cut), over)
+
+
+_SPANS = "array<struct<start:bigint,end:bigint,from:bigint,to:bigint,value:string>>"
+
+
 def _proposed(text: Column, pattern: str) -> Column:
-    """Matches as (start, end, value): lengths of what lies between matches, summed up, give the places."""
+    """Matches as (start, end, from, to, value): what lies between matches gives the places, in characters and in bytes."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p).cast("long"))
-    both = F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda m, g: F.struct(m.alias("value"), g.alias("gap")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,value:string>>").alias("spans"))
+    gaps = F.split(text, pattern, -1)
+    # both lengths in one number, characters above bytes
+    length = lambda x: F.shiftleft(F.length(x).cast("long"), 32) + F.octet_length(x)
+    both = F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda m, g: F.struct(m.alias("value"), length(g).alias("gap"), (length(g) + length(m)).alias("whole")))
+
+    def span(x: Column, before: Column) -> Column:
+        begin, end = before + x["gap"], before + x["whole"]
+        char, byte = (lambda v: F.shiftright(v, 32)), (lambda v: v.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+        return F.struct(char(begin).alias("start"), char(end).alias("end"), byte(begin).alias("from"), byte(end).alias("to"), x["value"].alias("value"))
 
-    def step(acc: Column, x: Column) -> Column:
-        here = acc["at"] + x["gap"]
-        over = here + F.length(x["value"])
-        return F.struct(over.alias("at"), F.concat(acc["spans"], F.array(F.struct(here.alias("start"), over.alias("end"), x["value"].alias("value")))).alias("spans"))
+    every = _running(both, lambda x: x["whole"], lambda a, b: a + b, span)
+    return F.when(text.rlike(pattern), every).otherwise(F.array().cast(_SPANS))
 
-    return F.when(text.rlike(pattern), F.aggregate(both, start, step, lambda acc: acc["spans"])).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,value:string>>"))
 
+def _with_spans(docs: DataFrame, text: Column, name: str) -> DataFrame:
+    """Adds a struct column `name` with an array of confirmed spans per kind."""
+    return docs.withColumn(name, F.struct(*[F.filter(_proposed(text, k.pattern), _holds(k.name, text)).alias(k.name) for k in KINDS]))
 
-def _with_spans(docs: DataFrame, text: Column) -> DataFrame:
-    """Adds one array of confirmed spans per kind, named _pii_<kind>."""
-    out = docs
-    for kind in KINDS:
-        out = out.withColumn(f"_pii_{kind.name}", F.filter(_proposed(text, kind.pattern), _holds(kind.name, text)))
-    return out
 
+def _listed(kind: Kind, spans: Column) -> Column:
+    return F.transform(spans[kind.name], lambda s: F.concat_ws(":", F.lit(kind.name), s["start"].cast("string"), s["end"].cast("string")))
 
-def _listed(kind: Kind) -> Column:
-    return F.transform(F.col(f"_pii_{kind.name}"), lambda s: F.concat_ws(":", F.lit(kind.name), s["start"].cast("string"), s["end"].cast("string")))
 
+def _scored(kind: Kind, spans: Column, text: Column) -> Column:
+    most = 4 * CONTEXT_CHARS  # bytes that hold so many characters
 
-def _scored(kind: Kind, text: Column) -> Column:
-    def score(s: Column) -> Column:
-        begin = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-        before = F.lower(F.substring(text, (begin + 1).cast("int"), (s["start"] - begin).cast("int")))
-        return F.round(F.lit(kind.score) + F.when(before.rlike(kind.context), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0)), 2)
+    def score(s: Column, binary: Column) -> Column:
+        begin = F.greatest(s["from"] - most, F.lit(0))
+        before = F.substring(binary, (begin + 1).cast("int"), (s["from"] - begin).cast("int")).cast("string")
+        after = F.substring(binary, (s["to"] + 1).cast("int"), F.lit(most)).cast("string")
+        near = F.lower(F.concat(F.right(before, F.lit(CONTEXT_CHARS)), F.lit("\n"), F.left(after, F.lit(CONTEXT_CHARS))))
+        return F.round(F.lit(kind.score) + F.when(near.rlike(kind.context), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0)), 2)
 
-    return F.transform(F.col(f"_pii_{kind.name}"), score)
+    return _bound(text.cast("binary"), lambda binary: F.transform(spans[kind.name], lambda s: score(s, binary)))
 
 
 def find(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_iban, scores (in the order of spans)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = _with_spans(docs.select("doc_id", text.alias("text")), F.col("text"))
-    base = F.concat(*[_listed(k) for k in KINDS if k.base])
-    every = F.concat(*[_listed(k) for k in KINDS])
-    count = lambda k: F.size(f"_pii_{k}").cast("long").alias(f"n_{k}")
+    out = _with_spans(docs.select("doc_id", text.alias("text")), F.col("text"), "found")
+    spans = F.col("found")
+    base = F.concat(*[_listed(k, spans) for k in KINDS if k.base])
+    every = F.concat(*[_listed(k, spans) for k in KINDS])
+    count = lambda k: F.size(spans[k]).cast("long").alias(f"n_{k}")
     return out.select(
         "doc_id",
         *[count(k.name) for k in KINDS if k.base],
         F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"),
         F.array_join(every, ",").alias("spans"),
         *[count(k.name) for k in KINDS if not k.base],
-        F.concat(*[_scored(k, F.col("text")) for k in KINDS]).alias("scores"),
+        F.concat(*[_scored(k, spans, F.col("text")) for k in KINDS]).alias("scores"),
     )
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The same rows and columns, each confirmed span in text replaced by its kind in brackets; null texts stay null."""
-    text = F.col("text")
-    out = _with_spans(docs, F.coalesce(text, F.lit("")))
-    marked = lambda k: F.transform(F.col(f"_pii_{k.name}"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{k.name.upper()}]").alias("mark")))
-    spans = F.array_sort(F.concat(*map(marked, KINDS)))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
+    """The same rows and columns, each confirmed span in text replaced by its kind in brackets; null texts stay null.
+
+    Of spans that overlap, the first one's kind stands for all of them.
+    """
+    name = fresh("spans", docs.columns)
+    text, cut = F.col("text"), fresh("cut", [*docs.columns, name])
+    out = _with_spans(docs, F.coalesce(text.cast("string"), F.lit("")), name)
+    marked = lambda k: F.transform(F.col(name)[k.name], lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to"), F.lit(f"[{k.name.upper()}]").alias("mark")))
+    out = out.withColumn(cut, F.array_sort(F.concat(*map(marked, KINDS))))
+
+    def joined(binary: Column) -> Column:
+        piece = lambda a, b: F.substring(binary, (a + 1).cast("int"), (b - a).cast("int")).cast("string")
+        shown = lambda s, upto: F.when(s["from"] >= upto, F.concat(piece(upto, s["from"]), s["mark"])).otherwise("")
+        parts = _running(F.col(cut), lambda s: s["to"], lambda a, b: F.greatest(a, b), shown)
+        return F.concat(F.array_join(parts, ""), piece(F.array_max(F.transform(cut, lambda s: s["to"])), F.octet_length(binary)))
+
+    return out.withColumn("text", F.when(F.size(cut) > 0, _bound(text.cast("binary"), joined)).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
-    def step(acc: Column, s: Column) -> Column:
-        between = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        parts = F.when(s["start"] >= acc["at"], F.concat(acc["parts"], F.array(between, s["mark"]))).otherwise(acc["parts"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), parts.alias("parts"))
 
-    done = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    return out.withColumn("_pii_spans", spans).withColumn("text", F.when(F.size("_pii_spans") > 0, F.aggregate(F.col("_pii_spans"), start, step, done)).otherwise(text)).select(*docs.columns)
+def _sql_near(kind: Kind) -> str:
+    """The score of a span at a to b of text."""
+    near = f"lower(substr(text, greatest(a - {CONTEXT_CHARS}, 0) + 1, least(a, {CONTEXT_CHARS})) || chr(10) || substr(text, b + 1, {CONTEXT_CHARS}))"
+    return f"CAST(CAST({kind.score} + CASE WHEN regexp_matches({near}, '{kind.context}') THEN {CONTEXT_GAIN} ELSE 0 END AS DECIMAL(3, 2)) AS VARCHAR)"
 
 
 def _sql_kind(kind: str, pattern: str, keep: str) -> str:
@@ -165,7 +213,7 @@ def _sql_kind(kind: str, pattern: str, keep: str) -> str:
     return f"""{kind}_m AS (SELECT row_nr, text, regexp_extract_all(text, '{pattern}') AS m, list_transform(string_split_regex(text, '{pattern}'), lambda x: length(x)) AS g FROM d),
 {kind}_u AS (SELECT row_nr, text, unnest(range(1, len(m) + 1)) AS i, m, g FROM {kind}_m),
 {kind}_p AS (SELECT row_nr, text, m[i] AS v, CAST(list_sum(g[1:i]) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM {kind}_u),
-{kind}_s AS (SELECT row_nr, count(*) AS n, string_agg('{kind}:' || a || ':' || b, ',' ORDER BY a) AS s FROM (SELECT *, a + length(v) AS b FROM {kind}_p) WHERE {keep} GROUP BY row_nr)"""
+{kind}_s AS (SELECT row_nr, count(*) AS n, string_agg('{kind}:' || a || ':' || b, ',' ORDER BY a) AS s, string_agg({_sql_near(next(k for k in KINDS if k.name == kind))}, ',' ORDER BY a) AS c FROM (SELECT *, a + length(v) AS b FROM {kind}_p) WHERE {keep} GROUP BY row_nr)"""
 
 
 _SQL_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
@@ -187,6 +235,7 @@ ORACLE_SQL = (
     )
     + """
 SELECT d.doc_id, coalesce(email_s.n, 0) AS n_email, coalesce(ip_s.n, 0) AS n_ip, coalesce(card_s.n, 0) AS n_card, coalesce(phone_s.n, 0) AS n_phone,
-  sha256(concat_ws(',', email_s.s, ip_s.s, card_s.s, phone_s.s)) AS base_sha256, concat_ws(',', email_s.s, ip_s.s, card_s.s, phone_s.s, iban_s.s) AS spans, coalesce(iban_s.n, 0) AS n_iban
+  sha256(concat_ws(',', email_s.s, ip_s.s, card_s.s, phone_s.s)) AS base_sha256, concat_ws(',', email_s.s, ip_s.s, card_s.s, phone_s.s, iban_s.s) AS spans, coalesce(iban_s.n, 0) AS n_iban,
+  concat_ws(',', email_s.c, ip_s.c, card_s.c, phone_s.c, iban_s.c) AS scores
 FROM d LEFT JOIN email_s USING (row_nr) LEFT JOIN ip_s USING (row_nr) LEFT JOIN card_s USING (row_nr) LEFT JOIN phone_s USING (row_nr) LEFT JOIN iban_s USING (row_nr)"""
 )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from florilege.llm import decontamination, embeddings, html_text, jaccard, language, packing, pii, secrets, toxicity, warc
 from florilege.llm.common import table
@@ -38,7 +39,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(table(spark, sf_dir, "documents")).drop("scores")
+    listed = F.array_join(F.transform("scores", lambda x: x.cast("decimal(3,2)").cast("string")), ",")
+    return pii.find(table(spark, sf_dir, "documents")).withColumn("scores", listed)
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
