@@ -4,14 +4,16 @@ A candidate is a long string in a sensitive context (a key word shortly before i
 and a value. Its marginal size is what it adds to the compressed surrounding text, where the compressor is primed with a dictionary of identifiers;
 strings that hardly compress are reported, strings that repeat what stands around them or in the dictionary are not.
 
-Defined results: a null text is empty and has no spans; a null doc_id and repeated rows are carried; an empty table gives
-an empty result; only doc_id and text are read.
+Defined results: a null text is empty and has no spans; a null doc_id and repeated rows are carried; long texts are read whole,
+in time that follows their length; spans that begin at the same place are listed in the order of kinds; an empty table gives an
+empty result; only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -103,13 +105,14 @@ def _parts(m: re.Match) -> Iterator[tuple[int, int]]:
 def novel_spans(text: str, known: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
     """Candidates in a sensitive context that overlap no base span and hardly compress."""
     found = []
+    starts, ends = sorted(a for a, _, _ in known), sorted(b for _, _, b in known)
     for start, end in (s for m in CANDIDATE.finditer(text) for s in _parts(m)):
         value = text[start:end]
         if not any(c.isalpha() for c in value):
             continue
         if not value.startswith(PREFIXES) and not SENSITIVE.search(text, max(0, start - CONTEXT_CHARS), start):
             continue
-        if any(a < end and start < b for a, _, b in known):
+        if bisect_left(starts, end) > bisect_right(ends, start):  # more base spans begin before its end than end before its start
             continue
         if novelty.holds(text, start, end):
             found.append((start, 3, end))
@@ -139,3 +142,30 @@ def find(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, SCHEMA)
+
+
+def _sql_kind(kind: str, pattern: str, value: str, keep: str) -> str:
+    """Base spans of a kind in DuckDB SQL; `keep` sees value v. Lengths of what lies between matches, summed up, give the places."""
+    return f"""{kind}_m AS (SELECT nr, regexp_extract_all(text, '{pattern}') AS m, {value} AS v, list_transform(string_split_regex(text, '{pattern}'), lambda x: length(x)) AS g FROM d),
+{kind}_u AS (SELECT nr, unnest(range(1, len(m) + 1)) AS i, m, v, g FROM {kind}_m),
+{kind}_p AS (SELECT nr, m[i] AS x, v[i] AS v, CAST(list_sum(g[1:i]) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM {kind}_u),
+{kind}_s AS (SELECT nr, '{kind}' AS kind, a, a + length(x) AS b FROM {kind}_p WHERE {keep})"""
+
+
+_SQL_WORDS = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_SQL_ASSIGN = rf"""({_SQL_WORDS})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+#: The base spans; what novelty adds has no SQL.
+BASE_SQL = (
+    "WITH d AS (SELECT row_number() OVER () AS nr, doc_id, coalesce(text, '') AS text FROM documents),\n"
+    + ",\n".join(
+        (
+            _sql_kind("assign", _SQL_ASSIGN, f"regexp_extract_all(text, '{_SQL_ASSIGN}', 2)", "length(v) >= 6"),
+            _sql_kind("access", "AKIA[A-Z0-9]+", "[]", "length(x) >= 20"),
+            _sql_kind("hex", "[0-9a-f]+", "[]", "length(x) >= 24"),
+        )
+    )
+    + """,
+s AS (SELECT *, CASE kind WHEN 'assign' THEN 0 WHEN 'access' THEN 1 ELSE 2 END AS place FROM (FROM assign_s UNION ALL FROM access_s UNION ALL FROM hex_s)),
+l AS (SELECT nr, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, place) AS listed, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex FROM s GROUP BY nr)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(listed, '')) AS base_sha256 FROM d LEFT JOIN l USING (nr)"""
+)
