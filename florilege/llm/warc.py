@@ -5,7 +5,10 @@ start is a WARC header, follows members from there, and owns the records that be
 
 Defined results: null html is an empty payload; among rows with equal payloads of at least min_bytes that with the smallest
 page_id is the response (all of them, if several rows share that id), a null page_id is never smallest unless all are null;
-null urls leave out the target; an empty table gives no records; only page_id, url and html are read.
+null urls leave out the target; an empty table gives no records; long pages are read in parts; an archive that ends within a
+record fails the job with Damaged, as does a record whose digest or length is another (only a cut within a record's first bytes,
+in a range without other records, reads as if the record weren't there); only page_id, url and html are read, so
+other columns may have any name.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from florilege.llm.common import chunks, materialised, shared_dir
 FILE_BYTES, SPLIT_BYTES, FETCH_BYTES = 512 << 20, 16 << 20, 1 << 20
 #: So many revisits are sent to every task at most; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
-MAGIC = b"\x1f\x8b\x08"
+MAGIC, SAYS = b"\x1f\x8b\x08", b"WARC/1."
 _ID = "<urn:florilege:page:{}>"
 _ID_PATTERN = re.compile(r"<urn:florilege:page:(-?\d+)>")
 
@@ -69,60 +72,73 @@ def parse(raw: bytes) -> dict:
     said = fields["warc-payload-digest"].removeprefix("sha1:")
     kind = fields["warc-type"]
     if kind == "response" and (len(payload) != size or digest(payload) != said):
-        raise ValueError(f"damaged record {fields['warc-record-id']}")
+        raise Damaged(f"damaged record {fields['warc-record-id']}")
     number = lambda x: int(m[1]) if (m := _ID_PATTERN.fullmatch(x or "")) else None
     return {"page_id": number(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "payload_bytes": size, "payload_digest": said, "record_type": kind, "refers_to": number(fields.get("warc-refers-to")), "payload": payload if kind == "response" else None}
 
 
+def opened(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder's URI and the path in it; s3a and s3n are other names of s3."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder))
+
+
+class Damaged(ValueError):
+    """An archive that ends within a record, or a record that doesn't hold what it says."""
+
+
 def members(file, size: int, start: int, end: int) -> Iterator[bytes]:
-    """Decoded records of a gzip file whose members begin in [start, end)."""
-    buffer, base = b"", start  # buffer holds the file's bytes from base on
-
-    def more() -> bool:
-        nonlocal buffer
-        at = base + len(buffer)
-        if at >= size:
-            return False
+    """Decoded records of a gzip file whose members begin in [start, end).
+
+    Bytes that look like a member but don't decode to a record are passed over, as a range may begin anywhere; a member that
+    begins as a record and breaks off is damage, which is raised.
+    """
+    buffer, base = b"", start  # the file's bytes from base on
+
+    def fetch(at: int) -> bytes:
         file.seek(at)
-        buffer += file.read(min(FETCH_BYTES, size - at))
-        return True
+        return file.read(min(FETCH_BYTES, size - at))
 
-    at = start
+    at, done = start, None
     while at < end:
         found = buffer.find(MAGIC, at - base)
         if found < 0:
-            keep = max(at, base + len(buffer) - 2)
-            if not more():
-                return
-            buffer, base, at = buffer[keep - base :], keep, keep
+            keep = max(at, base + len(buffer) - len(MAGIC) + 1)
+            if base + len(buffer) >= size:
+                break
+            buffer, base, at = buffer[keep - base :] + fetch(base + len(buffer)), keep, keep
             continue
         at = base + found
         if at >= end:
-            return
+            break
         buffer, base = buffer[found:], at
-        inflate, out, used = zlib.decompressobj(31), [], 0
-        size_out, good = 0, True
-        while not inflate.eof:
-            if used == len(buffer) and not more():
-                good = False
-                break
+        inflate, out, head, upto, part = zlib.decompressobj(31), [], b"", at + len(buffer), buffer
+        broken = False
+        while True:
             try:
-                out.append(inflate.decompress(buffer[used:]))
+                out.append(inflate.decompress(part))
             except zlib.error:
-                good = False
+                broken = True
+                break
+            if len(head) < len(SAYS):
+                head += out[-1][: len(SAYS)]
+            if inflate.eof or (len(head) >= len(SAYS) and not head.startswith(SAYS)):
                 break
-            used = len(buffer)
-            size_out += len(out[-1])
-            if size_out >= 7 and not b"".join(out[:8])[:7].startswith(b"WARC/1."):
-                good = False
+            if upto >= size:
+                broken = True
                 break
-        raw = b"".join(out) if good else b""
-        if raw.startswith(b"WARC/1."):
-            yield raw
-            at = base + len(buffer) - len(inflate.unused_data)
-            buffer, base = inflate.unused_data, at
+            part = fetch(upto)
+            upto += len(part)
+        if head.startswith(SAYS):
+            if broken:
+                raise Damaged(f"the record at byte {at} of {size} breaks off")
+            yield b"".join(out)
+            rest = inflate.unused_data
+            at = done = upto - len(rest)
+            buffer, base = rest, at
         else:
             at += 1
+    if done is not None and end >= size > done:
+        raise Damaged(f"{size - done} bytes after the last record are none")
 
 
 def write(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -141,7 +157,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: int = F
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        system, root = fs.FileSystem.from_uri(folder)
+        system, root = opened(folder)
         system.create_dir(root)
         done, stream, size, n = [], None, 0, 0
         final = temporary = ""
@@ -178,7 +194,7 @@ def read(files: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES) -> DataF
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, _ = fs.FileSystem.from_uri(folder)
+        system, _ = opened(folder)
         types = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
         for batch in batches:
             for path, size, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
