@@ -108,7 +108,7 @@ def paragraph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(text.paragraphs(F.coalesce("text", F.lit("")))).cast("long").alias("paragraphs"))
 
 
-_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xE0, 0x100)))
 _DOUBLES = "|".join(f"{c}{c}+" for c in _LETTERS)
 _KNOWN_SQL = """k AS MATERIALIZED (SELECT word FROM (SELECT DISTINCT doc_id, lower(word) AS word FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]{4,}')) AS word FROM documents)) GROUP BY word HAVING count(*) >= 10)"""
 
@@ -127,7 +127,7 @@ def doubled_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lower-case words with a doubled letter that aren't known, where a form with one run shortened is: (word, meant, n)."""
     docs = table(spark, sf_dir, "documents")
     known = stored(known_words(docs), "known")
-    words = docs.select(F.explode(text.raw_words(F.col("text"))).alias("word")).where(F.col("word").rlike(r"([a-z])\1") & ~text.is_capitalised(F.col("word")) & (F.lower("word") == F.col("word")) & ~F.col("word").rlike("^[ivxlcdm]+$"))
+    words = docs.select(F.explode(text.raw_words(F.col("text"))).alias("word")).where(F.col("word").rlike(r"([a-zà-ÿ])\1") & ~text.is_capitalised(F.col("word")) & (F.lower("word") == F.col("word")) & ~F.col("word").rlike("^[ivxlcdm]+$"))
     odd = words.groupBy("word").agg(F.count("*").alias("n")).join(known, "word", "left_anti")
     forms = odd.select("word", "n", F.explode(text.collapsed(F.col("word"))).alias("meant"))
     return forms.join(known.withColumnRenamed("word", "meant"), "meant", "left_semi").select("word", "meant", "n")
@@ -138,8 +138,8 @@ CORPUS_CURATED = writing.Curated(repeated=("de", "of", "la", "der", "que", "los"
 
 _AUDIT_SQL = rf"""WITH p AS (SELECT DISTINCT doc_id, unnest({_PARAGRAPHS.format("text")}) AS p FROM documents WHERE text IS NOT NULL),
 c AS (SELECT doc_id, p, string_split(p, ' ') AS c FROM p),
-t AS (SELECT doc_id, unnest(list_transform(range(1, len(c)), lambda i: [regexp_extract(c[i], '(?:^|[^\p{{L}}\p{{N}}_])([A-Za-zÀ-ÖØ-öø-ÿ]{{3,}})$', 1), regexp_extract(c[i + 1], '^[\p{{L}}\p{{N}}_]+')])) AS w FROM c),
-r AS (SELECT doc_id, 'Palavra repetida consecutivamente' AS kind, lower(w[1]) AS term FROM t WHERE w[1] <> '' AND w[1] = w[2] AND w[1] IN ({', '.join(f"'{x}'" for x in CORPUS_CURATED.repeated)}) AND w[1] NOT IN ('que', 'the', 'and', 'para')),
+t AS (SELECT doc_id, unnest(list_transform(range(1, len(c)), lambda i: [regexp_extract(c[i], '(?:^|[^\p{{L}}\p{{N}}_])([A-Za-zÀ-ÖØ-öø-ÿ]{{3,}})$', 1), regexp_extract(c[i + 1], '^[\p{{L}}\p{{N}}_]+'), CASE WHEN i > 1 THEN regexp_extract(c[i - 1], '(?:^|[^\p{{L}}\p{{N}}_])([A-Za-zÀ-ÖØ-öø-ÿ]{{3,}})$', 1) ELSE '' END])) AS w FROM c),
+r AS (SELECT doc_id, 'Palavra repetida consecutivamente' AS kind, lower(w[1]) AS term FROM t WHERE w[1] <> '' AND w[1] = w[2] AND lower(w[3]) <> lower(w[1]) AND w[1] IN ({', '.join(f"'{x}'" for x in CORPUS_CURATED.repeated)}) AND w[1] NOT IN ('que', 'the', 'and', 'para')),
 e AS (SELECT doc_id, 'Possível problema de codificação' AS kind, '' AS term FROM p WHERE regexp_matches(p, '�|Ã[\x{{80}}-\x{{bf}}]')),
 y AS (SELECT doc_id, 'Erro conhecido recuperado' AS kind, lower(w) AS term FROM (SELECT doc_id, unnest(regexp_extract_all(p, '[\p{{L}}\p{{N}}_]+')) AS w FROM p) WHERE lower(w) IN ({', '.join(f"'{a}'" for a, _ in CORPUS_TYPOS)})),
 {_KNOWN_SQL},
