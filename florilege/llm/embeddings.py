@@ -4,11 +4,16 @@ Equal vectors are one class. Unit vectors are turned into the eigenbasis of thei
 coordinates hold most of a product. A tree over a bounded sample splits space; its leaves, salted where they are large,
 are blocks. Pairs of blocks whose bounding boxes allow the threshold are compared in one task each, tile by tile: leading
 dimensions first, the rest bounded by the product of suffix norms, until no pair can reach the threshold. Tasks return a
-count per vector and a spanning forest, never all pairs.
+count per vector and a spanning forest, never all pairs. Vectors of different lengths are compared apart: each length that
+has more than a block of vectors as said, all others in one task per length.
 
-Defined results: null vectors, zero vectors, and vectors with null or non-finite components or of another length than the
-longest-used one link with nothing, as do rows with a null vec_id (their component_id is null, kept is false); repeated rows
-are vectors of their own; an empty table gives an empty result.
+Boxes prune what is clustered; vectors that fill space evenly are all compared by their leading dimensions, in a time that grows
+with the square of their number.
+
+Defined results: null vectors, zero vectors, and vectors with null or non-finite components link with nothing, as do rows with a
+null vec_id (their component_id is null, kept is false); vectors link with those of their own length only; repeated rows are
+vectors of their own; a cosine of exactly the threshold is a link; an empty table gives an empty result; only vec_id and embedding
+are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -18,16 +23,21 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from florilege.llm.common import materialised
+from florilege.llm.common import materialised, mix
 from florilege.llm.components import components
 
 THRESHOLD = 0.9
 #: Vectors of a block at most (on average; small tables make at least BLOCKS blocks of LEAST_BLOCK or more), of a tile, and of
-#: the sample that places the tree's cuts.
-BLOCK, LEAST_BLOCK, BLOCKS, TILE, SAMPLE = 8192, 1024, 12, 512, 20_000
+#: the sample that places the tree's cuts. A block of 64 numbers each takes 16 MB; larger ones are sent to fewer tasks.
+BLOCK, LEAST_BLOCK, BLOCKS, TILE, SAMPLE = 32_768, 1024, 6, 512, 20_000
+#: Leading dimensions that boxes have.
+LEAD = 16
 #: Dimensions after which tiles are judged again.
-STEPS = (8, 16, 32, 64, 128, 256, 512)
+STEPS = (16, 32, 64, 128, 256, 512)
+#: Where fewer pairs of a tile than this share are left, they go on one by one.
+SPARSE = 1 / 16
 _EPS = 1e-9
 
 
@@ -121,20 +131,27 @@ class Forest:
 def linked(a: np.ndarray, b: np.ndarray, sa: np.ndarray, sb: np.ndarray, threshold: float, steps: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (i, j, product) of two tiles that may reach the threshold; sa, sb: suffix norms at each step."""
     rows, cols = np.arange(len(a)), np.arange(len(b))
-    product = np.zeros((len(a), len(b)))
-    done = 0
+    product, done, least = np.zeros((len(a), len(b))), 0, threshold - _EPS
     for k, step in enumerate(steps):
         product += a[rows, done:step] @ b[cols, done:step].T
-        alive = product + np.outer(sa[rows, k], sb[cols, k]) >= threshold - _EPS
+        alive = product >= least - np.outer(sa[rows, k], sb[cols, k])
+        done = step
+        left = np.count_nonzero(alive)
+        if left <= SPARSE * alive.size or k == len(steps) - 1:
+            break
         keep_r, keep_c = alive.any(1), alive.any(0)
-        if not keep_r.any():
-            return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
         if not (keep_r.all() and keep_c.all()):
-            rows, cols = rows[keep_r], cols[keep_c]
-            product, alive = product[np.ix_(keep_r, keep_c)], alive[np.ix_(keep_r, keep_c)]
-        done = step
+            rows, cols, product = rows[keep_r], cols[keep_c], product[np.ix_(keep_r, keep_c)]
     i, j = np.nonzero(alive)
-    return rows[i], cols[j], product[i, j]
+    i, j, found = rows[i], cols[j], product[i, j]
+    for k, step in list(enumerate(steps))[k + 1 :]:
+        if not len(i):
+            break
+        found = found + (a[i, done:step] * b[j, done:step]).sum(1)
+        done = step
+        alive = found + sa[i, k] * sb[j, k] >= least
+        i, j, found = i[alive], j[alive], found[alive]
+    return i, j, found
 
 
 def compare(frame: pd.DataFrame, basis: np.ndarray, threshold: float, tile: int = TILE) -> pd.DataFrame:
@@ -173,59 +190,99 @@ def compare(frame: pd.DataFrame, basis: np.ndarray, threshold: float, tile: int
     return pd.DataFrame({"kind": np.r_[np.zeros(hit.sum(), int), np.ones(child.sum(), int)], "a": np.r_[ids[hit], ids[child]], "b": np.r_[counts[hit], ids[root[child]]]})
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """Per row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept."""
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("embedding"))
-    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    usable = F.coalesce(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
-    classes = rows.where(usable).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-    classes = materialised(classes, "vectors")
-    sizes = sorted(classes.groupBy(F.size("embedding").alias("d")).agg(F.sum("n").alias("n")).collect(), key=lambda r: (-r["n"], r["d"]))
-    none = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    if not sizes:
-        return none
-    d = sizes[0]["d"]
-    classes = classes.where(F.size("embedding") == d)
-    total = classes.count()
+class Blocks:
+    """Which block a vector is in, and which blocks a block is compared with. Its size follows the number of blocks."""
+
+    def __init__(self, sizes: dict[int, int], low: np.ndarray, high: np.ndarray, block: int, threshold: float):
+        """sizes: vectors by leaf; low, high: box by leaf."""
+        parts = np.array([-(-sizes.get(k, 0) // block) for k in range(len(low))])
+        self.first, self.parts = np.cumsum(parts) - parts, np.maximum(parts, 1)
+        leaf = np.repeat(np.arange(len(low)), parts)
+        self.low, self.high, self.least = low[leaf], high[leaf], threshold - 1e-6
+
+    def of(self, leaf: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        return self.first[leaf] + (mix(ids.astype(np.int64).view(np.uint64)) % self.parts[leaf].astype(np.uint64)).astype(np.int64)
+
+    def partners(self, p: int) -> np.ndarray:
+        """Blocks q with a product that can reach the threshold; p is one of them."""
+        low, high = self.low[p], self.high[p]
+        most = np.maximum.reduce([low * self.low, low * self.high, high * self.low, high * self.high]).sum(1)
+        found = most >= self.least
+        found[p] = True
+        return np.flatnonzero(found)
+
+
+def _found(classes: DataFrame, d: int, total: int, threshold: float, block: int) -> DataFrame:
+    """(kind, a, b), as compare() gives them, for all classes (embedding, rep, n) of vectors of length d."""
     block = min(block, max(LEAST_BLOCK, -(-total // BLOCKS)))
     basis = np.linalg.eigh(_moments(classes, d))[1][:, ::-1].copy()
     sample = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < F.lit(min(1.0, SAMPLE / total) * (1 << 20))).select("embedding").toPandas()["embedding"]
-    lead = min(d, 16)
+    lead = min(d, LEAD)
     seen = _unit(np.array(sample.tolist(), np.float64).reshape(-1, d)) @ basis
     nodes = grow(seen[:, :lead], max(1, int(block * len(seen) / total))) if len(seen) else [(-1, 0.0, 0, 0)]
+    leaves = sum(1 for x in nodes if x[0] < 0)
+
+    def placed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        x = (_unit(_matrix(batch.column(0), d)) @ basis)[:, :lead]
+        return leaf_of(nodes, x), np.c_[x, np.sqrt(np.maximum(1 - (x * x).sum(1), 0))]
 
-    def place(batches):
+    def boxes(batches):
+        size, low, high = np.zeros(leaves, np.int64), np.full((leaves, lead + 1), np.inf), np.full((leaves, lead + 1), -np.inf)
         for batch in batches:
-            x = (_unit(_matrix(batch.column(0), d)) @ basis)[:, :lead]
-            rest = np.sqrt(np.maximum(1 - (x * x).sum(1), 0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf_of(nodes, x)), pa.array(np.c_[x, rest].tolist(), pa.list_(pa.float64()))], names=["embedding", "rep", "n", "leaf", "lead"])
-
-    placed = materialised(classes.select("embedding", "rep", "n").mapInArrow(place, "embedding array<float>, rep long, n long, leaf long, lead array<double>"), "placed")
-    # leaves are few (rows / block at most, doubled by the tree's rounding): their sizes and boxes are plain numbers on the driver
-    edge = [f(F.element_at("lead", i + 1)).alias(f"{f.__name__}{i}") for i in range(lead + 1) for f in (F.min, F.max)]
-    leaves = placed.groupBy("leaf").agg(F.count("*").alias("size"), *edge).collect()
-    blocks, first = [], {}
-    for r in leaves:
-        parts = -(-r["size"] // block)
-        first[r["leaf"]] = (len(blocks), parts)
-        blocks += [r] * parts
-    low = np.array([[r[f"min{i}"] for i in range(lead + 1)] for r in blocks])
-    high = np.array([[r[f"max{i}"] for i in range(lead + 1)] for r in blocks])
-    pairs: dict[int, list[tuple[int, int]]] = {k: [] for k in range(len(blocks))}
-    tasks = 0
-    for p in range(len(blocks)):
-        most = np.maximum.reduce([low[p] * low[p:], low[p] * high[p:], high[p] * low[p:], high[p] * high[p:]]).sum(1)
-        for q in p + np.flatnonzero(most >= threshold - 1e-6):
-            pairs[p].append((tasks, 0))
-            if q != p:
-                pairs[int(q)].append((tasks, 1))
-            tasks += 1
-    spark = classes.sparkSession
-    where = spark.createDataFrame([(leaf, s, [(t, side) for t, side in pairs[at + s]]) for leaf, (at, parts) in first.items() for s in range(parts)], "leaf long, salt long, at array<struct<task:long,side:int>>")
-    salts = F.create_map(*[F.lit(x) for leaf, (_, parts) in first.items() for x in (leaf, parts)])
-    dealt = placed.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(3)), F.element_at(salts, F.col("leaf")))).join(F.broadcast(where), ["leaf", "salt"])
-    dealt = dealt.select(F.col("rep").alias("vec_id"), "n", "embedding", F.explode("at").alias("at")).select("vec_id", "n", "embedding", "at.task", "at.side")
-    found = materialised(dealt.groupBy("task").applyInPandas(lambda frame: compare(frame, basis, threshold), "kind int, a long, b long"), "links")
+            leaf, x = placed(batch)
+            size += np.bincount(leaf, minlength=leaves)
+            np.minimum.at(low, leaf, x)
+            np.maximum.at(high, leaf, x)
+        some = np.flatnonzero(size)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(size[some]), pa.array(low[some].tolist(), pa.list_(pa.float64())), pa.array(high[some].tolist(), pa.list_(pa.float64()))], names=["leaf", "size", "low", "high"])
+
+    # leaves are few (rows / block, doubled by the tree's rounding), so what the driver sees and every task gets follows rows / block
+    edges = [f(F.element_at(c, i + 1)).alias(f"{c}{i}") for c, f in (("low", F.min), ("high", F.max)) for i in range(lead + 1)]
+    parts = classes.select("embedding").mapInArrow(boxes, "leaf long, size long, low array<double>, high array<double>")
+    known = parts.groupBy("leaf").agg(F.sum("size").alias("size"), *edges).collect()
+    low, high = np.zeros((leaves, lead + 1)), np.zeros((leaves, lead + 1))
+    for r in known:
+        low[r["leaf"]], high[r["leaf"]] = [r[f"low{i}"] for i in range(lead + 1)], [r[f"high{i}"] for i in range(lead + 1)]
+    blocks = Blocks({r["leaf"]: r["size"] for r in known}, low, high, block, threshold)
+
+    def deal(batches):
+        partners: dict[int, np.ndarray] = {}
+        for batch in batches:
+            own = blocks.of(placed(batch)[0], batch.column(1).to_numpy())
+            for p in np.unique(own).tolist():
+                if p not in partners:
+                    partners[p] = blocks.partners(p)
+                rows = batch.filter(pa.array(own == p))
+                for q in partners[p].tolist():
+                    n = rows.num_rows
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(n, min(p, q))), pa.array(np.full(n, max(p, q))), pa.array(np.full(n, int(p > q), np.int32))], names=["embedding", "vec_id", "n", "p", "q", "side"])
+
+    element = classes.schema["embedding"].dataType.elementType.simpleString()
+    dealt = classes.select("embedding", "rep", "n").mapInArrow(deal, f"embedding array<{element}>, vec_id long, n long, p long, q long, side int")
+    return materialised(dealt.groupBy("p", "q").applyInPandas(lambda frame: compare(frame, basis, threshold), "kind int, a long, b long"), "links")
+
+
+def _alone(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """compare() within all vectors of one length, turned into an eigenbasis of their own."""
+    x = _unit(np.array(frame["embedding"].tolist(), np.float64))
+    return compare(frame.assign(side=0), np.linalg.eigh(x.T @ x)[1][:, ::-1].copy(), threshold)
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """Per row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept."""
+    given = vectors.schema["embedding"].dataType
+    element = "float" if isinstance(given, ArrayType) and isinstance(given.elementType, FloatType) else "double"
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(f"array<{element}>").alias("embedding"))
+    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    usable = F.coalesce(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
+    classes = rows.where(usable).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    classes = materialised(classes.withColumn("d", F.size("embedding")), "vectors")
+    large = classes.groupBy("d").agg(F.count("*").alias("n")).where(F.col("n") > min(block, LEAST_BLOCK)).orderBy("d").collect()
+    small = classes.where(~F.col("d").isin([r["d"] for r in large])) if large else classes
+    found = small.select(F.col("rep").alias("vec_id"), "n", "embedding", "d").groupBy("d").applyInPandas(lambda frame: _alone(frame, threshold), "kind int, a long, b long")
+    found = materialised(found, "links")
+    for r in large:
+        found = found.unionByName(_found(classes.where(F.col("d") == r["d"]), r["d"], r["n"], threshold, block))
     links = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
     roots = components(found.where("kind = 1").select("a", "b")).withColumnRenamed("id", "rep")
     known = classes.join(links, "rep", "left").join(roots, "rep", "left").select(F.col("embedding").alias("e"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component_id", "rep").alias("component"))
