@@ -193,8 +193,13 @@ def test_embeddings_against_brute_force(spark):
     base = rng.normal(size=(40, 12))
     x = np.concatenate([base, base[:20] + rng.normal(scale=0.1, size=(20, 12)), base[:5], base[5:9] * 3, np.repeat(base[:1], 30, 0)]).astype(np.float32)
     rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    other = rng.normal(size=(30, 5)).astype(np.float32)
+    other[10:20] = other[:10] * 2 + 0.01
+    rows += [(2000 + k, v.tolist()) for k, v in enumerate(other)]
     rows += [(1000, None), (1001, [0.0] * 12), (1002, [float("nan")] * 12), (1003, [None] + [1.0] * 11), (1004, [1.0]), (None, x[0].tolist()), (1005, [float("inf")] * 12), (1006, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("label", F.lit(1))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for name in ("label", "rep", "n", "d", "n_links", "component_id", "kept", "p", "q"):
+        df = df.withColumn(name, F.lit(1))
     for block in (10, 8192):
         got = {r["vec_id"]: r for r in embeddings.near_duplicates(df, block=block).collect() if r["vec_id"] is not None}
         y = x.astype(np.float64)
@@ -204,9 +209,28 @@ def test_embeddings_against_brute_force(spark):
         for k in range(len(x)):
             assert (got[k]["n_links"], got[k]["component_id"], got[k]["kept"]) == (links[k].sum(), comp[k], comp[k] == k)
         assert all(got[k]["n_links"] == 0 and got[k]["component_id"] == k for k in range(1000, 1007))
+        unit = other / np.linalg.norm(other.astype(np.float64), axis=1, keepdims=True)
+        links = (unit @ unit.T >= 0.9) & ~np.eye(30, dtype=bool)
+        assert [got[2000 + k]["n_links"] for k in range(30)] == links.sum(1).tolist() and links.sum() >= 20
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_in_doubles(spark):
+    """Vectors that single precision can't tell from the threshold."""
+    angle = np.arccos(0.9)
+    rows = [(1, [1.0, 0.0]), (2, [float(np.cos(angle + 1e-9)), float(np.sin(angle + 1e-9))]), (3, [float(np.cos(-angle + 1e-9)), float(np.sin(-angle + 1e-9))])]
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: 1, 2: 0, 3: 1}
+
+
+def test_boxes_prune_clusters():
+    """Blocks of clusters that are far apart aren't compared."""
+    low, high = np.array([[0.9, 0.0, 0.0], [0.0, 0.9, 0.0], [0.8, 0.0, 0.0]]), np.array([[1.0, 0.1, 0.3], [0.1, 1.0, 0.3], [0.9, 0.3, 0.5]])
+    blocks = embeddings.Blocks({0: 10, 1: 25, 2: 5}, low, high, 10, 0.9)
+    assert [blocks.partners(p).tolist() for p in range(5)] == [[0, 4], [1, 2, 3], [1, 2, 3], [1, 2, 3], [0, 4]]
+    assert set(blocks.of(np.array([0, 1, 1, 1, 1, 2]), np.arange(6)).tolist()) <= {0, 1, 2, 3, 4}
+
+
 # -- Jaccard
 
 
@@ -256,12 +280,57 @@ def test_jaccard_edges(spark):
     assert np.bincount(row, minlength=4).tolist() == [1, 1, 0, 5] and len(code) == 7
 
 
+def test_jaccard_ids_that_clash(spark):
+    rng = random.Random(21)
+    base, other, third = words(rng, 60), words(rng, 60), words(rng, 60)
+    rows = [(5, base, "a"), (5, other, "b"), (7, other + " x", "c"), (3, third, "d"), (9, third, "e"), (3, third, "d"), (3, third + " y", "f"), (8, "", "g"), (8, None, "h"), (None, base, "i"), (4, base + " z", "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for name in ("_sig", "_SIG_", "cls", "rep", "root", "component", "_kept"):
+        docs = docs.withColumn(name, F.lit(1))
+    got = sorted((str(r["doc_id"]), r["component_id"]) for r in jaccard.group(docs).collect())
+    assert got == [("3", 3), ("3", 3), ("3", 3), ("4", 4), ("5", 4), ("5", 5), ("7", 5), ("8", 8), ("8", 8), ("9", 3), ("None", None)]
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    sources = sorted(r["source"] for r in kept.collect())
+    assert sources in (list("bdghij"), list("bfghij"))  # of both sets of document 3 the one of smaller number
+    assert sorted(r["source"] for r in jaccard.keep_one(docs.where("source IN ('a', 'c', 'd', 'e', 'j', 'g', 'i')")).collect()) == list("cdgij")
+
+
+def test_levels_and_passes(spark, monkeypatch):
+    """Few slots, low thresholds and further passes change the order of shingles, never the links."""
+    for name, value in (("FREQUENT", 2), ("COUNTED", 1), ("EXACT", 40), ("LEVELS", 1 << 11), ("DENSE", 0), ("HELD_ROWS", 3), ("BROADCAST_ROWS", 5)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(5)
+    texts = planted(rng)
+    sets = [shingle_set(t) for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    expected = reach(range(len(texts)), links)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.group(frame(spark, texts)).collect()} == expected
+    counted = spark.createDataFrame([(5, 2), (1 << 62, 9), (-7, 300)], "token long, times long")
+    asked = np.array([5, 1 << 62, -7, 1 << 61], np.int64).view(np.uint64)
+    assert jaccard.Levels.of(counted)(asked).tolist() == [1, 3, 8, 0]
+    monkeypatch.setattr(jaccard, "EXACT", 1)
+    levels = jaccard.Levels.of(counted)
+    assert len(levels.tokens) == 1 and levels(asked).tolist() == [1, 3, 8, 0]
+
+
+def test_shared_streams_runs():
+    rng = random.Random(6)
+    rows = sorted((rng.randrange(30), k, 0, rng.choice((1, 1, 1, 2)) if k % 3 else 1, 9) for k in range(400))
+    names = ["token", "cls", "group", "comp", "n"]
+    table = pa.table(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
+    mixed = {t for t in range(30) if len({r[3] for r in rows if r[0] == t}) > 1}
+    for size in (1, 7, 400):
+        got = [tuple(r[n] for n in names) for b in jaccard.shared(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        assert got == [r for r in rows if r[0] in mixed]
+
+
 def test_matrix_links():
     import pandas as pd
 
     rng = random.Random(3)
     base = words(rng, 50)
-    frame_ = pd.DataFrame({"side": [0, 0, 1, 1], "rep": [1, 2, 10, 11], "text": [base, words(rng, 40), base + " x", words(rng, 50)]})
+    frame_ = pd.DataFrame({"side": [0, 0, 1, 1], "cls": [1, 2, 10, 11], "text": [base, words(rng, 40), base + " x", words(rng, 50)]})
     assert jaccard.matrix_links(frame_).values.tolist() == [[10, 1]]
 
 
@@ -341,10 +410,22 @@ def test_pii_against_brute_force(spark):
     text = "My iban GB82 WEST 1234 5698 7654 32. Mail a@b.org, or é@x 4111 1111 1111 1111"
     docs = frame(spark, [text, None, "clean"]).withColumn("_spans", F.lit(0))
     out = [r["text"] for r in pii.redact(docs).orderBy("doc_id").collect()]
-    assert out == ["My iban [IBAN]. Mail [EMAIL], or é@x [CARD]", None, "clean"] and pii.redact(docs).columns == docs.columns
+    assert out == ["My iban [IBAN]. Mail [EMAIL], or é@x [CARD]", None, "clean"] and pii.redact(docs).where("_spans = 0").count() == 3 and pii.redact(docs).columns == docs.columns
     assert pii.find(frame(spark, [])).count() == pii.redact(frame(spark, [])).count() == 0
 
 
+def test_pii_many_spans_and_clashing_columns(spark):
+    many = "é a@b.org, " * 1500
+    docs = frame(spark, [many, "card 4111 1111 1111 1111, 1.2.3.4", "1.2.3.4 is the host", "1.2.3.4 " + "x" * 60 + " host"])
+    for name in ("spans", "cut", "found", "Spans_", "_pii_email", "scores", "n_email"):
+        docs = docs.withColumn(name, F.lit(name))
+    rows = pii.find(docs).orderBy("doc_id").collect()
+    assert rows[0]["n_email"] == 1500 and rows[0]["spans"] == ",".join(f"email:{11 * k + 2}:{11 * k + 9}" for k in range(1500))
+    assert rows[0]["scores"] == [0.7] * 1500 and rows[1]["scores"] == [0.5, 0.8] and rows[2]["scores"] == [0.7] and rows[3]["scores"] == [0.5]
+    out = pii.redact(docs).orderBy("doc_id").collect()
+    assert out[0]["text"] == "é [EMAIL], " * 1500 and out[1]["text"] == "card [CARD], [IP]" and out[0]["_pii_email"] == "_pii_email" and out[0]["spans"] == "spans"
+
+
 # -- packing
 
 
