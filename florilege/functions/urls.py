@@ -100,15 +100,18 @@ def joined(base: pd.Series, reference: pd.Series) -> pd.Series:
     return pd.Series([None if b is None or r is None else urljoin(b, r) for b, r in zip(base, reference, strict=True)])
 
 
-@F.pandas_udf(StringType())
-def safe(url: pd.Series) -> pd.Series:
-    """Path and query decoded and encoded again."""
+def safe_address(url: str) -> str:
+    """An address with path and query decoded and encoded again; the last segment's parameters and the fragment are dropped."""
+    p = urlsplit(url)
+    folder, _, last = p.path.rpartition("/")
+    path = f"{folder}/{last.partition(';')[0]}" if "/" in p.path else p.path.partition(";")[0]
+    return p._replace(path=quote(unquote(path), safe="/%"), query=quote(unquote(p.query), safe="=&?/:+,%"), fragment="").geturl()
 
-    def one(x: str) -> str:
-        p = urlsplit(x)
-        return p._replace(path=quote(unquote(p.path), safe="/%"), query=quote(unquote(p.query), safe="=&?/:+,%")).geturl()
 
-    return url.map(one, na_action="ignore")
+@F.pandas_udf(StringType())
+def safe(url: pd.Series) -> pd.Series:
+    """safe_address of each."""
+    return url.map(safe_address, na_action="ignore")
 
 
 def with_parameter(url: Column, name: str, value: Column) -> Column:

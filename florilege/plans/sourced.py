@@ -13,7 +13,7 @@ from florilege.operators.stored import shared_dir
 from florilege.plans import sqltext as q
 from florilege.plans.words import CORPUS_TYPOS, tokens
 from florilege.registry import query, table
-from florilege.sources import files, markup, paged
+from florilege.sources import files, markup, paged, workbook
 from florilege.sources.schemas import agreed
 
 
@@ -48,7 +48,7 @@ def allowed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("X31", "SELECT page_id, regexp_replace(url, '[?#].*$', '') || '/%C3%A1%20b%2Fc?q=%C3%BC%20x&c=~' AS address FROM pages")
 def safe_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses of pages with a path and a query that need encoding."""
-    odd = F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit("/á b%252Fc?q=%C3%BC x&c=%7E"))
+    odd = F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit("/á b%252Fc;v=1?q=%C3%BC x&c=%7E#f"))
     return table(spark, sf_dir, "pages").select("page_id", urls.safe(odd).alias("address"))
 
 
@@ -93,7 +93,18 @@ def parsed_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", F.size("links").alias("links"), F.size("images").alias("images"), F.size("headings").alias("headings"), "word_count", "html_length", "shortcodes")
 
 
-@query("S7 K5 K6", "SELECT r_regionkey, r_name FROM region")
+@query("S7 K2 O5", "SELECT 'nations' AS sheet, CAST(n_nationkey AS VARCHAR) AS key, n_name AS name FROM nation UNION ALL (SELECT 'customers', CAST(c_custkey AS VARCHAR), c_name FROM customer ORDER BY c_custkey LIMIT 200)")
+def workbook_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook of three sheets, one of them capped; two are read again by their names."""
+    path = f"{_place(spark, 'workbook')}.xlsx"
+    pick = lambda name, key, label: table(spark, sf_dir, name).select(F.col(key).alias("key"), F.col(label).alias("name")).orderBy("key")
+    workbook.write(spark, {"nations": pick("nation", "n_nationkey", "n_name"), "regions": pick("region", "r_regionkey", "r_name"), "customers": pick("customer", "c_custkey", "c_name")}, path, rows=200)
+    cells = workbook.read(spark, path, ("nations", "customers"))
+    found = [workbook.table_of(cells, name).select(F.lit(name).alias("sheet"), "key", "name") for name in ("nations", "customers")]
+    return found[0].unionByName(found[1])
+
+
+@query("K5 K6", "SELECT r_regionkey, r_name FROM region")
 def written_and_read_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _place(spark, "sheet")
     sinks.csv_checked(table(spark, sf_dir, "region").select("r_regionkey", "r_name"), path)

@@ -136,3 +136,73 @@ def test_streams(spark, tmp_path):
     write(spark.createDataFrame([(2, None), (3, None)], "id long, at timestamp"), 99)
     write(spark.createDataFrame([(2, None), (3, None)], "id long, at timestamp"), 99)
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "journal")).collect()) == [1, 2, 3]
+
+
+def test_workbooks(spark, tmp_path):
+    from florilege.sources import workbook
+
+    a = spark.createDataFrame([(1, "x <&> é", None), (2, None, " b ")], "k long, t string, u string").orderBy("k")
+    path = str(tmp_path / "w.xlsx")
+    workbook.write(spark, {"A": a, 'B "q"': a.select("k"), "none": a.limit(0)}, f"file://{path}", rows=1)
+    cells = workbook.read(spark, path)
+    assert [tuple(r) for r in workbook.table_of(cells, "A").collect()] == [("1", "x <&> é", None)]
+    assert {r["sheet"] for r in cells.collect()} == {"A", 'B "q"', "none"} and workbook.read(spark, path, ("A",)).count() == 2
+    with pytest.raises(ValueError, match="no sheet"):
+        workbook.table_of(cells, "other")
+    assert [workbook._column(workbook._name(k) + "7") for k in (0, 25, 26, 701, 702)] == [0, 25, 26, 701, 702]
+
+
+@pytest.fixture
+def site():
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_HEAD(self):
+            self.answer(self.path != "/no-head", 405)
+
+        def do_GET(self):
+            self.answer(True, 405)
+
+        def answer(self, allowed, refused):
+            base = f"http://127.0.0.1:{self.server.server_port}"
+            page = int(self.path.partition("&page=")[2][:1] or 0) if "posts" in self.path else 0
+            bodies = {
+                "/robots.txt": f"User-agent: *\nSitemap: {base}/maps.xml\n".encode(),
+                "/maps.xml": f'<s xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><sitemap><loc>{base}/one.xml</loc></sitemap><sitemap><loc>{base}/gone.xml</loc></sitemap></s>'.encode(),
+                "/one.xml": f'<u xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> {base}/p1 </loc></url><url><loc>{base}/p2</loc></url></u>'.encode(),
+                "/odd": b"ok \xff", "/no-head": b"here", "/%C3%A1": b"accent",
+            }
+            content = json.dumps([{"id": 2 * page}, {"id": 2 * page + 1}]).encode() if page else bodies.get(self.path)
+            status = refused if not allowed else 404 if content is None else 200
+            self.send_response(status)
+            self.send_header("X-WP-TotalPages", "3")
+            self.end_headers()
+            if self.command == "GET" and content and status == 200:
+                self.wfile.write(content)
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_web(spark, site):
+    from florilege.rules import site as rules
+    from florilege.sources import web
+
+    assert web.text(f"{site}/odd")[:2] == ("ok \ufffd", 200) and web.text(f"{site}/á#x")[0] == "accent"
+    records, skipped = paged.scan(spark, "posts", web.pages(site, "id", 2, pause_s=0), "id long", wait_s=0)
+    assert sorted(r["id"] for r in records.collect()) == [2, 3, 4, 5, 6, 7] and skipped.count() == 0
+    assert web.site_map(site) == [f"{site}/p1", f"{site}/p2"]
+    links = spark.createDataFrame([(f"{site}{p}",) for p in ("/odd", "/no-head", "/gone", "/odd")] + [("http://127.0.0.1:9/x",), (None,)], "url string")
+    got = {r["url"].removeprefix(site): (r["status"], r["error"] is None) for r in web.checked(links, 5, 0, 2).collect()}
+    assert got == {"/odd": (200, True), "/no-head": (200, True), "/gone": (404, True), "http://127.0.0.1:9/x": (None, False)}
+    bad = rules.broken_links(web.checked(links, 5, 0, 2))
+    assert sorted(r["url"].removeprefix(site) for r in bad.collect()) == ["/gone", "http://127.0.0.1:9/x"]
+    read = {r["url"].removeprefix(site): (r["text"], r["error"] is None) for r in web.texts(spark, [f"{site}/odd", f"{site}/gone"]).collect()}
+    assert read == {"/odd": ("ok \ufffd", True), "/gone": (None, False)}
+    assert web.parameters(web.address(site, "posts", a=1, b=None, c="é")) == {"a": "1", "c": "é"}
