@@ -30,12 +30,11 @@ def first_n(df: DataFrame, keys: list[str], order: list, n: int, name: str = "or
 def with_examples(df: DataFrame, keys: list[str], example: list[str], n: int) -> DataFrame:
     """Rows per key, and the n first examples in the order of their columns, joined as text."""
     text = F.concat_ws("@", *[F.col(c).cast("string") for c in example])
-    # rows are counted by key and example once, before any shuffle; both results come of that
+    # rows are counted by key and example, before the shuffle; both results come of that one (the filter keeps the counts there)
     counted = frequencies(df, *keys, *example)
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*example))
-    placed = counted.withColumn("ordinal", place)
-    shown = F.array_sort(F.collect_list(F.when(F.col("ordinal") <= n, F.struct("ordinal", text.alias("t")))))
-    return placed.groupBy(*keys).agg(F.sum("n").alias("n"), F.array_join(F.transform(shown, lambda s: s["t"]), " | ").alias("examples"))
+    first = first_n(counted.where("n > 0"), keys, [F.col(c) for c in example], n)
+    shown = first.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", text.alias("t")))), lambda s: s["t"]), " | ").alias("examples"))
+    return counted.groupBy(*keys).agg(F.sum("n").alias("n")).join(shown, keys)
 
 
 def by_sets(df: DataFrame, first: str, second: str) -> DataFrame:

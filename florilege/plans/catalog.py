@@ -27,7 +27,7 @@ def catalogue_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 AND (contains(lower(c_name), 'nation_1') OR contains(lower(c_mktsegment), 'nation_1') OR contains(lower(n_name), 'nation_1'))""")
 def catalogue_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
-    terms = customer.join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    terms = customer.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
     return catalog.matching(customer, "c_custkey", "MACHINERY nation_1", ["c_name", "c_mktsegment"], [(terms, "n_name")]).select("c_custkey")
 
 

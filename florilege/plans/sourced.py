@@ -199,10 +199,12 @@ def xml_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries written as a few XML files and read by Spark's own reader."""
     key = F.col("conv_id").cast("string")
     line = F.concat(F.lit('<entry id="DLP-e_1-'), key, F.lit('" volp="yes"><form><orth>Lema '), key, F.lit('</orth></form><sense n="1"><def>d</def></sense></entry>'))
-    entries = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 16).alias("part"), line.alias("line")).distinct()
-    whole = entries.groupBy("part").agg(F.concat(F.lit("<dic>"), F.array_join(F.collect_list("line"), ""), F.lit("</dic>")).alias("value"))
     path = _place(spark, "xml")
-    whole.write.partitionBy("part").text(path)
+    lines = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 16).alias("part"), F.lit(1).alias("place"), line.alias("value")).distinct()
+    # a file per part: what opens and closes it stands around its lines, which are sorted, not gathered
+    frame = [lines.select("part").distinct().select("part", F.lit(k).alias("place"), F.lit(v).alias("value")) for k, v in ((0, "<dic>"), (2, "</dic>"))]
+    whole = lines.unionByName(frame[0]).unionByName(frame[1]).repartition("part").sortWithinPartitions("part", "place")
+    whole.select("part", "value").write.partitionBy("part").text(path)
     rows = files.xml_rows(spark, f"{path}/part=*/*.txt", "entry", "_id string, _volp string, form struct<orth:string>")
     return rows.select(F.col("_id").alias("entry_id"), F.col("form.orth").alias("lemma"))
 

@@ -144,6 +144,15 @@ def test_identities_keep_the_callers_columns(spark):
     assert dedup.first_seen(df, ["text"], ["id"]).collect() == [(1, "a", 7, 8, 9)]
 
 
+def test_hot_keys_are_counted_off_by_parts(spark):
+    from florilege.operators import dedup
+
+    df = spark.range(400).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE CAST(id % 40 AS STRING) END AS k", "id * 7919 % 400 AS o", "1 AS part")
+    plain = dedup.counted_off(df, "k", F.col("o"), "nth").collect()
+    spread = dedup.counted_off(df, "k", F.col("o"), "nth", hot=5).collect()
+    assert sorted(map(tuple, plain)) == sorted(map(tuple, spread)) and max(r["nth"] for r in spread) == 134
+
+
 def test_text_audit_is_cleaned(spark):
     from florilege.rules import writing
 
