@@ -283,6 +283,9 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 11) -> list[tuple[str, str]
             f"<div{hint('comments', 'disqus', 'comment', 'reviews')}>{r.choice((f'<h3>{words(1, 3)}</h3>', ''))}{r.choice((f'<p>{prose()}</p><p>{prose()}</p>', f'<ul><li><p>{prose()}</p></li><li>{prose()}</li></ul>', f'<ol><li>{prose()}</li></ol>'))}</div>",
             f"<footer{r.choice(('', hint('footer', 'site-footer')))}>{r.choice(('&copy; ' + words(1, 3) + ' &middot; ' + sentence(), menu(), '<p>' + prose() + '</p>'))}</footer>",
             f"<div{hint('footer', 'copyright', 'legal', 'disclaimer')}>{r.choice(('&copy; ' + words(2, 5), '<p>' + sentence() + '</p>', menu()))}</div>",
+            f"<aside{r.choice(('', hint('widget-area', 'sidebar', 'secondary')))}>" + "".join(f"<{t}{r.choice(('', hint('widget', 'block', 'box')))}><h2>{words(1, 3)}</h2>{r.choice((menu(), '<p>' + sentence() + '</p>'))}</{t}>" for t in r.choice((["section"], ["section"] * 2, ["div"] * 2))) + "</aside>",
+            f"<footer{hint('entry-footer', 'post-footer', 'article-footer', 'post-meta')}><span{r.choice(('', hint('tags-links', 'cat-links')))}>{link()}</span></footer>",
+            f"<div{r.choice(('', '', hint('more', 'next', 'prev', word())))}><p>{link()}</p></div>",
             f'<div role="{r.choice(("navigation", "banner", "complementary", "contentinfo", "search"))}">{r.choice((menu(), sentence()))}</div>',
         ]
 
@@ -291,7 +294,7 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 11) -> list[tuple[str, str]
             [f"<p>{prose()}</p>"] * 9
             + [f"<p><b>{sentence()}<br><p>{prose()}</p>", f"<h{r.randint(2, 4)}>{words(1, 6)}</h{r.randint(2, 4)}>", f"<p>{sentence()} {link()} <em>{words(1, 3)}</em> {sentence()}</p>", f"<p>{word()}.</p>", f"<p>{link()}</p>"]
             + ["<ul>" + "".join(f"<li>{r.choice((words(1, 6), sentence(), link()))}</li>" for _ in range(r.randint(2, 5))) + "</ul>", "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(r.randint(1, 3))) + "</ul>", "<ol>" + "".join(f"<li>{sentence()}" for _ in range(3)) + "</ol>"]
-            + [f"<blockquote>{r.choice((prose(), '<p>' + prose() + '</p>'))}</blockquote>", f"<pre><code>{words(3, 12)}</code></pre>", f"<figure><img src=x><figcaption>{sentence()}</figcaption></figure>", f"<div>{prose()}</div>", f"<section><h2>{words(1, 4)}</h2><p>{prose()}</p></section>"]
+            + [f"<blockquote>{r.choice((prose(), '<p>' + prose() + '</p>'))}</blockquote>", f"<pre><code>{words(3, 12)}</code></pre>", f"<figure><img src=x><figcaption>{sentence()}</figcaption></figure>", f"<div>{prose()}</div>", f"<div><span>{prose()}</span><br><span>{prose()}</span></div>", f"<section><h2>{words(1, 4)}</h2><p>{prose()}</p></section>"]
             + ["<table>" + "".join(f"<tr><td>{words(1, 3)}</td><td>{r.randint(1, 999)}</td></tr>" for _ in range(3)) + "</table>", f"<dl><dt>{word()}<dd>{sentence()}</dl>", f"<div><p>{prose()}</p><p>{prose()}</p></div>"]
         )
 
@@ -299,6 +302,8 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 11) -> list[tuple[str, str]
     for _ in range(n):
         shell = r.choice(("<article{}>",) * 4 + ("<div{}>",) * 3 + ("<section{}>", "<main{}>", "<table><tr><td{}>", "<table><tr><td{}>", "<center{}>", '<div{} id="' + word() + '">') + ("<main{}>", "<div{} id=content>", '<div{} id="main-content">', '<div{} id="post">', '<section{} id="article">', '<div{} id="entry-content">', "<main><article{}>", "<div><article{}>", '<div id="wrapper"><div{} id="article-body">', '<div role="main"{}>'))
         inner = ([r.choice((f"<h1>{words(2, 8)}</h1>", f"<header><h1>{words(2, 8)}</h1></header>", f"<h1>{words(2, 8)}</h1>"))] if r.random() < 0.9 else []) + [body_block() for _ in range(r.choice((0, 1, 2, 4, 8, 14)))]
+        if r.random() < 0.1:  # text without blocks
+            inner = [r.choice(("<br><br>", "<br>")).join(r.choice((prose(), f"<span>{prose()}</span>")) for _ in range(r.randint(1, 5)))]
         if r.random() < 0.65:
             for _ in range(r.randint(1, 3)):
                 inside = [x for x in around() if not x.startswith("<header")]

@@ -30,6 +30,34 @@ LAYOUTS = {
     "definitions": (NAV + f"<article><h1>Terms</h1><p>{P}</p><dl><dt>One<dd>First of the terms.<dt>Two<dd>Second of the terms.</dl></article>", f"Terms\n{P}\nOne\nFirst of the terms.\nTwo\nSecond of the terms."),
 }
 
+S = (
+    "The committee met on Tuesday to discuss the new proposal, which had been pending for several weeks, and decided to postpone the vote.",
+    "Local residents, many of whom had travelled far, expressed concern about the cost, the schedule, and the lack of consultation.",
+    "A spokesperson said that the report would be published in the spring, after a further round of review by experts.",
+)
+BODY, SAID = "".join(f"<p>{s}</p>" for s in S), "\n".join(S)
+MENU = '<ul class="nav navbar-nav"><li><a href="/">Home</a></li><li><a href="/about">About</a></li><li><a href="/contact">Contact</a></li></ul>'
+LAYOUTS |= {
+    "weblog": (
+        f'<div id="page" class="site"><header id="masthead" class="site-header"><a href="/">My Site</a><nav id="site-navigation">{MENU}</nav></header><div id="content" class="site-content"><main id="main" class="site-main"><article id="post-12" class="post type-post hentry">'
+        f'<header class="entry-header"><h1 class="entry-title">The title</h1></header><div class="entry-content">{BODY}</div><footer class="entry-footer"><span class="tags-links"><a href=/t>tag</a></span></footer></article>'
+        '<div id="comments" class="comments-area"><ol class="comment-list"><li class="comment"><p>Great post, thanks for sharing it with us.</p></li></ol><form><textarea></textarea></form></div></main></div>'
+        '<aside id="secondary" class="widget-area"><section class="widget"><h2>Recent posts</h2><ul><li><a href=/a>Another one</a></li></ul></section></aside><footer id="colophon" class="site-footer"><div class="site-info">Proudly made</div></footer></div>',
+        "The title\n" + SAID,
+    ),
+    "encyclopedia": (f'<div id="navigation"><div id="panel"><div class="portal"><ul><li><a href=/m>Main page</a></li></ul></div></div></div><div id="content" class="body" role="main"><h1 id="heading">The title</h1><div id="bodyContent"><div id="text"><div class="output">{BODY}<h2>History</h2><p>{S[0]}</p></div></div></div></div><div id="footer" role="contentinfo"><ul><li>This page was last edited on 1 May.</li></ul></div>', f"The title\n{SAID}\nHistory\n{S[0]}"),
+    "short names": (f'<div id="root"><div class="a b"><nav><a href=/>Site</a> <a href=/signin>Sign in</a></nav><div class="c d"><section><div><h1>The title</h1>{BODY}</div></section></div><div class="e"><p><a href=/x>More from the author</a></p></div></div></div>', "The title\n" + SAID),
+    "aside in an article": (f'<nav>{MENU}</nav><article><h1>The title</h1><p>{S[0]}</p><aside><h4>Related</h4><p>Read also our other story about it.</p></aside><div class="share"><a href=/f>Share</a> <a href=/t>Tweet</a></div><p>{S[1]}</p><div class="ad">Buy our product now, it is cheap.</div><p>{S[2]}</p></article>', "The title\n" + SAID),
+    "manual": (f'<div class="side"><ul><li><a href=/i>Install</a></li><li><a href=/u>Usage</a></li></ul></div><div role="main" class="document"><div class="section"><h1>The title</h1>{BODY}<pre><code>pip install x</code></pre></div></div><div role="contentinfo"><p>Built with care.</p></div>', f"The title\n{SAID}\npip install x"),
+    "recipe": (f"<nav>{MENU}</nav><main><h1>Recipes</h1><ul><li>Two cups of flour, sifted well.</li><li>One cup of sugar, and a pinch of salt.</li></ul><p>{S[0]}</p></main><footer><p>Contact us</p></footer>", f"Recipes\nTwo cups of flour, sifted well.\nOne cup of sugar, and a pinch of salt.\n{S[0]}"),
+    "divs of text": (f"<div>{MENU}</div><div><div>{S[0]}</div><div>{S[1]}</div><div>{S[2]}</div></div><div class=footer>Contact us</div>", SAID),
+    "spans": (f"<div class=top><a href=/>Home</a></div><div id=text><span>{S[0]}</span><br><span>{S[1]}</span></div>", f"{S[0]} {S[1]}"),
+    "notice and newsletter": (f'<div class="alert notice"><p>Our site is moving, please update your bookmarks.</p></div><div class="content">{BODY}</div><div class="newsletter"><p>Subscribe to our newsletter for updates.</p><form><input></form></div>', SAID),
+    "one paragraph": (f"<p>{S[0]}</p>", S[0]),
+    "menu only": (f"<nav>{MENU}</nav><footer>&copy; me</footer>", ""),
+    "nothing": ("", ""),
+}
+
 
 def text(page):
     return html_text.extract_all([page], html_text.default_model())[0]
