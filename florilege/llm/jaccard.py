@@ -366,7 +366,7 @@ def _indexed(docs: DataFrame, profile: DataFrame, grouped: DataFrame) -> tuple[D
     """Postings (token, cls, group, comp, n, weight), and each group's union of them (token, other, other_comp, other_weight, least, most)."""
     counted = profile.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= FREQUENT)
     counted = materialised(counted, "frequent")
-    weights = grouped.groupBy("comp").agg(F.count("*").alias("weight")).where("weight > 1")
+    weights = small(materialised(grouped.groupBy("comp").agg(F.count("*").alias("weight")).where("weight > 1"), "weights"))
     special = grouped.where("group <> cls OR comp <> cls OR copies > 1").select("cls", "rep", "group", "comp")
     special = grouped.join(weights, "comp").select("cls", "rep", "group", "comp", "weight").unionByName(special.join(weights, "comp", "left_anti").withColumn("weight", F.lit(1).cast("long")))
     special = small(materialised(special, "special"))
@@ -398,10 +398,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     matched = materialised(_matched(docs), "matched")
     own = docs["doc_id"].cast("long")
-    alone = docs.where(own.isNull())
     if matched.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = matched.where("doc_id IS NOT NULL AND (component IS NULL OR doc_id = component)").select(F.col("doc_id").alias("_kept"))
-        return docs.join(small(kept), own == kept["_kept"], "left_semi").unionByName(alone)
+        # those that go are fewer than those that stay
+        gone = materialised(matched.where("doc_id <> component").select(F.col("doc_id").alias("_gone")), "gone")
+        return docs.join(small(gone), own == gone["_gone"], "left_anti")
+    alone = docs.where(own.isNull())
     one = matched.where("doc_id = component").groupBy("root").agg(F.min(F.struct("doc_id", "sig")).alias("one")).select("one.*")
     kept = materialised(one.unionByName(matched.where("doc_id IS NOT NULL AND component IS NULL").select("doc_id", "sig")).distinct().toDF("_id", "_sig"), "kept")
     name = fresh("_sig", docs.columns)
