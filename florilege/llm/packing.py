@@ -15,6 +15,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from florilege.llm.common import CHUNK_BYTES, chunks, materialised
+from florilege.llm.common import chunks, materialised
 
 CAPACITY = 4096
 END_ID = 1
@@ -135,14 +136,16 @@ class Encoder:
         data = np.frombuffer(b"\n".join([*lower, b""]), np.uint8)
         ends = np.cumsum([len(x) + 1 for x in lower]) - 1
         begin, used = split_words(data)
-        offsets = np.append(np.cumsum(used)[begin] - 1, used.sum()).astype(np.int32)
+        offsets = np.append(np.cumsum(used, dtype=np.int32)[begin] - 1, used.sum()).astype(np.int32)
         coded = pa.Array.from_buffers(pa.string(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data[used])]).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         if len(self.known) > self.entries:
             self._forget()
-        if new := [x for x in distinct if x not in self.known]:
-            self._learn(new)
-        rows = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        rows = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        unknown = np.flatnonzero(rows < 0)
+        if len(unknown):
+            rows[unknown] = len(self.known) + np.arange(len(unknown))
+            self._learn([distinct[k] for k in unknown.tolist()])
         self.uses[rows] += 1
         codes = rows[np.asarray(coded.indices)]
         last = np.searchsorted(begin, ends)  # so many words come before each text's end
@@ -176,7 +179,7 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(str(tokenizer_path or _default_tokenizer()))
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
-        for batch in (part for whole in batches for part in chunks(whole, "text", 2 * CHUNK_BYTES)):
+        for batch in (part for whole in batches for part in chunks(whole, "text")):
             out: list[tuple] = []
             ids = encode(batch.column(1).fill_null("").to_pylist())
             for doc_id, own in zip(batch.column(0).to_pylist(), ids, strict=True):
