@@ -1,4 +1,8 @@
-"""Page layouts written by hand, apart from the generator of training pages, and pages made to stall a parser."""
+"""Page layouts written by hand, and pages made to stall a parser.
+
+The generator of training pages was extended where layouts of LAYOUTS failed, so these are no held-out measure. HELD_OUT was
+written afterwards and run once; nothing was changed for it since, so that its share of exact texts is one.
+"""
 
 import time
 
@@ -58,6 +62,26 @@ LAYOUTS |= {
     "nothing": ("", ""),
 }
 
+H = (
+    "Engineers have repaired the bridge, which was damaged in the storm, and traffic will resume on Monday morning.",
+    "The museum, founded in a former mill, shows tools, letters and photographs that families in the valley have kept.",
+    "Prices rose slightly in the last quarter, although demand for most goods stayed the same as in the year before.",
+)
+HELD_OUT = {
+    "forum": (f'<div id="forumbar"><a href=/>Board index</a> <a href=/faq>FAQ</a></div><div class="postbody"><h3>Bridge</h3><div class="content">{H[0]}<br>{H[1]}</div></div><div id="page-footer">Time zone: UTC</div>', f"Bridge\n{H[0]} {H[1]}"),
+    "definition site": (f'<div class="topnav"><a href=/a>A</a><a href=/b>B</a></div><div class="main"><h1>Mill</h1><dl><dt>mill</dt><dd>{H[1]}</dd></dl><p>{H[0]}</p></div>', f"Mill\nmill\n{H[1]}\n{H[0]}"),
+    "figure": (f'<header><img src=l.png><nav><a href=/>Start</a></nav></header><main><h1>Bridge</h1><figure><img src=b.png><figcaption>The bridge in May.</figcaption></figure><p>{H[0]}</p><p>{H[2]}</p></main><footer>Imprint</footer>', f"Bridge\nThe bridge in May.\n{H[0]}\n{H[2]}"),
+    "quote": (f'<nav><a href=/>Start</a></nav><div class="story"><p>{H[0]}</p><blockquote><p>{H[1]}</p></blockquote><p>{H[2]}</p></div><div id="related"><h2>Related</h2><a href=/x>Another</a></div>', f"{H[0]}\n{H[1]}\n{H[2]}"),
+    "breadcrumbs": (f'<ol class="breadcrumb"><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ol><div class="content-area"><h1>Prices</h1><p>{H[2]}</p><p>{H[0]}</p></div><div class="pagination"><a href=/2>Next</a></div>', f"Prices\n{H[2]}\n{H[0]}"),
+    "login": (f'<div class="login"><form><label>Name</label><input></form></div><div class="text"><p>{H[0]}</p><p>{H[1]}</p></div><div class="copyright">Copyright 2021</div>', f"{H[0]}\n{H[1]}"),
+    "reviews": (f'<h1>The mill</h1><p>{H[1]}</p><p>{H[2]}</p><div class="reviews"><h3>Reviews</h3><p>We liked the guided tour, and the cake was good as well.</p></div>', f"The mill\n{H[1]}\n{H[2]}"),
+    "sections": (f'<nav><a href=/>Start</a></nav><section><h2>One</h2><p>{H[0]}</p></section><section><h2>Two</h2><p>{H[1]}</p></section><footer>Imprint</footer>', f"One\n{H[0]}\nTwo\n{H[1]}"),
+    "nested tables": (f'<table><tr><td><table><tr><td><a href=/1>One</a></td></tr><tr><td><a href=/2>Two</a></td></tr></table></td><td><table><tr><td><p>{H[0]}</p><p>{H[2]}</p></td></tr></table></td></tr></table>', f"{H[0]}\n{H[2]}"),
+    "promo inside": (f'<article><h1>Prices</h1><p>{H[2]}</p><div class="promo"><p>Get our app today.</p></div><p>{H[0]}</p><ul class="tags"><li><a href=/t>prices</a></li></ul></article>', f"Prices\n{H[2]}\n{H[0]}"),
+    "letter": (f'<p>Dear reader,</p><p>{H[0]}</p><p>{H[1]}</p><p>Yours,<br>the editor</p>', f"Dear reader,\n{H[0]}\n{H[1]}\nYours, the editor"),
+    "skip link": (f'<a href="#main">Skip to content</a><div class="masthead"><a href=/>Gazette</a></div><div id="main"><h1>Bridge</h1><p>{H[0]}</p><p>{H[2]}</p></div>', f"Bridge\n{H[0]}\n{H[2]}"),
+}
+
 
 def text(page):
     return html_text.extract_all([page], html_text.default_model())[0]
@@ -69,6 +93,11 @@ def test_layout(name):
     assert text(f"<!DOCTYPE html><html><head><title>T</title></head><body>{page}</body></html>") == expected
 
 
+def test_held_out_layouts():
+    exact = [name for name, (page, expected) in HELD_OUT.items() if text(f"<!doctype html><html><head><title>X</title></head><body>{page}</body></html>") == expected]
+    assert len(exact) >= 9 and len(HELD_OUT) == 12
+
+
 def test_fragments():
     assert text(PROSE) == LINES and text(P) == P
     assert text(f"{NAV}{PROSE}<p>unfinished <a href='") == LINES + "\nunfinished"
