@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from florilege.llm import decontamination, embeddings, html_text, jaccard, language, packing, pii, secrets, toxicity, warc
+from florilege.llm import bpe, decontamination, divergence, embeddings, fim, html_text, jaccard, language, packing, pii, secrets, toxicity, warc
 from florilege.llm.common import table
 
 
@@ -51,6 +51,26 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    if tokenizer_path is None:
+        import public_tokenizers
+
+        tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digests(bpe.decode(bpe.encode(docs, tokenizer_path).drop("text"), tokenizer_path))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    back = fim.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_secrets": op2_secrets,
@@ -62,6 +82,9 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_language": op9_language,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_bpe": op11_bpe,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": decontamination.ORACLE_SQL,
@@ -69,4 +92,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_embedding_dedup": embeddings.ORACLE_SQL,
     "op6_jaccard_join": jaccard.ORACLE_SQL,
     "op8_pii": pii.ORACLE_SQL,
+    "op12_source_divergence": divergence.ORACLE_SQL,
+    "op13_fill_in_middle": fim.ORACLE_SQL,
 }
