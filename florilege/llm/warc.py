@@ -5,10 +5,10 @@ start is a WARC header, follows members from there, and owns the records that be
 
 Defined results: null html is an empty payload; among rows with equal payloads of at least min_bytes that with the smallest
 page_id is the response (all of them, if several rows share that id), a null page_id is never smallest unless all are null;
-null urls leave out the target; an empty table gives no records; long pages are read in parts; an archive that ends within a
-record fails the job with Damaged, as does a record whose digest or length is another (only a cut within a record's first bytes,
-in a range without other records, reads as if the record weren't there); only page_id, url and html are read, so
-other columns may have any name.
+null urls leave out the target; an empty table gives no records; long pages are read in parts; only page_id, url and html are
+read, so other columns may have any name. The job fails with Damaged where an archive is shorter than listed, ends within a
+record, or has other records than the list says begin in a range, and where a record's digest or length is another. Lists that
+don't say where records begin leave one case unnoticed: a cut at a record's begin or within its first bytes.
 """
 
 from __future__ import annotations
@@ -77,6 +77,13 @@ def parse(raw: bytes) -> dict:
     return {"page_id": number(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "payload_bytes": size, "payload_digest": said, "record_type": kind, "refers_to": number(fields.get("warc-refers-to")), "payload": payload if kind == "response" else None}
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """folder with its scheme: one without is on Spark's default file system, not on the machine that happens to open it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    return re.sub("^file:/(?!/)", "file:///", uri.toString())
+
+
 def opened(folder: str) -> tuple[fs.FileSystem, str]:
     """The file system of a folder's URI and the path in it; s3a and s3n are other names of s3."""
     return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder))
@@ -96,7 +103,10 @@ def members(file, size: int, start: int, end: int) -> Iterator[bytes]:
 
     def fetch(at: int) -> bytes:
         file.seek(at)
-        return file.read(min(FETCH_BYTES, size - at))
+        got = file.read(min(FETCH_BYTES, size - at))
+        if not got:
+            raise Damaged(f"the archive ends at byte {at} of {size}")
+        return got
 
     at, done = start, None
     while at < end:
@@ -142,10 +152,12 @@ def members(file, size: int, start: int, end: int) -> Iterator[bytes]:
 
 
 def write(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Write pages (page_id, url, html) as archives below folder, a URI that pyarrow can open; returns (path, bytes, records).
+    """Write pages (page_id, url, html) as archives below folder, a URI that pyarrow can open; returns (path, bytes, records,
+    starts: where each record begins).
 
     File names follow from the task, and a file appears by a rename, so a task that runs again replaces what it wrote.
     """
+    folder = qualified(pages.sparkSession, folder)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.when(F.octet_length("html") >= min_bytes, F.sha1(F.col("html").cast("binary"))))
     firsts = rows.where("sha IS NOT NULL").groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
@@ -159,36 +171,43 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: int = F
         context = TaskContext.get()
         system, root = opened(folder)
         system.create_dir(root)
-        done, stream, size, n = [], None, 0, 0
+        done, stream, size, starts = [], None, 0, []
         final = temporary = ""
 
         def close() -> None:
             stream.close()
             system.move(temporary, final)
-            done.append((final, size, n))
+            done.append((final, size, starts))
 
         for batch in (part for whole in batches for part in chunks(whole, "html")):
             for page_id, url, html, first, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if stream is None:
                     final = f"{root}/part-{context.partitionId():06d}-{len(done):04d}.warc.gz"
                     temporary = f"{final}.{context.taskAttemptId()}.tmp"
-                    stream, size, n = system.open_output_stream(temporary, compression=None), 0, 0
+                    stream, size, starts = system.open_output_stream(temporary, compression=None), 0, []
                 one = record(page_id, url, html.encode("utf-8", "replace"), first, revisit)
                 stream.write(one)
-                size, n = size + len(one), n + 1
+                starts.append(size)
+                size += len(one)
                 if size >= file_bytes:
                     close()
                     stream = None
         if stream is not None:
             close()
-        yield pa.RecordBatch.from_pylist([{"path": p, "bytes": b, "records": r} for p, b, r in done], schema=pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())]))
+        yield pa.RecordBatch.from_pylist([{"path": p, "bytes": b, "records": len(x), "starts": x} for p, b, x in done], schema=pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("records", pa.int64()), ("starts", pa.list_(pa.int64()))]))
 
-    return materialised(rows.mapInArrow(store, "path string, bytes long, records long"), "archives")
+    return materialised(rows.mapInArrow(store, "path string, bytes long, records long, starts array<long>"), "archives")
 
 
 def read(files: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Records of files (path, bytes): page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload."""
-    ranges = files.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
+    """Records of files (path, bytes, and where known starts): page_id, url, payload_bytes, payload_digest, record_type,
+    refers_to, payload. Ranges are scanned without regard to starts; these only tell how many records a range must have had."""
+    folder = qualified(files.sparkSession, folder)
+    starts = F.col("starts") if "starts" in files.columns else F.lit(None).cast("array<long>")
+    ranges = files.where(F.col("bytes") > 0).select("path", "bytes", starts.alias("starts"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
+    last = F.col("start") + split_bytes >= F.col("bytes")  # what should begin behind the file's end is missed by its last range
+    expected = F.size(F.filter("starts", lambda x: (x >= F.col("start")) & (last | (x < F.col("start") + split_bytes))))
+    ranges = ranges.select("path", "bytes", "start", F.when(F.col("starts").isNotNull(), expected).alias("expected"))
     n = ranges.count()
     ranges = ranges.repartition(max(1, min(n, 4096)), "path", "start") if n else ranges
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -197,17 +216,19 @@ def read(files: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES) -> DataF
         system, _ = opened(folder)
         types = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
         for batch in batches:
-            for path, size, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for path, size, start, expected in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with system.open_input_file(path) as file:
-                    ready, held = [], 0
+                    ready, held, n = [], 0, 0
                     for raw in members(file, size, start, min(size, start + split_bytes)):
                         ready.append(parse(raw))
-                        held += len(raw)
+                        held, n = held + len(raw), n + 1
                         if held >= 4 << 20:
                             yield pa.RecordBatch.from_pylist(ready, schema=types)
                             ready, held = [], 0
                     if ready:
                         yield pa.RecordBatch.from_pylist(ready, schema=types)
+                    if expected is not None and n != expected:
+                        raise Damaged(f"{n} records instead of {expected} begin in {path} from byte {start} on")
 
     return ranges.mapInArrow(scan, schema)
 
