@@ -62,6 +62,9 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1. A power of two, which rounds nothing, first brings each row's largest component to 0.5 to 1, so that
+    squares neither vanish nor overflow."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True, initial=0))[1])
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from fractions import Fraction
 from pathlib import Path
 
 import duckdb
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from florilege.llm import language, queries, secrets, toxicity, warc
+from florilege.llm import embeddings, language, queries, secrets, toxicity, warc
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -30,10 +31,49 @@ def test_cut_archives_are_reported(spark, tmp_path):
         path.write_bytes(whole[:-cut])
         damaged = files.withColumn("bytes", F.lit(len(whole) - cut).cast("long"))
         for split in (1 << 20, 700)[: 1 if cut == len(whole) - ends[4] - 3 else 2]:
-            with pytest.raises(Exception, match="breaks off|after the last record"):
+            with pytest.raises(Exception, match="breaks off|after the last record|begin in"):
                 warc.read(damaged, folder, split).collect()
 
 
+def test_cut_archives_of_the_listed_size_are_reported(spark, tmp_path):
+    pages = spark.createDataFrame([(k, "u", f"page {k} " * 500) for k in range(5)], "page_id long, url string, html string").coalesce(1)
+    folder = f"file://{tmp_path}"
+    files = warc.write(pages, folder)
+    path, starts = Path(files.first()["path"]), files.first()["starts"]
+    whole = path.read_bytes()
+    assert len(starts) == files.first()["records"] == 5
+    for cut in (10, 1, len(whole) - starts[4], len(whole) - starts[3]):
+        path.write_bytes(whole[:-cut])
+        true_size = files.withColumn("bytes", F.lit(len(whole) - cut).cast("long"))
+        for split in (1 << 20, 60):
+            for listed in (files, files.drop("starts"), true_size):
+                with pytest.raises(Exception, match="Damaged"):
+                    warc.read(listed, folder, split).collect()
+    path.write_bytes(whole)
+    assert warc.read(files, folder, 60).count() == warc.read(files.drop("starts"), folder, 60).count() == 5
+
+
+def test_folders_without_a_scheme_are_on_the_default_file_system(spark, tmp_path):
+    class Said:
+        def __init__(self, scheme):
+            self.conf = spark._jvm.org.apache.hadoop.conf.Configuration(spark._jsc.hadoopConfiguration())
+            self.conf.set("fs.defaultFS", scheme)
+
+        def hadoopConfiguration(self):
+            return self.conf
+
+    class Session:
+        _jvm = spark._jvm
+
+        def __init__(self, scheme):
+            self._jsc = Said(scheme)
+
+    assert warc.qualified(Session("file:///"), "/shared/x") == "file:///shared/x"
+    assert warc.qualified(Session("viewfs://store/"), "file:/a") == warc.qualified(spark, "file:///a") == "file:///a"
+    pages = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
+    assert warc.round_trip(spark, pages, str(tmp_path)).count() == 1
+
+
 def test_members_larger_than_a_fetch(monkeypatch):
     import io
 
@@ -162,3 +202,34 @@ def test_toxicity_edges(spark):
     assert len(rows) == 4 and rows[1] == rows[2] and rows[0]["held_out"] is False
     assert toxicity.score(docs.limit(0), model).count() == 0 and zlib.crc32(b"1") % 4 == 3 and not rows[1]["held_out"]
     assert len(toxicity.features(pa.array([None, "", "a b"]))[0]) == 3
+
+
+def exact_links(vectors, threshold=Fraction(9, 10)):
+    """Links by exact arithmetic: cosine >= threshold as squares of fractions."""
+    links = [0] * len(vectors)
+    exact = [[Fraction(x) for x in v] for v in vectors]
+    for i in range(len(exact)):
+        for j in range(i):
+            dot = sum(a * b for a, b in zip(exact[i], exact[j], strict=True))
+            if dot > 0 and dot * dot >= threshold**2 * sum(a * a for a in exact[i]) * sum(b * b for b in exact[j]):
+                links[i] += 1
+                links[j] += 1
+    return links
+
+
+@pytest.mark.parametrize("more", [0, 3000])
+def test_vectors_of_any_scale(spark, more):
+    rng = random.Random(4)
+    base = [[1.0, 2.0, 3.0, -1.0, 0.5, 0.25, 2.0, 1.0], [-3.0, 1.0, 0.0, 2.0, 1.0, 1.0, -1.0, 0.0]]
+    scales = (1.0, 1e-170, 1e-200, 1e200, 1e307 / 4, 2.0**-1060)
+    vectors = [[x * s for x in v] for v in base for s in scales]
+    small = exact_links(vectors)
+    # others are far from them: none has a cosine of 0.9 with either
+    while len(vectors) < len(base) * len(scales) + more:
+        v = [rng.gauss(0, 1) for _ in range(8)]
+        if all(abs(np.dot(v, b)) < 0.85 * np.linalg.norm(v) * np.linalg.norm(b) for b in base):
+            vectors.append(v)
+    rows = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(rows).collect()}
+    assert [got[k]["n_links"] for k in range(len(small))] == small == [len(scales) - 1] * len(small)
+    assert [got[k]["component_id"] for k in range(len(small))] == [0] * len(scales) + [len(scales)] * len(scales)
