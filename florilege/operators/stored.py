@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,3 +21,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/florilege/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with its scheme: one without is on Spark's default file system, not on the machine that happens to open it."""
+    given = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = given.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(given).toUri().toString()
+    return re.sub("^file:/(?!/)", "file:///", uri)
+
+
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI, for tasks that read or write bytes, and the path in it; s3a and s3n are other names of s3."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))

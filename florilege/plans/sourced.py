@@ -13,7 +13,8 @@ from florilege.operators.stored import shared_dir
 from florilege.plans import sqltext as q
 from florilege.plans.words import CORPUS_TYPOS, tokens
 from florilege.registry import query, table
-from florilege.sources import files, markup, paged, workbook
+from florilege.sinks import xmlfiles
+from florilege.sources import files, markup, paged, workbook, xmlparts
 from florilege.sources.schemas import agreed
 
 
@@ -209,6 +210,28 @@ def xml_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("_id").alias("entry_id"), F.col("form.orth").alias("lemma"))
 
 
+_SPLIT_SQL = "SELECT kind, conv_id, turn, role, sha256(coalesce(text, '')) AS digest FROM conversations, (VALUES ('.xz'), ('.gz'), ('')) AS t(kind)"
+
+
+@query("S8 S10 K1 X42", _SPLIT_SQL)
+def split_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations written as XML in blocks of .xz, members of .gz and plain, which cut elements anywhere, and read by ranges."""
+    turn = table(spark, sf_dir, "conversations")
+    attribute = lambda name, c: F.concat(F.lit(f' {name}="'), F.col(c).cast("string"), F.lit('"'))
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\r"), F.lit("&#13;"))
+    line = F.concat(F.lit("<!-- <entry> --><entry"), attribute("m:conv", "conv_id"), attribute("n", "turn"), attribute("role", "role"), F.lit("><form><orth>"), escaped(F.coalesce("text", F.lit(""))), F.lit("</orth></form></entry>\n"))
+    found = []
+    for kind in (".xz", ".gz", ""):
+        path = _place(spark, "split-xml")
+        xmlfiles.write(turn.select(line), path, kind, '<dic xmlns="http://www.tei-c.org/ns/1.0" xmlns:m="urn:m">', "</dic>", block_bytes=1 << 16)
+        rows = xmlparts.read(spark, path, "entry", split=1 << 17)
+        of = lambda name: F.xpath_string("xml", F.lit(f"/*/@*[local-name()='{name}']"))
+        text_of = F.xpath_string("xml", F.lit("/entry/form/orth"))
+        # an error would come as a row of nulls
+        found.append(rows.select(F.lit(kind).alias("kind"), of("conv").cast("long").alias("conv_id"), of("n").cast("long").alias("turn"), of("role").alias("role"), F.sha2(text_of.cast("binary"), 256).alias("digest")))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query("S8 S10 X43", "SELECT 'href=a.rng | type=x' AS signature, count(DISTINCT conv_id % 4) AS n FROM conversations")
 def xml_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Processing instructions of a few XML files, a file per remainder."""

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import lzma
 import re
-import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
@@ -13,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from florilege.rules.entries import WHOLE as ENTRY
+from florilege.sources import xmlparts
 
 
 def json_snapshot(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -43,12 +42,6 @@ def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame], force:
     return spark.read.parquet(path)
 
 
-def _plain(path: str, content: bytes) -> bytes:
-    if path.endswith(".xz"):
-        return lzma.decompress(content)
-    return zlib.decompress(content, 47) if path.endswith(".gz") else content
-
-
 def _local(name: str) -> str:
     return name.rsplit("}", 1)[-1]
 
@@ -77,40 +70,36 @@ def entry_of(node) -> dict:
     }
 
 
-def xml_entries(spark: SparkSession, path: str, tag: str = "entry") -> DataFrame:
-    """Entries of XML files, plain, .gz or .xz, a file per task; a file that breaks off gives what came before, and xml_errors
+def xml_entries(spark: SparkSession, path: str, tag: str = "entry", split: int = xmlparts.SPLIT_BYTES) -> DataFrame:
+    """Entries of XML files, plain, .gz or .xz, split into ranges; a file that breaks off gives what came before, and xml_errors
     tells that it does."""
-    return _xml(spark, path, tag).where("error IS NULL").drop("path", "error")
+    return parsed_entries(xmlparts.read(spark, path, tag, split=split)).where("error IS NULL").drop("path", "error")
 
 
-def xml_errors(spark: SparkSession, path: str, tag: str = "entry") -> DataFrame:
-    """(path, error): files that can't be read to their end."""
-    return _xml(spark, path, tag).where("error IS NOT NULL").select("path", "error")
+def xml_errors(spark: SparkSession, path: str, tag: str = "entry", split: int = xmlparts.SPLIT_BYTES) -> DataFrame:
+    """(path, error): files that can't be read to their end, and entries that can't be parsed."""
+    return parsed_entries(xmlparts.read(spark, path, tag, split=split)).where("error IS NOT NULL").select("path", "error")
 
 
-def _xml(spark: SparkSession, path: str, tag: str) -> DataFrame:
+def parsed_entries(rows: DataFrame) -> DataFrame:
+    """Entries of (path, xml, error), each xml one entry element, with path and error."""
     names = [f.split()[0] for f in ENTRY.split(", ")]
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for name, content in zip(frame["path"], frame["content"], strict=True):
-                rows: list[dict] = []
-                try:
-                    for _, node in ElementTree.iterparse(io.BytesIO(_plain(name, content)), events=("end",)):
-                        if _local(node.tag) == tag:
-                            rows.append(entry_of(node) | {"path": name, "error": None})
-                            node.clear()
-                            if len(rows) >= 2000:
-                                yield pd.DataFrame(rows)
-                                rows = []
-                except (ElementTree.ParseError, lzma.LZMAError, zlib.error) as e:
-                    rows.append(dict.fromkeys(names) | {"path": name, "error": f"{type(e).__name__}: {e}"})
-                if rows:
-                    yield pd.DataFrame(rows)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, f"{ENTRY}, path string, error string")
+            rows = []
+            for path, xml, error in zip(frame["path"], frame["xml"], frame["error"], strict=True):
+                fields = dict.fromkeys(names)
+                if error is None:
+                    try:
+                        fields = entry_of(ElementTree.fromstring(xml))
+                    except ElementTree.ParseError as e:
+                        error = f"ParseError: {e}"
+                rows.append(fields | {"path": path, "error": error})
+            if rows:
+                yield pd.DataFrame(rows)
+
+    return rows.select("path", "xml", "error").mapInPandas(parse, f"{ENTRY}, path string, error string")
 
 
 def xml_rows(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
@@ -118,27 +107,15 @@ def xml_rows(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame
     return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
 
 
-_MODEL = re.compile(rb"<\?xml-model\s+(.*?)\?>", re.DOTALL)
-_ATTRIBUTE = re.compile(rb"""([A-Za-z_:][-A-Za-z0-9_:.]*)\s*=\s*(['"])(.*?)\2""", re.DOTALL)
-
-
-def processing_instructions(spark: SparkSession, path: str, chunk: int = 1 << 20, carry: int = 2048) -> DataFrame:
-    """(signature, n) of xml-model instructions; files are looked through in chunks that overlap."""
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"], strict=True):
-                data, found, at = _plain(name, content), [], 0
-                while at < len(data):
-                    for m in _MODEL.finditer(data, at, min(len(data), at + chunk + carry)):
-                        if m.start() < at + chunk:
-                            pairs = {k.decode("utf-8", "replace"): v.decode("utf-8", "replace") for k, _, v in _ATTRIBUTE.findall(m[1])}
-                            found.append(" | ".join(f"{k}={pairs[k]}" for k in sorted(pairs)))
-                    at += chunk
-                yield pd.DataFrame({"signature": found})
-
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "signature string")
-    return rows.groupBy("signature").agg(F.count("*").alias("n"))
+def processing_instructions(spark: SparkSession, path: str, name: str = "xml-model", split: int = xmlparts.SPLIT_BYTES) -> DataFrame:
+    """(signature, n) of the processing instructions of that name, wherever they stand: their attributes by name."""
+    bodies = xmlparts.read(spark, path, name, "instructions", split).where("error IS NULL")
+    found = F.regexp_extract_all("xml", F.lit(r"""([A-Za-z_:][-A-Za-z0-9_:.]*)\s*=\s*(?s:'.*?'|".*?")"""), F.lit(0))
+    pairs = F.transform(found, lambda x: F.struct(F.regexp_extract(x, r"^([^\s=]+)", 1).alias("k"), F.regexp_extract(x, r"""(?s)=\s*['"](.*)['"]$""", 1).alias("v")))
+    # of repeated attributes the last one counts
+    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"]))
+    signature = F.array_join(F.transform(F.array_sort(last), lambda x: F.concat(x["k"], F.lit("="), x["v"])), " | ")
+    return bodies.groupBy(signature.alias("signature")).agg(F.count("*").alias("n"))
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:

@@ -21,7 +21,7 @@ def test_xml_entries(spark, tmp_path, name):
         ("DLP-a_1-0a", ["casa nova"], [["home"]], [" rua"], [], ["s.f."]),
         ("DLP-b_1-0a", ["rua"], [], [], ["2017-4-3"], []),
     ]
-    assert [tuple(r) for r in files.processing_instructions(spark, str(tmp_path / name), chunk=8).collect()] == [("href=a.rng | type=x", 1)]
+    assert [tuple(r) for r in files.processing_instructions(spark, str(tmp_path / name), split=8).collect()] == [("href=a.rng | type=x", 1)]
 
 
 def test_broken_xml_gives_what_came_before(spark, tmp_path):
