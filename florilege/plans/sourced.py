@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from florilege import sinks
 from florilege.functions import text, urls
-from florilege.operators.stored import shared_dir
+from florilege.operators import catalog
+from florilege.operators.stored import shared_dir, stored
 from florilege.plans import sqltext as q
 from florilege.plans.words import CORPUS_TYPOS, tokens
 from florilege.registry import query, table
@@ -132,29 +133,44 @@ def written_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("k long, name string").json(f"{path}/plan")
 
 
-@query("S1 S3 W6", "SELECT CAST(i AS BIGINT) AS id FROM (SELECT unnest(range(1, 62)) AS i) WHERE i NOT BETWEEN 20 AND 24")
-def paged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten overlapping pages of an offline service, of which the fourth never comes."""
+#: Orders on a page of the offline service; every seventh page from the fourth on never comes.
+PER_PAGE = 250
+_NUMBERED_SQL = f"n AS (SELECT o_orderkey, o_totalprice, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // {PER_PAGE} + 1 AS BIGINT) AS page FROM orders)"
 
-    def fetch(endpoint: str, page: int) -> tuple[list[dict], int]:
-        if page == 4:
-            raise OSError("no answer")
-        return [{"id": k} for k in range(6 * page - 5, 6 * page + 2)], 10
 
-    records, _ = paged.scan(spark, "records", fetch, "id long", wait_s=0)
-    return paged.without_repeats(records).select("id")
+def _order_pages(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """(folder, page of each order) of a service with the orders, by key."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("total"))
+    return _place(spark, "service"), stored(catalog.paginated(orders, ["id"], PER_PAGE).drop("place"), "order-pages")
 
 
-@query("S5", "SELECT CAST(i AS BIGINT) AS id FROM (SELECT unnest(range(1, 62)) AS i)")
+@query("S1 S3 W6", f"WITH {_NUMBERED_SQL}, l AS (SELECT max(page) AS last FROM n) SELECT o_orderkey AS id, o_totalprice AS total, CAST(NULL AS BIGINT) AS skipped FROM n, l WHERE page % 7 <> 4 OR page = last OR ((SELECT max(o_orderkey) FROM n AS x WHERE x.page = n.page) = o_orderkey AND ((page + 1) % 7 <> 4 OR page + 1 = last)) UNION ALL SELECT NULL, NULL, page FROM n, l WHERE page % 7 = 4 AND page < last GROUP BY page")
+def paged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by pages, each of which begins with the last record of the page before; some pages never come and are listed. The
+    last page always comes, as it tells how many there are."""
+    folder, numbered = _order_pages(spark, sf_dir)
+    last = numbered.agg(F.max("page")).first()[0]
+    ends = numbered.groupBy("page").agg(F.max(F.struct("id", "total")).alias("r")).select("r.id", "r.total", (F.col("page") + 1).alias("page")).where(F.col("page") <= last)
+    served = numbered.unionByName(ends).where((F.col("page") % 7 != 4) | (F.col("page") == last))
+    served.repartition("page").write.partitionBy("page").json(f"{folder}/orders")
+    records, skipped = paged.scan(spark, "orders", paged.folder_pages(spark, folder), "id long, total double", attempts=2, wait_s=0)
+    listed = paged.without_repeats(records).select("id", "total", F.lit(None).cast("long").alias("skipped"))
+    return listed.unionByName(skipped.select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("total"), F.col("page").alias("skipped")))
+
+
+@query("S5 M5", f"WITH {_NUMBERED_SQL} SELECT o_orderkey AS id, page, CAST(1 AS BIGINT) AS n FROM n")
 def resumed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same service; a cache has the first 37 records, so pages are read from the seventh on."""
-
-    def fetch(endpoint: str, page: int) -> tuple[list[dict], int]:
-        if page in (2, 3, 4, 5, 6):
-            raise AssertionError("this page is cached")
-        return [{"id": k} for k in range(6 * page - 5, 6 * page + 2)], 10
-
-    return paged.resumed(spark, "records", fetch, "id long", spark.range(1, 38), 61, 6, near=3, wait_s=0)[0]
+    """The same service read by a stream that ends after a third of the pages, is started again while more pages are added, and
+    once more: how often each order came, and from which page."""
+    folder, numbered = _order_pages(spark, sf_dir)
+    last = numbered.agg(F.max("page")).first()[0] or 0
+    fetch, state = paged.folder_pages(spark, folder), _place(spark, "followed")
+    steps = [0, max(1, last // 3), max(1, 2 * last // 3), max(1, last)]
+    for low, high in zip(steps, steps[1:], strict=False):
+        new = numbered.where((F.col("page") > low) & (F.col("page") <= high))
+        new.repartition("page").write.mode("append").partitionBy("page").json(f"{folder}/orders")
+        records, _ = paged.followed(spark, "orders", fetch, "id long, total double", state, wait_s=0)
+    return records.groupBy("id", "page").agg(F.count("*").alias("n"))
 
 
 @query("S16 W4", "SELECT CAST(b AS BIGINT) AS batch, string_agg('Q' || n_nationkey, '|' ORDER BY n_nationkey) AS ids FROM (SELECT n_nationkey, n_nationkey // 7 AS b FROM nation) GROUP BY b")

@@ -1,49 +1,160 @@
 """Paged record services as a Spark data source: a partition per page, retries, and a table of pages that failed.
 
-The transport is a function (endpoint, page) -> (records, total pages); tests and offline runs give one that reads files.
+The transport is a function (endpoint, page) -> (records, total pages); offline ones read files. source() makes a data source of
+one, for batches and for streams. A stream's offset is the last page it has read, so a scan that ends goes on from its
+checkpoint when it is started again, and reads what has been added since.
 """
 
 from __future__ import annotations
 
+import http.client
 import json
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+
+from florilege.operators.stored import opened, qualified, stored
 
 Fetch = Callable[[str, int], tuple[list[dict], int]]
 
+#: What a transport fails with: connections, answers that break off, and answers that are no JSON.
+FAILURES = (OSError, http.client.HTTPException, json.JSONDecodeError, UnicodeDecodeError)
+SCHEMA = "page long, record string, error string"
+
+
+def asked(fetch: Fetch, endpoint: str, page: int, attempts: int = 3, wait_s: float = 2.0) -> tuple[list[dict], int]:
+    """A page's answer; the last failure is raised after some attempts, with longer waits between them."""
+    for k in range(1, attempts + 1):
+        try:
+            return fetch(endpoint, page)
+        except FAILURES:
+            if k == attempts:
+                raise
+            time.sleep(wait_s * k)
+    raise ValueError("at least one attempt is needed")
+
+
+def source(fetch: Fetch, name: str) -> type[DataSource]:
+    """A data source over a transport: format(name) with options endpoint, attempts, wait_s, start (of the pages after the first,
+    those from here on are read), most_pages, and for batches total (asked for where it isn't given)."""
+
+    class Reader:
+        def __init__(self, options: dict):
+            self.endpoint = options["endpoint"]
+            self.attempts, self.wait_s = int(options.get("attempts", 3)), float(options.get("wait_s", 2.0))
+            self.start, self.most = int(options.get("start", 1)), int(options.get("most_pages", 0))
+            self.known = int(options.get("total", 0))
+
+        def total(self) -> int:
+            """Pages there are; where the first can't be read, the scan ends with its failure."""
+            total = self.known or asked(fetch, self.endpoint, 1, self.attempts, self.wait_s)[1]
+            return min(total, self.most or total)
+
+        def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+            for page in partition.value:
+                try:
+                    records, _ = asked(fetch, self.endpoint, page, self.attempts, self.wait_s)
+                    rows = [{"page": page, "record": json.dumps(r), "error": None} for r in records]
+                except FAILURES as e:
+                    if page == 1:
+                        raise
+                    rows = [{"page": page, "record": None, "error": f"{type(e).__name__}: {e}"}]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("page", pa.int64()), ("record", pa.string()), ("error", pa.string())]))
+
+    class Batch(Reader, DataSourceReader):
+        def partitions(self) -> list[InputPartition]:
+            pages = [1, *range(max(2, self.start), self.total() + 1)]
+            return [InputPartition([page]) for page in pages]
+
+    class Stream(Reader, DataSourceStreamReader):
+        def initialOffset(self) -> dict:
+            return {"page": 0}
+
+        def latestOffset(self) -> dict:
+            return {"page": self.total()}
+
+        def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+            return [InputPartition([page]) for page in range(start["page"] + 1, end["page"] + 1)]
+
+        def commit(self, end: dict) -> None:
+            pass
+
+    class Pages(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def schema(self) -> str:
+            return SCHEMA
+
+        def reader(self, schema) -> DataSourceReader:
+            return Batch(dict(self.options))
+
+        def streamReader(self, schema) -> DataSourceStreamReader:
+            return Stream(dict(self.options))
+
+    return Pages
+
+
+def _registered(spark: SparkSession, fetch: Fetch) -> str:
+    name = f"pages_{uuid.uuid4().hex}"
+    spark.dataSource.register(source(fetch, name))
+    return name
+
+
+def _parsed(raw: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    records = raw.where("record IS NOT NULL").select("page", F.from_json("record", schema).alias("r")).select("page", "r.*")
+    return records, raw.where("error IS NOT NULL").select("page", "error")
+
 
 def scan(spark: SparkSession, endpoint: str, fetch: Fetch, schema: str, attempts: int = 3, wait_s: float = 2.0, most_pages: int | None = None, start: int = 1) -> tuple[DataFrame, DataFrame]:
     """(records, skipped pages). The first page must come; a later one that fails every attempt is listed as skipped.
 
     start: of the pages after the first, those from here on are read.
     """
-    _, total = fetch(endpoint, 1)
-    pages = spark.range(1, min(total, most_pages or total) + 1).select(F.col("id").alias("page")).where((F.col("page") == 1) | (F.col("page") >= start)).repartition(max(1, min(total, 200)), "page")
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for page in frame["page"]:
-                error = None
-                for k in range(attempts):
-                    try:
-                        rows, _ = fetch(endpoint, int(page))
-                        yield pd.DataFrame({"page": page, "record": [json.dumps(r) for r in rows], "error": None})
-                        break
-                    except Exception as e:  # any failure of a transport counts as one
-                        error = f"{type(e).__name__}: {e}"
-                        time.sleep(wait_s * k)
-                else:
-                    yield pd.DataFrame({"page": [page], "record": [None], "error": [error]})
-
-    from florilege.operators.stored import stored
-
-    raw = stored(pages.mapInPandas(read, "page long, record string, error string"), f"scan-{endpoint.strip('/').replace('/', '-')}")
-    parsed = raw.where("record IS NOT NULL").select("page", F.from_json("record", schema).alias("r")).select("page", "r.*")
-    return parsed, raw.where("error IS NOT NULL").select("page", "error")
+    _, total = asked(fetch, endpoint, 1, attempts, wait_s)
+    options = {"endpoint": endpoint, "attempts": attempts, "wait_s": wait_s, "start": start, "most_pages": most_pages or 0, "total": total}
+    raw = spark.read.format(_registered(spark, fetch)).options(**options).load()
+    return _parsed(stored(raw, f"scan-{endpoint.strip('/').replace('/', '-')}"), schema)
+
+
+def followed(spark: SparkSession, endpoint: str, fetch: Fetch, schema: str, folder: str, attempts: int = 3, wait_s: float = 2.0, most_pages: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, skipped pages) of a scan that keeps what it has read, and how far it got, below folder.
+
+    Called again it reads the pages behind those of earlier calls only, whether these came to their end or not: each page's rows
+    are there once. Pages that were skipped stay so; give them to scan.
+    """
+    options = {"endpoint": endpoint, "attempts": attempts, "wait_s": wait_s, "most_pages": most_pages or 0}
+    stream = spark.readStream.format(_registered(spark, fetch)).options(**options).load()
+    running = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/pages").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return _parsed(spark.read.schema(SCHEMA).parquet(f"{folder}/pages"), schema)
+
+
+def folder_pages(spark: SparkSession, folder: str) -> Fetch:
+    """An offline transport: folder/endpoint/page=<number>/ holds a page's records as JSON lines, and the number of pages is the
+    largest there; a page that isn't there fails as a connection does."""
+    uri = qualified(spark, folder)
+
+    def fetch(endpoint: str, page: int) -> tuple[list[dict], int]:
+        from pyarrow import fs
+
+        system, root = opened(uri)
+        of = lambda path: [x for x in system.get_file_info(fs.FileSelector(path)) if x.base_name[:1] not in "._"]
+        total = max(int(x.base_name.partition("=")[2]) for x in of(f"{root}/{endpoint}")) if page == 1 else 0
+        records = []
+        for part in sorted(of(f"{root}/{endpoint}/page={page}"), key=lambda x: x.path):
+            with system.open_input_stream(part.path, compression=None) as file:
+                records += [json.loads(line) for line in file.read().decode().splitlines() if line]
+        return records, total
+
+    return fetch
 
 
 def resumed(spark: SparkSession, endpoint: str, fetch: Fetch, schema: str, cached: DataFrame, total: int, per_page: int, near: int = 25, key: str = "id", **options) -> tuple[DataFrame, DataFrame | None]:
@@ -92,9 +203,8 @@ def without_repeats(records: DataFrame, key: str = "id") -> DataFrame:
 
 
 def crawl(spark: SparkSession, roots: list[str], documents: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """Distinct addresses of nested site maps: documents (url, loc, is_index) as fetched; unreachable ones have no rows."""
-    from florilege.operators.stored import stored
-
+    """Distinct addresses of nested site maps: documents (url, loc, is_index) as fetched; unreachable ones have no rows. Maps
+    nested deeper than most_rounds end the crawl with an error."""
     frontier = spark.createDataFrame([(r,) for r in roots], "url string").distinct()
     visited, found = frontier, None
     for _ in range(most_rounds):
@@ -103,6 +213,6 @@ def crawl(spark: SparkSession, roots: list[str], documents: DataFrame, most_roun
         found = pages if found is None else found.unionByName(pages)
         frontier = stored(rows.where("is_index").select(F.col("loc").alias("url")).distinct().join(visited, "url", "left_anti"), "frontier")
         if frontier.isEmpty():
-            break
+            return found.distinct()
         visited = visited.unionByName(frontier)
-    return found.distinct()
+    raise ValueError(f"site maps are nested deeper than {most_rounds}")

@@ -91,7 +91,62 @@ def test_paged_scan(spark):
         raise OSError("down")
 
     with pytest.raises(OSError):
-        paged.scan(spark, "posts", broken, "id long")
+        paged.scan(spark, "posts", broken, "id long", wait_s=0)
+
+
+def test_pages_are_tried_again_and_bugs_are_not_hidden():
+    tries = []
+
+    def fetch(endpoint, page):
+        tries.append(page)
+        if len(tries) < 3:
+            raise ConnectionResetError("again")
+        return [], 1
+
+    assert paged.asked(fetch, "x", 5, wait_s=0) == ([], 1) and tries == [5, 5, 5]
+
+    def wrong(endpoint, page):
+        raise KeyError("a bug of the transport")
+
+    with pytest.raises(KeyError):
+        paged.asked(wrong, "x", 1, wait_s=0)
+
+
+def test_followed_scans_go_on_where_they_ended(spark, tmp_path):
+    """Each page is asked for once but for the first, whose answer tells how many there are; a failed first page ends the scan."""
+    log = tmp_path / "log"
+
+    def service(total, gone=()):
+        def fetch(endpoint, page):
+            with open(log, "a") as out:
+                out.write(f"{page} ")
+            if page in gone:
+                raise OSError("gone")
+            return [{"id": 10 * page + k} for k in range(3)], total
+
+        return fetch
+
+    state = str(tmp_path / "state")
+    read = lambda total, **o: paged.followed(spark, "x", service(total, **o), "id long", state, attempts=1, wait_s=0)
+    records, skipped = read(4, gone=(3,))
+    assert sorted(r["id"] for r in records.collect()) == [10, 11, 12, 20, 21, 22, 40, 41, 42]
+    assert [r["page"] for r in skipped.collect()] == [3]
+    log.write_text("")
+    records, skipped = read(6)
+    assert sorted({r["page"] for r in records.collect()}) == [1, 2, 4, 5, 6] and records.count() == 15 and skipped.count() == 1
+    assert set(log.read_text().split()) == {"1", "5", "6"}
+    records, _ = read(6)
+    assert records.count() == 15
+    with pytest.raises(Exception, match="gone"):
+        read(9, gone=(1,))
+    assert read(7)[0].count() == 18
+
+
+def test_crawls_that_do_not_end_fail(spark):
+    docs = spark.createDataFrame([(f"m{k}", f"m{k + 1}", True) for k in range(5)], "url string, loc string, is_index boolean")
+    with pytest.raises(ValueError, match="deeper"):
+        paged.crawl(spark, ["m0"], docs, most_rounds=3)
+    assert paged.crawl(spark, ["m0"], docs, most_rounds=6).count() == 0
 
 
 def test_crawl(spark):
