@@ -92,7 +92,7 @@ def test_s3_schemes(monkeypatch):
         class FileSystem:
             from_uri = staticmethod(lambda uri: (None, uri))
 
-    monkeypatch.setattr(warc, "fs", Files)
+    monkeypatch.setattr("florilege.operators.stored.fs", Files)
     assert [warc.opened(f"{x}://bucket/a")[1] for x in ("s3", "s3a", "s3n", "hdfs")] == ["s3://bucket/a"] * 3 + ["hdfs://bucket/a"]
 
 
