@@ -17,7 +17,6 @@ null. Bytes that are no UTF-8 are decoded as replacement characters.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import math
 import re
@@ -29,13 +28,13 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from florilege.llm.common import chunks
+from florilege.llm.common import chunks, release
 
-#: Weight of a generation of a task's cached words (letters and a constant each), entries of its transition table, and letters
-#: of a text that are split at once.
-CACHE_WEIGHT, TABLE_ENTRIES, PIECE = 6 << 20, 1 << 20, 1 << 20
+#: Weight of a generation of a task's cached words (letters and a constant each), entries of its transition table, letters of a
+#: text that are split at once, and rows that are decoded at once.
+CACHE_WEIGHT, TABLE_ENTRIES, PIECE, ROWS = 4 << 20, 1 << 19, 1 << 20, 256
 #: Fixed value: the splitter of byte-level vocabularies.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -258,21 +257,26 @@ def _quoted(name: str) -> str:
     return f"`{name.replace('`', '``')}`"
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with the ids of their texts (array of int); a column of that name is replaced."""
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", packed: bool = False) -> DataFrame:
+    """docs with the ids of their texts, as an array of int or packed in 32 bits each, the least byte first; a column of that
+    name is replaced."""
     tables = docs.sparkSession.sparkContext.broadcast(vars(compiled(path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Automaton.of(tables.value))
         for batch in (part for whole in batches for part in chunks(whole, text)):
             raw = [encoder.ids(x or "") for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            offsets = np.zeros(len(raw) + 1, np.int32)
-            offsets[1:] = np.cumsum([len(x) // 4 for x in raw])
-            values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(raw))])
+            if packed:
+                column = pa.array(raw, pa.binary())
+            else:
+                offsets = np.zeros(len(raw) + 1, np.int32)
+                offsets[1:] = np.cumsum([len(x) // 4 for x in raw])
+                values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(raw))])
+                column = pa.ListArray.from_arrays(pa.array(offsets), values)
             kept = [k for k, n in enumerate(batch.schema.names) if n != ids]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.ListArray.from_arrays(pa.array(offsets), values)], names=[*(batch.schema.names[k] for k in kept), ids])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), column], names=[*(batch.schema.names[k] for k in kept), ids])
 
-    return docs.mapInArrow(run, _added("array<int>", docs, ids))
+    return docs.mapInArrow(run, _added("binary" if packed else "array<int>", docs, ids))
 
 
 def joined_labels(labels: list[bytes | None], ids: np.ndarray) -> bytes:
@@ -281,41 +285,18 @@ def joined_labels(labels: list[bytes | None], ids: np.ndarray) -> bytes:
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
-    """encoded with the texts of its ids; a column of that name is replaced."""
+    """encoded with the texts of its ids, which are an array or packed; a column of that name is replaced."""
     sent = encoded.sparkSession.sparkContext.broadcast(compiled(path).labels)
+    numbers = (lambda x: np.frombuffer(x.as_buffer(), "<u4")) if isinstance(encoded.schema[ids].dataType, BinaryType) else (lambda x: np.asarray(x.values))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = sent.value
         for whole in batches:
-            for batch in _listed(whole, ids):
-                lists = batch.column(batch.schema.get_field_index(ids))
-                texts = [None if x is None else joined_labels(labels, np.asarray(x)).decode("utf-8", "replace") for x in (s.values if s.is_valid else None for s in lists)]
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                texts = [joined_labels(labels, numbers(x)).decode("utf-8", "replace") if x.is_valid else None for x in batch.column(batch.schema.get_field_index(ids))]
                 kept = [k for k, n in enumerate(batch.schema.names) if n != text]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(texts, pa.string())], names=[*(batch.schema.names[k] for k in kept), text])
+            release()
 
     return encoded.mapInArrow(run, _added("string", encoded, text))
-
-
-def _listed(batch: pa.RecordBatch, ids: str, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about so many ids each."""
-    lists = batch.column(batch.schema.get_field_index(ids))
-    upto = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)))
-    start = 0
-    while start < batch.num_rows:
-        held = upto[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(upto, held + most, "right")))
-        yield batch.slice(start, stop - start)
-        start = stop
-
-
-def digests(decoded: DataFrame, ids: str = "ids", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of what encode and decode made."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [np.asarray(s.values, "<u4") for s in batch.column(1)]
-            hashed = [hashlib.sha256(x.tobytes()).hexdigest() for x in lists]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in lists], pa.int64()), pa.array(hashed, pa.string()), batch.column(2)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    rows = decoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(ids).alias("ids"), F.sha2(F.col(text).cast("binary"), 256).alias("decoded_sha256"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

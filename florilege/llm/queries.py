@@ -57,7 +57,9 @@ def op11_bpe(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None
 
         tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.digests(bpe.decode(bpe.encode(docs, tokenizer_path).drop("text"), tokenizer_path))
+    back = bpe.decode(bpe.encode(docs, tokenizer_path, packed=True).drop("text"), tokenizer_path)
+    ids, text = F.sha2("ids", 256), F.sha2(F.col("text").cast("binary"), 256)
+    return back.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), ids.alias("ids_sha256"), text.alias("decoded_sha256"))
 
 
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from florilege.llm import bpe, divergence, fim
+from florilege.llm import bpe, divergence, fim, queries
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -113,9 +113,29 @@ def test_bpe_columns_and_nulls(spark):
     back = bpe.decode(coded.withColumnRenamed("text", "was"), PATH)
     got = sorted(((r["doc_id"], r["was"], len(r["ids"]), r["text"]) for r in back.collect()), key=repr)
     assert got == sorted([(1, None, 0, ""), (None, "", 0, ""), (3, "two words", 2, "two words"), (3, "two words", 2, "two words")], key=repr)
-    assert bpe.digests(bpe.decode(bpe.encode(docs.limit(0), PATH), PATH)).collect() == []
-    null = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
-    assert bpe.decode(null, PATH).collect()[0]["text"] is None
+    assert bpe.decode(bpe.encode(docs.limit(0), PATH), PATH).collect() == []
+    for kind in ("array<int>", "binary"):
+        null = spark.createDataFrame([(1, None)], f"doc_id long, ids {kind}")
+        assert bpe.decode(null, PATH).collect()[0]["text"] is None
+
+
+def test_bpe_query_is_the_library(spark):
+    library = Tokenizer.from_file(PATH)
+    texts = [*odd_texts(random.Random(8), 400), None, ""]
+    rows = [(k, t, None, None, None) for k, t in enumerate(texts)]
+
+    class Session:
+        class read:
+            parquet = staticmethod(lambda path: spark.createDataFrame(rows, DOCS))
+
+    got = {r["doc_id"]: tuple(r)[1:] for r in queries.op11_bpe(Session, "x").collect()}
+    for k, t in enumerate(texts):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        said = library.decode(ids, skip_special_tokens=False)
+        assert got[k] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(said.encode()).hexdigest())
+    docs = spark.createDataFrame(rows, DOCS)
+    plain = {r["doc_id"]: (r["ids"], r["text"]) for r in bpe.decode(bpe.encode(docs, PATH), PATH).collect()}
+    assert all(plain[k][0] == library.encode(t or "", add_special_tokens=False).ids for k, t in enumerate(texts))
 
 
 # -- fill-in-middle
