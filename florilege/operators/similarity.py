@@ -5,32 +5,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from florilege.operators.stored import stored
 
-def _shorter(words: Column, first: int) -> Column:
-    """Each word without one letter from place `first` on."""
-    drop = lambda w: F.transform(F.sequence(F.lit(first), F.greatest(F.length(w), F.lit(first))), lambda i: F.concat(F.left(w, i - 1), F.substring(w, i + 1, F.length(w))))
-    return F.array_distinct(F.flatten(F.transform(words, drop)))
 
+def _keyed(words: DataFrame, word: str, columns: list[str], first: int, twice: Column) -> DataFrame:
+    """columns with a hash of each form that a word has without one letter, or two where `twice` holds, from place `first` on,
+    and of the word itself. Places are exploded, so forms are made in compiled code; a place behind the end takes nothing away."""
+    size = F.length(word)
+    one = F.explode(F.sequence(F.lit(first), F.greatest(size + 1, F.lit(first)))).alias("i")
+    end = F.greatest(size + 1, F.col("i") + 1)
+    other = F.explode(F.sequence(F.when(twice, F.col("i") + 1).otherwise(end), end)).alias("j")
+    places = words.select(*columns, one).select(*columns, "i", other)
+    form = F.concat(F.left(word, F.col("i") - 1), F.substring(word, F.col("i") + 1, F.col("j") - F.col("i") - 1), F.substring(word, F.col("j") + 1, size))
+    return places.select(*columns, F.xxhash64(form).alias("form")).distinct()
 
-def similar_terms(counts: DataFrame, most: int = 20) -> DataFrame:
-    """From (term, n): each rare term with its closest partner.
 
-    Candidates have 5 to 24 letters, no digit and at most `most` uses. Partners share the first two letters, differ by 1 or 2
-    (1 for terms under 8 letters) and one of both is used twice or more. The closest wins, then the one nearest in use, then
-    the first by name. Terms that differ by two letters share a form with two letters or fewer left out, so terms meet under
-    their forms only: a term of ten letters has 37, however many terms there are.
+def near_terms(counts: DataFrame, most: int = 20) -> DataFrame:
+    """From (term, n): pairs (term, n, other, other_n, distance) of which the first may pick the second, so most pairs stand twice.
+
+    Terms have 5 to 24 letters, no digit and at most `most` uses. They share the first two letters, differ by 1 or 2 (1 where the
+    first has under 8 letters), and one of both is used twice or more. Terms that differ by two letters share a form with two
+    letters or fewer left out, so terms meet under the hashes of their forms only; each pair's distance is found once.
     """
-    terms = counts.where(F.length("term").between(5, 24) & (F.col("n") <= most) & ~F.col("term").rlike("[0-9]"))
-    one = _shorter(F.array("term"), 3)
-    # two letters may go only where one of both has eight letters or more, so the other has six or more
-    forms = F.concat(F.array("term"), one, F.when(F.length("term") >= 6, _shorter(one, 3)).otherwise(F.array().cast("array<string>")))
-    keyed = terms.select("term", "n", F.explode(F.array_distinct(forms)).alias("form"))
+    terms = stored(counts.where(F.length("term").between(5, 24) & (F.col("n") <= most) & ~F.col("term").rlike("[0-9]")).select("term", "n"), "terms")
+    # two letters may go only where one of a pair has eight letters or more, so the other has six or more
+    keyed = _keyed(terms, "term", ["term", "n"], 3, F.length("term") >= 6)
     other = keyed.select(F.col("term").alias("other"), F.col("n").alias("other_n"), "form")
-    pairs = keyed.join(other, "form").where((F.col("term") != F.col("other")) & (F.greatest("n", "other_n") >= 2)).select("term", "n", "other", "other_n").distinct()
-    pairs = pairs.withColumn("distance", F.levenshtein("term", "other", 2).cast("long"))
-    pairs = pairs.where(F.col("distance").between(1, 2) & ((F.length("term") >= 8) | (F.col("distance") == 1)))
-    best = pairs.groupBy("term").agg(F.first("n").alias("n"), F.min(F.struct("distance", F.abs(F.col("n") - F.col("other_n")).alias("gap"), "other", "other_n")).alias("b"))
-    return best.select("term", "n", "b.other", "b.other_n", "b.distance")
+    close = (F.col("term") < F.col("other")) & (F.greatest("n", "other_n") >= 2) & (F.abs(F.length("term") - F.length("other")) <= 2) & (F.left("term", F.lit(2)) == F.left("other", F.lit(2)))
+    met = stored(keyed.join(other, "form").where(close).select("term", "n", "other", "other_n").distinct(), "met")
+    pairs = met.withColumn("distance", F.levenshtein("term", "other", 2).cast("long")).where(F.col("distance").between(1, 2))
+    ways = F.explode(F.array(F.struct("term", "n", "other", "other_n"), F.struct(F.col("other").alias("term"), F.col("other_n").alias("n"), F.col("term").alias("other"), F.col("n").alias("other_n")))).alias("way")
+    return pairs.select(ways, "distance").select("way.*", "distance").where((F.length("term") >= 8) | (F.col("distance") == 1))
+
+
+def similar_terms(counts: DataFrame, most: int = 20) -> DataFrame:
+    """From (term, n): each rare term with the partner that it picks, (term, n, other, other_n, distance).
+
+    Terms pick in turn, the rarest first, then by name. A term picks of near_terms() the closest, of these the one furthest from
+    it in use, then the first by name, but none that has picked it before: a pair comes once. What a term picks rests on earlier
+    terms alone, so all pick at once, and again without those that picked them, until nothing changes; the number of rounds is
+    that of picks in a row that rest on one another.
+    """
+    near = stored(near_terms(counts, most), "near")
+
+    def picked(left: DataFrame) -> DataFrame:
+        best = F.min(F.struct("distance", (-F.abs(F.col("n") - F.col("other_n"))).alias("gap"), "other", "other_n")).alias("b")
+        return left.groupBy("term").agg(F.first("n").alias("n"), best).select("term", "n", "b.other", "b.other_n", "b.distance")
+
+    first = picks = stored(picked(near), "picks")
+    gone = None
+    while True:
+        # pairs that an earlier term has picked: the later one may not
+        taken = stored(picks.where(F.struct("n", "term") < F.struct(F.col("other_n").alias("n"), F.col("other").alias("term"))).select(F.col("other").alias("term"), F.col("term").alias("other")), "taken")
+        if gone is not None and taken.count() == gone.count() and taken.join(gone, ["term", "other"], "left_anti").isEmpty():
+            return picks
+        gone = taken
+        # only terms whose first wish has picked them look for another
+        again = first.join(taken, ["term", "other"], "left_semi").select("term")
+        free = near.join(again, "term", "left_semi").join(taken, ["term", "other"], "left_anti")
+        picks = stored(first.join(again, "term", "left_anti").unionByName(picked(free)), "picks")
 
 
 def corrections(words: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -39,10 +72,11 @@ def corrections(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     Of words at one distance the most used wins, then the first by name. Words meet under what is left of them without one
     letter or two, so neither list is compared with all of the other.
     """
-    forms = lambda w: F.array_distinct(F.concat(F.array(w), _shorter(F.array(w), 1), _shorter(_shorter(F.array(w), 1), 1)))
-    asked = words.select("word", F.explode(forms(F.col("word"))).alias("form"))
-    known = dictionary.select(F.col("word").alias("correction"), "n", F.explode(forms(F.col("word"))).alias("form"))
-    pairs = asked.join(known, "form").select("word", "correction", "n").distinct().withColumn("distance", F.levenshtein("word", "correction", 2).cast("long"))
+    words, dictionary = words.select("word"), dictionary.select(F.col("word").alias("correction"), "n")
+    asked = _keyed(words, "word", ["word"], 1, F.lit(True))
+    known = _keyed(dictionary, "correction", ["correction", "n"], 1, F.lit(True))
+    met = stored(asked.join(known, "form").where(F.abs(F.length("word") - F.length("correction")) <= 2).select("word", "correction", "n").distinct(), "met")
+    pairs = met.withColumn("distance", F.levenshtein("word", "correction", 2).cast("long"))
     best = pairs.where(F.col("distance").between(1, 2)).groupBy("word").agg(F.min(F.struct("distance", (-F.col("n")).alias("rare"), "correction")).alias("b"))
     return best.select("word", "b.correction", "b.distance")
 

@@ -10,7 +10,7 @@ from florilege.operators import dedup, profile, similarity
 from florilege.operators.stored import stored
 from florilege.plans import sqltext as q
 from florilege.registry import query, table
-from florilege.rules import writing
+from florilege.rules import terms, writing
 
 #: Typos and spelling pairs of the stand-in corpus, as a person would supply them.
 CORPUS_TYPOS = (("ereand", "and"), ("thth", "the"), ("ouou", "ou"), ("pathetic", "poor"), ("enen", "en"))
@@ -65,6 +65,42 @@ def similar_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_terms(profile.frequencies(tokens(table(spark, sf_dir, "documents")).withColumnRenamed("word", "term"), "term"))
 
 
+def _benchmark_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return tokens(items).withColumnRenamed("word", "term")
+
+
+_PICKED_SQL = f"""WITH RECURSIVE w AS MATERIALIZED (SELECT term, item_id FROM (SELECT item_id, unnest(list_filter(string_split_regex({q.fold("coalesce(text, '')")}, '[^a-z]+'), lambda x: len(x) >= 3)) AS term FROM benchmark)),
+c AS MATERIALIZED (SELECT term, count(*) AS n, row_number() OVER (ORDER BY count(*), term) AS k FROM w GROUP BY term HAVING len(term) BETWEEN 5 AND 24 AND count(*) <= 20),
+x AS MATERIALIZED (SELECT term, string_agg(CAST(item_id AS VARCHAR), ' | ' ORDER BY item_id) FILTER (r <= 2) AS examples FROM (SELECT term, item_id, row_number() OVER (PARTITION BY term ORDER BY item_id) AS r FROM (SELECT DISTINCT term, item_id FROM w)) GROUP BY term),
+e AS MATERIALIZED (SELECT a.k, a.term, a.n, b.term AS other, b.n AS other_n, levenshtein(a.term, b.term) AS distance FROM c AS a JOIN c AS b ON left(a.term, 2) = left(b.term, 2) AND a.term <> b.term WHERE levenshtein(a.term, b.term) <= 2 AND greatest(a.n, b.n) >= 2 AND (len(a.term) >= 8 OR levenshtein(a.term, b.term) = 1)),
+g AS MATERIALIZED (SELECT term, row_number() OVER (ORDER BY k) AS step FROM (SELECT DISTINCT term, k FROM e)),
+p(step, pick, seen) AS (SELECT 0::BIGINT, NULL::STRUCT(term VARCHAR, n BIGINT, other VARCHAR, other_n BIGINT, distance BIGINT), []::VARCHAR[] UNION ALL
+  SELECT step, pick, CASE WHEN pick IS NULL THEN seen ELSE list_append(seen, pick.other || '|' || pick.term) END FROM
+  (SELECT p.step + 1 AS step, p.seen, arg_min({{'term': e.term, 'n': e.n, 'other': e.other, 'other_n': e.other_n, 'distance': e.distance}}, {{'d': e.distance, 'g': -abs(e.n - e.other_n), 'o': e.other}}) FILTER (NOT list_contains(p.seen, e.term || '|' || e.other)) AS pick FROM p JOIN g ON g.step = p.step + 1 JOIN e ON e.term = g.term GROUP BY ALL)),
+f AS (SELECT unnest(pick) FROM p WHERE pick IS NOT NULL)
+SELECT 'Normalização' AS area, 'Média' AS severity, 'Termos muito semelhantes no corpus' AS issue_type, '' AS url,
+left(format('Termos muito próximos no corpus: ''{{}}'' ({{}} ocorrências) e ''{{}}'' ({{}} ocorrências), distância {{}}. Exemplos ''{{}}'': {{}}. Exemplos ''{{}}'': {{}}.', f.term, n, other, other_n, distance, f.term, a.examples, other, b.examples), 500) AS evidence,
+format('Confirmar se ''{{}}'' e ''{{}}'' são grafias distintas legítimas ou erro/variante a normalizar.', f.term, other) AS recommendation FROM f JOIN x AS a ON a.term = f.term JOIN x AS b ON b.term = f.other"""
+
+
+@query("J5 W7 X5 Q9 Q14 A8", _PICKED_SQL)
+def near_term_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues about the terms of benchmark items that are nearly alike, with the items that hold them first."""
+    words = _benchmark_terms(spark, sf_dir)
+    shown = profile.with_examples(words, ["term"], ["doc_id"], 2)
+    return terms.near_terms(similarity.similar_terms(profile.frequencies(words, "term")), shown)
+
+
+#: DuckDB counts bytes, so letters of two bytes are replaced by capitals and digits, which lower-case words don't have.
+_ONE_BYTE = lambda x: f"translate({x}, '{''.join(map(chr, range(0xDF, 0x100)))}', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456')"
+_STEPS = f"levenshtein({_ONE_BYTE('w.word')}, {_ONE_BYTE('k.word')})"
+_CORRECTED_SQL = f"""WITH {{known}}, w AS (SELECT word, min(item_id) AS item_id FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]{{{{4,}}}}')) AS word FROM benchmark) WHERE len(word) >= 5 AND word = lower(word) AND word NOT IN {q.STOP} GROUP BY word),
+n AS (SELECT word, count(*) AS n FROM (SELECT DISTINCT doc_id, lower(word) AS word FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]{{{{4,}}}}')) AS word FROM documents)) GROUP BY word),
+c AS (SELECT w.word, item_id, arg_min(k.word, {{{{'d': {_STEPS}, 'n': -n.n, 'k': k.word}}}}) AS correction FROM w JOIN k ON abs(len(w.word) - len(k.word)) <= 2 JOIN n ON n.word = k.word WHERE w.word NOT IN (SELECT word FROM k) AND {_STEPS} BETWEEN 1 AND 2 GROUP BY w.word, item_id)
+SELECT 'Normalização' AS area, 'Média' AS severity, 'Erro ortográfico provável (dicionário PT)' AS issue_type, CAST(item_id AS VARCHAR) AS url, format('No campo Corpo, ''{{{{}}}}'' não consta do dicionário português; sugestão automática: ''{{{{}}}}''.', word, correction) AS evidence, correction AS recommendation FROM c"""
+
+
 @query("X10", r"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}]+'), lambda x: x <> '') AS w FROM documents)
 SELECT doc_id, CAST(len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1] AND len(w[i]) >= 3 AND w[i] NOT IN ('que', 'the', 'and', 'para'))) AS BIGINT) AS n FROM t""")
 def repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,10 +149,10 @@ _DOUBLES = "|".join(f"{c}{c}+" for c in _LETTERS)
 _KNOWN_SQL = """k AS MATERIALIZED (SELECT word FROM (SELECT DISTINCT doc_id, lower(word) AS word FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]{4,}')) AS word FROM documents)) GROUP BY word HAVING count(*) >= 10)"""
 
 
-def known_words(docs: DataFrame) -> DataFrame:
-    """A stand-in for dictionaries: lower-cased words that ten documents or more use."""
+def known_words(docs: DataFrame, counted: bool = False) -> DataFrame:
+    """A stand-in for dictionaries: lower-cased words that ten documents or more use, and if wanted how many (n)."""
     words = docs.select("doc_id", F.explode(F.array_distinct(F.transform(text.raw_words(F.col("text")), lambda w: F.lower(w)))).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n")).where("n >= 10").select("word")
+    return words.groupBy("word").agg(F.count("*").alias("n")).where("n >= 10").select("word", *["n"] * counted)
 
 
 @query("X7 X13 J1", f"""WITH {_KNOWN_SQL}, w AS (SELECT raw AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]{{4,}}')) AS raw FROM documents) WHERE regexp_matches(raw, '{_DOUBLES}') AND lower(left(raw, 1)) = left(raw, 1) AND NOT regexp_matches(raw, '^[ivxlcdmIVXLCDM]+$') AND lower(raw) NOT IN (SELECT word FROM k) GROUP BY raw),
@@ -159,6 +195,16 @@ def text_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("url").cast("long").alias("doc_id"), "kind", F.lower("term").alias("term")).distinct()
 
 
+@query("Q6 X5 Q14 J1 F11", _CORRECTED_SQL.format(known=_KNOWN_SQL))
+def spelling_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues about lower-case words of benchmark items that aren't known, with their closest known word."""
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.explode(text.raw_words(F.col("text"))).alias("word")).where(text.is_spelling_candidate(F.col("word")) & (F.lower("word") == F.col("word")))
+    known = stored(known_words(table(spark, sf_dir, "documents"), counted=True), "known")
+    unknown = stored(words.groupBy("word").agg(F.min("item_id").alias("item_id")).join(known, "word", "left_anti"), "unknown")
+    found = similarity.corrections(unknown, known).join(unknown, "word")
+    return terms.corrections(found, F.lit("Corpo"), F.col("item_id").cast("string"))
+
+
 @query("X21", "SELECT p_partkey, regexp_matches(p_brand, '[0-9]') AS digit, upper(p_type) = p_type AS capitals, regexp_matches(p_name, '^[A-Z]') AS capitalised FROM part")
 def word_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").rlike("[0-9]").alias("digit"), (F.upper("p_type") == F.col("p_type")).alias("capitals"), text.is_capitalised(F.col("p_name")).alias("capitalised"))

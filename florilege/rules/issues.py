@@ -12,9 +12,10 @@ SEVERITIES = ("Crítica", "Alta", "Média", "Baixa")
 EVIDENCE_CHARS = 500
 
 
-def issue(df: DataFrame, area: str, severity: str | Column, kind: str, url: Column, evidence: Column, recommendation: str) -> DataFrame:
+def issue(df: DataFrame, area: str, severity: str | Column, kind: str, url: Column, evidence: Column, recommendation: str | Column) -> DataFrame:
+    recommendation = F.lit(recommendation) if isinstance(recommendation, str) else recommendation
     severity = F.lit(severity) if isinstance(severity, str) else severity
-    return df.select(F.lit(area).alias("area"), severity.alias("severity"), F.lit(kind).alias("issue_type"), url.alias("url"), F.left(evidence.cast("string"), F.lit(EVIDENCE_CHARS)).alias("evidence"), F.lit(recommendation).alias("recommendation"))
+    return df.select(F.lit(area).alias("area"), severity.alias("severity"), F.lit(kind).alias("issue_type"), url.alias("url"), F.left(evidence.cast("string"), F.lit(EVIDENCE_CHARS)).alias("evidence"), recommendation.alias("recommendation"))
 
 
 def row(area: str, severity: str, kind: str, url: Column, evidence: Column, recommendation: str) -> Column:
