@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from florilege.functions import hashing, text, urls
-from florilege.operators import catalog, dedup, profile
+from florilege.operators import catalog, dedup, profile, trees
 from florilege.plans import sqltext as q
 from florilege.registry import query, table
 
@@ -103,9 +103,9 @@ def tag_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("A1 A15 X42 S12")
 def tag_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from florilege.sources.markup import nodes
-
-    return profile.frequencies(nodes(table(spark, sf_dir, "pages"), "page_id", "html"), "parent", "tag", "depth")
+    """Tests hold it against a reading of the pages by patterns."""
+    nodes = trees.html_nodes(table(spark, sf_dir, "pages"), "page_id", "html")
+    return profile.frequencies(nodes.select(F.col("above").alias("parent"), F.col("name").alias("tag"), F.col("depth").cast("long").alias("depth")), "parent", "tag", "depth")
 
 
 @query("A2 A3 F17", "SELECT lower(a) AS attribute, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '\\s([a-z-]+)=\"[^\"]*\"', 1)) AS a FROM pages) WHERE lower(a) IN ('class', 'lang', 'charset', 'href') GROUP BY 1")

@@ -115,4 +115,4 @@ def write(elements: DataFrame, folder: str, suffix: str = "", opening: str = "<r
         system.move(temporary, path)
         yield pa.RecordBatch.from_pylist([{"path": path, "bytes": size, "elements": n}])
 
-    return stored(elements.mapInArrow(run, "path string, bytes long, elements long"), "xml-files")
+    return stored(elements.toDF("element").mapInArrow(run, "path string, bytes long, elements long"), "xml-files")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -15,23 +15,39 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BREAKS = frozenset("br p div li tr h1 h2 h3 h4 h5 h6".split())
 
 
-class _Nodes(HTMLParser):
-    """Elements with parent and depth; a closing tag closes what is open inside it."""
+class _Events(HTMLParser):
+    """Elements as events; a closing tag closes what is open inside it, and at the end all that is open closes."""
 
     def __init__(self) -> None:
         super().__init__()
         self.open: list[str] = []
-        self.rows: list[tuple[str, str, int]] = []
+        self.seen: list[tuple] = []
 
     def handle_starttag(self, tag, attrs):
-        self.rows.append((self.open[-1] if self.open else "", tag, len(self.open) + 1))
-        if tag not in VOID:
+        self.seen.append(("start", tag, tag, "", {k: v or "" for k, v in attrs}))
+        if tag in VOID:
+            self.seen.append(("end",))
+        else:
             self.open.append(tag)
 
     def handle_endtag(self, tag):
         if tag in self.open:
+            self.seen.append(("end",))
             while self.open.pop() != tag:
-                pass
+                self.seen.append(("end",))
+
+    def handle_data(self, data):
+        self.seen.append(("text", data))
+
+
+def html_events(page: str, piece: int = 1 << 16) -> Iterator[tuple]:
+    """("start", name, local, namespace, attributes), ("text", text) and ("end",) events of a page, parsed piece by piece."""
+    parser = _Events()
+    for k in range(0, len(page), piece):
+        fed(parser, page[k : k + piece], k + piece >= len(page))
+        yield from parser.seen
+        parser.seen.clear()
+    yield from [("end",)] * len(parser.open)
 
 
 class _Content(HTMLParser):
@@ -114,26 +130,16 @@ class _Table(HTMLParser):
             self.rows[-1][-1]["text"] += data
 
 
-def _fed(parser: HTMLParser, page: str | None) -> HTMLParser:
+def fed(parser: HTMLParser, page: str | None, whole: bool = True) -> HTMLParser:
     try:
         parser.feed(page or "")
-        parser.close()
+        if whole:
+            parser.close()
     except (AssertionError, ValueError):
         pass
     return parser
 
 
-def nodes(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, parent, tag, depth) per element."""
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(k, *row) for k, page in zip(frame["k"], frame["h"], strict=True) for row in _fed(_Nodes(), page).rows]
-            yield pd.DataFrame(rows, columns=["k", "parent", "tag", "depth"])
-
-    return pages.select(F.col(key).cast("long").alias("k"), F.col(html).alias("h")).mapInPandas(read, "k long, parent string, tag string, depth long").withColumnRenamed("k", key)
-
-
 def contents(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, text, links, images, headings, word_count, html_length, shortcodes) per page."""
     schema = "k long, text string, links array<struct<href:string,title:string>>, images array<struct<src:string,alt:string>>, headings array<string>, word_count long, html_length long, shortcodes long"
@@ -142,7 +148,7 @@ def contents(pages: DataFrame, key: str, html: str) -> DataFrame:
         for frame in frames:
             rows = []
             for k, page in zip(frame["k"], frame["h"], strict=True):
-                p = _fed(_Content(), page)
+                p = fed(_Content(), page)
                 lines = [" ".join(x.split()) for x in "".join(p.text).split("\n")]
                 text = "\n".join(x for x in lines if x)
                 rows.append((k, text, p.links, p.images, [" ".join(h.split()) for h in p.headings], len(text.split()), len(page or ""), p.shortcodes))
@@ -162,7 +168,7 @@ def table_rows(pages: DataFrame, key: str, html: str, table_id: str, header: lis
         for frame in frames:
             out = []
             for k, page in zip(frame["k"], frame["h"], strict=True):
-                rows = [[{**c, "text": "\n".join(y for x in c["text"].split("\n") if (y := " ".join(x.split())))} for c in r] for r in _fed(_Table(table_id), page).rows]
+                rows = [[{**c, "text": "\n".join(y for x in c["text"].split("\n") if (y := " ".join(x.split())))} for c in r] for r in fed(_Table(table_id), page).rows]
                 if not rows:
                     continue
                 if [c["text"] for c in rows[0]] != header:
@@ -214,12 +220,3 @@ def flattened(trees: DataFrame, key: str, tree: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["k", "place", "node", "parent", "depth", "metadata"])
 
     return trees.select(F.col(key).cast("long").alias("k"), F.col(tree).alias("t")).mapInPandas(read, "k long, place long, node string, parent string, depth long, metadata map<string,string>").withColumnRenamed("k", key)
-
-
-def image_rows(contents_: DataFrame, key: str) -> DataFrame:
-    """(key, place, src, alt, no_alt) per image."""
-    return contents_.select(key, F.posexplode("images").alias("at", "i")).select(key, (F.col("at") + 1).cast("long").alias("place"), "i.src", "i.alt", (F.col("i.alt") == "").alias("no_alt"))
-
-
-def heading(column: Column) -> Column:
-    return F.get(column, 0)

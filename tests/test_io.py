@@ -6,6 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from florilege import sinks, streaming
+from florilege.operators import trees
 from florilege.sources import files, markup, paged, schemas
 
 XML = """<?xml version="1.0"?><?xml-model type="x" href="a.rng"?><dic xmlns="http://www.tei-c.org/ns/1.0">
@@ -53,7 +54,8 @@ def test_html(spark):
     a, b = markup.contents(df, "id", "html").orderBy("id").collect()
     assert (a["text"], a["headings"], [x["href"] for x in a["links"]], [x["src"] for x in a["images"]], a["shortcodes"]) == ("T x\nOne\ntwol\nz", ["T x"], ["/a"], ["o.jpg"], 1)
     assert b["text"] == "" and b["word_count"] == 0
-    assert {("", "h1", 1), ("h1", "b", 2)} <= {tuple(r)[1:] for r in markup.nodes(df, "id", "html").collect()}
+    nodes = trees.html_nodes(df, "id", "html").collect()
+    assert {("", "h1", 1), ("h1", "b", 2)} <= {(r["above"], r["name"], r["depth"]) for r in nodes} and {r["id"] for r in nodes} == {1}
 
 
 def test_tables(spark):
