@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from florilege.operators import dedup, profile, reconcile
+from florilege.operators.stored import shared_dir
 from florilege.registry import query, table
+from florilege.streaming import merge
 
 
 @query("J7 Q35 Q39", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -147,3 +152,38 @@ def properties_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.when(F.col("p_size") > 25, F.col("p_size").cast("string")).otherwise(F.lit(" "))
     rows = table(spark, sf_dir, "part").select("p_partkey", F.array("p_name", "p_brand", "p_type", size).alias("cells"))
     return reconcile.by_position(rows, "p_partkey", "cells", ("P1", None, "P7", "P9"))
+
+
+_MERGE_SQL = """SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 3 THEN o_orderstatus ELSE 'manual' END AS status,
+CASE o_orderkey % 4 WHEN 0 THEN o_orderpriority WHEN 1 THEN NULL WHEN 2 THEN 'kept' ELSE o_orderpriority END AS priority,
+CAST(CASE o_orderkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 7 WHEN 2 THEN 1 ELSE 1 END AS BIGINT) AS revision,
+['augmented', 'stale', 'unchanged', 'created'][1 + o_orderkey % 4] AS action, CAST(CASE WHEN o_orderkey % 4 IN (0, 3) THEN 1 ELSE 0 END AS BIGINT) AS writes FROM orders"""
+
+
+@query("M1 M4 M5", _MERGE_SQL)
+def merged_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders merged from a stream into a store that has three of four already, one of them at a later revision. The first run
+    breaks off between two parts of a batch; the second goes on, and recovers what the store had taken."""
+    folder = f"{shared_dir(spark)}/florilege/merge-{uuid.uuid4().hex}"
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    kind = F.col("k") % 4
+    planned = orders.withColumn("base", F.when(kind != 3, 1).cast("long"))
+    planned.repartition(4, "k").write.parquet(f"{folder}/plan")
+    fields = {f.name: f for f in planned.schema.fields}
+    store = merge.Store(spark, f"{folder}/store", fields["k"], [fields["status"], fields["priority"]])
+    live = orders.where(kind != 3).select("k", F.lit("manual").alias("status"), F.when(kind == 2, "kept").alias("priority"), F.when(kind == 1, 7).otherwise(1).cast("long").alias("revision"), F.lit("before").alias("request"))
+    store.append(live)
+    stream = spark.readStream.schema(planned.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/plan")
+
+    def broken(batch_id: int, part: int) -> None:
+        if batch_id == 1 and part == 1:
+            raise ConnectionError("the service went away")
+
+    try:
+        merge.run(stream, merge.merger(store, before_part=broken), f"{folder}/checkpoint")
+    except StreamingQueryException:
+        pass  # what a restart has to cope with
+    merge.run(stream, merge.merger(store), f"{folder}/checkpoint")
+    writes = store.log().where("request <> 'before'").groupBy("k").agg(F.count("*").alias("writes"))
+    done = merge.journaled(store).select("k", "action")
+    return store.current().join(done, "k").join(writes, "k", "left").select("k", "status", "priority", "revision", "action", F.coalesce("writes", F.lit(0).cast("long")).alias("writes"))
