@@ -86,11 +86,3 @@ def missing_words(words: DataFrame, dictionaries: list[DataFrame], key: str = "w
     for known in dictionaries:
         words = words.join(known.select(key).distinct(), key, "left_anti")
     return words
-
-
-def holding_patterns(texts: DataFrame, column: str, patterns: DataFrame) -> DataFrame:
-    """texts with each pattern (wrong, right) that their column holds as a substring. patterns is a short list that a person keeps."""
-    short = patterns.limit(10_001)
-    if short.count() > 10_000:
-        raise ValueError("patterns is a list of at most 10,000 entries")
-    return texts.join(F.broadcast(short), F.contains(F.lower(F.col(column)), F.col("wrong")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from florilege.functions import hashing, text
-from florilege.operators import dedup, profile, similarity
+from florilege.operators import dedup, patterns as patterns_, profile, similarity
 from florilege.operators.stored import stored
 from florilege.plans import sqltext as q
 from florilege.registry import query, table
@@ -40,7 +40,28 @@ def word_counts_with_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("J2 F10 Q3 Q5 X12", f"SELECT doc_id, wrong, \"right\" FROM documents, {_values(CORPUS_TYPOS)} AS t(wrong, \"right\") WHERE contains(lower(coalesce(text, '')), wrong)")
 def typo_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     patterns = spark.createDataFrame(CORPUS_TYPOS, "wrong string, right string")
-    return similarity.holding_patterns(table(spark, sf_dir, "documents"), "text", patterns).select("doc_id", "wrong", "right")
+    return patterns_.holding(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", patterns).select("doc_id", "wrong", "right")
+
+
+#: Letters that folding leaves alone; they would count as no letters in the SQL.
+_FOLDED_SQL = lambda x: f"replace({q.fold(x)}, 'ß', 's')"
+_MANY_SQL = f"""WITH w AS (SELECT string_split_regex({_FOLDED_SQL("coalesce(text, '')")}, '[^a-z]+') AS w FROM benchmark),
+p AS (SELECT DISTINCT wrong FROM (SELECT unnest(list_filter(w, lambda x: len(x) >= 3)) AS wrong FROM w UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: CASE WHEN len(w[i]) > 0 AND len(w[i + 1]) > 0 THEN w[i] || ' ' || w[i + 1] END)) FROM w) WHERE wrong IS NOT NULL),
+r AS MATERIALIZED (SELECT '\\b(?:' || string_agg(wrong, '|' ORDER BY len(wrong) DESC, wrong) || ')\\b' AS r FROM p)
+SELECT wrong, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_FOLDED_SQL("coalesce(text, '')")}, r)) AS wrong FROM documents, r) GROUP BY wrong"""
+
+
+@query("J2 X12 Q17", _MANY_SQL)
+def many_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the words and pairs of words of all benchmark items stand in documents as whole words, pairs before words."""
+    folded = lambda c: F.replace(text.fold_latin(F.coalesce(c, F.lit(""))), F.lit("ß"), F.lit("s"))
+    words = table(spark, sf_dir, "benchmark").select(F.split(folded(F.col("text")), "[^a-z]+").alias("w"))
+    pair = lambda a, b: F.when((a != "") & (b != ""), F.concat(a, F.lit(" "), b))
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), pair)
+    wanted = words.select(F.explode(F.concat(F.filter("w", lambda x: F.length(x) >= 3), F.array_compact(pairs))).alias("wrong")).distinct()
+    texts = table(spark, sf_dir, "documents").select(folded(F.col("text")).alias("text"))
+    found = patterns_.whole_words(texts, "text", wanted.withColumn("right", F.lit(None).cast("string")))
+    return profile.frequencies(found, "wrong")
 
 
 @query("J1 X4 F11 U4", f"""SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]{{4,}}')) AS word FROM benchmark) b WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]{{4,}}')) AS k FROM documents) d WHERE d.k = b.word)""")
