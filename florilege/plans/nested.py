@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from florilege.functions import text
 from florilege.operators import trees
 from florilege.operators.stored import shared_dir, stored
 from florilege.registry import query, table
+from florilege.rules import grammar
 from florilege.sinks import xmlfiles
 from florilege.sources import xmlparts
 
@@ -70,3 +72,53 @@ UNION ALL SELECT 'relation', a.name || ' > ' || b.name, count(*) FROM n AS a JOI
 def xml_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements, attributes, relations, depths and namespaces of the XML of orders."""
     return trees.structure(trees.xml_nodes(_order_documents(spark, sf_dir), "key", "xml"))
+
+
+#: The grammar of the stand-in entries.
+ENTRIES = """
+entry = @xml:id{DLP-.+} @volp?{only|yes} form+ gramGrp? sense* meta
+form = orth
+sense = @n?{[0-9]+} def+ sense:inner*
+inner as sense = def
+meta = @status
+orth = text
+gramGrp = text
+def = text
+"""
+
+
+def _entry_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, xml): an entry for each order, some with mistakes, written in members of .gz and read again."""
+    k = F.col("o_orderkey")
+    some = lambda n, text, other="": F.when(k % n == 0, text).otherwise(other)
+    parts = [
+        F.lit('<entry key="'), k.cast("string"), F.lit('"'), some(17, "", ' xml:id="DLP-x"'), some(3, ' volp="only"'), F.lit(">"),
+        some(11, "", "<form><orth>o</orth></form>"), F.lit("<gramGrp>s.f.</gramGrp>"), some(13, "<gramGrp>s.m.</gramGrp>"), some(7, '<meta status="ok"/>'),
+        F.lit("<sense"), some(23, ' n="b"', ' n="1"'), F.lit(">"), some(19, "", "<def>d</def>"), some(29, "<sense><def>e</def><def>f</def></sense>"), F.lit("</sense>"),
+        F.when((k % 7 != 0) & (k % 5 != 0), '<meta status="ok"/>').otherwise(""), some(31, "loose"), F.lit("</entry>"),
+    ]
+    path = f"{shared_dir(spark)}/florilege/entries-{uuid.uuid4().hex}"
+    xmlfiles.write(table(spark, sf_dir, "orders").select(F.concat(*parts)), path, ".gz", "<dic>", "</dic>")
+    return xmlparts.read(spark, path, "entry").select(F.xpath_long("xml", F.lit("/entry/@key")).alias("key"), F.regexp_replace("xml", ' key="[0-9]+"', "").alias("xml"))
+
+
+_MISTAKES = {
+    17: "Element entry is missing attribute xml:id", 11: "Expecting an element form, got gramGrp", 13: "Did not expect element gramGrp there", 7: "Did not expect element sense there",
+    23: "Element sense has a wrong value of attribute n", 31: "Did not expect text in element entry content",
+}
+_FAULTS_SQL = " UNION ALL ".join([f"SELECT o_orderkey AS k, '{text}' AS e FROM orders WHERE o_orderkey % {n} = 0" for n, text in _MISTAKES.items()] + [
+    "SELECT o_orderkey, 'Expecting an element def, got nothing' FROM orders WHERE o_orderkey % 19 = 0 AND o_orderkey % 29 <> 0",
+    "SELECT o_orderkey, 'Expecting an element def, got sense' FROM orders WHERE o_orderkey % 19 = 0 AND o_orderkey % 29 = 0",
+    "SELECT o_orderkey, 'Did not expect element def there' FROM orders WHERE o_orderkey % 29 = 0",
+    "SELECT o_orderkey, 'Expecting an element meta, got nothing' FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 7 <> 0",
+])
+
+
+@query("Q37 A5 A6 X17", f"""WITH f AS ({_FAULTS_SQL}), o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'VOLP' ELSE 'DLP' END AS kind FROM orders)
+SELECT kind, 'valid' AS message, count(*) AS n FROM o WHERE k NOT IN (SELECT k FROM f) GROUP BY kind UNION ALL SELECT kind, 'invalid', count(*) FROM o WHERE k IN (SELECT k FROM f) GROUP BY kind UNION ALL SELECT kind, e, count(*) FROM f JOIN o USING (k) GROUP BY kind, e""")
+def grammar_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid and invalid entries by kind under a grammar, and how often each mistake is made."""
+    checked = stored(grammar.validated(_entry_documents(spark, sf_dir), "key", "xml", ENTRIES, "entry"), "validated")
+    kind = F.when(F.try_element_at("root", F.lit("volp")) == "only", "VOLP").otherwise("DLP").alias("kind")
+    message = F.explode(F.concat(F.array(F.when(F.col("valid"), "valid").otherwise("invalid")), F.transform("errors", text.masked_error))).alias("message")
+    return checked.select(kind, message).groupBy("kind", "message").agg(F.count("*").alias("n"))
