@@ -2,8 +2,9 @@
 
 Texts are lower-cased, signs and digits become spaces, and byte 2-, 3- and 4-grams are hashed into DIMENSIONS slots. Vectors are
 square-root TF times IDF, normalised. Each language has several centroids, found by spherical k-means over a bounded
-sample of its labelled texts; a text gets the language of the centroid of largest cosine. Texts whose cosine is below
-REJECT_SHARE of what training texts of that language have at least are rejected by distance.
+sample of its labelled texts; a text gets the language of the centroid of largest cosine. Short texts are further from their
+centroids than long ones, so what is usual is found by length: the median cosine of training texts cut to each of SIZES bytes.
+A text whose cosine is below REJECT_SHARE of what is usual for its length and language is rejected by distance.
 
 Defined results: null texts and texts without a letter give `und` with score 0, as does every text where nothing could be
 learned; null doc_ids count as training ids; repeated rows are carried; long texts are read whole; of centroids at the same
@@ -29,7 +30,9 @@ CENTROIDS = 4
 TRAIN_PER_LANGUAGE = 300
 #: Training texts of this many bytes say more than shorter ones, which are used for languages that have no others.
 TRAIN_BYTES = 40
-REJECT_SHARE = 0.12
+#: Bytes that training texts are cut to, and the share of the median cosine of such cuts that a text must have; texts of other
+#: lengths are judged between the nearest sizes, longer ones as the longest.
+SIZES, REJECT_SHARE = (4, 8, 16, 32, 64, 128, 256), 0.5
 ROWS = 256
 
 _UND = "und"
@@ -76,8 +79,29 @@ def clustered(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centre
 
 
+def cut(text: str, size: int) -> str:
+    """The middle of a text, about so many bytes of it."""
+    data = text.encode()
+    start = max(0, (len(data) - size) // 2)
+    return data[start : start + size].decode("utf-8", "ignore")
+
+
+def usual(texts: list[str], centre: np.ndarray, idf: np.ndarray) -> list[float]:
+    """The median cosine of texts cut to each of SIZES; where none is long enough, that of the size before, and at first 0."""
+    out: list[float] = []
+    for size in SIZES:
+        parts = [cut(x, size) for x in texts if len(x.encode()) >= size]
+        found = [np.zeros(0)]
+        for k in range(0, len(parts), ROWS):
+            x = vectors(counts(pa.array(parts[k : k + ROWS], pa.string())), idf)
+            found.append((x @ centre.T).max(1)[x.any(1)])
+        cosine = np.concatenate(found)
+        out.append(float(np.median(cosine)) if len(cosine) else out[-1] if out else 0.0)
+    return out
+
+
 class Model:
-    """Languages, their centroids (rows), idf and the least cosine for each centroid."""
+    """Languages, their centroids (rows), idf and, for each centroid, the least cosine at each of SIZES bytes (rows)."""
 
     def __init__(self, languages: list[str], centroids: np.ndarray, idf: np.ndarray, least: np.ndarray):
         self.languages, self.centroids, self.idf, self.least = languages, centroids, idf, least
@@ -89,9 +113,13 @@ class Model:
         cosine = vectors(counts(texts), self.idf) @ self.centroids.T
         best = cosine.argmax(1)
         score = np.clip(cosine[np.arange(n), best].astype(np.float64), 0.0, 1.0)
-        letters = np.array([x.as_py() is not None and any(map(str.isalpha, x.as_py())) for x in texts], bool)
+        letters = np.asarray(pc.match_substring_regex(texts, r"\p{L}").fill_null(False))
+        size = np.log2(np.maximum(np.diff(utf8(texts)[1]), 1))
+        least = np.zeros(n)
+        for b in np.unique(best):
+            least[best == b] = np.interp(size[best == b], np.log2(SIZES), self.least[b])
         lang = [self.languages[b] if ok else _UND for b, ok in zip(best, letters, strict=True)]
-        return lang, np.where(letters, score, 0.0), ~letters | (score < self.least[best])
+        return lang, np.where(letters, score, 0.0), ~letters | (score < least)
 
 
 def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, k: int = CENTROIDS) -> Model:
@@ -104,7 +132,7 @@ def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, k: int = CENT
     short = [r["lang"] for r in counted if not r["long"]]
     fold = fold.where(long | F.col("lang").isin(short))
     if not sizes:
-        return Model([], np.zeros((0, DIMENSIONS)), np.ones(DIMENSIONS), np.zeros(0))
+        return Model([], np.zeros((0, DIMENSIONS)), np.ones(DIMENSIONS), np.zeros((0, len(SIZES))))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20)
     sample = materialised(fold.where(draw), "languages")
@@ -125,10 +153,11 @@ def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, k: int = CENT
         group = group.sort_values("doc_id", ignore_index=True)
         x = np.concatenate([vectors(counts(pa.array(group["text"][i : i + ROWS], pa.string())), idf) for i in range(0, len(group), ROWS)])
         centre = clustered(x, k)
-        return pd.DataFrame({"lang": group["lang"][0], "least": float((x @ centre.T).max(1).min()), "centre": [c.tolist() for c in centre]})
+        least = [REJECT_SHARE * x for x in usual(group["text"].tolist(), centre, idf)]
+        return pd.DataFrame({"lang": group["lang"][0], "least": [least] * len(centre), "centre": [c.tolist() for c in centre]})
 
-    found = sample.groupBy("lang").applyInPandas(centres, "lang string, least double, centre array<float>").orderBy("lang", "centre").collect()
-    return Model([r["lang"] for r in found], np.array([r["centre"] for r in found], np.float32), idf, np.array([r["least"] * REJECT_SHARE for r in found]))
+    found = sample.groupBy("lang").applyInPandas(centres, "lang string, least array<double>, centre array<float>").orderBy("lang", "centre").collect()
+    return Model([r["lang"] for r in found], np.array([r["centre"] for r in found], np.float32), idf, np.array([r["least"] for r in found]))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
