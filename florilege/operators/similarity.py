@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,8 +83,16 @@ def corrections(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     return best.select("word", "b.correction", "b.distance")
 
 
+def membership(words: DataFrame, dictionaries: dict[str, DataFrame], key: str = "word", name: str = "mask") -> DataFrame:
+    """words with a mask of the dictionaries (each with a column key) that hold each: the first one is bit 0, and so on up to 62.
+    All dictionaries are shuffled together, once, whatever their number; a null word is in none."""
+    if len(dictionaries) > 63:
+        raise ValueError("a mask holds 63 dictionaries")
+    marked = [known.select(F.col(key), F.lit(1 << k).cast("long").alias(name)) for k, known in enumerate(dictionaries.values())]
+    masks = reduce(DataFrame.unionByName, marked).groupBy(key).agg(F.bit_or(name).alias(name))
+    return words.join(masks, key, "left").select(*[F.col(f"`{c}`") for c in words.columns], F.coalesce(name, F.lit(0).cast("long")).alias(name))
+
+
 def missing_words(words: DataFrame, dictionaries: list[DataFrame], key: str = "word") -> DataFrame:
-    """Words that none of the dictionaries (one column, key) holds."""
-    for known in dictionaries:
-        words = words.join(known.select(key).distinct(), key, "left_anti")
-    return words
+    """Words that none of the dictionaries (one column, key) holds, by one look-up in all of them."""
+    return words.join(reduce(DataFrame.unionByName, [known.select(key) for known in dictionaries]), key, "left_anti")

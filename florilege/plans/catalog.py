@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from florilege.operators import catalog, profile
+from florilege.operators import catalog, indexes, profile
+from florilege.operators.stored import shared_dir, stored
 from florilege.registry import query, table
 
 
@@ -36,6 +40,39 @@ def directory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.matching(table(spark, sf_dir, "documents"), "doc_id", "pathetic", ["text"]).select("doc_id")
 
 
+SEARCHES = ("eau*** que", "%%% QUE&AMP; r%%%", "und_r", "te", "<p> zz_%", "Der nicht")
+_SEARCH_SQL = " UNION ALL ".join(f"""SELECT '{s}' AS request, page_id AS id FROM pages WHERE {' AND '.join(f"contains(lower(html), '{w.lower()}')" for w in s.split())}""" for s in SEARCHES)
+
+
+@query("F20 F21 X23", _SEARCH_SQL)
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that hold all words of each request, signs of patterns among them, by an index of their HTML."""
+    folder = f"{shared_dir(spark)}/florilege/index-{uuid.uuid4().hex}"
+    indexes.index_texts(table(spark, sf_dir, "pages"), "page_id", "html", folder)
+    found = [indexes.search(spark, folder, request).select(F.lit(request).alias("request"), "id") for request in SEARCHES]
+    return reduce(DataFrame.unionByName, found)
+
+
+_RELATIONS_SQL = "r AS (SELECT o_orderkey AS k, 'status' AS taxonomy, o_orderstatus AS term FROM orders UNION ALL SELECT o_orderkey, 'priority', o_orderpriority FROM orders UNION ALL SELECT l_orderkey, 'flag', l_returnflag FROM lineitem UNION ALL SELECT l_orderkey, 'brand', p_brand FROM lineitem JOIN part ON l_partkey = p_partkey UNION ALL SELECT o_orderkey, 'password', CASE WHEN o_orderkey % 10 = 0 THEN 'yes' ELSE 'no' END FROM orders)"
+
+
+@query("A16 J14 F19", f"""WITH {_RELATIONS_SQL}, a AS (SELECT k FROM r WHERE taxonomy = 'status' AND term IN ('F', 'P') INTERSECT SELECT k FROM r WHERE taxonomy = 'password' AND term = 'no'), b AS (SELECT k FROM a INTERSECT SELECT k FROM r WHERE taxonomy = 'flag' AND term = 'R')
+SELECT 'none' AS filters, taxonomy, term, count(DISTINCT k) AS n FROM r GROUP BY ALL UNION ALL SELECT 'two', taxonomy, term, count(DISTINCT k) FROM r WHERE k IN (FROM a) GROUP BY ALL UNION ALL SELECT 'three', taxonomy, term, count(DISTINCT k) FROM r WHERE k IN (FROM b) GROUP BY ALL""")
+def filtered_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different orders per term of several taxonomies, under no, two and three filters, from stored bitmaps."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    of = lambda df, key, taxonomy, term: df.select(F.col(key).alias("k"), F.lit(taxonomy).alias("taxonomy"), term.alias("term"))
+    brands = lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    relations = [
+        of(orders, "o_orderkey", "status", F.col("o_orderstatus")), of(orders, "o_orderkey", "priority", F.col("o_orderpriority")), of(lines, "l_orderkey", "flag", F.col("l_returnflag")),
+        of(brands, "l_orderkey", "brand", F.col("p_brand")), of(orders, "o_orderkey", "password", F.when(F.col("o_orderkey") % 10 == 0, "yes").otherwise("no")),
+    ]
+    index = stored(indexes.term_bitmaps(reduce(DataFrame.unionByName, relations), "k"), "bitmaps")
+    two = {"status": ("F", "P"), "password": ("no",)}
+    asked = {"none": {}, "two": two, "three": two | {"flag": ("R",)}}
+    return reduce(DataFrame.unionByName, [indexes.facets_under(index, f).select(F.lit(name).alias("filters"), "taxonomy", "term", "n") for name, f in asked.items()])
+
+
 @query("F22 U5 F17", "SELECT p_partkey FROM part WHERE p_type = 'PROMO' AND p_size = 11 AND contains(p_name, 'ring')")
 def topic_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from florilege.functions import text
+from florilege.functions import hashing, text
 from florilege.operators import trees
 from florilege.operators.stored import shared_dir, stored
 from florilege.registry import query, table
@@ -122,3 +122,21 @@ def grammar_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.try_element_at("root", F.lit("volp")) == "only", "VOLP").otherwise("DLP").alias("kind")
     message = F.explode(F.concat(F.array(F.when(F.col("valid"), "valid").otherwise("invalid")), F.transform("errors", text.masked_error))).alias("message")
     return checked.select(kind, message).groupBy("kind", "message").agg(F.count("*").alias("n"))
+
+
+@query("X38 X39 J10", """WITH i AS (SELECT l_orderkey, string_agg('{"n":' || l_linenumber || ',"q":{"amount":"+' || l_partkey || '","lowerBound":null,"upperBound":null}}', ',' ORDER BY l_linenumber, l_partkey) AS items FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS k, sha256('{"items":[' || coalesce(items, '') || '],"p":"P' || o_orderkey % 9 || '","value":{"amount":"+' || o_orderkey || '","lowerBound":null,"text":"é \\" ' || o_orderstatus || '","unit":1,"upperBound":null}}') AS digest, CAST(2 AS BIGINT) AS forms FROM orders LEFT JOIN i ON o_orderkey = l_orderkey""")
+def nested_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims with nested qualifiers, each in two forms that differ in the order of keys, in white space and in bounds: (k, digest,
+    forms with that digest)."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("lines"))
+    orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    joined = lambda form: F.coalesce(F.array_join(F.transform("lines", form), " , "), F.lit(""))
+    k, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    first = joined(lambda x: said('{"q":{"upperBound":"+9","amount":"+', x["l_partkey"], '","lowerBound":"+1"},"n":', x["l_linenumber"], "}"))
+    second = joined(lambda x: said('{"n":', x["l_linenumber"], '.0, "q":{"lowerBound":null,"amount":"+', x["l_partkey"], '","upperBound":{"a":1}}}'))
+    one = said('{"value":{"unit":1,"upperBound":null,"amount":"+', k, '","text":"\\u00e9 \\" ', status, '","lowerBound":"+1"},"p":"P', k % 9, '","items":[', first, "]}")
+    two = said('{ "p" : "P', k % 9, '","items":[', second, '],"value":{"text":"é \\" ', status, '","amount":"+', k, '","lowerBound":[1],"unit":1.0,"upperBound":2}}')
+    forms = orders.select(k.alias("k"), F.explode(F.array(one, two)).alias("claim"))
+    return forms.select("k", hashing.canonical_digest(F.col("claim")).alias("digest")).groupBy("k", "digest").agg(F.count("*").alias("forms"))

@@ -265,3 +265,17 @@ def folded_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents with what exact folding makes of them."""
     words = table(spark, sf_dir, "documents").select(F.explode(text.raw_words(F.col("text"))).alias("word")).distinct()
     return words.select("word", text.norm_word(F.col("word"), exact=True).alias("folded"), text.casefold(F.col("word")).alias("casefolded"))
+
+
+_LISTS = ("lang = 'en'", "lang = 'de'", "lang = 'fr'", "lang = 'es'", "source = 'src0'", "source LIKE 'src1%'")
+_WORDS_OF = lambda t: f"SELECT unnest(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]{{4,}}')) AS word FROM {t}"
+_MASK_SQL = f"""WITH b AS (SELECT DISTINCT word FROM ({_WORDS_OF('benchmark')})), {', '.join(f"d{k} AS MATERIALIZED (SELECT DISTINCT word FROM ({_WORDS_OF('documents')} WHERE {where}))" for k, where in enumerate(_LISTS))}
+SELECT word, CAST({' + '.join(f"CASE WHEN word IN (SELECT word FROM d{k}) THEN {1 << k} ELSE 0 END" for k in range(len(_LISTS)))} AS BIGINT) AS mask FROM b"""
+
+
+@query("J1 U4", _MASK_SQL)
+def dictionary_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of six word lists, cut from documents by language and source, hold each word of benchmark items."""
+    docs = table(spark, sf_dir, "documents")
+    words = lambda df: df.select(F.explode(text.raw_words(F.col("text"))).alias("word"))
+    return similarity.membership(words(table(spark, sf_dir, "benchmark")).distinct(), {where: words(docs.where(where)) for where in _LISTS})
