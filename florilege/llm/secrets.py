@@ -1,7 +1,9 @@
 """Secret scans: fixed patterns, and dictionary-primed zstandard novelty for what they miss.
 
-A candidate is a long string in a sensitive context (a key word shortly before it, or a known prefix); NAME=value is a name
-and a value. Its marginal size is what it adds to the compressed surrounding text, where the compressor is primed with a dictionary of identifiers;
+A candidate is a long string in a sensitive context (a key word shortly before it, as a word or as a part of an identifier, or a
+known prefix), or the secret part of a known form: a signed token, the password of an address, a hook's path, the lines of a key
+block. NAME=value is a name and a value. Strings that are mostly made of words (identifiers, paths, long words) are none. A
+candidate's marginal size is what it adds to the compressed surrounding text, where the compressor is primed with a dictionary of identifiers;
 strings that hardly compress are reported, strings that repeat what stands around them or in the dictionary are not.
 
 Defined results: a null text is empty and has no spans; a null doc_id and repeated rows are carried; long texts are read whole,
@@ -13,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,12 +37,28 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 LEAST_CHARS = 16
 #: Parts of a candidate between inner '='; those at its end are padding.
 PART = re.compile(r"[^=]+(?:=+\Z)?")
-SENSITIVE = re.compile(r"pass|pwd|secret|token|key|auth|bearer|credential|private|signature|login|session", re.IGNORECASE)
+SENSITIVE = frozenset(
+    "pass password passwords passwd passphrase pwd secret secrets token tokens key keys apikey apikeys accesskey secretkey privatekey authtoken accesstoken "
+    "auth authorization bearer credential credentials private signature login session cookie".split()
+)
+#: Parts of identifiers: runs of capitals, words with or without a capital, numbers.
+IDENTIFIER_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+#: Candidates of a known form; group 1 is the secret, of FORM_LEAST characters or more.
+FORMS = (
+    re.compile(r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]+)?)"),
+    re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@]*:([^\s:/@]+)@"),
+    re.compile(r"/services/((?:[A-Z0-9]{8,}/){2}[A-Za-z0-9]{16,})"),
+)
+FORM_LEAST = 8
+KEY_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----([^-]*)(?:-----END|\Z)")
+KEY_LINE = re.compile(r"[A-Za-z0-9+/=]{16,}")
 PREFIXES = ("ghp_", "gho_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "rk_live_", "sk-", "AIza", "eyJ", "ya29", "npm_", "SG")
 CONTEXT_CHARS = 48
 WINDOW_CHARS = 512
 #: Least marginal bytes per character of a candidate; hexadecimal digits hold four bits at most.
 LEAST_NOVELTY, LEAST_HEX_NOVELTY = 0.62, 0.42
+#: A string with this share of its characters in words is no secret.
+WORDS_SHARE = 0.6
 
 #: The dictionary that primes the compressor: identifiers and words common in code and prose.
 IDENTIFIERS = (
@@ -102,21 +120,60 @@ def _parts(m: re.Match) -> Iterator[tuple[int, int]]:
             yield m.start() + p.start(), m.start() + p.end()
 
 
+def sensitive(text: str, start: int) -> bool:
+    """Whether a key word stands shortly before a place, as a word or as a part of an identifier."""
+    left = max(0, start - CONTEXT_CHARS)
+    for _ in range(CONTEXT_CHARS):  # a word that the window cuts is seen whole
+        if left and text[left - 1].isalnum():
+            left -= 1
+    before = text[left:start]
+    return any(p.lower() in SENSITIVE for p in IDENTIFIER_PART.findall(before)) or any(p.lower() in SENSITIVE for p in re.findall("[A-Za-z]+", before))
+
+
+def of_words(value: str) -> bool:
+    """Whether a string is mostly made of words: parts of three letters or more between signs, or of four or more that aren't all
+    capitals, a fair share of them vowels."""
+    held = 0
+    for m in IDENTIFIER_PART.finditer(value):
+        part = m.group()
+        vowels = sum(c in "aeiouyAEIOUY" for c in part)
+        apart = not value[max(0, m.start() - 1) : m.start()].isalnum() and not value[m.end() : m.end() + 1].isalnum()
+        if part.isalpha() and len(part) >= (3 if apart else 4) and (apart or not part.isupper()) and 0.15 <= vowels / len(part) <= 0.75:
+            held += len(part)
+    return held >= WORDS_SHARE * len(value)
+
+
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of what may be a secret, in the order of kinds of candidates; those of known forms first."""
+    for form in FORMS:
+        if form is FORMS[0] and "eyJ" not in text or form is FORMS[1] and "://" not in text or form is FORMS[2] and "/services/" not in text:
+            continue
+        for m in form.finditer(text):
+            if m.end(1) - m.start(1) >= FORM_LEAST:
+                yield m.span(1)
+    if "PRIVATE KEY-----" in text:
+        for block in KEY_BLOCK.finditer(text):
+            for m in KEY_LINE.finditer(text, *block.span(1)):
+                yield m.span()
+    for m in CANDIDATE.finditer(text):
+        for start, end in _parts(m):
+            value = text[start:end]
+            if any(map(str.isalpha, value)) and (value.startswith(PREFIXES) or sensitive(text, start)):
+                yield start, end
+
+
 def novel_spans(text: str, known: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
-    """Candidates in a sensitive context that overlap no base span and hardly compress."""
-    found = []
+    """Candidates that overlap no base span and no earlier one, aren't made of words and hardly compress."""
+    found: list[tuple[int, int, int]] = []
     starts, ends = sorted(a for a, _, _ in known), sorted(b for _, _, b in known)
-    for start, end in (s for m in CANDIDATE.finditer(text) for s in _parts(m)):
-        value = text[start:end]
-        if not any(c.isalpha() for c in value):
-            continue
-        if not value.startswith(PREFIXES) and not SENSITIVE.search(text, max(0, start - CONTEXT_CHARS), start):
+    for start, end in candidates(text):
+        if bisect_left(starts, end) > bisect_right(ends, start):  # more spans begin before its end than end before its start
             continue
-        if bisect_left(starts, end) > bisect_right(ends, start):  # more base spans begin before its end than end before its start
-            continue
-        if novelty.holds(text, start, end):
+        if not of_words(text[start:end]) and novelty.holds(text, start, end):
             found.append((start, 3, end))
-    return found
+            insort(starts, start)
+            insort(ends, end)
+    return sorted(found)
 
 
 def _listed(spans: list[tuple[int, int, int]]) -> str:
