@@ -367,11 +367,11 @@ def _text(tree: Tree, content: list[bool]) -> str:
     blocks, current = [], []
     for i, text in [*tree.pieces, (0, None)]:
         if text is None:
-            if block := " ".join(html.unescape("".join(current)).split()):
+            if block := " ".join("".join(current).split()):
                 blocks.append(block)
             current = []
         elif not hidden[i] and content[i]:
-            current.append(text)
+            current.append(html.unescape(text))  # a reference doesn't reach over tags
     return "\n".join(blocks)
 
 
