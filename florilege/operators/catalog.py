@@ -41,6 +41,17 @@ def page(items: DataFrame, order: list, number: int, size: int) -> DataFrame:
     return items.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
 
 
+def published(items: DataFrame, key: str, collection: str | None = None, relations: DataFrame | None = None, terms: tuple[str, ...] = ()) -> DataFrame:
+    """Items (key, status, password, collection, ...) that are published and need no password, of one collection if it is named,
+    and with one of the terms if any are: relations are (key, term). An unknown collection or term leaves nothing."""
+    out = items.where((F.col("status") == "publish") & (F.coalesce("password", F.lit("")) == ""))
+    if collection:
+        out = out.where(F.col("collection") == collection)
+    if terms:
+        out = out.join(relations.where(F.col("term").isin(*terms)).select(key), key, "left_semi")
+    return out
+
+
 def paginated(items: DataFrame, order: list[str], size: int = 50) -> DataFrame:
     """Every item with its place (from 1) and page.
 

@@ -40,7 +40,7 @@ def classified(plan: DataFrame, live: DataFrame, key: str) -> DataFrame:
 
 def resolved_references(claims: DataFrame, ids: DataFrame) -> DataFrame:
     """claims (subject, value) whose value '@key' names another record, with ids (key, id): target is null where none is known."""
-    named = claims.withColumn("key", F.when(F.col("value").startswith("@"), F.substring("value", 2, 1 << 20)))
+    named = claims.withColumn("key", F.when(F.col("value").startswith("@"), F.substring("value", 2, 2**31 - 1)))
     return named.join(ids.withColumnRenamed("id", "target"), "key", "left")
 
 

@@ -15,14 +15,28 @@ def shared_dir(spark: SparkSession) -> str:
     return (base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared").rstrip("/")
 
 
+#: Tables that this process has stored.
+_made: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage and outlives lost executors."""
+    """df written to the shared folder and read again: cuts the lineage and outlives lost executors. It stays until clear()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/florilege/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Delete what stored() has written for this process, once the results that rest on it are written: how many tables went."""
+    gone = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """path with its scheme: one without is on Spark's default file system, not on the machine that happens to open it."""
     given = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -27,6 +27,16 @@ def catalogue_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.page(items, [F.desc("o_totalprice"), "o_orderkey"], 3, 24)
 
 
+@query("F19 O7 O9 J15", "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 10 <> 0 AND o_orderpriority = '1-URGENT' AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') ORDER BY o_totalprice DESC, o_orderkey LIMIT 12 OFFSET 12")
+def published_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of published orders without a password, of one collection and with a term; the size asked for isn't offered."""
+    orders = table(spark, sf_dir, "orders")
+    items = orders.select("o_orderkey", "o_totalprice", F.when(F.col("o_orderstatus") == "P", "draft").otherwise("publish").alias("status"), F.when(F.col("o_orderkey") % 10 == 0, "x").alias("password"), F.col("o_orderpriority").alias("collection"))
+    relations = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("term"))
+    found = catalog.published(items, "o_orderkey", "1-URGENT", relations, ("R",))
+    return catalog.page(found, [F.desc("o_totalprice"), "o_orderkey"], 2, 13).select("o_orderkey")
+
+
 @query("F20 J15 X23", """SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE (contains(lower(c_name), 'machinery') OR contains(lower(c_mktsegment), 'machinery') OR contains(lower(n_name), 'machinery'))
 AND (contains(lower(c_name), 'nation_1') OR contains(lower(c_mktsegment), 'nation_1') OR contains(lower(n_name), 'nation_1'))""")
 def catalogue_search(spark: SparkSession, sf_dir: str) -> DataFrame:

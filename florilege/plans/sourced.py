@@ -80,13 +80,15 @@ def flattened_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.flattened(trees, "region", "tree").select("region", "place", "node", "parent")
 
 
-@query("S11 F9 Q38", "SELECT n_nationkey AS nation, row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) AS row, s_name AS name, CAST(s_suppkey AS VARCHAR) AS code FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+@query("S11 F9 Q38", "SELECT s_nationkey AS nation, s_suppkey // 500 AS part, row_number() OVER (PARTITION BY s_nationkey, s_suppkey // 500 ORDER BY s_suppkey) AS row, s_name AS name, CAST(s_suppkey AS VARCHAR) AS code FROM supplier")
 def scanned_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of suppliers by nation and by hundreds of their keys, so that a page has a bounded number of rows."""
     row = F.struct("s_suppkey", F.concat(F.lit("<tr><td> "), "s_name", F.lit("</td><td><a href='x'>"), F.col("s_suppkey").cast("string"), F.lit("</a></td></tr>")).alias("h"))
-    tables = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["h"]), "").alias("rows"))
-    pages = tables.select("nation", F.concat(F.lit("<p>x</p><table id='t'><tr><th>A</th><th>B</th></tr>"), "rows", F.lit("</table>")).alias("html"))
-    cells = markup.filled_rows(markup.table_rows(pages, "nation", "html", "t", ["A", "B"]))
-    return cells.select("nation", "row", F.get("cells", 0)["text"].alias("name"), F.get("cells", 1)["text"].alias("code"))
+    key = (F.col("s_nationkey") + 1000 * F.floor(F.col("s_suppkey") / 500)).alias("page")
+    tables = table(spark, sf_dir, "supplier").groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["h"]), "").alias("rows"))
+    pages = tables.select("page", F.concat(F.lit("<p>x</p><table id='t'><tr><th>A</th><th>B</th></tr>"), "rows", F.lit("</table>")).alias("html"))
+    cells = markup.filled_rows(markup.table_rows(pages, "page", "html", "t", ["A", "B"]))
+    return cells.select((F.col("page") % 1000).alias("nation"), F.floor(F.col("page") / 1000).alias("part"), "row", F.get("cells", 0)["text"].alias("name"), F.get("cells", 1)["text"].alias("code"))
 
 
 @query("S12 S13 W5")
@@ -106,6 +108,20 @@ def workbook_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+@query("S7 K3", "SELECT 'nations' AS sheet, CAST(n_nationkey AS VARCHAR) AS key, n_name AS name FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'regions', CAST(r_regionkey AS VARCHAR), r_name FROM region UNION ALL (SELECT 'suppliers', CAST(s_suppkey AS VARCHAR), s_name FROM supplier ORDER BY s_suppkey LIMIT 300)")
+def replaced_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook in which one sheet is replaced and one is added, while one stays as it was."""
+    path = f"{_place(spark, 'workbook')}.xlsx"
+    pick = lambda name, key, label: table(spark, sf_dir, name).select(F.col(key).alias("key"), F.col(label).alias("name")).orderBy("key")
+    nations = pick("nation", "n_nationkey", "n_name")
+    workbook.write(spark, {"nations": nations, "regions": pick("region", "r_regionkey", "r_name")}, path)
+    some = table(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")).orderBy("key")
+    workbook.replace(spark, path, {"nations": some, "suppliers": pick("supplier", "s_suppkey", "s_name")}, rows=300)
+    cells = workbook.read(spark, path)
+    found = [workbook.table_of(cells, name).select(F.lit(name).alias("sheet"), "key", "name") for name in ("nations", "regions", "suppliers")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query("K5 K6", "SELECT r_regionkey, r_name FROM region")
 def written_and_read_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _place(spark, "sheet")
@@ -173,16 +189,14 @@ def resumed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.groupBy("id", "page").agg(F.count("*").alias("n"))
 
 
-@query("S16 W4", "SELECT CAST(b AS BIGINT) AS batch, string_agg('Q' || n_nationkey, '|' ORDER BY n_nationkey) AS ids FROM (SELECT n_nationkey, n_nationkey // 7 AS b FROM nation) GROUP BY b")
+@query("S16 W4", "SELECT CAST(b AS BIGINT) AS batch, string_agg('Q' || c_custkey, '|' ORDER BY c_custkey) AS ids FROM (SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey) - 1) // 50 AS b FROM customer) GROUP BY b")
 def entity_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of nations, listed four at a time by a token, in batches of seven."""
-    nations = sorted(r[0] for r in table(spark, sf_dir, "nation").select("n_nationkey").collect())
-
-    def fetch(token: str | None) -> tuple[list[str], str | None]:
-        at = int(token or 0)
-        return [f"Q{k}" for k in nations[at : at + 4]], str(at + 4) if at + 4 < len(nations) else None
-
-    return paged.batches(paged.continued(spark, fetch), 7)
+    """Ids of customers, listed 400 at a time by a token, in batches of fifty."""
+    folder = _place(spark, "listing")
+    customers = catalog.paginated(table(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"], 400)
+    ids = customers.select("page", "place", F.concat(F.lit("Q"), F.col("c_custkey").cast("string")).alias("id"))
+    ids.repartition("page").sortWithinPartitions("page", "place").select("page", "id").write.partitionBy("page").json(folder)
+    return paged.batches(paged.continued(spark, paged.folder_tokens(spark, folder), held=1000))
 
 
 @query("S2", "SELECT c_custkey, c_name || '�é' AS name FROM customer")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from florilege.operators.stored import opened, qualified, stored
+from florilege.operators.stored import opened, qualified, shared_dir, stored
 
 Fetch = Callable[[str, int], tuple[list[dict], int]]
 
@@ -171,18 +171,40 @@ def resumed(spark: SparkSession, endpoint: str, fetch: Fetch, schema: str, cache
     return cached.unionByName(new), skipped
 
 
-def continued(spark: SparkSession, fetch: Callable[[str | None], tuple[list[str], str | None]], most: int = 1_000_000) -> DataFrame:
-    """(place, id) of a listing whose pages name the next one by a token: each needs the one before, so they are read in turn."""
+def continued(spark: SparkSession, fetch: Callable[[str | None], tuple[list[str], str | None]], most: int = 1_000_000, held: int = 100_000) -> DataFrame:
+    """(place, id) of a listing whose pages name the next one by a token: each needs the one before, so they are read in turn. The
+    ids are written whenever so many are held, so the driver never has the whole listing."""
+    folder = f"{shared_dir(spark)}/florilege/listing-{uuid.uuid4().hex}"
     ids: list[str] = []
-    token: str | None = None
+    token, place = None, 0
     for _ in range(most):
         found, token = fetch(token)
         ids += found
+        if token is None or len(ids) >= held:
+            spark.createDataFrame([(place + k, i) for k, i in enumerate(ids)], "place long, id string").write.mode("append").parquet(folder)
+            place, ids = place + len(ids), []
         if token is None:
-            return spark.createDataFrame(list(enumerate(ids)), "place long, id string")
+            return spark.read.schema("place long, id string").parquet(folder)
     raise ValueError("the listing doesn't end")
 
 
+def folder_tokens(spark: SparkSession, folder: str) -> Callable[[str | None], tuple[list[str], str | None]]:
+    """An offline listing: folder/page=<number>/ holds ids as JSON lines; a page's token is its number, and the next one's that of
+    the next page there is."""
+    pages = folder_pages(spark, folder)
+
+    def fetch(token: str | None) -> tuple[list[str], str | None]:
+        number = int(token or 1)
+        found, _ = pages(".", number)
+        try:
+            pages(".", number + 1)
+        except OSError:
+            return [r["id"] for r in found], None
+        return [r["id"] for r in found], str(number + 1)
+
+    return fetch
+
+
 def batches(listed: DataFrame, size: int = 50) -> DataFrame:
     """(batch, ids) of (place, id), `size` ids each, joined for a request."""
     numbered = listed.select(F.floor(F.col("place") / size).alias("batch"), F.struct("place", "id").alias("x"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Iterator
+from http.client import HTTPException
 from urllib.error import HTTPError
 from urllib.parse import parse_qsl, urlencode, urlsplit
 from urllib.request import Request, urlopen
@@ -60,20 +61,27 @@ def pages(base: str, fields: str | None = None, per_page: int = 100, total: str
     return fetch
 
 
+#: What a connection fails with: refusals, answers that break off, and addresses that are none.
+FAILURES = (OSError, HTTPException, ValueError)
+
+
 def site_map(base: str, timeout: float = 30, most: int = 50_000) -> list[str]:
-    """Distinct addresses of a site's maps, from the usual places and robots.txt; maps that can't be read are passed over."""
+    """Distinct addresses of a site's maps, from the usual places and robots.txt; maps that can't be read are passed over. A site
+    with more than `most` maps ends with an error; paged.crawl takes any number."""
 
     def fetched(url: str) -> str | None:
         try:
             return text(url, timeout)[0]
-        except OSError:
+        except FAILURES:
             return None
 
     waiting, seen, found = roots(base.rstrip("/"), fetched(f"{base.rstrip('/')}/robots.txt")), set(), set()
-    while waiting and len(seen) < most:
+    while waiting:
         url = waiting.pop(0)
         if url in seen:
             continue
+        if len(seen) >= most:
+            raise ValueError(f"more than {most} maps")
         seen.add(url)
         try:
             root = ElementTree.fromstring((fetched(url) or "").encode())
@@ -98,7 +106,7 @@ def answer(url: str, timeout: float = 12) -> tuple[int | None, str, str | None]:
             status, final = e.code, e.geturl()
             if status not in REFUSED:
                 return status, final, None
-        except Exception as e:  # any failure of a connection counts as one
+        except FAILURES as e:
             return status, final, repr(e)[:200]
     return status, final, None
 
@@ -132,7 +140,7 @@ def texts(spark: SparkSession, urls: list[str], timeout: float = 30) -> DataFram
             for url in frame["url"]:
                 try:
                     rows.append((url, text(url, timeout)[0], None))
-                except Exception as e:  # as above
+                except FAILURES as e:
                     rows.append((url, None, repr(e)[:200]))
             yield pd.DataFrame(rows, columns=["url", "text", "error"])
 

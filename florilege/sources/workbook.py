@@ -120,9 +120,41 @@ def write(spark: SparkSession, tables: dict[str, DataFrame], path: str, rows: in
         book.writestr("xl/_rels/workbook.xml.rels", _RELS.format("".join(_REL.format(k, "worksheet", f"worksheets/sheet{k}.xml") for k in range(1, len(tables) + 1))))
         for k, df in enumerate(tables.values(), 1):
             book.writestr(f"xl/worksheets/sheet{k}.xml", _sheet_xml(df, rows))
+    _put(spark, path, buffer.getvalue())
+
+
+def replace(spark: SparkSession, path: str, tables: dict[str, DataFrame], rows: int = 10_000) -> None:
+    """Put sheets into a workbook that is there: those of the same name are replaced, others added at its end; all else stays."""
+    content = spark.read.format("binaryFile").load(path).first()["content"]
+    with zipfile.ZipFile(io.BytesIO(bytes(content))) as book:
+        parts = {name: book.read(name) for name in book.namelist()}
+    listed, related = parts["xl/workbook.xml"].decode(), parts["xl/_rels/workbook.xml.rels"].decode()
+    targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(related)}
+    sheets = {s.get("name"): targets[s.get(_ID)] for s in ElementTree.fromstring(listed).iter(f"{_MAIN}sheet")}
+    used = [int(s.get("sheetId")) for s in ElementTree.fromstring(listed).iter(f"{_MAIN}sheet")]
+    for name, df in tables.items():
+        if name not in sheets:
+            number = 1 + max([0, *used])
+            used.append(number)
+            sheets[name] = f"worksheets/added{number}.xml"
+            listed = listed.replace("</sheets>", f'<sheet xmlns:a="{_ID[1:-3]}" name="{escape(name, {chr(34): "&quot;"})}" sheetId="{number}" a:id="added{number}"/></sheets>')
+            related = related.replace("</Relationships>", _REL.format(number, "worksheet", sheets[name]).replace(f'"r{number}"', f'"added{number}"') + "</Relationships>")
+            kinds = parts["[Content_Types].xml"].decode()
+            parts["[Content_Types].xml"] = kinds.replace("</Types>", f'<Override PartName="/xl/{sheets[name]}" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>').encode()
+        target = sheets[name]
+        parts[target.lstrip("/") if target.startswith("/") else f"xl/{target}"] = _sheet_xml(df, rows).encode()
+    parts["xl/workbook.xml"], parts["xl/_rels/workbook.xml.rels"] = listed.encode(), related.encode()
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as book:
+        for name, part in parts.items():
+            book.writestr(name, part)
+    _put(spark, path, buffer.getvalue())
+
+
+def _put(spark: SparkSession, path: str, content: bytes) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
     try:
-        stream.write(bytearray(buffer.getvalue()))
+        stream.write(bytearray(content))
     finally:
         stream.close()

@@ -1,5 +1,6 @@
 import json
 import lzma
+import os
 
 import pytest
 from pyspark.errors import PySparkException
@@ -263,3 +264,43 @@ def test_web(spark, site):
     read = {r["url"].removeprefix(site): (r["text"], r["error"] is None) for r in web.texts(spark, [f"{site}/odd", f"{site}/gone"]).collect()}
     assert read == {"/odd": ("ok \ufffd", True), "/gone": (None, False)}
     assert web.parameters(web.address(site, "posts", a=1, b=None, c="é")) == {"a": "1", "c": "é"}
+
+
+def test_stored_tables_are_cleared(spark):
+    from florilege.operators import stored
+
+    stored.clear(spark)
+    kept = stored.stored(spark.range(3), "kept")
+    path = kept.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert os.path.isdir(path) and stored.clear(spark) == 1 and not os.path.exists(path) and stored.clear(spark) == 0
+
+
+def test_listings_are_written_in_parts(spark):
+    def fetch(token):
+        at = int(token or 0)
+        return [f"i{k}" for k in range(at, min(at + 3, 11))], str(at + 3) if at + 3 < 11 else None
+
+    listed = paged.continued(spark, fetch, held=4)
+    assert [r["id"] for r in listed.orderBy("place").collect()] == [f"i{k}" for k in range(11)]
+    assert paged.continued(spark, lambda token: ([], None)).count() == 0
+    with pytest.raises(ValueError):
+        paged.continued(spark, lambda token: (["x"], "again"), most=3)
+
+
+def test_sheets_in_a_workbook_are_replaced(spark, tmp_path):
+    from florilege.sources import workbook
+
+    path = f"file://{tmp_path}/b.xlsx"
+    df = lambda *values: spark.createDataFrame([(v,) for v in values], "v string").coalesce(1)
+    workbook.write(spark, {"a": df("1"), "b & c": df("2", "3")}, path)
+    workbook.replace(spark, path, {"b & c": df("x<y")})
+    workbook.replace(spark, path, {"new": df("n"), "newer": df("m"), "a": df("1", None)})
+    cells = workbook.read(spark, path)
+    assert [(r["sheet"], r["row"], r["cells"]) for r in cells.orderBy("sheet", "row").collect()] == [("a", 1, ["v"]), ("a", 2, ["1"]), ("b & c", 1, ["v"]), ("b & c", 2, ["x<y"]), ("new", 1, ["v"]), ("new", 2, ["n"]), ("newer", 1, ["v"]), ("newer", 2, ["m"])]
+
+
+def test_site_maps_without_end_fail(site):
+    from florilege.sources import web
+
+    with pytest.raises(ValueError, match="maps"):
+        web.site_map(site, most=1)
