@@ -107,3 +107,28 @@ def largest_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ordinals_and_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = profile.numbered(table(spark, sf_dir, "conversations").select("conv_id", "turn"), ["conv_id"], ["turn"])
     return numbered.select("conv_id", "turn", "ordinal", F.when(F.col("ordinal") == 1, "primary").when(F.col("ordinal") == 2, "verso").otherwise("detail").alias("place_role"))
+
+
+#: What a request for the newest published posts with a term and a value asks of the store's five tables.
+_CMS_SQL = """SELECT p.id, p.title, t.name AS term FROM {0}posts AS p JOIN {0}term_relationships AS r ON r.object_id = p.id JOIN {0}term_taxonomy AS x ON x.term_taxonomy_id = r.term_taxonomy_id JOIN {0}terms AS t ON t.term_id = x.term_id
+WHERE p.status = 'publish' AND x.taxonomy = 'flag' AND EXISTS (SELECT 1 FROM {0}postmeta AS m WHERE m.post_id = p.id AND m.meta_key = 'priority' AND m.meta_value LIKE '1%') ORDER BY p.date DESC, p.id, t.name LIMIT 50"""
+_CMS_TABLES = {
+    "posts": "SELECT o_orderkey AS id, concat('Order ', CAST(o_orderkey AS STRING)) AS title, CASE WHEN o_orderstatus = 'P' THEN 'draft' ELSE 'publish' END AS status, o_orderdate AS date FROM orders",
+    "postmeta": "SELECT o_orderkey AS post_id, 'priority' AS meta_key, o_orderpriority AS meta_value FROM orders UNION ALL SELECT o_orderkey, 'total', CAST(CAST(o_totalprice AS BIGINT) AS STRING) FROM orders",
+    "terms": "SELECT DISTINCT ascii(l_returnflag) AS term_id, l_returnflag AS name FROM lineitem",
+    "term_taxonomy": "SELECT DISTINCT ascii(l_returnflag) + 1000 AS term_taxonomy_id, ascii(l_returnflag) AS term_id, 'flag' AS taxonomy FROM lineitem",
+    "term_relationships": "SELECT DISTINCT l_orderkey AS object_id, ascii(l_returnflag) + 1000 AS term_taxonomy_id FROM lineitem",
+}
+
+
+@query("S17 J14 J15 O8", "WITH " + ", ".join(f"cms_{name} AS ({sql.replace('STRING', 'VARCHAR')})" for name, sql in _CMS_TABLES.items()) + " (" + _CMS_SQL.format("cms_") + ")")
+def cms_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest published posts with their terms, by SQL over the five tables of a store, which are views of a session."""
+    views = {name: table(spark, sf_dir, name) for name in ("orders", "lineitem")}
+    prefix = f"cms_{uuid.uuid4().hex}_"
+    for name, sql in _CMS_TABLES.items():
+        spark.sql(sql.replace("FROM orders", "FROM {orders}").replace("FROM lineitem", "FROM {lineitem}"), **{k: v for k, v in views.items() if f"FROM {k}" in sql}).createOrReplaceTempView(prefix + name)
+    found = spark.sql(_CMS_SQL.format(prefix))
+    for name in _CMS_TABLES:
+        spark.catalog.dropTempView(prefix + name)
+    return found

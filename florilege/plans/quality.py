@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from florilege.operators.stored import stored
+from florilege import sinks
+from florilege.operators import profile
+from florilege.operators.stored import shared_dir, stored
 from florilege.plans import sqltext as q
 from florilege.plans.content import titles
 from florilege.registry import query, table
@@ -103,3 +107,25 @@ def broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(~failed, 200 + 100 * (F.col("event_id") % 4) + F.col("event_id") % 5)
     checked = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("url"), F.when(failed, "timed out").alias("error"), status.cast("int").alias("status"))
     return site.broken_links(checked).select("url", "evidence")
+
+
+_GRID = "'| ' || concat_ws(' | ', {}) || ' |'"
+_REPORT_SQL = f"""WITH {_ISSUES_SQL}, t AS (SELECT * FROM i ORDER BY CASE severity WHEN 'Crítica' THEN 0 WHEN 'Alta' THEN 1 WHEN 'Média' THEN 2 WHEN 'Baixa' THEN 3 ELSE 9 END, area, issue_type, url, evidence LIMIT 20),
+l AS (SELECT unnest(['# Audit', '| indicator | value |', '|---|---|', '## Main issues', '| severity | issue_type | url |', '|---|---|---|', '## By area', '| area | n |', '|---|---|', '## Advice', '- Start with the worst.']) AS line
+UNION ALL SELECT '| issues | ' || count(*) || ' |' FROM i UNION ALL SELECT '| grave | ' || count(*) FILTER (severity IN ('Alta', 'Crítica')) || ' |' FROM i
+UNION ALL SELECT {_GRID.format("severity, issue_type, replace(url, '|', chr(92) || '|')")} FROM t UNION ALL SELECT {_GRID.format("area, n")} FROM (SELECT area, count(*) AS n FROM i GROUP BY area))
+SELECT 'report' AS file, line, count(*) AS n FROM l GROUP BY line UNION ALL SELECT 'counter', area || ',' || n, 1 FROM (SELECT area, count(*) AS n FROM i GROUP BY area) UNION ALL SELECT 'counter', 'area,n', 1"""
+
+
+@query("K4 K5 A10 A11 O1", _REPORT_SQL)
+def written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a report and of a counter that are written about the issues of pages; empty lines of the report left out."""
+    found = page_issues(table(spark, sf_dir, "pages"))
+    summary = profile.summary(found, issues=F.count("*"), grave=F.count_if(rank() <= 1))
+    by_area = found.groupBy("area").agg(F.count("*").alias("n"))
+    said = sinks.report("Audit", summary.orderBy(F.desc("indicator")), ranked(found).select("severity", "issue_type", "url").limit(20), by_area.orderBy(F.desc("n"), "area"), ("Start with the worst.",))
+    folder = f"{shared_dir(spark)}/florilege/report-{uuid.uuid4().hex}"
+    spark.createDataFrame([(said,)], "value string").coalesce(1).write.text(f"{folder}/report")
+    sinks.csv_counts(by_area, f"{folder}/areas", [F.desc("n"), "area"])
+    lines = lambda name: spark.read.text(f"{folder}/{name}").where("value <> ''").groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+    return lines("report").select(F.lit("report").alias("file"), "line", "n").unionByName(lines("areas").select(F.lit("counter").alias("file"), "line", "n"))
