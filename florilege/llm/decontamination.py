@@ -9,8 +9,8 @@ SEED_MASKS (SHORT_MASKS for short items) sees only words that agree, so no such
 patterns. Items of one to three words have to be there whole, as their share says.
 
 Defined results: null or empty texts match nothing, nor do items without words; items with equal words count as the one with
-the smallest item_id; rows that share a doc_id are one document; rows with a null doc_id or item_id are passed over; empty
-tables give an empty result; only doc_id, item_id and text are read, so other columns may have any name.
+the smallest item_id; rows that share a doc_id are one document; rows with a null doc_id or item_id are passed over; long texts
+are read whole, as one array of hashes each; an agreement of exactly SHARE counts; empty tables give an empty result; only doc_id, item_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ FTRL-proximal gives each slot its own learning rate and, by L1, a weight of exac
 the model is a short list of slots that every task gets.
 
 Defined results: null texts are empty; empty texts score the model's bias; without training rows every score is 0;
-null doc_ids count as training ids; repeated rows are carried; an empty table gives an empty result.
+null doc_ids count as training ids; repeated rows are carried; an empty table gives an empty result. Long texts are read whole; a
+score of exactly THRESHOLD is predicted toxic; only doc_id, text and the labels are read, so other columns may have any name.
 """
 
 from __future__ import annotations
