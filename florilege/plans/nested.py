@@ -56,9 +56,13 @@ UNION ALL SELECT 'following', outer_name, inner_name, n FROM f""")
 def xml_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many pairs of nodes stand on each axis, by their names, in the XML of orders."""
     nodes = stored(trees.xml_nodes(_order_documents(spark, sf_dir), "key", "xml"), "nodes")
-    names = [F.col("a_name").alias("outer_name"), F.col("b_name").alias("inner_name")]
-    found = [trees.related(nodes, nodes, axis, "key", "name").select(F.lit(axis).alias("axis"), *names) for axis in ("child", "descendant", "ancestor", "following-sibling")]
-    pairs = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]).groupBy("axis", "outer_name", "inner_name").agg(F.count("*").alias("n"))
+    outer, inner = F.col("a_name").alias("outer_name"), F.col("b_name").alias("inner_name")
+    count = F.count("*").alias("n")
+    found = [trees.related(nodes, nodes, axis, "key", "name").groupBy(F.lit(axis).alias("axis"), outer, inner).agg(count) for axis in ("child", "following-sibling")]
+    below = trees.related(nodes, nodes, "descendant", "key", "name").groupBy("a_name", "b_name").agg(count)
+    # seen from the other side, descendants are ancestors
+    ways = F.array(F.struct(F.lit("descendant").alias("axis"), outer, inner, "n"), F.struct(F.lit("ancestor").alias("axis"), F.col("b_name").alias("outer_name"), F.col("a_name").alias("inner_name"), "n"))
+    pairs = found[0].unionByName(found[1]).unionByName(below.select(F.explode(ways).alias("x")).select("x.*"))
     # what follows a node is most of a document, so it is counted without pairs
     counts = trees.related_counts(nodes, nodes, "following", "key").join(nodes.select("key", F.col("pre").alias("a_pre"), F.col("name").alias("outer_name")), ["key", "a_pre"])
     return pairs.unionByName(counts.groupBy(F.lit("following").alias("axis"), "outer_name", F.col("b_name").alias("inner_name")).agg(F.sum("n").alias("n")))
