@@ -14,6 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from florilege.llm import decontamination, jaccard, language, packing, pii
 from florilege.llm.common import materialised, table
 
+#: Bytes of text that go to Python workers at once. A batch is held by Spark and by a worker, and by both again on its way back.
+BATCH_BYTES = 8 << 20
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Smaller Arrow batches, as an executor of the pipeline keeps the memory that its largest stage took. A session that has a
+    setting of its own keeps it."""
+    if spark.conf.get(_BATCH) == _DEFAULT:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language identification rejects go: those too far from all centroids, and null, empty or letterless texts.
@@ -22,6 +33,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are judged each, so all stay or all go; of centroids at one cosine the first counts. Where nothing can be learned, no
     language is known and every document goes.
     """
+    bounded(spark)
     return language.keep_known(docs)
 
 
@@ -31,6 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts have no near duplicates and stay, as do rows with a null doc_id; of repeated rows one stays; rows that
     share an id but aren't near duplicates stay both; of several near duplicates with the group's smallest id one stays.
     """
+    bounded(spark)
     return jaccard.keep_one(docs)
 
 
@@ -58,6 +71,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are one token; a null doc_id is carried; repeated rows are packed each; pieces of one size may change
     places.
     """
+    bounded(spark)
     return packing.pack(docs)
 
 
