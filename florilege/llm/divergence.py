@@ -25,8 +25,9 @@ from florilege.llm.common import chunks, materialised, utf8
 
 #: Documents of a language that hold a kept term at least, terms listed of each group, and the whole that shares are of.
 LEAST_DOCUMENTS, LISTED, WHOLE = 10, 10, 1_000_000_000
-#: Bytes of text counted at once, cells of a dense stretch at most, and groups whose totals are sent to every task at most.
-STEP_BYTES, CELLS, BROADCAST_GROUPS = 4 << 20, 1 << 19, 20_000
+#: Bytes of text counted at once, cells of a dense stretch at most, groups whose totals are sent to every task at most, and pairs
+#: of sources whose sums a task holds at most; sums of more pairs are given out stretch by stretch.
+STEP_BYTES, CELLS, BROADCAST_GROUPS, PAIRS = 4 << 20, 1 << 19, 20_000, 1 << 22
 
 #: Bytes of terms (letters, and all of characters that aren't ASCII), and A-Z lowered.
 _IN_TERM = np.zeros(256, bool)
@@ -161,6 +162,18 @@ def scores(stretches: DataFrame, totals: DataFrame, listed: int = LISTED) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: dict[str, tuple[list[str], np.ndarray]] = {}
+
+        def given(lang: str, names: list[str], i: int, sums: np.ndarray) -> pa.RecordBatch:
+            """Pairs of source i with those behind it."""
+            rows = [{"lang": lang, "part": "pair", "source": names[i], "item": names[j], "value": int(v)} for j, v in enumerate(sums, i + 1)]
+            return pa.RecordBatch.from_pylist(rows, schema=schema)
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for lang, (names, sums) in pairs.items():
+                for i in range(len(names) - 1):
+                    yield given(lang, names, i, sums[i, i + 1 :])
+            pairs.clear()
+
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {name: batch.column(i)[k] for i, name in enumerate(batch.schema.names)}
@@ -171,8 +184,14 @@ def scores(stretches: DataFrame, totals: DataFrame, listed: int = LISTED) -> Dat
                 counts = np.zeros((len(names), len(terms)), np.int64)
                 if len(terms):
                     counts[[where[s] for s in row["sources"].as_py()]] = np.asarray(row["counts"].values).reshape(-1, len(terms))
-                if lang not in pairs:
+                held = len(names) ** 2 <= PAIRS
+                if held and lang not in pairs:
+                    if sum(x.size for _, x in pairs.values()) + len(names) ** 2 > PAIRS:
+                        yield from flushed()
                     pairs[lang] = names, np.zeros((len(names), len(names)), np.int64)
+                if not held and not len(terms):
+                    for i in range(len(names) - 1):
+                        yield given(lang, names, i, np.zeros(len(names) - 1 - i, np.int64))
                 step = max(1, CELLS // len(names))
                 best: list[dict] = []
                 for start in range(0, len(terms), step):
@@ -180,16 +199,18 @@ def scores(stretches: DataFrame, totals: DataFrame, listed: int = LISTED) -> Dat
                     p = shares(own, n + 2 * v)
                     whole = shares(own.sum(0), int(n.sum()) + 2 * v)
                     for i in range(len(names)):
-                        pairs[lang][1][i, i + 1 :] += distance(p[i], p[i + 1 :]).sum(1)
+                        sums = distance(p[i], p[i + 1 :]).sum(1)
+                        if held:
+                            pairs[lang][1][i, i + 1 :] += sums
+                        elif len(sums):
+                            yield given(lang, names, i, sums)
                         marks = np.flatnonzero((own[i] > 0) & (p[i] > whole))
                         value = distance(p[i][marks], whole[marks])
                         top = np.lexsort((marks, -value))[:listed]
                         best += [{"lang": lang, "part": "term", "source": names[i], "item": terms[start + int(marks[t])].as_py(), "value": int(value[t])} for t in top]
                 if best:
                     yield pa.RecordBatch.from_pylist(best, schema=schema)
-        for lang, (names, sums) in pairs.items():
-            for i, name in enumerate(names[:-1]):
-                yield pa.RecordBatch.from_pylist([{"lang": lang, "part": "pair", "source": name, "item": names[j], "value": int(sums[i, j])} for j in range(i + 1, len(names))], schema=schema)
+        yield from flushed()
 
     schema = pa.schema([("lang", pa.string()), ("part", pa.string()), ("source", pa.string()), ("item", pa.string()), ("value", pa.int64())])
     empty = F.array().cast("array<string>")

@@ -240,7 +240,9 @@ def test_audit_against_a_plain_version(spark, monkeypatch):
     monkeypatch.setattr(divergence, "BROADCAST_GROUPS", 0)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        assert audited(docs) == expected
+        for pairs in (1 << 22, 50, 4):  # sums of all languages, of some, and of none are held
+            monkeypatch.setattr(divergence, "PAIRS", pairs)
+            assert audited(docs) == expected
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert audited(docs, least=30, listed=2) == plain_audit(rows, 30, 2)
