@@ -49,19 +49,6 @@ def page_rules(pages: DataFrame, most: int = HEAVY_CHARS, fewest: int = FEW_WORD
     return pages.select(F.explode(F.array_compact(found)).alias("i")).select("i.*")
 
 
-def heavy_pages(pages: DataFrame, most: int = HEAVY_CHARS) -> DataFrame:
-    """Of pages (url, html, type), those of type page whose HTML is long."""
-    size = F.length("html")
-    return issue(pages.where((F.col("type") == "page") & (size > most)), "Técnico", "Alta", "Página muito pesada", F.col("url"), F.concat(size.cast("string"), F.lit(" caracteres de HTML")), "Dividir ou paginar o conteúdo")
-
-
-def near_empty(pages: DataFrame, fewest: int = FEW_WORDS) -> DataFrame:
-    """Of pages (url, html, type), those of type post with few words and no image."""
-    words = text.word_count(text.strip_html(F.col("html")))
-    empty = (F.col("type") == "post") & (F.length("html") > 0) & ~F.col("html").rlike(r"(?i)<img\b") & (words < fewest)
-    return issue(pages.where(empty), "Conteúdo", "Baixa", "Post quase vazio", F.col("url"), F.concat(words.cast("string"), F.lit(" palavras")), "Completar ou despublicar")
-
-
 def duplicate_titles(pages: DataFrame) -> DataFrame:
     keyed = pages.select("url", "title", text.norm_text(F.col("title")).alias("key")).where("key <> ''")
     groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("url").alias("url"), F.min("title").alias("title")).where("n > 1")

@@ -131,7 +131,7 @@ def test_entry_rules(spark):
 def test_issue_order_and_site_rules(spark):
     pages = spark.createDataFrame([(1, "https://s.org/a", "<title>A title</title>" + "x" * 50), (2, "https://s.org/b", "<title>a Title</title>few"), (3, "https://s.org/c", "<img src=x>")], "page_id long, url string, html string")
     pages = pages.withColumn("type", F.when(F.length("html") > 60, "page").otherwise("post")).withColumn("title", F.regexp_extract("html", "<title>(.*?)</title>", 1)).withColumn("slug", F.lit("s"))
-    found = ranked(combined(site.duplicate_titles(pages), site.near_empty(pages), site.heavy_pages(pages, 60)))
+    found = ranked(combined(site.duplicate_titles(pages), site.page_rules(pages, 60)))
     assert [(r["severity"], r["url"]) for r in found.collect()] == [("Alta", "https://s.org/a"), ("Média", "https://s.org/a"), ("Baixa", "https://s.org/b")]
     assert site.outside_sitemap(pages, pages.select("url").limit(0)).count() == 0
     assert rows(site.outside_sitemap(pages, pages.where("page_id < 3").select("url")).select("url")) == [("https://s.org/c",)]
