@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from florilege.operators.ranges import counts_within, pairs_within
-from florilege.sources.markup import VOID, fed, html_events
+from florilege.sources.markup import html_events
 
 NODES = "pre long, last long, parent long, above string, depth int, name string, local string, namespace string, attributes map<string,string>, text string"
 _SCHEMA = pa.schema([("pre", pa.int64()), ("last", pa.int64()), ("parent", pa.int64()), ("above", pa.string()), ("depth", pa.int32()), ("name", pa.string()), ("local", pa.string()), ("namespace", pa.string()), ("attributes", pa.map_(pa.string(), pa.string())), ("text", pa.string())])
