@@ -25,6 +25,8 @@ Fetch = Callable[[str, int], tuple[list[dict], int]]
 #: What a transport fails with: connections, answers that break off, and answers that are no JSON.
 FAILURES = (OSError, http.client.HTTPException, json.JSONDecodeError, UnicodeDecodeError)
 SCHEMA = "page long, record string, error string"
+#: Partitions of a scan at most; a service isn't asked by more tasks at once, and a task's start costs more than a page.
+TASKS = 32
 
 
 def asked(fetch: Fetch, endpoint: str, page: int, attempts: int = 3, wait_s: float = 2.0) -> tuple[list[dict], int]:
@@ -39,6 +41,12 @@ def asked(fetch: Fetch, endpoint: str, page: int, attempts: int = 3, wait_s: flo
     raise ValueError("at least one attempt is needed")
 
 
+def dealt(pages: list[int]) -> list[InputPartition]:
+    """A partition per page, or where there are more than TASKS pages, that many runs of pages."""
+    size = -(-len(pages) // TASKS) or 1
+    return [InputPartition(pages[k : k + size]) for k in range(0, len(pages), size)]
+
+
 def source(fetch: Fetch, name: str) -> type[DataSource]:
     """A data source over a transport: format(name) with options endpoint, attempts, wait_s, start (of the pages after the first,
     those from here on are read), most_pages, and for batches total (asked for where it isn't given)."""
@@ -69,8 +77,7 @@ def source(fetch: Fetch, name: str) -> type[DataSource]:
 
     class Batch(Reader, DataSourceReader):
         def partitions(self) -> list[InputPartition]:
-            pages = [1, *range(max(2, self.start), self.total() + 1)]
-            return [InputPartition([page]) for page in pages]
+            return dealt([1, *range(max(2, self.start), self.total() + 1)])
 
     class Stream(Reader, DataSourceStreamReader):
         def initialOffset(self) -> dict:
@@ -80,7 +87,7 @@ def source(fetch: Fetch, name: str) -> type[DataSource]:
             return {"page": self.total()}
 
         def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-            return [InputPartition([page]) for page in range(start["page"] + 1, end["page"] + 1)]
+            return dealt(list(range(start["page"] + 1, end["page"] + 1)))
 
         def commit(self, end: dict) -> None:
             pass
