@@ -11,12 +11,15 @@ declared in them.
 
 Rows: path, part (where the range begins), n (place in the part), xml, error. A file that breaks off, or an element that doesn't
 end, is a row with an error, behind what came before it. With option what=instructions, the bodies of the processing instructions
-named by tag are given instead. Tags in comments, in CDATA sections and within an element of the same name are passed over; a
-part that begins inside of one of these can't tell, so files whose text holds such tags need a split of their size.
+named by tag are given instead. Tags in comments, in CDATA sections and within an element of the same name are passed over. What
+a range begins inside of rests on all ranges before it: read() finds that out by a pass over the files that have several ranges,
+in which a task tells for each sign that may be open where its range begins what is open where it ends. Without read(), a range
+is taken to begin outside of all three.
 """
 
 from __future__ import annotations
 
+import json
 import lzma
 import re
 import zlib
@@ -285,10 +288,26 @@ def _tag_end(window: Window, at: int, hold: int) -> tuple[int, bool]:
             raise ParseError("a tag doesn't end")
 
 
-def elements(window: Window, tag: str) -> Iterator[bytes]:
-    """Elements of that name (and any prefix) that begin in the range; inner ones of the same name are part of the outer."""
+def elements(window: Window, tag: str, within: bytes = b"", depth: int = 0) -> Iterator[bytes]:
+    """Elements of that name (and any prefix) that begin in the range; inner ones of the same name are part of the outer. The range
+    may begin inside of what a sign of _SKIPPED opened, or of so many elements of the name."""
     opens, inside = _tokens(tag, False), _tokens(tag, True)
     at = 0
+    try:
+        if within:
+            at = window.find(_SKIPPED[within], at)
+        while depth:
+            found = window.search(inside, at)
+            if not found or window.base + found.start() >= window.owned:
+                return
+            end = window.base + found.end()
+            if found[0] in _SKIPPED:
+                at = window.find(_SKIPPED[found[0]], end)
+                continue
+            at, closed = _tag_end(window, end, window.base + found.start())
+            depth += -1 if found[1] else 0 if closed else 1
+    except Broken:
+        return
     while found := window.search(opens, at):
         begin, sign = window.base + found.start(), found[0]
         if begin >= window.owned:
@@ -315,6 +334,56 @@ def elements(window: Window, tag: str) -> Iterator[bytes]:
         window.drop(at)
 
 
+def _followed(window: Window, tokens: re.Pattern, at: int, within: bytes, members: list[list]) -> tuple[int, bytes]:
+    """From a place on, inside of `within`: how far the window's data lead, and what is open there. members: [sign, growth of depth,
+    least of it on the way], kept up to date. What begins in the range is followed to its end, what begins behind it isn't."""
+    while True:
+        if within:
+            sign = _SKIPPED[within]
+            k = window.data.find(sign, max(0, at - window.base))
+            if k < 0:
+                return max(at, window.end() - len(sign) + 1), within
+            if window.base + k >= window.owned:
+                return max(at, window.owned), within
+            at, within = window.base + k + len(sign), b""
+            continue
+        found = tokens.search(window.data, max(0, at - window.base))
+        if not found:
+            return max(at, window.end() - LONGEST_TOKEN), within
+        begin = window.base + found.start()
+        if begin >= window.owned:
+            return max(at, window.owned), within
+        if found[0] in _SKIPPED:
+            at, within = window.base + found.end(), found[0]
+            continue
+        tag = _ATTRIBUTES.match(window.data, found.end())
+        if not tag:
+            return begin, within
+        step = -1 if found[1] else 0 if window.data[tag.end() - 2 : tag.end()] == b"/>" else 1
+        for member in members:
+            member[1] += step
+            member[2] = min(member[2], member[1])
+        at = window.base + tag.end()
+
+
+def passages(window: Window, tag: str) -> dict[bytes, tuple[bytes, int, int]]:
+    """What a range does to what it begins inside of: per sign that is open at its begin (none: empty), the sign that is open at
+    its end, the growth of the depth of elements of that name, and the least of that growth on the way. Ways that come to the same
+    place go on as one."""
+    tokens = _tokens(tag, True)
+    ways = {(0, sign): [[sign, 0, 0]] for sign in (b"", *_SKIPPED)}
+    while window.more or any(at < window.owned for at, _ in ways):
+        pulled = window.pull()
+        led: dict[tuple[int, bytes], list[list]] = {}
+        for (at, within), members in ways.items():
+            led.setdefault(_followed(window, tokens, at, within, members), []).extend(members)
+        ways = led
+        window.drop(min(at for at, _ in ways))
+        if not pulled:
+            break
+    return {sign: (within, growth, least) for (_, within), members in ways.items() for sign, growth, least in members}
+
+
 def instructions(window: Window, name: str) -> Iterator[bytes]:
     """Bodies of the processing instructions of that name that begin in the range, wherever they stand."""
     begins = re.compile(rb"<\?%s(?=\s)" % re.escape(name.encode()))
@@ -408,10 +477,13 @@ class XmlPartsReader(DataSourceReader):
         self.path, self.tag = options["path"], options["tag"]
         self.what = options.get("what", "elements")
         self.split = int(options.get("split", SPLIT_BYTES))
+        self.begins = json.loads(options.get("begins", "{}"))
 
     def partitions(self) -> list[InputPartition]:
         """Ranges of files; only their sizes are looked at here."""
         ranges = [(path, size, k) for path, size in listed(self.path) for k in range(0, max(size, 1), self.split)]
+        if self.what == "passages":  # the last range of a file leads to none
+            ranges = [x for x in ranges if x[2] + self.split < x[1]]
         return [InputPartition(x) for x in ranges] or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
@@ -444,8 +516,14 @@ class XmlPartsReader(DataSourceReader):
                         yield {"path": path, "part": start, "n": n, "xml": body.decode("utf-8", "replace"), "error": None}
                         n += 1
                     return
+                if self.what == "passages":
+                    for sign, (within, growth, least) in passages(window, self.tag).items():
+                        yield {"path": path, "part": start, "n": n, "xml": json.dumps([sign.decode(), within.decode(), growth, least]), "error": None}
+                        n += 1
+                    return
                 root, declared, encoding = b"", b"", "utf-8"
-                for element in elements(window, self.tag):
+                within, depth = self.begins.get(f"{path}:{start}", ("", 0))
+                for element in elements(window, self.tag, within.encode(), depth):
                     if not root:
                         with system.open_input_file(path) as again:
                             root, declared, encoding = head_of(pieces(again, path, size, 0, size))
@@ -475,7 +553,36 @@ class XmlPartsReader(DataSourceReader):
             raise ParseError(f"<{root.decode()}> isn't closed")
 
 
+def _begins(rows: list[tuple[str, int, str | None]], split: int) -> dict[str, tuple[str, int]]:
+    """From (path, part, passage): the sign and the depth that a range begins inside of, for those that begin inside of any."""
+    led: dict[tuple[str, int], dict[str, tuple]] = {}
+    for path, part, passage in rows:
+        sign, *rest = json.loads(passage) if passage else ("", "", 0, 0)
+        led.setdefault((path, part), {})[sign] = tuple(rest)
+    found: dict[str, tuple[str, int]] = {}
+    file, within, depth = None, "", 0
+    for path, part in sorted(led):
+        if path != file:
+            file, within, depth = path, "", 0
+        within, growth, least = led[path, part].get(within, (within, 0, 0))
+        # an end tag without a begin counts for nothing
+        depth = max(depth + growth, growth - least)
+        if within or depth:
+            found[f"{path}:{part + split}"] = (within, depth)
+    return found
+
+
 def read(spark: SparkSession, path: str, tag: str, what: str = "elements", split: int = SPLIT_BYTES) -> DataFrame:
-    """SCHEMA's rows of a file, a folder or a pattern."""
+    """SCHEMA's rows of a file, a folder or a pattern. Where a file has several ranges, a first pass brings a row for each range
+    and sign to the driver, and no text."""
     spark.dataSource.register(XmlParts)
-    return spark.read.format("xmlparts").option("tag", tag).option("what", what).option("split", split).load(qualified(spark, path))
+    path = qualified(spark, path)
+    reader = spark.read.format("xmlparts").option("tag", tag).option("split", split)
+    try:
+        several = what == "elements" and any(size > split for _, size in listed(path))
+    except FileNotFoundError:
+        several = False  # the source says so itself
+    if several:
+        rows = reader.option("what", "passages").load(path).select("path", "part", "xml").collect()
+        reader = reader.option("begins", json.dumps(_begins(rows, split)))
+    return reader.option("what", what).load(path)

@@ -2,6 +2,7 @@
 
 import gzip
 import io
+import json
 import lzma
 import random
 import re
@@ -56,12 +57,12 @@ def packed(data, kind, rng, size):
     return data
 
 
-def rows_of(data, path, split, tag="entry", what="elements"):
+def rows_of(data, path, split, tag="entry", what="elements", begins="{}"):
     class Files:
         def open_input_file(self, _):
             return io.BytesIO(data)
 
-    reader = xmlparts.XmlPartsReader({"path": path, "tag": tag, "what": what, "split": split})
+    reader = xmlparts.XmlPartsReader({"path": path, "tag": tag, "what": what, "split": split, "begins": begins})
     out = []
     original = xmlparts.opened
     xmlparts.opened = lambda uri: (Files(), uri)
@@ -160,3 +161,29 @@ def test_folders_patterns_and_empty_tables(spark, tmp_path, suffix):
     xmlfiles.write(broken, str(tmp_path / "broken"), suffix)
     assert [r["entry_id"] for r in files.xml_entries(spark, str(tmp_path / "broken")).collect()] == ["c"]
     assert "ParseError" in files.xml_errors(spark, str(tmp_path / "broken")).first()["error"]
+
+
+@pytest.mark.parametrize("kind", ["plain.xml", "blocks.xz", "streams.xz", "members.gz"])
+def test_ranges_that_begin_inside_of_comments_sections_and_elements(kind, monkeypatch):
+    monkeypatch.setattr(xmlparts, "CHUNK", 97)
+    rng = random.Random(4)
+    inside = 0
+    for _ in range(12):
+        text = document(rng, 20)
+        data = packed(text.encode(), kind, rng, rng.choice([7, 50, 333]))
+        for split in (5, 31, 200):
+            passages = rows_of(data, kind, split, what="passages")
+            begins = xmlparts._begins([(r["path"], r["part"], r["xml"]) for r in passages], split)
+            inside += len(begins)
+            rows = rows_of(data, kind, split, begins=json.dumps(begins))
+            assert [r["error"] for r in rows] == [None] * len(rows)
+            assert [ElementTree.canonicalize(ElementTree.tostring(ElementTree.fromstring(r["xml"]), "unicode")) for r in rows] == outer(text)
+    assert inside > 50
+
+
+@pytest.mark.parametrize("suffix", ["", ".xz", ".gz"])
+def test_read_knows_what_a_range_begins_inside_of(spark, tmp_path, suffix):
+    lines = [f"<!-- <entry> {'x' * (k % 90)} --><entry id='{k}'><entry>{k}</entry></entry>" for k in range(300)]
+    xmlfiles.write(spark.createDataFrame([(x,) for x in lines], "x string").repartition(2), str(tmp_path / "out"), suffix, block_bytes=70)
+    got = xmlparts.read(spark, str(tmp_path / "out"), "entry", split=150).collect()
+    assert sorted(r["xml"] or r["error"] for r in got) == sorted(x.partition("-->")[2] for x in lines)
