@@ -48,3 +48,36 @@ def test_a_thousand_patterns_over_texts(spark, monkeypatch):
     monkeypatch.undo()
     none = table.limit(0)
     assert patterns.holding(docs, "text", none).count() == patterns.whole_words(docs, "text", none).count() == patterns.holding(docs.limit(0), "text", table).count() == 0
+
+
+def test_whole_words_in_passes_are_those_of_one_list(spark, monkeypatch):
+    rng = random.Random(8)
+    letters = "abcé"
+    wrong = sorted({"".join(rng.choice(letters) for _ in range(rng.randrange(1, 4))) + rng.choice(["", " ab", " é", " a b"]) for _ in range(400)})
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 5))) for _ in range(60)).title() for _ in range(40)] + [None, "", "ab a b ab"]
+    docs = spark.createDataFrame([(k, t, "clash") for k, t in enumerate([*texts, texts[0]])], "row long, text string, n string")
+    table = spark.createDataFrame([(w, f"right of {w}") for w in wrong], "wrong string, right string")
+    one = patterns.whole_words(docs, "text", table)
+    monkeypatch.setattr(patterns, "LIST", 60)  # in several passes, with patterns that overlap in different ones
+    many = patterns.whole_words_in_passes(docs, "text", table)
+    assert many.columns == one.columns and one.count() > 1000
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, one.collect()))
+
+
+def test_a_list_is_filled_before_there_are_two(spark, monkeypatch):
+    """The benchmark's words and pairs are more than half a list."""
+    monkeypatch.setattr(patterns, "LIST", 10)
+    docs = spark.createDataFrame([(1, "w1 w9")], "id long, text string")
+    table = spark.createDataFrame([(f"w{k}", None) for k in range(10)], "wrong string, right string")
+    assert sorted(r["wrong"] for r in patterns.whole_words(docs, "text", table).collect()) == ["w1", "w9"]
+
+
+def test_finds_in_long_texts_are_handed_on_piece_by_piece(spark, monkeypatch):
+    """Each find carries its text, so the finds of a batch may have more bytes than a batch can hold."""
+    monkeypatch.setattr(patterns, "OUT_BYTES", 10_000)
+    docs = spark.createDataFrame([(k, "ab " * 2000) for k in range(3)], "id long, text string").coalesce(1)
+    table = spark.createDataFrame([("ab", None)], "wrong string, right string")
+    got = patterns.whole_words(docs, "text", table)
+    assert got.agg({"place": "sum"}).first()[0] == 3 * sum(range(0, 6000, 3))
+    sizes = patterns.whole_words_in_passes(docs, "text", table, keep=["id"])
+    assert sizes.columns == ["id", "place", "found", "wrong", "right"] and sizes.count() == 6000
