@@ -8,8 +8,10 @@ rendered names), text (the node's own, white space joined).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -169,3 +171,111 @@ def structure(nodes: DataFrame) -> DataFrame:
     attributes = F.transform(F.map_keys("attributes"), lambda k: F.struct(F.lit("attribute").alias("kind"), F.concat("name", F.lit("@"), k).alias("name")))
     rows = nodes.select(F.explode(F.concat(own, attributes)).alias("x")).select("x.kind", "x.name").where("name IS NOT NULL")
     return rows.groupBy("kind", "name").agg(F.count("*").alias("n"))
+
+
+def _parsed(text: str, start: Callable, end: Callable) -> None:
+    """A document's elements by start (name, namespace, attributes) and end (), named as in xml_events()."""
+    prefixes = {XML_NAMESPACE: "xml"}
+    known: dict[str, tuple[str, str]] = {}
+
+    def named(name: str) -> tuple[str, str]:
+        if name not in known:
+            namespace, _, local = name.rpartition("}")
+            prefix = prefixes.get(namespace, "")
+            known[name] = (f"{prefix}:{local}" if prefix else local, namespace)
+        return known[name]
+
+    def declared(prefix: str | None, namespace: str | None) -> None:
+        prefixes[namespace or ""] = prefix or ""
+        known.clear()
+
+    parser = expat.ParserCreate(namespace_separator="}")
+    parser.StartNamespaceDeclHandler = declared
+    parser.StartElementHandler = lambda name, attributes: start(*named(name), [named(k)[0] for k in attributes])
+    parser.EndElementHandler = lambda name: end()
+    parser.Parse(text, True)
+
+
+def _axes(text: str, counts: Counter) -> None:
+    """Adds how many pairs of a document's nodes stand on each axis, by names; what is held grows with its depth and its names."""
+    open_: list[tuple[str, Counter]] = []
+    above: Counter = Counter()
+    ended: Counter = Counter()
+
+    def start(name: str, namespace: str, attributes: list[str]) -> None:
+        if open_:
+            parent, siblings = open_[-1]
+            counts["child", parent, name] += 1
+            for other, n in siblings.items():
+                counts["following-sibling", other, name] += n
+            siblings[name] += 1
+        for other, n in above.items():
+            if n:
+                counts["descendant", other, name] += n
+        for other, n in ended.items():
+            counts["following", other, name] += n
+        above[name] += 1
+        open_.append((name, Counter()))
+
+    def end() -> None:
+        name, _ = open_.pop()
+        above[name] -= 1
+        ended[name] += 1
+
+    _parsed(text, start, end)
+
+
+def _structure(text: str, counts: Counter) -> None:
+    open_ = [""]
+
+    def start(name: str, namespace: str, attributes: list[str]) -> None:
+        counts["element", name] += 1
+        counts["depth", str(len(open_))] += 1
+        counts["namespace", namespace or "(sem namespace)"] += 1
+        if len(open_) > 1:
+            counts["relation", f"{open_[-1]} > {name}"] += 1
+        for attribute in attributes:
+            counts["attribute", f"{name}@{attribute}"] += 1
+        open_.append(name)
+
+    _parsed(text, start, open_.pop)
+
+
+def _tallied(docs: DataFrame, xml: str, tally: Callable[[str, Counter], None], names: list[str]) -> DataFrame:
+    """names and n: what tally counts in the XML of a column. Tasks count while they read, so only counts are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array(column, pa.string()) for column in zip(*counts, strict=True)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(list(counts.values()), pa.int64())], names=[*names, "n"])
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                for text in batch.column(0).slice(start, 1000).to_pylist():
+                    if text:
+                        tally(text, counts)
+                    if len(counts) >= ROWS:
+                        yield out()
+                        counts.clear()
+        if counts:
+            yield out()
+
+    rows = docs.select(F.col(xml).cast("string")).mapInArrow(run, ", ".join([*(f"{name} string" for name in names), "n long"]))
+    return rows.groupBy(*names).agg(F.sum("n").alias("n"))
+
+
+def axis_counts(docs: DataFrame, xml: str) -> DataFrame:
+    """(axis, outer_name, inner_name, n): how many pairs of nodes of one document stand on each axis, by their names, in the XML of
+    a column. No node and no pair is made a row; related() gives the pairs themselves."""
+    found = _tallied(docs, xml, _axes, ["axis", "outer_name", "inner_name"])
+    # seen from the other side, descendants are ancestors
+    same = F.struct("axis", "outer_name", "inner_name", "n")
+    other = F.struct(F.lit("ancestor").alias("axis"), F.col("inner_name").alias("outer_name"), F.col("outer_name").alias("inner_name"), "n")
+    return found.select(F.explode(F.when(F.col("axis") == "descendant", F.array(same, other)).otherwise(F.array(same))).alias("x")).select("x.*")
+
+
+def structure_counts(docs: DataFrame, xml: str) -> DataFrame:
+    """structure() of the nodes of the XML in a column, without a row per node."""
+    return _tallied(docs, xml, _structure, ["kind", "name"])

@@ -17,7 +17,7 @@ from florilege.sources import xmlparts
 
 
 def _order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(key, xml): an element per order, written in blocks of .xz and read again; items are in order of their line and part.
+    """(xml): an element per order, written in blocks of .xz and read again; items are in order of their line and part.
 
     An order has few lines; they are gathered in its row.
     """
@@ -30,7 +30,7 @@ def _order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.lit('<order key="'), F.col("o_orderkey").cast("string"), F.lit('">'), head, inner, F.lit("</order>"))
     path = f"{shared_dir(spark)}/florilege/orders-{uuid.uuid4().hex}"
     xmlfiles.write(orders.select(line), path, ".xz", '<orders xmlns:o="urn:order" xmlns:m="urn:money">', "</orders>")
-    return xmlparts.read(spark, path, "order").select(F.xpath_long("xml", F.lit("/order/@key")).alias("key"), "xml")
+    return xmlparts.read(spark, path, "order").select("xml")
 
 
 #: A node per row with its place among its document's: k orders the nodes of a document as they stand in it.
@@ -55,17 +55,7 @@ UNION ALL SELECT 'following-sibling', a.name, b.name, count(*) FROM n AS a JOIN
 UNION ALL SELECT 'following', outer_name, inner_name, n FROM f""")
 def xml_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many pairs of nodes stand on each axis, by their names, in the XML of orders."""
-    nodes = stored(trees.xml_nodes(_order_documents(spark, sf_dir), "key", "xml"), "nodes")
-    outer, inner = F.col("a_name").alias("outer_name"), F.col("b_name").alias("inner_name")
-    count = F.count("*").alias("n")
-    found = [trees.related(nodes, nodes, axis, "key", "name").groupBy(F.lit(axis).alias("axis"), outer, inner).agg(count) for axis in ("child", "following-sibling")]
-    below = trees.related(nodes, nodes, "descendant", "key", "name").groupBy("a_name", "b_name").agg(count)
-    # seen from the other side, descendants are ancestors
-    ways = F.array(F.struct(F.lit("descendant").alias("axis"), outer, inner, "n"), F.struct(F.lit("ancestor").alias("axis"), F.col("b_name").alias("outer_name"), F.col("a_name").alias("inner_name"), "n"))
-    pairs = found[0].unionByName(found[1]).unionByName(below.select(F.explode(ways).alias("x")).select("x.*"))
-    # what follows a node is most of a document, so it is counted without pairs
-    counts = trees.related_counts(nodes, nodes, "following", "key").join(nodes.select("key", F.col("pre").alias("a_pre"), F.col("name").alias("outer_name")), ["key", "a_pre"])
-    return pairs.unionByName(counts.groupBy(F.lit("following").alias("axis"), "outer_name", F.col("b_name").alias("inner_name")).agg(F.sum("n").alias("n")))
+    return trees.axis_counts(_order_documents(spark, sf_dir), "xml")
 
 
 @query("A1 A15 X42", f"""WITH {_NODES_SQL}
@@ -75,7 +65,7 @@ UNION ALL SELECT 'attribute', name || '@' || a, count(*) FROM (SELECT name, unne
 UNION ALL SELECT 'relation', a.name || ' > ' || b.name, count(*) FROM n AS a JOIN n AS b ON a.key = b.key AND b.up = a.id GROUP BY a.name, b.name""")
 def xml_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements, attributes, relations, depths and namespaces of the XML of orders."""
-    return trees.structure(trees.xml_nodes(_order_documents(spark, sf_dir), "key", "xml"))
+    return trees.structure_counts(_order_documents(spark, sf_dir), "xml")
 
 
 #: The grammar of the stand-in entries.

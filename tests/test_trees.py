@@ -158,3 +158,21 @@ def test_writing_issues_against_plain_rules(spark):
         expected.update((name, "Alta" if name in ("encoding", "repeated word") else "Média") for name, found in rules.items() if found)
     got = {(r["evidence"], r["severity"]): r["n"] for r in catalogue.QUERIES["writing_issues"](spark, str(DATA)).collect()}
     assert got == expected and len(got) >= 3
+
+
+def test_counts_while_reading_equal_those_of_joins(spark):
+    """No node is made a row; the pairs of related() are the measure."""
+    xml = ['<a xmlns:m="urn:m" k="1"><m:b xml:id="x"/><c><m:b/><c><d m:k="2"/></c></c><m:b/></a>', '<a><a><b/></a><b xmlns="urn:n"><c/></b></a>', None, ""]
+    docs = spark.createDataFrame(list(enumerate(xml)), "key long, xml string")
+    nodes = trees.xml_nodes(docs, "key", "xml").cache()
+    expected = []
+    for axis in ("child", "following-sibling", "descendant", "ancestor", "following"):
+        pairs = trees.related(nodes, nodes, axis, "key", "name")
+        expected += [(axis, *r) for r in pairs.groupBy("a_name", "b_name").count().collect()]
+    got = trees.axis_counts(docs, "xml")
+    assert sorted(map(tuple, got.collect())) == sorted(expected) and len(expected) > 30
+    counted = trees.structure_counts(docs, "xml")
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, trees.structure(nodes).collect()))
+    for df in (got, counted):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("MapInArrow") <= 2
