@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from florilege.operators.stored import opened, qualified, stored
 
 BLOCK_BYTES = 1 << 20
+#: How hard .xz blocks are compressed: files that are written to be read again soon should be quick to write.
+PRESET = 0
 
 
 def _number(value: int) -> bytes:
@@ -33,7 +35,7 @@ def xz_parts(blocks: Iterator[bytes]) -> Iterator[bytes]:
     records, header = b"", b""
     n = 0
     for block in blocks:
-        whole = lzma.compress(block, lzma.FORMAT_XZ, lzma.CHECK_CRC64)
+        whole = lzma.compress(block, lzma.FORMAT_XZ, lzma.CHECK_CRC64, PRESET)
         index = 4 * (int.from_bytes(whole[-8:-4], "little") + 1)
         if not n:
             header = whole[:12]
