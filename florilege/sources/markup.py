@@ -140,12 +140,23 @@ def fed(parser: HTMLParser, page: str | None, whole: bool = True) -> HTMLParser:
     return parser
 
 
+#: Rows that a task holds parsed at once; a batch of Spark's may have 10,000 pages.
+ROWS = 100
+
+
+def _few(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames of ROWS rows at most, at least one of each frame."""
+    for frame in frames:
+        for start in range(0, max(1, len(frame)), ROWS):
+            yield frame.iloc[start : start + ROWS]
+
+
 def contents(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, text, links, images, headings, word_count, html_length, shortcodes) per page."""
     schema = "k long, text string, links array<struct<href:string,title:string>>, images array<struct<src:string,alt:string>>, headings array<string>, word_count long, html_length long, shortcodes long"
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in _few(frames):
             rows = []
             for k, page in zip(frame["k"], frame["h"], strict=True):
                 p = fed(_Content(), page)
@@ -165,7 +176,7 @@ def table_rows(pages: DataFrame, key: str, html: str, table_id: str, header: lis
     """(key, row, cells) of the table with an id, below its header; fails on another header, width or an overlong cell."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in _few(frames):
             out = []
             for k, page in zip(frame["k"], frame["h"], strict=True):
                 rows = [[{**c, "text": "\n".join(y for x in c["text"].split("\n") if (y := " ".join(x.split())))} for c in r] for r in fed(_Table(table_id), page).rows]
@@ -208,7 +219,7 @@ def flattened(trees: DataFrame, key: str, tree: str) -> DataFrame:
     """(key, place, node, parent, depth, metadata) of JSON trees {id, metadata, children}, depth first."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in _few(frames):
             rows = []
             for k, text in zip(frame["k"], frame["t"], strict=True):
                 todo, place = [(json.loads(text), None, 1)] if text else [], 0

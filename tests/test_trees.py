@@ -176,3 +176,16 @@ def test_counts_while_reading_equal_those_of_joins(spark):
     for df in (got, counted):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and plan.count("MapInArrow") <= 2
+
+
+def test_pages_are_parsed_a_few_at_a_time(spark, monkeypatch):
+    """What a task holds doesn't grow with the rows of a batch."""
+    import pandas as pd
+
+    from florilege.sources import markup
+
+    frames = list(markup._few(iter([pd.DataFrame({"k": range(250)}), pd.DataFrame({"k": []})])))
+    assert [len(f) for f in frames] == [100, 100, 50, 0] and frames[1]["k"].tolist() == list(range(100, 200))
+    pages = spark.range(250).selectExpr("id", "concat('<h1>t</h1><a href=x>', id, '</a>') AS html").coalesce(1)
+    got = markup.contents(pages, "id", "html").collect()
+    assert [(r["id"], r["text"], len(r["links"])) for r in got] == [(k, f"t\n{k}", 1) for k in range(250)]
