@@ -168,7 +168,8 @@ def merged_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
     kind = F.col("k") % 4
     planned = orders.withColumn("base", F.when(kind != 3, 1).cast("long"))
-    planned.repartition(4, "k").write.parquet(f"{folder}/plan")
+    # a file a batch, in row groups that several tasks can read
+    planned.repartition(4, "k").write.option("parquet.block.size", 8 << 20).parquet(f"{folder}/plan")
     fields = {f.name: f for f in planned.schema.fields}
     store = merge.Store(spark, f"{folder}/store", fields["k"], [fields["status"], fields["priority"]])
     live = orders.where(kind != 3).select("k", F.lit("manual").alias("status"), F.when(kind == 2, "kept").alias("priority"), F.when(kind == 1, 7).otherwise(1).cast("long").alias("revision"), F.lit("before").alias("request"))
@@ -184,6 +185,7 @@ def merged_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     except StreamingQueryException:
         pass  # what a restart has to cope with
     merge.run(stream, merge.merger(store), f"{folder}/checkpoint")
-    writes = store.log().where("request <> 'before'").groupBy("k").agg(F.count("*").alias("writes"))
+    newest = F.max(F.struct("revision", "status", "priority")).alias("x")
+    states = store.log().groupBy("k").agg(newest, F.count_if(F.col("request") != "before").alias("writes"))
     done = merge.journaled(store).select("k", "action")
-    return store.current().join(done, "k").join(writes, "k", "left").select("k", "status", "priority", "revision", "action", F.coalesce("writes", F.lit(0).cast("long")).alias("writes"))
+    return states.join(done, "k").select("k", "x.status", "x.priority", "x.revision", "action", "writes")
